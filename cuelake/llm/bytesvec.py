@@ -151,7 +151,7 @@ class HashIndex:
         if (self.size + len(keys)) * 2 > self.mask:
             used = self.vals >= 0
             old_keys, old_vals = self.keys[used], self.vals[used]
-            bits = max(16, int(self.size + len(keys)).bit_length() + 2)
+            bits = max(16, int(self.size + len(keys)).bit_length() + 1)
             self._make(bits)
             self._put(old_keys, old_vals)
         self._put(keys, nums)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from cuelake.llm.simhash import op3_simhash_dedup
 from cuelake.llm.substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_simhash_dedup": op3_simhash_dedup,
 }
 ORACLES: dict[str, str] = {}
