@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from cuelake.llm.bpe import op4_bpe
 from cuelake.llm.simhash import op3_simhash_dedup
 from cuelake.llm.substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_bpe": op4_bpe,
 }
 ORACLES: dict[str, str] = {}
