@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cuelake.llm.bpe import op4_bpe
+from cuelake.llm.packing import op7_packing
 from cuelake.llm.simhash import op3_simhash_dedup
 from cuelake.llm.substring_dedup import op2_substring_dedup
 
@@ -10,5 +11,6 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_bpe": op4_bpe,
+    "op7_packing": op7_packing,
 }
 ORACLES: dict[str, str] = {}
