@@ -6,11 +6,16 @@ from cuelake.llm.bpe import op4_bpe
 from cuelake.llm.packing import op7_packing
 from cuelake.llm.simhash import op3_simhash_dedup
 from cuelake.llm.substring_dedup import op2_substring_dedup
+from cuelake.llm.url_filter import ORACLE as URL_FILTER_SQL
+from cuelake.llm.url_filter import op9_url_filter
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_bpe": op4_bpe,
     "op7_packing": op7_packing,
+    "op9_url_filter": op9_url_filter,
+}
+ORACLES: dict[str, str] = {
+    "op9_url_filter": URL_FILTER_SQL,
 }
-ORACLES: dict[str, str] = {}
