@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cuelake.llm.bpe import op4_bpe
+from cuelake.llm.embedding_dedup import op8_embedding_dedup
 from cuelake.llm.packing import op7_packing
 from cuelake.llm.simhash import op3_simhash_dedup
 from cuelake.llm.substring_dedup import op2_substring_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_bpe": op4_bpe,
     "op7_packing": op7_packing,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_url_filter": op9_url_filter,
 }
 ORACLES: dict[str, str] = {
