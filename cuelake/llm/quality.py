@@ -28,9 +28,9 @@ _KIND[[32, *range(9, 14)]] = 5
 _WIDE_CAPITAL = (0x80, 0x9E)
 
 
-def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Log odds of a share, damped at both ends."""
-    p = part / np.maximum(whole, 1)
+def _share(part: np.ndarray, whole: np.ndarray, more: float) -> np.ndarray:
+    """Log odds of a share, damped at both ends; ``more`` places without the mark keep short texts from standing out."""
+    p = part / (whole + more)
     return np.log((p + 0.01) / (1.01 - p))
 
 
@@ -87,15 +87,15 @@ def statistics(text) -> np.ndarray:
             np.log1p(mean),
             np.log1p(spread),
             np.log((distinct + 1) / (n_words + 1)) / np.maximum(1.0, np.log1p(n_words)),
-            _share(of_words(echo), n_words),
-            _share(of_bytes((kind == 0) & (data < 128)), chars),
-            _share(of_bytes(kind == 4), chars),
-            _share(of_bytes(kind == 3), chars),
-            _share(capitals, letters),
-            _share(of_words(odd), n_words),
+            _share(of_words(echo), n_words, 20),
+            _share(of_bytes((kind == 0) & (data < 128)), chars, 100),
+            _share(of_bytes(kind == 4), chars, 100),
+            _share(of_bytes(kind == 3), chars, 100),
+            _share(capitals, letters, 100),
+            _share(of_words(odd), n_words, 20),
             np.log1p(chars / np.maximum(n_lines, 1)),
-            _share(repeated, n_lines),
-            _share(of_bytes(data >= 128), chars * 2),
+            _share(repeated, n_lines, 6),
+            _share(of_bytes(data >= 128), chars * 2, 100),
         ]
     )
 
@@ -103,7 +103,7 @@ def statistics(text) -> np.ndarray:
 class Discriminant:
     """Two shrunk Gaussians. ``rows`` of the classes 0 and 1; a class with no row takes the other's scale and mean."""
 
-    def __init__(self, rows: np.ndarray, label: np.ndarray, towards_diagonal: float = 0.05, towards_scale: float = 0.01):
+    def __init__(self, rows: np.ndarray, label: np.ndarray, towards_diagonal: float = 0.1, towards_scale: float = 0.3):
         d = rows.shape[1]
         self.middle = rows.mean(axis=0) if len(rows) else np.zeros(d)
         self.scale = np.maximum(rows.std(axis=0), 1e-3) if len(rows) else np.ones(d)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from cuelake.llm.bpe import op4_bpe
 from cuelake.llm.embedding_dedup import op8_embedding_dedup
+from cuelake.llm.language_id import op6_language_id
 from cuelake.llm.packing import op7_packing
+from cuelake.llm.quality import op10_quality
 from cuelake.llm.simhash import op3_simhash_dedup
 from cuelake.llm.substring_dedup import op2_substring_dedup
 from cuelake.llm.url_filter import ORACLE as URL_FILTER_SQL
@@ -14,9 +16,11 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_bpe": op4_bpe,
+    "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
     "op9_url_filter": URL_FILTER_SQL,
