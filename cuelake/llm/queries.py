@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cuelake.llm.bpe import op4_bpe
 from cuelake.llm.embedding_dedup import op8_embedding_dedup
+from cuelake.llm.fingerprint import op5_fingerprints
 from cuelake.llm.language_id import op6_language_id
 from cuelake.llm.packing import op7_packing
 from cuelake.llm.quality import op10_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_bpe": op4_bpe,
+    "op5_fingerprints": op5_fingerprints,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op8_embedding_dedup": op8_embedding_dedup,
