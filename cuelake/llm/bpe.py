@@ -323,7 +323,7 @@ class Bpe:
 class Memo:
     """Ids of the words met so far, by a 64-bit hash of the word; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 1_200_000):
+    def __init__(self, most: int = 2_000_000):
         self.most = most
         self.clear()
 
@@ -418,7 +418,7 @@ def bpe_digest(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "te
 
     Null texts are empty and have no tokens; the strings of special tokens are their ids, as by the vocabulary's own
     library; repeated rows and null keys are carried; no rows give no rows; other columns of the input play no part.
-    One scan, no exchange; a worker keeps at most a million words.
+    One scan, no exchange; a worker keeps at most two million words.
     """
 
     def run(batches):

@@ -132,7 +132,7 @@ class Packer:
         """Full windows of every tier from what waits."""
         left = sum(self.sizes)
         for tier, below in zip(self.tiers, (*self.tiers[1:], 0)):
-            while left >= tier and self.sizes and self.sizes[-1] > below:
+            while left >= tier and self.sizes and below < self.sizes[-1] <= tier:
                 self._fill(tier, self._take(len(self.sizes) - 1))
                 left -= tier
 
