@@ -6,6 +6,7 @@ from cuelake.llm.bpe import op4_bpe
 from cuelake.llm.embedding_dedup import op8_embedding_dedup
 from cuelake.llm.fingerprint import op5_fingerprints
 from cuelake.llm.language_id import op6_language_id
+from cuelake.llm.line_dedup import op1_line_dedup
 from cuelake.llm.packing import op7_packing
 from cuelake.llm.quality import op10_quality
 from cuelake.llm.simhash import op3_simhash_dedup
@@ -14,6 +15,7 @@ from cuelake.llm.url_filter import ORACLE as URL_FILTER_SQL
 from cuelake.llm.url_filter import op9_url_filter
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_bpe": op4_bpe,
