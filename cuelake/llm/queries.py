@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from cuelake.llm.bpe import op4_bpe
 from cuelake.llm.embedding_dedup import op8_embedding_dedup
 from cuelake.llm.fingerprint import op5_fingerprints
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op9_url_filter": URL_FILTER_SQL,
