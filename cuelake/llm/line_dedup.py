@@ -140,7 +140,7 @@ def _meeting(group: np.ndarray, line: np.ndarray, index: np.ndarray, n: int):
 
 def _send(edits: int, shortest: int, buckets: int):
     def run(batches):
-        for batch in pieces(batches, "text", 3 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             x = Lines(batch.column(0))
             rows = np.flatnonzero((x.size >= shortest) & ~x.blank)
             _, pick = np.unique(x.hash[rows], return_index=True)
@@ -347,7 +347,7 @@ def within(x: Lines, p: np.ndarray, q: np.ndarray, edits: int) -> np.ndarray:
 def _named_texts(lines: set | np.ndarray | None, shortest: int):
     def run(batches):
         wanted = None if lines is None else np.sort(np.asarray(lines.value))
-        for batch in pieces(batches, "text", 3 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             x = Lines(batch.column(0))
             rows = np.flatnonzero((x.size >= shortest) & ~x.blank)
             _, pick = np.unique(x.hash[rows], return_index=True)
@@ -364,7 +364,7 @@ def _named_texts(lines: set | np.ndarray | None, shortest: int):
     return run
 
 
-def line_links(spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, bucket_bytes: int = 16 << 20) -> DataFrame:
+def line_links(spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, bucket_bytes: int = 4 << 20) -> DataFrame:
     """``docs(text)`` -> ``line, links, root`` for each distinct line (by its hash) with a link: a table in the shared folder.
 
     links: number of other distinct lines within ``edits`` edits; root: a line that stands for its component.
@@ -389,7 +389,7 @@ def line_links(spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortes
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("key", "line", "index", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
-    group = F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, count // 20_000))).alias("part")
+    group = F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, count // 5_000))).alias("part")
     met_texts = dealt.join(texts, "line").select("key", "line", "index", "block", "low", "high", "text", group)
     found = table(spark, met_texts.groupBy("part").applyInArrow(_verify(edits, shortest), "line long, links long, root long"))
     roots = components(spark, found.select(F.col("line").alias("u"), F.col("root").alias("v")))
@@ -413,7 +413,7 @@ def line_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     near = line_links(spark, source, edits, shortest)
 
     def run(batches):
-        for batch in pieces(batches, "text", 3 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             x = Lines(batch.column(1))
             rows = np.flatnonzero(~x.blank)
             yield pa.RecordBatch.from_arrays(
