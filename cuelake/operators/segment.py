@@ -137,11 +137,11 @@ def retime(words: DataFrame, ranges: DataFrame, spans: DataFrame) -> DataFrame:
 _RETIMED = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
 
-def break_lines(start: np.ndarray, end: np.ndarray, width: np.ndarray, cut_cost: np.ndarray, starter: np.ndarray, limit: float) -> np.ndarray:
+def break_lines(start: np.ndarray, end: np.ndarray, width: np.ndarray, cut_cost: np.ndarray, starter: np.ndarray, limit: float, exempt=None) -> np.ndarray:
     """First word of every line of the cheapest way to break words into lines.
 
     A line's cost is that of the cut before it, plus what its length asks for, plus ``COST_STARTER`` if it ends in a word
-    that only begins sentences (not for the last line). A line of several words is at most ``limit`` wide and
+    that only begins sentences (not for the last line, nor where ``exempt(i, j)``). A line of several words is at most ``limit`` wide and
     ``LONGEST_LINE`` long. Of equal ways the latest cut is taken.
     """
     n = len(start)
@@ -159,7 +159,7 @@ def break_lines(start: np.ndarray, end: np.ndarray, width: np.ndarray, cut_cost:
         d = end[j - 1] - start[i]
         cost = best[i] + cut_cost[i] + np.where(d < SHORT_A, COST_A, np.where(d < SHORT_B, COST_B, np.where(d > SLOW_LINE, COST_SLOW * (d - SLOW_LINE) / 1e6, 0.0)))
         if j < n and starter[j - 1]:
-            cost = cost + COST_STARTER
+            cost = cost + COST_STARTER * (1 if exempt is None else np.array([not exempt(int(k), j) for k in i]))
         k = len(cost) - 1 - int(cost[::-1].argmin())
         best[j], back[j] = cost[k], i[k]
     cuts, j = [], n
@@ -169,16 +169,17 @@ def break_lines(start: np.ndarray, end: np.ndarray, width: np.ndarray, cut_cost:
     return np.array(cuts[::-1], np.int64)
 
 
-def segment_lines(words: DataFrame, limit: float) -> DataFrame:
-    """words ``ep, n, s, e, text, width, cut_cost, starter`` -> cues ``ep, i, s, e, text`` by the cheapest line breaks, times clamped for display."""
+def segment_lines(words: DataFrame, limit: float, all_starters=None) -> DataFrame:
+    """``all_starters``: a rule on texts; a line that it holds for may end in a starter. words ``ep, n, s, e, text, width, cut_cost, starter`` -> cues ``ep, i, s, e, text`` by the cheapest line breaks, times clamped for display."""
 
     def run(t: pa.Table) -> pa.Table:
         order = np.argsort(t["n"].to_numpy(), kind="stable")
         col = lambda c: t[c].to_numpy(zero_copy_only=False)[order]
         s, e = col("s"), col("e")
-        first = break_lines(s, e, col("width").astype(float), col("cut_cost").astype(float), col("starter"), limit)
-        to = np.append(first[1:], len(s))
         text = np.array(t["text"].to_pylist(), object)[order]
+        exempt = None if all_starters is None else lambda i, j: len(x := "".join(text[i:j])) <= 12 and all_starters(x)
+        first = break_lines(s, e, col("width").astype(float), col("cut_cost").astype(float), col("starter"), limit, exempt)
+        to = np.append(first[1:], len(s))
         return pa.table({"ep": pa.array([t["ep"][0].as_py()] * len(first), pa.int64()), "i": np.arange(len(first)), "s": s[first], "e": e[to - 1], "text": pa.array(["".join(text[a:b]).strip() for a, b in zip(first, to)], pa.string())})
 
     lines = words.select("ep", "n", "s", "e", "text", "width", "cut_cost", "starter").groupBy("ep").applyInArrow(run, "ep long, i long, s long, e long, text string")
