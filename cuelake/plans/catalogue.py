@@ -280,12 +280,11 @@ def srt_texts(spark, d):
     return layout.srt_texts(events(spark, d))
 
 
-@register(f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS n FROM ev WHERE s // 3600000000 < 100 AND e // 3600000000 < 100)
+@register(f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS n FROM ev)
 SELECT ep, n AS cue, s // 1000 * 1000 AS s, e // 1000 * 1000 AS e, text FROM n""")
 def srt_roundtrip(spark, d):
-    """Cues written as SRT texts and read back (a time has two digits of hours)."""
-    cues = events(spark, d).where((F.col("s") < 100 * HOUR) & (F.col("e") < 100 * HOUR))
-    back = src.srt_cues(src.lines_of(layout.srt_texts(cues), "ep", "srt"))
+    """Cues written as SRT texts and read back."""
+    back = src.srt_cues(src.lines_of(layout.srt_texts(events(spark, d)), "ep", "srt"))
     return back.select(F.col("file").alias("ep"), F.col("cue").cast("bigint").alias("cue"), "s", "e", "text")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import strip
 
-TIME = r"(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})\s*-->\s*(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})"
+TIME = r"(\d+):(\d{2}):(\d{2})[,.](\d{1,3})\s*-->\s*(\d+):(\d{2}):(\d{2})[,.](\d{1,3})"
 
 
 def media_files(spark: SparkSession, root: str, pattern: str = "*.[mM][kK][vV]") -> DataFrame:
