@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from cuelake.functions.text import HIRAGANA, KATAKANA, SPLIT_PUNCT, VOICED_FROM,
 # Fixed values.
 ITERATION_MARKS = "々ゝゞヽヾ〻"
 SPLIT_PARTICLES = ("から", "まで", "けど", "ので", "のに", "って", "という", "は", "が", "を", "に", "で", "と", "も", "て", "し", "ば")
+_PARTICLE_AT = [(p, re.compile(f"(?={p})")) for p in SPLIT_PARTICLES]
 _TO_HIRA = str.maketrans(KATAKANA, HIRAGANA)
 _VOICE = str.maketrans(VOICED_FROM, VOICED_TO)
 _KANJI = re.compile("[㐀-䶿一-鿿豈-﫿々〆]")
@@ -129,19 +131,31 @@ class LexiconTokenizer:
 
 
 def split_long(text: str, limit: int) -> list[str]:
-    """Halves a text until no part is longer than ``limit``: near the middle, rather after punctuation or a particle."""
+    """Halves a text until no part is longer than ``limit``: near the middle, rather after punctuation or a particle.
+
+    What a place gains by what stands before it is the same in every part, as no part is cut within eight characters of
+    its ends; so it is looked up once for the whole text.
+    """
     if len(text) <= limit:
         return [text]
-    middle = len(text) / 2
-
-    def score(i: int) -> float:
-        if text[i - 1] in SPLIT_PUNCT:
-            return abs(i - middle) - 12
-        ends = any(text[max(0, i - len(p)) : i] == p for p in SPLIT_PARTICLES)
-        return abs(i - middle) - (6 if ends else 0)
-
-    at = min(range(8, len(text) - 8), key=score, default=int(middle))
-    return split_long(text[:at], limit) + split_long(text[at:], limit)
+    gain = np.zeros(len(text) + 1)
+    for p, at in _PARTICLE_AT:
+        for m in at.finditer(text):
+            gain[m.start() + len(p)] = 6
+    for i, c in enumerate(text, 1):
+        if c in SPLIT_PUNCT:
+            gain[i] = 12
+    out, todo = [], [(0, len(text))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= limit:
+            out.append(text[lo:hi])
+            continue
+        i = np.arange(8, hi - lo - 8)
+        middle = (hi - lo) / 2
+        at = lo + (int(i[(np.abs(i - middle) - gain[lo + i]).argmin()]) if len(i) else int(middle))
+        todo += [(at, hi), (lo, at)]
+    return out
 
 
 def nfkc(text: Column) -> Column:

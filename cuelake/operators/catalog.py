@@ -23,6 +23,17 @@ def pending(files: DataFrame, streams: DataFrame, key: str = "path") -> DataFram
     return files.join(done, key, "left_anti")
 
 
+def reference_timeline(streams: DataFrame, intervals: DataFrame) -> DataFrame:
+    """``path, language, fallback, n, max_end`` of the subtitle stream that gives the reference times: a Chinese one, else the first.
+
+    intervals ``path, index, s, e`` are the time lines of every subtitle stream; a path without any ends at 0.
+    """
+    pick = preferred(streams.where(F.col("codec_type") == "subtitle").select("path", "index", "language"), "path", "index", F.lower("language").isin(CHINESE))
+    ends = intervals.groupBy("path", "index").agg(F.count("*").alias("n"), F.max("e").alias("max_end"))
+    x = pick.join(ends, ["path", "index"], "left")
+    return x.select("path", "language", "fallback", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("max_end", F.lit(0)).alias("max_end"))
+
+
 def first_track(tracks: DataFrame, streams: DataFrame, languages: list[str]) -> DataFrame:
     """``path, track_id`` of the first track, in container order, whose stream has one of the languages.
 
@@ -127,6 +138,15 @@ def review_flags(cues: DataFrame, longest: int = 8_000_000, most_chars: int = 24
     return x.where("too_long OR too_wide")
 
 
+def grammar_flags(cues: DataFrame, bad_start, ends_with_starter) -> DataFrame:
+    """``ep, i, particle_start, starter_end`` of cues that break a rule on their first or last word."""
+    from cuelake.functions.grammar import by_fragment
+
+    x = cues.select("ep", "i", F.left("text", F.lit(4)).alias("_head"), F.right("text", F.lit(8)).alias("_tail"))
+    x = by_fragment(by_fragment(x, "_head", "particle_start", bad_start, "boolean"), "_tail", "starter_end", ends_with_starter, "boolean")
+    return x.where("particle_start OR starter_end").select("ep", "i", "particle_start", "starter_end")
+
+
 def silence_inside(cues: DataFrame, pauses: DataFrame, least: int = 1_500_000, bucket_us: int = 3_600_000_000) -> DataFrame:
     """Cues that hold a whole long pause."""
     from cuelake.operators.intervals import overlap_join

@@ -60,6 +60,30 @@ def ruby_events(cues: DataFrame, spans: DataFrame, width: int = 1920, height: in
     return x.select("ep", "i", "offset", F.concat(F.lit("Dialogue: 0,"), ass_time(F.col("s")), F.lit(","), ass_time(F.col("e")), F.lit(",RB,,0,0,0,,"), tag, escape_ass(F.col("ruby_text"))).alias("line"))
 
 
+FONT = "MS Gothic"  # its characters have the widths of the fallback rule
+
+
+def ass_head(width: int, height: int, main: Column, ruby: Column) -> Column:
+    """Everything above the events; ``main`` and ``ruby`` are the episode's sizes."""
+    columns = "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
+    style = lambda name, size, outline: F.format_string(f"Style: {name},{FONT},%.1f,&H00FFFFFF,&H000000FF,&H00000000,&H7F000000,-1,0,0,0,100,100,0,0,1,{outline},0,7,0,0,0,1", size.cast("double"))
+    return F.concat_ws(
+        "\n", F.lit("[Script Info]"), F.lit("ScriptType: v4.00+"), F.lit(f"PlayResX: {width}"), F.lit(f"PlayResY: {height}"), F.lit("WrapStyle: 2"), F.lit("ScaledBorderAndShadow: yes"), F.lit("YCbCr Matrix: TV.601"), F.lit(""),
+        F.lit("[V4+ Styles]"), F.lit(f"Format: {columns}"), style("JP", main, 3), style("RB", ruby, 2), F.lit(""), F.lit("[Events]"), F.lit("Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"),
+    )
+
+
+def ass_texts(cues: DataFrame, spans: DataFrame | None = None, width: int = 1920, height: int = 1080) -> DataFrame:
+    """``ep, ass``: one subtitle file's text an episode; each cue's line is followed by those of its ruby spans."""
+    lines = main_events(cues, width, height).select("ep", "i", F.lit(-1).alias("offset"), "line")
+    if spans is not None:
+        lines = lines.unionByName(ruby_events(cues, spans, width, height))
+    ordered = lines.join(cues.select("ep", "i", "s"), ["ep", "i"])
+    body = ordered.groupBy("ep").agg(ordered_text("line", "s", "i", "offset", sep="\n").alias("body"))
+    plan = plan_layout(cues, width, height)
+    return body.join(plan, "ep").select("ep", F.concat(ass_head(width, height, F.col("main"), F.col("ruby")), F.lit("\n"), "body", F.lit("\n")).alias("ass"))
+
+
 def srt_blocks(cues: DataFrame) -> DataFrame:
     """``ep, i, block``: numbers count all cues in order, also those without text, which are left out."""
     from pyspark.sql import Window as W

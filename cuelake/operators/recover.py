@@ -41,6 +41,13 @@ def recover(recovered: DataFrame, base: DataFrame, around: int = 2_000_000, buck
     return numbered.select("ep", "i", "text").join(times, ["ep", "i"]).select("ep", "i", "s", "e", "text")
 
 
+def report(windows: DataFrame, recovered: DataFrame, base: DataFrame, around: int = 2_000_000, bucket_us: int = HOUR) -> DataFrame:
+    """``ep, windows, added``: how many windows were looked at and how many cues came of them."""
+    w = windows.groupBy("ep").agg(F.count("*").alias("windows"))
+    a = new_cues(recovered, base, around, bucket_us).groupBy("ep").agg(F.count("*").alias("added"))
+    return w.join(a, "ep", "full").select("ep", F.coalesce("windows", F.lit(0)).alias("windows"), F.coalesce("added", F.lit(0)).alias("added"))
+
+
 def silent_windows(samples: DataFrame, rms: float = SILENT_RMS) -> DataFrame:
     """samples ``ep, i, x``: the windows whose root mean square is below ``rms``: ``ep, i, n``."""
     return samples.groupBy("ep", "i").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("power")).where(F.col("power") < F.lit(rms) * F.lit(rms) * F.col("n")).select("ep", "i", "n")

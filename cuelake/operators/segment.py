@@ -186,6 +186,17 @@ def segment_lines(words: DataFrame, limit: float, all_starters=None) -> DataFram
     return display_clamp(lines).where("text <> ''")
 
 
+def expand_long(cues: DataFrame, limit: int) -> DataFrame:
+    """Cues of more than ``limit`` characters in parts, one after the other, with time in proportion: ``ep, i, part, s, e, text``."""
+    from cuelake.functions.kana import split_long_column
+
+    x = cues.select("ep", "i", "s", "e", F.greatest(F.length("text"), F.lit(1)).alias("n"), split_long_column(F.col("text"), limit).alias("p"))
+    x = x.select("*", F.posexplode("p").alias("part", "text"))
+    before = F.aggregate(F.slice("p", 1, F.col("part")), F.lit(0), lambda a, y: a + F.length(y))
+    at = lambda n: (F.col("s") + (F.col("e") - F.col("s")) * n / F.col("n")).cast("bigint")
+    return x.select("ep", "i", "part", at(before).alias("s"), at(before + F.length("text")).alias("e"), "text")
+
+
 def align_timeline(words: DataFrame, intervals: DataFrame, cap=None, tolerance: int = 600_000, bucket_us: int = 3_600_000_000) -> DataFrame:
     """Words on a reference timeline: ``ep, s, e, text``.
 

@@ -361,11 +361,9 @@ def split_long(spark, d):
 @register()
 def expand_long(spark, d):
     """Turns as cues of ten seconds, parts with times in proportion to their characters."""
-    t = read(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", (F.col("turn") * 10_000_000).cast("bigint").alias("s"), kana.split_long_column(F.col("text"), 40).alias("p"), F.length("text").alias("n"))
-    x = t.select("conv_id", "turn", "s", "n", F.posexplode("p").alias("part", "text"), "p")
-    before = F.aggregate(F.slice("p", 1, F.col("part")), F.lit(0), lambda a, y: a + F.length(y))
-    at = lambda n: (F.col("s") + n * 10_000_000.0 / F.greatest(F.col("n"), F.lit(1))).cast("bigint")
-    return x.select("conv_id", "turn", "part", at(before).alias("s"), at(before + F.length("text")).alias("e"), "text")
+    at = (F.col("turn") * 10_000_000).cast("bigint")
+    cues = read(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("ep"), F.col("turn").alias("i"), at.alias("s"), (at + 10_000_000).alias("e"), "text")
+    return segment.expand_long(cues, 40)
 
 
 DICT = {"the": "da", "th": "z", "tion": "shun", "ing": "ingu", "er": "a", "ung": "unku", "ciónes": "sio", "ent": "en"}
@@ -593,6 +591,36 @@ def ass_events(spark, d):
     return layout.main_events(events(spark, d))
 
 
+_HEAD = "\n".join(
+    [
+        "[Script Info]", "ScriptType: v4.00+", "PlayResX: 1920", "PlayResY: 1080", "WrapStyle: 2", "ScaledBorderAndShadow: yes", "YCbCr Matrix: TV.601", "", "[V4+ Styles]",
+        "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding",
+        "Style: JP,MS Gothic,60.0,&H00FFFFFF,&H000000FF,&H00000000,&H7F000000,-1,0,0,0,100,100,0,0,1,3,0,7,0,0,0,1", "Style: RB,MS Gothic,27.0,&H00FFFFFF,&H000000FF,&H00000000,&H7F000000,-1,0,0,0,100,100,0,0,1,2,0,7,0,0,0,1",
+        "", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text",
+    ]
+)
+
+
+@register(f"""WITH {EV}, c AS (SELECT *, CAST(round_even(s / 10000, 0) AS BIGINT) AS a, CAST(round_even(e / 10000, 0) AS BIGINT) AS b FROM ev),
+l AS (SELECT ep, s, i, 'Dialogue: 0,' || printf('%d:%02d:%02d.%02d', a // 360000, a // 6000 % 60, a // 100 % 60, a % 100) || ',' ||
+printf('%d:%02d:%02d.%02d', b // 360000, b // 6000 % 60, b // 100 % 60, b % 100) || ',JP,,0,0,0,,' || printf('{{\\an7\\pos(%.1f,%.1f)}}', (1920 - length(text) * 30.0::DOUBLE) / 2, 970.0::DOUBLE) || text AS line FROM c)
+SELECT ep, '{_HEAD}' || chr(10) || string_agg(line, chr(10) ORDER BY s, i) || chr(10) AS ass FROM l GROUP BY ep""")
+def ass_texts(spark, d):
+    return layout.ass_texts(events(spark, d))
+
+
+@register(f"""WITH {EV}, s AS (SELECT ep, i, text FROM ev WHERE text IN ('view', 'click', 'error')),
+p AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY text <> 'click', i) AS k FROM s)
+SELECT p.ep AS path, p.text AS language, p.text <> 'click' AS fallback, 1 AS n, ev.e AS max_end FROM p JOIN ev ON ev.ep = p.ep AND ev.i = p.i WHERE k = 1""")
+def reference_timeline(spark, d):
+    """Events as streams of one interval each; clicks are the wanted language."""
+    ev = events(spark, d).where("text IN ('view', 'click', 'error')")
+    named = F.when(F.col("text") == "click", "chi").otherwise(F.col("text"))
+    streams = ev.select(F.col("ep").alias("path"), F.col("i").alias("index"), F.lit("subtitle").alias("codec_type"), named.alias("language"))
+    out = catalog.reference_timeline(streams, ev.select(F.col("ep").alias("path"), F.col("i").alias("index"), "s", "e"))
+    return out.withColumn("language", F.when(F.col("language") == "chi", "click").otherwise(F.col("language")))
+
+
 # ---------------------------------------------------------------- grouped dynamic programs, streaming forms
 
 
