@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,32 @@ def pieces(batches: Iterator, text: str, limit: int) -> Iterator[pa.RecordBatch]
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as a worker may next serve a stage of another kind."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function of one group or two that gives its memory back afterwards."""
+
+    def one(group):
+        result = run(group)
+        trim()
+        return result
+
+    def two(left, right):
+        result = run(left, right)
+        trim()
+        return result
+
+    return one if run.__code__.co_argcount == 1 else two
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

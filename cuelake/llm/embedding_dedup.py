@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake.llm.bytesvec import trimmed
 from cuelake.llm.components import components
 from cuelake.llm.simhash import unite
 from cuelake.llm.store import table
@@ -165,6 +166,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _meet(least: float):
+    @trimmed
     def run(t: pa.Table) -> pa.Table:
         side = t["side"].to_numpy()
         rep, weight, vec = t["rep"].to_numpy(), t["weight"].to_numpy(), _vectors(t["vec"])

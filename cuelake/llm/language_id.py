@@ -110,7 +110,7 @@ def fit(
     drawn = known.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) <= F.element_at(share, F.col("lang")))
 
     def count(batches):
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", 1 << 20):
             key, first = trigrams(b.column(0).to_pylist())
             of = np.array(b.column(1).to_pylist(), object)
             row = np.repeat(np.arange(len(of)), np.diff(first))
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     place, names = base.columns.index(text), [*base.columns, "lang_pred", "score"]
 
     def run(batches):
-        for b in pieces(batches, text, 2 << 20):
+        for b in pieces(batches, text, 1 << 20):
             lang, score = sent.value.predict(b.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(lang, pa.string()), pa.array(score)], names=names

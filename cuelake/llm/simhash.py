@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.bytesvec import U64, pieces, ragged, raw, words
+from cuelake.llm.bytesvec import U64, pieces, ragged, raw, trimmed, words
 from cuelake.llm.components import components
 from cuelake.llm.store import table
 
@@ -115,6 +115,7 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, max_bits: int, leaf: int = 1
 
 
 def _walk(max_bits: int):
+    @trimmed
     def run(t: pa.Table) -> pa.Table:
         fp = t["fp"].to_numpy().view(U64)
         right = t["other"].to_numpy(zero_copy_only=False)
@@ -154,7 +155,7 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
     """``key, fp bigint`` for each row, made in the scan."""
 
     def run(batches):
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(fingerprints(b.column(1), shingle).view(np.int64))], names=["id", "fp"]
             )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.bytesvec import U64, fmix, ragged, raw, spans_hash, windows_hash, words
+from cuelake.llm.bytesvec import U64, ragged, raw, spans_hash, trimmed, windows_hash, words
 from cuelake.llm.store import text_bytes
 
 _SENT = "chunk long, bucket long, kind int, body binary"
@@ -81,6 +81,7 @@ def _replies(replies: pa.Table, kind: int, bucket: np.ndarray) -> np.ndarray:
     return out
 
 
+@trimmed
 def _answer_blocks(table: pa.Table) -> pa.Table:
     """For each probe of each chunk: is it an index entry of another chunk?"""
     bodies = table["body"].to_pylist()
@@ -103,6 +104,7 @@ def _answer_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "kind": table["kind"], "body": pa.array(out, pa.binary())})
 
 
+@trimmed
 def _answer_runs(table: pa.Table) -> pa.Table:
     """For each run of each chunk: has another chunk the same run?"""
     values = [np.frombuffer(body, "<u8") for body in table["body"].to_pylist()]
@@ -134,6 +136,7 @@ def _runs(word_hash, first, window: int, block: int, buckets: int, replies: pa.T
 
 
 def _first_pass(block: int, buckets: int):
+    @trimmed
     def run(table: pa.Table) -> pa.Table:
         *_, first, word_hash = _parse(table["text"])
         _, _, _, keys, own = _probes(word_hash, first, block, buckets)
@@ -144,6 +147,7 @@ def _first_pass(block: int, buckets: int):
 
 
 def _second_pass(window: int, block: int, buckets: int):
+    @trimmed
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         *_, first, word_hash = _parse(left["text"])
         _, _, bucket, value, _ = _runs(word_hash, first, window, block, buckets, right)
@@ -154,6 +158,7 @@ def _second_pass(window: int, block: int, buckets: int):
 
 
 def _last_pass(window: int, block: int, buckets: int, out_schema: pa.Schema, carried: list[str], with_text: bool):
+    @trimmed
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         data, off, starts, ends, first, word_hash = _parse(left["text"])
         at, place, bucket, _, count = _runs(word_hash, first, window, block, buckets, right)
@@ -197,7 +202,7 @@ def substring_dedup(
     key: str = "doc_id",
     text: str = "text",
     window: int = 35,
-    chunk_bytes: int = 6 << 20,
+    chunk_bytes: int = 4 << 20,
     bucket_bytes: int = 8 << 20,
     keep_text: bool = False,
 ) -> DataFrame:
@@ -232,13 +237,11 @@ def substring_dedup(
     )
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    fields = [dealt.schema[c] for c in carried]
     schema = docs.select(*[F.col(f"`{c}`") for c in carried]).schema
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)
     if keep_text:
         schema = schema.add("text", "string")
-    del fields
     done = by_chunk.cogroup(blocks.unionByName(runs).groupBy("chunk")).applyInArrow(
         _last_pass(window, block, buckets, to_arrow_schema(schema), carried, keep_text), schema
     )
