@@ -33,13 +33,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their fingerprints the one with the smallest id stays (of rows with that id, one)."""
-    first = simhash_dedup(spark, docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    kept = table(spark, first.groupBy("_kept").agg(F.count("*").alias("_rows")))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
-    single = out.where("_rows = 1").select(*docs.columns)
-    if kept.where("_rows > 1").isEmpty():
-        return single
-    return single.unionByName(out.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    found = table(spark, simhash_dedup(spark, docs).select(F.col("doc_id").alias("_id"), "component_id"))
+    first = F.col("_id").eqNullSafe(F.col("component_id"))
+    ids = table(spark, found.groupBy("_id").agg(F.bool_or(first).alias("first"), F.count("*").alias("n")))
+    out = _without(docs, ids.where("NOT first").select("_id"))
+    again = ids.where("first AND n > 1").select("_id")
+    if again.isEmpty():
+        return out
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return _without(out, again).unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Hashed, as one side is every text: nothing is sorted, and the plan is the same at every size."""
+    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.bytesvec import U64, fmix, inverse, lanes, pieces, powers, ragged, raw, spans_hash
+from cuelake.llm.bytesvec import U64, fmix, inverse, lanes, pieces, powers, ragged, raw, spans_hash, trimmed
 from cuelake.llm.components import components
 from cuelake.llm.simhash import unite
 from cuelake.llm.store import table, text_bytes
@@ -171,6 +171,7 @@ def _send(edits: int, shortest: int, buckets: int):
     return run
 
 
+@trimmed
 def _name(t: pa.Table) -> pa.Table:
     """Entries of a bucket that meet another line: ``key`` (with the bucket), ``line``, ``index``."""
     bucket = t["bucket"][0].as_py()
@@ -261,6 +262,7 @@ def _verify(edits: int, shortest: int, width: int = 1 << 18):
     """Links among the lines of some keys: ``line, links, root`` for each line with a link."""
     seg_probes = places(edits)
 
+    @trimmed
     def run(t: pa.Table) -> pa.Table:
         hashes = t["line"].to_numpy()
         ids, first, row_line = np.unique(hashes, return_index=True, return_inverse=True)
@@ -381,7 +383,7 @@ def line_links(spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortes
     else:
         texts = docs.mapInArrow(_named_texts(None, shortest), "line long, text string").join(named, "line", "left_semi")
     texts = texts.groupBy("line").agg(F.first("text").alias("text"))
-    crowded = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > _BLOCK_LINES).select("key", F.ceil(F.col("n") / _BLOCK_LINES).cast("long").alias("blocks"))
+    crowded = table(spark, met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > _BLOCK_LINES).select("key", F.ceil(F.col("n") / _BLOCK_LINES).cast("long").alias("blocks")))
     dealt = (
         met.join(crowded, "key", "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
@@ -450,7 +452,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id
         line_classes(spark, docs, key, text, edits, shortest).where("NOT kept").groupBy(F.col(key).alias("_gone_key")).agg(F.collect_set("line_no").alias("_gone"))
     )
     left = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    return docs.join(table(spark, gone), F.col(f"`{key}`").eqNullSafe(F.col("_gone_key")), "left").select(
+    # hashed, as one side is every text: nothing is sorted, and the plan is the same at every size
+    return docs.join(table(spark, gone).hint("shuffle_hash"), F.col(f"`{key}`").eqNullSafe(F.col("_gone_key")), "left").select(
         *[F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(left).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     )
 
