@@ -611,7 +611,7 @@ def ass_texts(spark, d):
 
 @register(f"""WITH {EV}, s AS (SELECT ep, i, text FROM ev WHERE text IN ('view', 'click', 'error')),
 p AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY text <> 'click', i) AS k FROM s)
-SELECT p.ep AS path, p.text AS language, p.text <> 'click' AS fallback, 1 AS n, ev.e AS max_end FROM p JOIN ev ON ev.ep = p.ep AND ev.i = p.i WHERE k = 1""")
+SELECT p.ep AS path, p.text AS language, p.text <> 'click' AS fallback, 1::BIGINT AS n, ev.e AS max_end FROM p JOIN ev ON ev.ep = p.ep AND ev.i = p.i WHERE k = 1""")
 def reference_timeline(spark, d):
     """Events as streams of one interval each; clicks are the wanted language."""
     ev = events(spark, d).where("text IN ('view', 'click', 'error')")
