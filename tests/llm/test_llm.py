@@ -136,6 +136,7 @@ def brute_lines(docs):
     lines = [(k, i, x) for k, t in docs if t is not None for i, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
     distinct = sorted({x for *_, x in lines})
     root, links = {x: x for x in distinct}, Counter()
+    letters = [np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 97, minlength=97) for x in distinct]
 
     def find(x):
         while root[x] != x:
@@ -143,8 +144,9 @@ def brute_lines(docs):
         return x
 
     for i, a in enumerate(distinct):
-        for b in distinct[:i]:
-            if min(len(a), len(b)) >= 16 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
+        for j, b in enumerate(distinct[:i]):
+            close = min(len(a), len(b)) >= 16 and abs(len(a) - len(b)) <= 2 and abs(letters[i] - letters[j]).sum() <= 4
+            if close and edits(a, b) <= 2:
                 links[a] += 1
                 links[b] += 1
                 root[find(a)] = find(b)
