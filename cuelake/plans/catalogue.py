@@ -243,7 +243,25 @@ def neighbour_text(spark, d):
     return intervals.neighbour_text(*_base(events(spark, d)), around=2 * HOUR, bucket_us=3 * HOUR).select("ep", "i", "near_text")
 
 
-@register()
+_GRAMS = "list_distinct(list_transform(generate_series(1, len({0}) - 1), lambda k: {0}[k] || {0}[k + 1]))"
+_CHARS = "list_filter(string_split(translate({0}, '。、！？…?!「」（）『』・　 ', ''), ''), lambda x: x <> '')"
+
+
+@register(f"""WITH RECURSIVE {EV}, {BASE},
+o AS (SELECT nw.ep, nw.i, max((least(e, be) - greatest(s, bs)) / greatest(10000, e - s)) AS share FROM nw JOIN b ON nw.ep = b.ep AND least(e, be) - greatest(s, bs) > 0 GROUP BY nw.ep, nw.i),
+free AS (SELECT nw.* FROM nw LEFT JOIN o ON o.ep = nw.ep AND o.i = nw.i WHERE coalesce(share, 0) < 0.6 AND length(translate(text, '。、！？…?!「」（）『』・　 ', '')) >= 2),
+nt AS (SELECT free.ep, free.i, any_value(free.s) AS s, any_value(free.e) AS e, any_value(free.text) AS text, coalesce(string_agg(b.text, '' ORDER BY j), '') AS near_text
+  FROM free LEFT JOIN b ON free.ep = b.ep AND be > free.s - 7200000000 AND bs < free.e + 7200000000 GROUP BY free.ep, free.i),
+c AS (SELECT *, {_CHARS.format("text")} AS x, {_CHARS.format("near_text")} AS y FROM nt), g AS (SELECT *, {_GRAMS.format("x")} AS p, {_GRAMS.format("y")} AS q FROM c),
+added AS (SELECT ep, i, s, e, text FROM g WHERE CASE WHEN len(p) > 0 AND len(q) > 0 THEN len(list_intersect(p, q)) / len(p) ELSE 0.0 END < 0.5),
+u AS (SELECT ep, 0 AS src, j AS k, bs AS s, be AS e, text FROM b UNION ALL SELECT ep, 1, i, s, e, text FROM added),
+n AS (SELECT ep, s, e, text, row_number() OVER w AS n, lead(s) OVER w AS nx FROM u WINDOW w AS (PARTITION BY ep ORDER BY s, src, k)),
+f(ep, n, s, e) AS (
+  SELECT ep, n, s, CASE WHEN nx IS NOT NULL AND e > nx - 50000 THEN greatest(s + 300000, nx - 50000) ELSE e END FROM n WHERE n = 1
+  UNION ALL
+  SELECT n.ep, n.n, greatest(n.s, f.e + 50000), CASE WHEN n.nx IS NOT NULL AND n.e > n.nx - 50000 THEN greatest(greatest(n.s, f.e + 50000) + 300000, n.nx - 50000) ELSE n.e END
+  FROM f JOIN n ON n.ep = f.ep AND n.n = f.n + 1)
+SELECT f.ep, f.n AS i, f.s, f.e, n.text FROM f JOIN n ON n.ep = f.ep AND n.n = f.n""")
 def recover_missed(spark, d):
     new, base = _base(events(spark, d))
     return recover.recover(new, base, 2 * HOUR, 3 * HOUR)
