@@ -171,7 +171,6 @@ def _send(edits: int, shortest: int, buckets: int):
     return run
 
 
-@trimmed
 def _name(t: pa.Table) -> pa.Table:
     """Entries of a bucket that meet another line: ``key`` (with the bucket), ``line``, ``index``."""
     bucket = t["bucket"][0].as_py()
