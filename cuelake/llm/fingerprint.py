@@ -2,7 +2,7 @@
 
 Every 64-byte window of a text has an entropy; windows whose entropy is far from that of running text are rare, and
 rarity is a window's rank. A window that is the rarest (the leftmost of equals) in many of the 64-window stretches it
-lies in is a *feature*. Features go, in the order of the text, into a chain of 2,048-bit Bloom filters of at most 160
+lies in is a *feature*; in a text where none is that of so many, those of the most stretches are. Features go, in the order of the text, into a chain of 2,048-bit Bloom filters of at most 160
 features each; the likeness of two digests is the overlap of the filters that match best, freed of the overlap that
 chance gives and weighted by features. Entropies are counted in integers, rolled along the bytes of many texts at once.
 """
@@ -21,6 +21,8 @@ from cuelake.llm.bytesvec import U64, lanes, pieces, ragged, raw, spans_hash
 from cuelake.llm.store import text_bytes
 
 WINDOW, STRETCH, LEAST_POPULAR, SHORT = 64, 64, 16, 8
+#: Bytes of the shortest text that holds a whole stretch of windows.
+FULL = WINDOW + STRETCH - 1
 FILTER_BITS, PER_FILTER, BITS_EACH = 2048, 160, 5
 #: The usual entropy of a window of text, and the entropy below which a window is a mere repetition, in bits a byte.
 USUAL, TRIVIAL = 3.9, 1.0
@@ -67,9 +69,9 @@ def entropies(x: np.ndarray) -> np.ndarray:
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text and hash of each feature, in order. An empty text has none; of one shorter than a window, every ``SHORT`` bytes are one."""
+    """Text and hash of each feature, in order. An empty text has none, any other at least one; of one without a whole stretch, every ``SHORT`` bytes are one."""
     n_docs, size = len(off) - 1, np.diff(off)
-    starts_each = np.maximum(size - WINDOW + 1, 0)
+    starts_each = np.where(size >= FULL, size - WINDOW + 1, 0)
     at = ragged(off[:-1], starts_each)
     doc = np.repeat(np.arange(n_docs), starts_each)
     eights = lanes(data)
@@ -86,9 +88,12 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             reach *= 2
         winner = best[at] & ((1 << 30) - 1)
         popular = np.bincount(winner, minlength=len(data))[at]
-        chosen = popular >= np.minimum(LEAST_POPULAR, starts_each)[doc]
+        # where no window has enough stretches, the ones with the most
+        most = np.zeros(n_docs, np.int64)
+        np.maximum.at(most, doc, popular)
+        chosen = popular >= np.minimum(LEAST_POPULAR, most)[doc]
         at, doc = at[chosen], doc[chosen]
-    short = np.flatnonzero((size > 0) & (size < WINDOW))
+    short = np.flatnonzero((size > 0) & (size < FULL))
     pieces_each = np.maximum(size[short] - SHORT + 1, 1)
     small = ragged(off[:-1][short], pieces_each)
     doc = np.concatenate([doc, np.repeat(short, pieces_each)])

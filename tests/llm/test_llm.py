@@ -367,6 +367,21 @@ def test_likeness():
     assert (back[0] == x[0]).all() and (back[1] == x[1]).all() and len(fingerprint.read_back("")[1]) == 0
 
 
+def test_every_text_has_a_feature():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8)))
+    long = [" ".join(word() for _ in range(80)) for _ in range(40)]
+    rising = "".join(chr(97 + i % (2 + i // 20)) for i in range(400))
+    texts = [t[:n] for t in long for n in range(1, 200, 3)] + [rising[:n] for n in range(1, 401)] + [rising[::-1][:n] for n in range(1, 401)]
+    for t, d in zip(texts, fingerprint.digests(texts)):
+        assert len(d[1]) and d[1].sum() > 0 and fingerprint.spelled(d), (len(t), t)
+    for n in (64, 70, 90, 110, 126):
+        own = fingerprint.digests([t[:n] for t in long])
+        copy = fingerprint.digests([t[: n - n // 4] + u[: n // 4] for t, u in zip(long, long[1:] + long[:1])])
+        assert all(fingerprint.likeness(a, b) > 0.4 for a, b in zip(own, copy))
+        assert all(fingerprint.likeness(a, b) < 0.3 for a, b in zip(own, own[1:]))
+
+
 @pytest.mark.parametrize("run_bytes", [6 << 20, 2000, 30])
 def test_fingerprints(spark, documents, texts, run_bytes):
     got = {r["doc_id"]: r for r in fingerprint.fingerprints(documents, run_bytes=run_bytes).collect()}
