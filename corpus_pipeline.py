@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cuelake.llm import language_id as lid
 from cuelake.llm.line_dedup import drop_repeated_lines
 from cuelake.llm.packing import pack
-from cuelake.llm.simhash import simhash_dedup
+from cuelake.llm.simhash import simhash_firsts
 from cuelake.llm.store import table
 from cuelake.llm.substring_dedup import substring_dedup
 
@@ -32,21 +32,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints the one with the smallest id stays (of rows with that id, one)."""
-    found = table(spark, simhash_dedup(spark, docs).select(F.col("doc_id").alias("_id"), "component_id"))
-    first = F.col("_id").eqNullSafe(F.col("component_id"))
-    ids = table(spark, found.groupBy("_id").agg(F.bool_or(first).alias("first"), F.count("*").alias("n")))
-    out = _without(docs, ids.where("NOT first").select("_id"))
-    again = ids.where("first AND n > 1").select("_id")
+    """Of documents linked by their fingerprints one row stays: that of the smallest id (null ids last; then by a hash of the text)."""
+    firsts = table(spark, simhash_firsts(spark, docs).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "n"))
+    again = firsts.where("n > 1")
     if again.isEmpty():
-        return out
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return _without(out, again).unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+        return _of(docs, firsts)
+    one = _of(docs, again).withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return _of(docs, firsts.where("n = 1")).unionByName(one)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Hashed, as one side is every text: nothing is sorted, and the plan is the same at every size."""
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+def _of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows by key and text. Hashed, as one side is every text: nothing is sorted, and the plan is the same at every size."""
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(rows.hint("shuffle_hash"), same, "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

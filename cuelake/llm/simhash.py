@@ -151,17 +151,20 @@ def near_links(fps: DataFrame, count: int, max_bits: int = 2, subtree: int = 163
     return pairs.groupBy("low", "high").applyInArrow(_walk(max_bits), "u long, v long")
 
 
-def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``key, fp bigint`` for each row, made in the scan."""
+def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, hashed: bool = False) -> DataFrame:
+    """``key, fp bigint`` for each row, made in the scan; hashed: and ``text_hash``, its ``xxhash64(text)``."""
+    more = ["text_hash"] if hashed else []
 
     def run(batches):
         for b in pieces(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(fingerprints(b.column(1), shingle).view(np.int64))], names=["id", "fp"]
+                [b.column(0), pa.array(fingerprints(b.column(1), shingle).view(np.int64)), *b.columns[2:]], names=["id", "fp", *more]
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), *[F.xxhash64(F.col(f"`{text}`")).alias(c) for c in more]).mapInArrow(
+        run, ", ".join([f"id {kind}, fp long", *[f"{c} long" for c in more]])
+    )
 
 
 def simhash_dedup(
@@ -175,15 +178,37 @@ def simhash_dedup(
     other columns of the input play no part.
     """
     prints = table(spark, simhash(docs, key, text, shingle))
+    named = table(spark, _placed(spark, prints, max_bits).drop("root"))
+    return prints.join(named, prints.fp == named.of).select(
+        F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _placed(spark: SparkSession, prints: DataFrame, max_bits: int) -> DataFrame:
+    """``id, fp`` -> ``of, root, component_id`` for each fingerprint: its component's sign and smallest key."""
     fps = table(spark, prints.groupBy("fp").agg(F.min("id").alias("least")))
     count = fps.count()
     roots = components(spark, near_links(fps.select("fp"), count, max_bits))
     placed = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = table(spark, placed.join(whole, "root").select(F.col("fp").alias("of"), "component_id"))
-    return prints.join(named, prints.fp == named.of).select(
-        F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return placed.join(whole, "root").select(F.col("fp").alias("of"), "root", "component_id")
+
+
+def simhash_firsts(
+    spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2
+) -> DataFrame:
+    """``id, text_hash, n``: for each component of ``simhash_dedup`` one pair of key and ``xxhash64(text)``, and its rows.
+
+    It is the pair with the smallest key (nulls last), then the smallest hash. Whatever rows share, null keys and
+    repeated keys among it, only rows of one component compete.
+    """
+    prints = table(spark, simhash(docs, key, text, shingle, hashed=True))
+    named = table(spark, _placed(spark, prints, max_bits).select("of", "root"))
+    pairs = prints.groupBy("id", "text_hash", "fp").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "n")
+    each = pairs.groupBy("fp").agg(F.min(order).alias("first"))
+    firsts = each.join(named, each.fp == named.of).groupBy("root").agg(F.min("first").alias("first"))
+    return firsts.select("first.id", "first.text_hash", "first.n")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

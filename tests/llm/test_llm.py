@@ -546,6 +546,14 @@ def test_stages_on_awkward_rows(spark, awkward):
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), DIR).count() == 0
 
 
+def test_near_dedup_by_row(spark):
+    rnd = random.Random(8)
+    a, b, c, d, e, f = (" ".join(sha(str(rnd.random()))[:7] for _ in range(40)) for _ in range(6))
+    docs = [(None, a), (None, b), (None, b), (None, c), (5, c), (6, c), (7, d), (7, e), (7, e), (8, f), (8, a)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), DIR).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(8, a), (None, b), (5, c), (7, d), (7, e), (8, f)], key=str)
+
+
 def test_pipeline(spark, documents, texts):
     kept = documents
     want = {k: t for k, t in texts.items() if t and re.search(r"[^\W\d_]", t)}
