@@ -15,6 +15,9 @@ segment only, cut to what lies between their common ends, and verified by a bit-
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -400,7 +403,9 @@ def line_links(spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortes
     )
 
 
-def line_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def line_classes(
+    spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST, by_text: bool = False
+) -> DataFrame:
     """One row a line: ``key, line_no, class_key, class_line_no, n_links, kept``.
 
     Lines are what ``\\n`` parts; blank lines have no row. Lines of one class are equal, or joined over any number of
@@ -409,7 +414,11 @@ def line_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     (nulls first) and line number, and that line is kept. ``n_links`` is the number of different lines within ``edits``
     edits of this one. Null texts have no lines; rows that repeat a key are taken for one document, whose lines with one
     number are kept or not together; no rows give no rows; other columns of the input play no part.
+
+    by_text: only rows with the same key and the same text are one document, told apart by ``text_hash``, a further
+    column; of lines with one key and number, that of the smallest hash is first.
     """
+    own = ["text_hash"] if by_text else []
     source = docs.select(F.col(f"`{text}`").alias("text"))
     near = line_links(spark, source, edits, shortest)
 
@@ -418,41 +427,53 @@ def line_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
             x = Lines(batch.column(1))
             rows = np.flatnonzero(~x.blank)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(x.text[rows])), pa.array(x.number[rows].astype(np.int32)), pa.array(x.hash[rows].view(np.int64)), pa.array(x.second[rows].view(np.int64))],
-                names=["id", "line_no", "line", "second"],
+                [batch.column(0).take(pa.array(x.text[rows])), pa.array(x.number[rows].astype(np.int32)), pa.array(x.hash[rows].view(np.int64)), pa.array(x.second[rows].view(np.int64))]
+                + [batch.column(2).take(pa.array(x.text[rows])) for _ in own],
+                names=["id", "line_no", "line", "second", *own],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    where = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"id {kind}, line_no int, line long, second long")
+    where = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), *[F.xxhash64(F.col(f"`{text}`")).alias(c) for c in own]).mapInArrow(
+        run, ", ".join([f"id {kind}, line_no int, line long, second long", *[f"{c} long" for c in own]])
+    )
     placed = table(
         spark,
         where.join(near.withColumnRenamed("line", "near_line"), F.col("line") == F.col("near_line"), "left").select(
-            "id", "line_no", F.coalesce("root", "line").alias("line"), F.when(F.col("root").isNull(), F.col("second")).otherwise(0).alias("second"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
+            "id", "line_no", *own, F.coalesce("root", "line").alias("line"), F.when(F.col("root").isNull(), F.col("second")).otherwise(0).alias("second"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
         ),
     )
     shared = table(
         spark,
-        placed.groupBy("line", "second").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("line").alias("c"), F.col("second").alias("d"), "first"),
+        placed.groupBy("line", "second").agg(F.min(F.struct("id", "line_no", *own)).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("line").alias("c"), F.col("second").alias("d"), "first"),
     )
-    first = F.coalesce(F.col("first"), F.struct("id", "line_no"))
+    first = F.coalesce(F.col("first"), F.struct("id", "line_no", *own))
+    same = [first[c] == F.col(c) for c in ["line_no", *own]]
     return placed.join(shared, (F.col("line") == F.col("c")) & (F.col("second") == F.col("d")), "left").select(
         F.col("id").alias(key),
         "line_no",
         first["id"].alias("class_key"),
         first["line_no"].alias("class_line_no"),
         "n_links",
-        (first["id"].eqNullSafe(F.col("id")) & (first["line_no"] == F.col("line_no"))).alias("kept"),
+        reduce(and_, same, first["id"].eqNullSafe(F.col("id"))).alias("kept"),
+        *own,
     )
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """``docs`` with only the kept lines of each text, and all its columns; blank lines stay, and so do null texts."""
+    """``docs`` with only the kept lines of each text, and all its columns; blank lines stay, and so do null texts.
+
+    Rows of one key (or without one) lose their own lines only; rows with the same key and text are taken for one.
+    """
     gone = (
-        line_classes(spark, docs, key, text, edits, shortest).where("NOT kept").groupBy(F.col(key).alias("_gone_key")).agg(F.collect_set("line_no").alias("_gone"))
+        line_classes(spark, docs, key, text, edits, shortest, by_text=True)
+        .where("NOT kept")
+        .groupBy(F.col(key).alias("_gone_key"), F.col("text_hash").alias("_gone_hash"))
+        .agg(F.collect_set("line_no").alias("_gone"))
     )
+    here = F.col(f"`{key}`").eqNullSafe(F.col("_gone_key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_gone_hash"))
     left = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     # hashed, as one side is every text: nothing is sorted, and the plan is the same at every size
-    return docs.join(table(spark, gone).hint("shuffle_hash"), F.col(f"`{key}`").eqNullSafe(F.col("_gone_key")), "left").select(
+    return docs.join(table(spark, gone).hint("shuffle_hash"), here, "left").select(
         *[F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(left).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     )
 

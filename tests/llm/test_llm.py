@@ -183,6 +183,17 @@ def test_drop_repeated_lines(spark, awkward):
     assert line_dedup.drop_repeated_lines(spark, awkward).columns == awkward.columns
 
 
+def test_drop_repeated_lines_by_row(spark):
+    line = lambda k: f"line {k} {sha(str(k))}"
+    docs = [(1, line(0)), (None, f"{line(1)}\n{line(0)}\n{line(2)}"), (None, f"{line(3)}\n{line(4)}\n{line(5)}"), (None, f"{line(6)}\n{line(7)}\n{line(5)}")]
+    docs += [(9, f"{line(8)}\n{line(9)}"), (9, f"{line(0)}\n{line(10)}"), (9, None), (None, None)]
+    got = line_dedup.drop_repeated_lines(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(docs)
+    left = [x for r in got if r["text"] for x in r["text"].split("\n")]
+    assert sorted(left) == sorted(line(k) for k in range(11))
+    assert (9, f"{line(8)}\n{line(9)}") in [tuple(r) for r in got]
+
+
 # ---------------------------------------------------------------- 2 substring dedup
 
 
