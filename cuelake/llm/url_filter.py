@@ -1,9 +1,11 @@
 """URL filters: a blocked Bloom filter in front of an exact hash join. DataFrame functions only.
 
 A listed entry is a canonical ``host/path`` prefix: it stands for its host, all subdomains, and every path that begins
-with its own. An URL is probed at each *shape* an entry can have (so many host labels, so many path characters), longest
-entries first; the filter has one 64-bit block a probe, so a probe is one array element and a mask. Only a probe that
-passes becomes a join key, all others are null and meet nothing; the join removes what the filter passed by mistake.
+with its own. An URL is probed at each *shape* an entry can have (so many host labels, so many path characters); the
+filter has one 64-bit block a probe, so a probe is one array element and a mask. What passes is looked up in the list by
+one hash join, which removes what the filter passed by mistake, and each URL takes its longest entry. The plan has the
+same number of joins whatever the list holds; a list too long to be sent to every executor has its filter dealt to
+ranges of blocks, and both the filter and the list meet the probes in shuffled joins.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-#: A longer list is not sent to every executor, neither as a filter nor as a table: its joins are shuffled.
-MOST_LISTED = 1 << 20
+#: A list of up to so many entries is sent to every executor (a filter of 4 MB at most), and so is the list itself if its
+#: texts come to ``MOST_BYTES`` at most; beyond, both are dealt out.
+MOST_LISTED, MOST_BYTES = 1 << 20, 64 << 20
+#: Blocks in one row of a filter that is dealt out (256 KB).
+_RANGE = 1 << 15
 
 
 def host_of(url: Column) -> Column:
@@ -48,21 +53,30 @@ def _mask(h: Column) -> Column:
     return out
 
 
-def bloom(listed: DataFrame, count: int) -> DataFrame:
-    """One row: the filter of ``listed.entry`` as an array of blocks, at least 16 bits an entry."""
-    blocks = max(64, 1 << max(0, (count // 4)).bit_length())
+def _blocks(count: int) -> int:
+    """Blocks of a filter with 16 bits an entry or more."""
+    return max(64, 1 << max(0, (count // 4)).bit_length())
+
+
+def _block(h: Column, blocks: int) -> Column:
+    return F.pmod(F.shiftright(h, 32), F.lit(blocks).cast("bigint"))
+
+
+def bloom(listed: DataFrame, blocks: int, width: int) -> DataFrame:
+    """The filter of ``listed.entry``: ``part, filter`` with ``width`` blocks a row."""
     h = _hash(F.col("entry"))
     set_bits = (
-        listed.select(F.pmod(F.shiftright(h, 32), F.lit(blocks)).cast("int").alias("block"), _mask(h).alias("mask"))
-        .groupBy("block")
-        .agg(F.bit_or("mask").alias("mask"))
-    )
-    packed = set_bits.agg(F.map_from_entries(F.collect_list(F.struct("block", "mask"))).alias("m"))
-    return packed.select(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint"))
-        ).alias("filter")
+        listed.select(_block(h, blocks).alias("block"), _mask(h).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask"))
     )
+    every = listed.sparkSession.range(blocks).withColumnRenamed("id", "place").join(set_bits, F.col("place") == F.col("block"), "left")
+    at = F.struct((F.col("place") % width).alias("place"), F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"))
+    packed = every.groupBy(F.floor(F.col("place") / width).cast("long").alias("part")).agg(F.array_sort(F.collect_list(at)).alias("m"))
+    return packed.select("part", F.transform("m", lambda x: x["mask"]).alias("filter"))
+
+
+def _passes(filter_: Column, h: Column, blocks: int, width: int) -> Column:
+    block = F.element_at(filter_, (_block(h, blocks) % width + 1).cast("int"))
+    return block.bitwiseAND(_mask(h)) == _mask(h)
 
 
 def url_filter(
@@ -75,50 +89,59 @@ def url_filter(
 ) -> DataFrame:
     """``key, host, path, rule, verdict`` for every row. ``rules``: ``verdict, host, path``, one row an entry.
 
-    The longest entry that fits wins (of equal length the first by name); none: rule null and the verdict ``otherwise``,
-    as what is not listed passes. Null urls and those without ``://`` have an empty host and path and fit nothing; repeated
-    rows and null keys are carried; no rows give no rows; other columns of the input, whatever their names, play no part.
-    Every row keeps its place: there is no exchange of pages while the list is small, which is checked.
+    The longest entry that fits wins (of equal length the last by name); none: rule null and the verdict ``otherwise``,
+    as what is not listed passes. An entry listed with several verdicts has the last of them by name (``block`` rather
+    than ``allow``). Null urls and those without ``://`` have an empty host and path and fit nothing; repeated rows and
+    null keys are carried; no rows give no rows; rules with a null part are none; other columns of the input, whatever
+    their names, play no part. Urls of which no probe passes the filter stay where they are while the filter can be sent
+    to every executor, which is checked; the shapes are at most the host labels times the path lengths of the list.
     """
-    entries = rules.select(
-        "verdict",
-        F.concat("host", "path").alias("entry"),
-        F.size(F.split("host", r"\.")).alias("labels"),
-        F.length("path").alias("chars"),
-    ).dropDuplicates(["entry"])
-    shapes = entries.groupBy("labels", "chars").agg(F.count("*").alias("n")).collect()
-    count = sum(r["n"] for r in shapes)
-    rows = pages.select(F.col(f"`{key}`").alias("_key"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
-    small = count <= MOST_LISTED
-    out = rows
-    blocks = bloom(entries, count).scalar() if count and small else None
-    order = sorted(shapes, key=lambda r: (-r["labels"], -r["chars"]))
-    for k, r in enumerate(order):
-        probe = F.concat(
-            F.array_join(F.slice(F.split("host", r"\."), -r["labels"], r["labels"]), "."), F.substring("path", 1, r["chars"])
-        )
-        fits = (F.size(F.split("host", r"\.")) >= r["labels"]) & (F.length("path") >= r["chars"]) & (F.length("host") > 0)
-        if small:
-            h = _hash(probe)
-            block = F.element_at(blocks, (F.pmod(F.shiftright(h, 32), F.size(blocks)) + 1).cast("int"))
-            fits = fits & (block.bitwiseAND(_mask(h)) == _mask(h))
-        of_shape = entries.where((F.col("labels") == r["labels"]) & (F.col("chars") == r["chars"])).select(
-            F.col("entry").alias(f"entry{k}"), F.col("verdict").alias(f"verdict{k}")
-        )
-        out = out.withColumn(f"probe{k}", F.when(fits, probe))
-        out = out.join(F.broadcast(of_shape) if small else of_shape, F.col(f"probe{k}") == F.col(f"entry{k}"), "left")
-    n = range(len(order))
-    if not order:
-        return out.select(F.col("_key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
-    best = F.array_max(
-        F.filter(
-            F.array(*[F.struct(F.length(f"entry{k}").alias("n"), F.col(f"entry{k}").alias("rule"), F.col(f"verdict{k}").alias("verdict")) for k in n]),
-            lambda s: s["n"].isNotNull(),
-        )
+    entries = (
+        rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL")
+        .groupBy(F.concat("host", "path").alias("entry"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars"))
+        .agg(F.max("verdict").alias("listed"))
+    )
+    count, size = entries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("entry")), F.lit(0))).first()
+    rows = pages.select(F.col(f"`{key}`").alias("key"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
+    if not count:
+        return rows.select(F.col("key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+    blocks = _blocks(count)
+    shapes = entries.agg(F.array_sort(F.collect_set(F.struct("labels", "chars")))).scalar()
+    # rows are told apart by their values and the task that read them, so equal ones are spread like the input
+    rows = rows.withColumns({"from": F.spark_partition_id(), "_shapes": shapes, "_parts": F.split("host", r"\.")})
+    own = ["key", "host", "path", "from"]
+    fits = lambda s: (F.length("host") > 0) & (F.size("_parts") >= s["labels"]) & (F.length("path") >= s["chars"])
+    entry = lambda s: F.concat(
+        F.array_join(F.slice("_parts", -s["labels"], s["labels"]), "."), F.col("path").substr(F.lit(1), s["chars"])
     )
-    return out.select(F.col("_key").alias(key), "host", "path", best.alias("best")).select(
-        key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict")
+    probes = F.transform(F.filter("_shapes", fits), entry)
+    if count <= MOST_LISTED and size <= MOST_BYTES:
+        rows = rows.withColumn("_filter", bloom(entries, blocks, blocks).select("filter").scalar())
+        passed = F.filter(probes, lambda p: _passes(F.col("_filter"), _hash(p), blocks, blocks))
+        rows = rows.select(*own, passed.alias("passed"))
+        rest = rows.where(F.size("passed") == 0).select(*own[:3], F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+        tried = rows.where(F.size("passed") > 0).select(*own, F.size("passed").alias("n"), F.explode("passed").alias("probe"))
+        entries = F.broadcast(entries)
+    else:
+        width = min(_RANGE, blocks)
+        spread = F.xxhash64("host", "path", "probe", "from")
+        tried = rows.select(*own, F.greatest(F.size(probes), F.lit(1)).alias("n"), F.explode_outer(probes).alias("probe"))
+        # what has no probe, and below what the filter stops, gets a key of its own that meets nothing
+        part = F.when(F.col("probe").isNull(), -1 - F.pmod(spread, F.lit(1 << 20))).otherwise(F.floor(_block(_hash(F.col("probe")), blocks) / width))
+        tried = tried.withColumn("part", part.cast("long"))
+        tried = tried.join(bloom(entries, blocks, width).hint("shuffle_hash"), "part", "left")  # a row a range: small beside the probes
+        ok = F.coalesce(_passes(F.col("filter"), _hash(F.col("probe")), blocks, width), F.lit(False))
+        tried = tried.select(*own, "n", F.when(ok, F.col("probe")).otherwise(F.concat(F.lit("#"), spread.cast("string"))).alias("probe"))
+        rest = None
+    found = tried.join(entries.select(F.col("entry").alias("rule"), "listed"), F.col("probe") == F.col("rule"), "left")
+    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "listed"))).alias("best")
+    judged = (
+        found.groupBy(*own, "n")
+        .agg(best, F.count("*").alias("probed"))
+        .select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor(F.col("probed") / F.col("n")))))
+        .select("key", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.listed", F.lit(otherwise)).alias("verdict"))
     )
+    return (judged if rest is None else rest.union(judged)).withColumnRenamed("key", key)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -518,19 +518,51 @@ def brute_url(url, rules):
     return host, path, best and best[1], best[2] if best else "allow"
 
 
+URLS = [None, "", "x", "http://", "http://a.org", "http://A.ORG/", "http://example.org/es/1", "https://www.Example.org/en/12?q=/es/", "http://badexample.org/es/", "ftp://x.com/fr/#a", "http://x.com/de/é", "http://com/de/", "a://b://org/", "http://x.org?y/", "http://ÄÖ.org/", "http://u@x.com:80/fr/", "http://org/\n", "http://.org/", "http://example.org./es/"]
+
+
 def test_url_filter(spark, monkeypatch):
-    urls = [None, "", "x", "http://", "http://a.org", "http://A.ORG/", "http://example.org/es/1", "https://www.Example.org/en/12?q=/es/", "http://badexample.org/es/", "ftp://x.com/fr/#a", "http://x.com/de/é", "http://com/de/", "a://b://org/", "http://x.org?y/", "http://ÄÖ.org/", "http://u@x.com:80/fr/", "http://org/\n", "http://.org/", "http://example.org./es/"]
-    df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)] + [(None, urls[5], "h", "p")], "page_id long, url string, host string, entry0 string")
+    urls = [(i, u) for i, u in enumerate(URLS)] + [(None, URLS[5])] * 3 + [(7, URLS[7]), (8, "http://org/" + "y" * 70_000)]
+    df = spark.createDataFrame([(*x, "h", "p", "r") for x in urls], "page_id long, url string, host string, entry string, probe string").repartition(3)
     rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
-    want = sorted(((i, *brute_url(u, url_filter.RULES)) for i, u in [*enumerate(urls), (None, urls[5])]), key=str)
-    assert sorted((tuple(r) for r in url_filter.url_filter(spark, df, rules).collect()), key=str) == want
-    monkeypatch.setattr(url_filter, "MOST_LISTED", 0)
+    want = sorted(((i, *brute_url(u, url_filter.RULES)) for i, u in urls), key=str)
     assert sorted((tuple(r) for r in url_filter.url_filter(spark, df, rules).collect()), key=str) == want
-    monkeypatch.undo()
+    with monkeypatch.context() as m:
+        m.setattr(url_filter, "MOST_LISTED", 0)
+        assert sorted((tuple(r) for r in url_filter.url_filter(spark, df, rules).collect()), key=str) == want
+    twice = rules.union(spark.createDataFrame([("block", "org", "/"), ("allow", "com", "/de/"), (None, "org", "/x"), ("allow", None, "/")], rules.schema))
+    want = sorted(((i, *brute_url(u, [*url_filter.RULES[1:], ("block", "org", "/")])) for i, u in urls), key=str)
+    assert sorted((tuple(r) for r in url_filter.url_filter(spark, df, twice).collect()), key=str) == want
     assert {r["verdict"] for r in url_filter.url_filter(spark, df, rules.limit(0), otherwise="block").collect()} == {"block"}
     assert url_filter.url_filter(spark, df.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 20, 20_000])
+def test_url_filter_of_many_shapes(spark, monkeypatch, most):
+    """100,000 entries of some 500 shapes; a list that is sent whole, and one that is dealt out."""
+    monkeypatch.setattr(url_filter, "MOST_LISTED", most)
+    monkeypatch.setattr(url_filter, "_RANGE", 1 << 12)
+    rnd = random.Random(12)
+    host = lambda: ".".join(f"h{rnd.randint(0, 30)}" for _ in range(rnd.randint(1, 8)))
+    path = lambda n: ("/" + "".join(rnd.choice("ab/") for _ in range(n)))[: n + 1]
+    rules = list({(h, p): (rnd.choice(["allow", "block"]), h, p) for h, p in ((host(), path(rnd.randint(0, 62))) for _ in range(100_000))}.values())
+    urls = [f"http://{host()}{path(rnd.randint(0, 9))}" for _ in range(300)] + [f"x://{rnd.choice(['', 'w.', 'q.h3.'])}{h}{p}{rnd.choice(['', 'z', '?q'])}" for _, h, p in rnd.sample(rules, 300)]
+    by = defaultdict(list)
+    for r in rules:
+        by[r[1]].append(r)
+    some = lambda u: [r for k in range(len(u)) for r in by.get(u.split("://")[1].split("/")[0][k:], []) if k == 0 or u.split("://")[1][k - 1] == "."]
+    want = sorted(((i, *brute_url(u, some(u))) for i, u in enumerate(urls)), key=str)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    out = url_filter.url_filter(spark, df, spark.createDataFrame(rules, "verdict string, host string, path string"))
+    assert sorted((tuple(r) for r in out.collect()), key=str) == want
+    few = url_filter.url_filter(spark, df, spark.createDataFrame(rules[: most // 50_000 + 1], "verdict string, host string, path string"))
+    joins = lambda q: q._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    if most > 1 << 17:
+        assert joins(out) == joins(few)
+    assert joins(out) <= 6
+    assert len({(r[1].count("."), len(r[2])) for r in rules}) > 450
+
+
 def test_url_filter_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{DIR}/pages.parquet'")
