@@ -1,82 +1,121 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines within ``edits`` edits share a whole segment of an even split of the shorter into ``edits + 1`` segments, at
-nearly the same place. So a line is indexed by its segments, and probes the segments that a line of its own length or
-up to ``edits`` characters fewer would have, only at the few places that the length difference leaves possible.
-
-First a filter that moves no text: each piece of the corpus sends each bucket of segment hashes its distinct lines'
-index and probe entries (12 bytes each), and the bucket names the entries that meet another line. Of the lines that
-already meet each other in a piece, only the two ends of their key go there, and the rest are named as they are, so a
-segment that a third of all lines share is a few entries a piece in its bucket. Then only named lines are fetched, once each, with their text, to the keys they met at; a key
-with too many lines is dealt to pairs of blocks. There pairs are formed as arrays, each pair at its first common
-segment only, cut to what lies between their common ends, and verified by a bit-parallel edit distance in a band of
-``2 * edits + 1`` diagonals. A task returns numbers of links and a spanning forest, not pairs.
+Two lines within ``k`` edits share a whole segment of an even split of the shorter into ``k + 1`` segments, at nearly the
+same place. ``k`` grows with the shorter line (``Reach``). A line is indexed by its segments; it probes the segments that
+a line of its own length or up to ``k`` characters fewer would have, only at the places that the length difference leaves
+possible. So that a probe need not name every place, a segment is named by the least hash of the grams in it: places that
+follow each other mostly have one least gram, and a line has few more probes than segments. What meets so may still differ
+(it shares a gram, not a segment); nothing that shares a segment is missed, and every pair is verified.
+
+First a filter that moves no text: each piece of the corpus sends each bucket of names its distinct lines' index and probe
+entries (12 bytes each), and the bucket names the entries that meet another line. Of the lines that already meet each
+other in a piece only the two ends of their name go there, and the rest are known; with many pieces, slices of them meet
+first, so a segment that a third of all lines share is a few entries a slice in its bucket. Then only the lines that met
+are fetched, once each, with their text, to the names they met at; a name with too many lines or bytes is dealt to pairs
+of blocks. There pairs are formed as arrays, each pair at its first common name only, cut to what lies between their
+common ends, and verified by a bit-parallel edit distance in a band of ``2 * k + 1`` diagonals. A task returns numbers of
+links and a spanning forest, not pairs.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import and_
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.bytesvec import U64, fmix, inverse, lanes, pieces, powers, ragged, raw, spans_hash, trimmed
+from cuelake.llm.bytesvec import U64, fmix, inverse, pieces, powers, ragged, strings, trimmed
 from cuelake.llm.components import components
 from cuelake.llm.simhash import unite
-from cuelake.llm.store import table, text_bytes
+from cuelake.llm.store import drop, table, text_bytes
 
-EDITS, SHORTEST = 2, 16
 _M = U64(0x9DDFEA08EB382D69)
-_LEN, _SEG = U64(0xB492B66FBE98F273), U64(0x9AE16A3B2F90404F)
-#: Named lines up to this number are looked for with their hashes sent to every worker; beyond, by a shuffled join.
-MOST_SENT = 1 << 21
-_BLOCK_LINES = 4096
+_SALT = (U64(0xB492B66FBE98F273), U64(0x9AE16A3B2F90404F), U64(0xC3A5C85C97CB3127))
+#: Lengths that one name covers, and the most characters of a segment that name it.
+_LENGTHS, _NAMING = 32, 128
+_GRAMS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24, 32])
+#: Lines and bytes of one name beyond which it is dealt to pairs of blocks.
+_BLOCK_LINES, _BLOCK_BYTES = 4096, 4 << 20
+#: Bytes of text a piece, and of the pieces a slice.
+_PIECE, _SLICE = 1 << 20, 4 << 30
+_BLANKS = " \t\n\x0b\x0c\r"
+
+
+class Reach(NamedTuple):
+    """How many edits near lines are apart at most: one for each ``per`` code points of the shorter, within bounds.
+
+    Lines of less than ``shortest`` code points are only ever equal.
+    """
+
+    least: int = 2
+    per: int = 40
+    most: int = 16
+    shortest: int = 16
+
+    def of(self, size: np.ndarray) -> np.ndarray:
+        return np.clip(size // self.per, self.least, self.most)
+
+    def sizes(self, k: int) -> tuple[int, int]:
+        """The lengths with ``k`` edits."""
+        return self.shortest if k == self.least else max(k * self.per, self.shortest), 1 << 40 if k == self.most else (k + 1) * self.per - 1
+
+
+def split_lines(column) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Lines of texts, the text and the number in it of each; nulls are empty texts."""
+    parts = [t.split("\n") for t in strings(column).to_pylist()]
+    n = np.fromiter(map(len, parts), np.int64, len(parts))
+    return [x for p in parts for x in p], np.repeat(np.arange(len(parts)), n), ragged(np.zeros(len(n), np.int64), n)
+
+
+def hashes(lines: list[str]) -> np.ndarray:
+    """Two hashes of each line."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(x.encode()) for x in lines]), "<u8").reshape(-1, 2).astype(U64)
+
+
+def solid(lines: list[str]) -> np.ndarray:
+    """Which lines are more than blanks."""
+    return np.fromiter((bool(x.strip(_BLANKS)) for x in lines), bool, len(lines))
 
 
 class Lines:
-    """The lines of some texts: text, number in the text, bytes and code points of each, and hashes of any stretch."""
+    """Lines as code points: where each begins and ends, and hashes of any stretch."""
 
     _pow: tuple = (np.zeros(0, U64), np.zeros(0, U64))
+    _value = fmix(np.arange(1, (1 << 16) + 1, dtype=U64))
 
-    def __init__(self, texts, whole: bool = False):
-        data, off = raw(texts)
-        n = len(data)
-        if whole:
-            begin, end, text = off[:-1], off[1:], np.arange(len(off) - 1)
-        else:
-            cut = np.flatnonzero(data == 10)
-            begin = np.sort(np.concatenate([off[:-1], cut + 1]), kind="stable")
-            end = np.sort(np.concatenate([off[1:], cut]), kind="stable")
-            text = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(cut, off)) + 1)
-        self.data, self.begin, self.end, self.text = data, begin, end, text
-        first = np.searchsorted(text, np.arange(len(off) - 1))
-        self.number = np.arange(len(begin)) - first[text]
-        start = (data & 0xC0) != 0x80
-        before = np.zeros(n + 1, np.int64)
-        np.cumsum(start, out=before[1:])
-        self.lo, self.hi = before[begin], before[end]
-        self.size = self.hi - self.lo
-        self.points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        solid = np.zeros(n + 1, np.int64)
-        np.cumsum((data != 32) & ((data < 9) | (data > 13)), out=solid[1:])
-        self.blank = solid[end] == solid[begin]
-        self.hash = spans_hash(data, begin, end, lanes(data))
+    def __init__(self, lines: list[str]):
+        self.size = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.hi = np.cumsum(self.size + 1) - 1
+        self.lo = self.hi - self.size
+        self.points = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le"), np.uint32)
         k = len(self.points) + 1
         if len(Lines._pow[0]) < k:
             Lines._pow = (powers(_M, k + k // 2), powers(inverse(_M), k + k // 2))
+        value = Lines._value[self.points & np.uint32(0xFFFF)]
+        wide = np.flatnonzero(self.points > 0xFFFF)
+        value[wide] = fmix(self.points[wide].astype(U64) + U64(1))
         self.total = np.zeros(k, U64)
-        np.cumsum(fmix(self.points.astype(U64) + U64(1)) * Lines._pow[0][: k - 1], out=self.total[1:])
-        self.second = self.stretch(self.lo, self.hi)
+        np.cumsum(value * Lines._pow[0][: k - 1], out=self.total[1:])
 
     def stretch(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Hash of code points lo .. hi - 1."""
         return fmix((self.total[hi] - self.total[lo]) * Lines._pow[1][lo])
 
+    def grams(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the ``size`` code points from each place on."""
+        h = (self.total[at + size] - self.total[at]) * Lines._pow[1][at]
+        h = (h ^ (h >> U64(29))) * _SALT[2]
+        return h ^ (h >> U64(32))
+
 
-def split_at(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+def split_at(size: np.ndarray, i: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Place and size of segment i (from 0) of an even split into edits + 1, the longer ones last."""
     parts = edits + 1
     short, more = size // parts, size % parts
@@ -84,40 +123,88 @@ def split_at(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarr
     return i * short + late, short + (i >= parts - more)
 
 
-def places(edits: int) -> list[tuple[int, int, int]]:
-    """(length difference, segment, shift) of every probe."""
-    return [
-        (d, i, o)
-        for d in range(edits + 1)
-        for i in range(edits + 1)
-        for o in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)
-    ]
-
-
-def _key(h: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
-    return fmix(h ^ (size.astype(U64) * _LEN + np.array([i], U64) * _SEG))
-
-
-def entries(x: Lines, rows: np.ndarray, edits: int, shortest: int):
-    """(key, row, is index) of all index and probe entries of the lines ``rows``."""
-    keys, of, index = [], [], []
-    for i in range(edits + 1):
-        at, size = split_at(x.size[rows], i, edits)
-        lo = x.lo[rows] + at
-        keys.append(_key(x.stretch(lo, lo + size), x.size[rows], i))
-        of.append(rows)
-        index.append(np.ones(len(rows), bool))
-    for d, i, o in places(edits):
-        mine = rows[x.size[rows] - d >= shortest]
-        at, size = split_at(x.size[mine] - d, i, edits)
-        at = at + o
-        fits = (at >= 0) & (at + size <= x.size[mine])
-        mine, at, size = mine[fits], at[fits], size[fits]
-        lo = x.lo[mine] + at
-        keys.append(_key(x.stretch(lo, lo + size), x.size[mine] - d, i))
-        of.append(mine)
-        index.append(np.zeros(len(mine), bool))
-    return np.concatenate(keys), np.concatenate(of), np.concatenate(index)
+class _Least:
+    """Least of any run of a list of values, runs of up to ``longest``."""
+
+    def __init__(self, values: np.ndarray, longest: int):
+        self.levels = [values]
+        for j in range(1, int(longest).bit_length()):
+            up, half = self.levels[-1], 1 << (j - 1)
+            both = up.copy()
+            np.minimum(up[:-half], up[half:], out=both[:-half])
+            self.levels.append(both)
+
+    def of(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), U64)
+        level = np.frexp(size)[1] - 1
+        for j in np.unique(level).tolist():
+            mine = np.flatnonzero(level == j)
+            out[mine] = np.minimum(self.levels[j][at[mine]], self.levels[j][at[mine] + size[mine] - (1 << j)])
+        return out
+
+
+def entries(x: Lines, rows: np.ndarray, reach: Reach):
+    """(name, row, is index) of all index and probe entries of the lines ``rows``; index entries by segment, in order."""
+    names, of, index = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    if not len(rows):
+        return names[0], of[0], index[0]
+    size = x.size[rows]
+    for k in range(reach.least, int(reach.of(size.max())) + 1):
+        low, high = reach.sizes(k)
+        mine = rows[(size >= low) & (size - k <= high)]
+        for back in (0, 1):
+            n = x.size[mine]
+            band = n // _LENGTHS - back
+            m_low, m_high = np.maximum(np.maximum(low, n - k), band * _LENGTHS), np.minimum(np.minimum(high, n), band * _LENGTHS + _LENGTHS - 1)
+            some = m_low <= m_high
+            gram = _GRAMS[np.searchsorted(_GRAMS, np.maximum(1, _gram(np.maximum(low, band * _LENGTHS) // (k + 1))), "right") - 1]
+            for g in np.unique(gram[some]).tolist():
+                at = some & (gram == g)
+                for part in _class_entries(x, mine[at], k, band[at], m_low[at], m_high[at], g):
+                    names.append(part[0]), of.append(part[1]), index.append(np.full(len(part[0]), part[2]))
+    return np.concatenate(names), np.concatenate(of), np.concatenate(index)
+
+
+def _gram(short: np.ndarray) -> np.ndarray:
+    return np.where(short <= 8, short, np.maximum(8, short * 3 // 4))
+
+
+def _class_entries(x: Lines, rows, k: int, band, m_low, m_high, g: int):
+    """Entries for partners of ``m_low`` to ``m_high`` characters, all with ``k`` edits, in a band of lengths."""
+    n = x.size[rows][:, None]
+    i = np.arange(k + 1)[None, :]
+    begin, end, width = np.full((len(rows), k + 1), 1 << 40), np.zeros((len(rows), k + 1), np.int64), np.full((len(rows), k + 1), 1 << 40)
+    for d in range(k + 1):
+        m = n - d
+        at, size = split_at(m, i, k)
+        size = np.minimum(size, _NAMING)
+        first, last = at + np.maximum(-i, d - (k - i)), at + np.minimum(i, d + (k - i)) + size
+        fits = (m >= m_low[:, None]) & (m <= m_high[:, None]) & (last > first)
+        begin = np.where(fits, np.minimum(begin, first), begin)
+        end = np.where(fits, np.maximum(end, last), end)
+        width = np.where(fits, np.minimum(width, size), width)
+    begin, end = np.maximum(begin, 0), np.minimum(end, n)
+    row, seg = np.nonzero(end - begin >= width)
+    begin, end, width = begin[row, seg], end[row, seg], width[row, seg]
+    grams = end - begin - g + 1
+    first = np.cumsum(grams) - grams
+    low = x.lo[rows[row]] + begin
+    window = width - g + 1
+    own_k = (m_high == x.size[rows])[row]
+    at, size = split_at(x.size[rows[row]], seg, k)
+    exact = np.minimum(size, _NAMING) - g + 1
+    least = _Least(x.grams(ragged(low, grams), g), int(max(window.max(initial=1), exact[own_k].max(initial=1))))
+    salt = fmix(band[row].astype(U64) * _SALT[0] + (seg * 64 + k).astype(U64) * _SALT[1])
+    # index: the least gram of each segment of the line itself
+    mine = np.flatnonzero(own_k)
+    yield fmix(least.of(first[mine] + at[mine] - begin[mine], exact[mine]) ^ salt[mine]), rows[row[mine]], True
+    # probes: the different least grams of all places where a partner's segment may be
+    tries = grams - window + 1
+    each = np.repeat(np.arange(len(row)), tries)
+    value = least.of(ragged(first, tries), window[each])
+    new = np.ones(len(each), bool)
+    new[1:] = (value[1:] != value[:-1]) | (each[1:] != each[:-1])
+    yield fmix(value[new] ^ salt[each[new]]), rows[row[each[new]]], False
 
 
 def _ends(group: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,110 +224,154 @@ def _meeting(group: np.ndarray, line: np.ndarray, index: np.ndarray, n: int):
     a = _ends(group[index], line[index], n)
     b = _ends(group[~index], line[~index], n)
     has_a, has_b = a[0] <= a[1], b[0] <= b[1]
-    other = np.where(index, has_b[group] & ((b[0][group] != line) | (b[1][group] != line)), has_a[group] & ((a[0][group] != line) | (a[1][group] != line)))
-    return other, a, b
+    with_probe = has_b[group] & ((b[0][group] != line) | (b[1][group] != line))
+    with_index = has_a[group] & ((a[0][group] != line) | (a[1][group] != line))
+    return np.where(index, with_probe, with_index), a, b
+
+
+def _known_or_sent(name: np.ndarray, line: np.ndarray, index: np.ndarray):
+    """Entries that are known to meet and need not be sent on, and those to send: all that met none, and the ends."""
+    distinct, group = np.unique(name, return_inverse=True)
+    met, a, b = _meeting(group, line, index, len(distinct))
+    end = np.where(index, (a[0][group] == line) | (a[1][group] == line), (b[0][group] == line) | (b[1][group] == line))
+    return met & ~end, ~met | end
+
+
+def _place(name: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of a name, and the name as buckets know it: 32 bits beside the bucket's number."""
+    bucket = ((name >> U64(32)) % U64(buckets)).astype(np.int64)
+    return bucket, (bucket.astype(U64) << U64(32)) | (name & U64(0xFFFFFFFF))
+
 
+_SENT = "bucket long, kind int, slice long, body binary"
 
-def _send(edits: int, shortest: int, buckets: int):
+
+def _messages(bucket, named, line, index, known, sent, buckets: int, number: int, slices: int) -> pa.RecordBatch:
+    """Entries as messages: 0 and 1 are index and probe entries for a bucket, 2 and 3 known ones (on any task, below 0)."""
+    out_bucket, out_kind, body = [], [], []
+    for kind, some in ((0, sent & index), (1, sent & ~index), (2, known & index), (3, known & ~index)):
+        at = np.flatnonzero(some)
+        if not len(at):
+            continue
+        if kind >= 2:
+            out_bucket.append(-1 - number % buckets), out_kind.append(kind)
+            body.append(named[at].astype("<u8").tobytes() + line[at].astype("<u8").tobytes())
+            continue
+        at = at[np.argsort(bucket[at], kind="stable")]
+        cut = np.flatnonzero(np.append(True, bucket[at][1:] != bucket[at][:-1]))
+        low, lines = named[at].astype("<u8").view("<u4")[::2], line[at].astype("<u8")
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
+            out_bucket.append(int(bucket[at[lo]])), out_kind.append(kind)
+            body.append(low[lo:hi].tobytes() + lines[lo:hi].tobytes())
+    n = len(out_bucket)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(out_bucket, pa.int64()), pa.array(out_kind, pa.int32()), pa.array([number % slices] * n, pa.int64()), pa.array(body, pa.binary())],
+        names=["bucket", "kind", "slice", "body"],
+    )
+
+
+def _send(reach: Reach, buckets: int, slices: int):
     def run(batches):
-        for batch in pieces(batches, "text", 1 << 20):
-            x = Lines(batch.column(0))
-            rows = np.flatnonzero((x.size >= shortest) & ~x.blank)
-            _, pick = np.unique(x.hash[rows], return_index=True)
-            key, row, index = entries(x, rows[pick], edits, shortest)
-            line = x.hash[row]
-            distinct, group = np.unique(key, return_inverse=True)
-            met, a, b = _meeting(group, line, index, len(distinct))
-            end = np.where(index, (a[0][group] == line) | (a[1][group] == line), (b[0][group] == line) | (b[1][group] == line))
-            keep = ~met | end
-            bucket = ((key >> U64(32)) % U64(buckets)).astype(np.int64)
-            out_bucket, out_kind, out_piece, body = [], [], [], []
-            piece = int(x.hash[0] >> U64(1)) | 1 if len(x.hash) else 1
-            for kind, some in ((0, keep & index), (1, keep & ~index), (2, met & ~end & index), (3, met & ~end & ~index)):
-                at = np.flatnonzero(some)
-                at = at[np.argsort(bucket[at], kind="stable")]
-                cut = np.flatnonzero(np.append(True, bucket[at][1:] != bucket[at][:-1])) if len(at) else at
-                for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
-                    part = at[lo:hi]
-                    out_bucket.append(int(bucket[part[0]]))
-                    out_kind.append(kind)
-                    out_piece.append(piece if kind >= 2 else 0)
-                    body.append(key[part].astype("<u8").view("<u4")[::2].tobytes() + line[part].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_bucket, pa.int64()), pa.array(out_kind, pa.int32()), pa.array(out_piece, pa.int64()), pa.array(body, pa.binary())],
-                names=["bucket", "kind", "piece", "body"],
-            )
+        task = TaskContext.get().partitionId()
+        for count, batch in enumerate(pieces(batches, "text", _PIECE)):
+            lines, _, _ = split_lines(batch.column(0))
+            keep = [x for x in dict.fromkeys(lines) if len(x) >= reach.shortest and x.strip(_BLANKS)]
+            if not keep:
+                continue
+            x, line = Lines(keep), hashes(keep)[:, 0]
+            name, row, index = entries(x, np.arange(len(keep)), reach)
+            line = line[row]
+            known, sent = _known_or_sent(name, line, index)
+            yield _messages(*_place(name, buckets), line, index, known, sent, buckets, task + count * 7919, slices)
 
     return run
 
 
-def _name(t: pa.Table) -> pa.Table:
-    """Entries of a bucket that meet another line: ``key`` (with the bucket), ``line``, ``index``."""
+def _unpacked(t: pa.Table):
+    """named, line, index and known of all entries of messages of one bucket."""
     bucket = t["bucket"][0].as_py()
-    keys, lines, index, sure = [], [], [], []
+    named, lines, index, known = [], [], [], []
     for kind, body in zip(t["kind"].to_pylist(), t["body"].to_pylist()):
-        n = len(body) // 12
-        keys.append(np.frombuffer(body, "<u4", n))
-        lines.append(np.frombuffer(body, "<u8", n, offset=4 * n))
+        width = 16 if kind >= 2 else 12
+        n = len(body) // width
+        named.append(np.frombuffer(body, "<u8", n) if kind >= 2 else (U64(max(bucket, 0)) << U64(32)) | np.frombuffer(body, "<u4", n).astype(U64))
+        lines.append(np.frombuffer(body, "<u8", n, offset=n * (width - 8)))
         index.append(np.full(n, kind % 2 == 0))
-        sure.append(np.full(n, kind >= 2))
-    key, line, index, sure = (np.concatenate(v) for v in (keys, lines, index, sure))
-    distinct, group = np.unique(key, return_inverse=True)
-    met, _, _ = _meeting(group, line, index, len(distinct))
-    met |= sure
-    entry = np.unique(np.rec.fromarrays([key[met], line[met], index[met]], names="k,l,i"))
-    named = (U64(bucket) << U64(32)) | entry["k"].astype(U64)
-    return pa.table({"key": named.view(np.int64), "line": entry["l"].astype(U64).view(np.int64), "index": pa.array(entry["i"].astype(bool))})
-
-
-def banded_within(a: np.ndarray, a_lo, a_hi, b: np.ndarray, b_lo, b_hi, edits: int) -> np.ndarray:
-    """Is the edit distance of a[a_lo:a_hi] and b[b_lo:b_hi] at most ``edits``? All pairs go along one column a step.
-
-    A pair's column is a band of 2 * edits + 1 rows, kept as two words of bits: where the value grows by one to the next
-    row, and where it falls by one. The value at the band's lower edge is counted along; once that edge has reached the
-    last row, the value in the last row is.
+        known.append(np.full(n, kind >= 2))
+    out = [np.concatenate(v) for v in (named, lines, index, known)]
+    first = np.unique(np.rec.fromarrays(out[:3], names="k,l,i"), return_index=True)[1] if len(out[0]) else np.zeros(0, np.int64)
+    return [v[first] for v in out]
+
+
+def _slice_meets(buckets: int):
+    """The entries of one bucket from one slice of the pieces: what is known, and what goes on."""
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket = t["bucket"][0].as_py()
+        if bucket < 0:
+            return t
+        named, line, index, _ = _unpacked(t)
+        known, sent = _known_or_sent(named, line, index)
+        return pa.Table.from_batches([_messages(np.full(len(named), bucket), named, line, index, known, sent, buckets, bucket * 31 + t["slice"][0].as_py(), 1)])
+
+    return run
+
+
+def _name(t: pa.Table) -> pa.Table:
+    """Entries of a bucket that meet another line: ``key`` (the name with the bucket), ``line``, ``index``."""
+    named, line, index, known = _unpacked(t)
+    distinct, group = np.unique(named, return_inverse=True)
+    met = known | _meeting(group, line, index, len(distinct))[0]
+    return pa.table({"key": named[met].view(np.int64), "line": line[met].astype(U64).view(np.int64), "index": pa.array(index[met])})
+
+
+def banded_within(a: np.ndarray, a_lo, a_hi, b: np.ndarray, b_lo, b_hi, edits) -> np.ndarray:
+    """Is the edit distance of a[a_lo:a_hi] and b[b_lo:b_hi] at most ``edits`` (one number, or one a pair, up to 30)?
+
+    All pairs go along one column a step. A pair's column is a band of 2 * (most edits) + 1 rows, kept as two words of
+    bits: where the value grows by one to the next row, and where it falls by one. The value at the band's lower edge is
+    counted along; once that edge has reached the last row, the value in the last row is.
     """
-    w = 2 * edits + 1
     m, n = a_hi - a_lo, b_hi - b_lo
     ok = np.zeros(len(m), bool)
+    if not len(m):
+        return ok
+    edits = np.broadcast_to(np.asarray(edits, np.int64), m.shape)
     live = np.flatnonzero(np.abs(m - n) <= edits)
-    m, n, pa_, pb = m[live], n[live], a_lo[live], b_lo[live]
-    full, low = (1 << w) - 1, 1 << (w - 1)
-    up = np.full(len(live), (full >> (edits + 1)) << (edits + 1), np.int64)
+    m, n, pa_, pb, own = m[live], n[live], a_lo[live], b_lo[live], edits[live]
+    most = int(own.max(initial=0))
+    w = 2 * most + 1
+    full, low, bits, band = (1 << w) - 1, 1 << (w - 1), 1 << np.arange(w, dtype=np.int64), np.arange(w)
+    up = np.full(len(live), (full >> (most + 1)) << (most + 1), np.int64)
     down = np.zeros(len(live), np.int64)
-    value = np.full(len(live), edits, np.int64)
-    # at column 0 the edge is row `edits`, which may be below the last row: step back up to it
-    over = np.maximum(0, edits - m)
-    value -= over
+    # at column 0 the edge is row `most`, which may be below the last row: step back up to it
+    value = most - np.maximum(0, most - m)
     j = 0
     while len(live):
         done = n == j
         if done.any():
-            ok[live[done]] = value[done] <= edits
-            live, m, n, pa_, pb, up, down, value = (v[~done] for v in (live, m, n, pa_, pb, up, down, value))
+            ok[live[done]] = value[done] <= own[done]
+            live, m, n, pa_, pb, up, down, value, own = (v[~done] for v in (live, m, n, pa_, pb, up, down, value, own))
             if not len(live):
                 break
         j += 1
-        c = b[pb + j - 1]
-        eq = np.zeros(len(live), np.int64)
-        for k in range(w):
-            row = j - edits + k
-            inside = (row >= 1) & (row <= m)
-            eq |= (inside & (a[np.where(inside, pa_ + row - 1, 0)] == c)).astype(np.int64) << k
+        row = j - most + band
+        inside = (row >= 1) & (row <= m[:, None])
+        same = a[np.where(inside, pa_[:, None] + (row - 1), 0)] == b[pb + j - 1][:, None]
+        eq = (inside & same) @ bits
         # the band has moved down one row: align the last column's vertical words with this one's rows
         v_up, v_down = (up >> 1) | low, down >> 1  # a row that enters the band is one more than the one above at most
         zero = ((((eq & v_up) + v_up) ^ v_up) | eq | v_down) & full
         h_up = (v_down | ~(zero | v_up)) & full
         h_down = zero & v_up
-        edge = j + edits
-        diagonal = edge <= m
-        bit = np.clip(m - j + edits, 0, w - 1)
+        diagonal = j + most <= m
+        bit = np.clip(m - j + most, 0, w - 1)
         value = np.where(diagonal, value + 1 - ((zero >> (w - 1)) & 1), value + ((h_up >> bit) & 1) - ((h_down >> bit) & 1))
         x = (h_up << 1) | 1
         up, down = ((h_down << 1) | ~(zero | x)) & full, x & zero & full
-        lost = value - np.where(diagonal, 2 * edits, n - j) > edits  # what the rest can win back at most
+        lost = value - np.where(diagonal, 2 * most, n - j) > own  # what the rest can win back at most
         if lost.any():
-            live, m, n, pa_, pb, up, down, value = (v[~lost] for v in (live, m, n, pa_, pb, up, down, value))
+            live, m, n, pa_, pb, up, down, value, own = (v[~lost] for v in (live, m, n, pa_, pb, up, down, value, own))
     return ok
 
 
@@ -260,24 +391,51 @@ def _common(x: Lines, p: np.ndarray, q: np.ndarray, most: np.ndarray, back: bool
         bad = np.where(open_ & ~same, mid, bad)
 
 
-def _verify(edits: int, shortest: int, width: int = 1 << 18):
-    """Links among the lines of some keys: ``line, links, root`` for each line with a link."""
-    seg_probes = places(edits)
+class _Names:
+    """The names of some lines: which a line probes, and each line's index names by segment."""
+
+    def __init__(self, x: Lines, reach: Reach, buckets: int):
+        name, row, index = entries(x, np.arange(len(x.size)), reach)
+        _, named = _place(name, buckets)
+        self.probed = np.sort(self._pair(row[~index], named[~index]))
+        order = np.argsort(row[index], kind="stable")
+        self.named, rows = named[index][order], row[index][order]
+        self.first = np.searchsorted(rows, np.arange(len(x.size) + 1))
+
+    @staticmethod
+    def _pair(row: np.ndarray, named: np.ndarray) -> np.ndarray:
+        return fmix(named ^ (row.astype(U64) * _SALT[0]))
+
+    def first_common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The first index name of line p that line q probes; all ones if none."""
+        out = np.full(len(p), ~U64(0))
+        todo, at = np.arange(len(p)), 0
+        while len(todo) and len(self.probed):
+            todo = todo[self.first[p[todo]] + at < self.first[p[todo] + 1]]
+            named = self.named[self.first[p[todo]] + at]
+            pair = self._pair(q[todo], named)
+            hit = self.probed[np.minimum(np.searchsorted(self.probed, pair), len(self.probed) - 1)] == pair
+            out[todo[hit]] = named[hit]
+            todo, at = todo[~hit], at + 1
+        return out
+
+
+def _verify(reach: Reach, buckets: int, width: int = 1 << 18):
+    """Links among the lines of some names: ``line, links, root`` for each line with a link."""
 
     @trimmed
     def run(t: pa.Table) -> pa.Table:
-        hashes = t["line"].to_numpy()
-        ids, first, row_line = np.unique(hashes, return_index=True, return_inverse=True)
-        x = Lines(t["text"].take(pa.array(first)), whole=True)
-        group = np.unique(np.column_stack([t["key"].to_numpy(), t["low"].to_numpy(), t["high"].to_numpy()]), axis=0, return_inverse=True)[1].ravel()
+        ids, first, row_line = np.unique(t["line"].to_numpy(), return_index=True, return_inverse=True)
+        x = Lines(t["text"].take(pa.array(first)).to_pylist())
+        names = _Names(x, reach, buckets)
+        keys = t["key"].to_numpy()
+        group = np.unique(np.column_stack([keys, t["low"].to_numpy(), t["high"].to_numpy()]), axis=0, return_inverse=True)[1].ravel()
         index, block = t["index"].to_numpy(zero_copy_only=False), t["block"].to_numpy()
         across = t["low"].to_numpy() != t["high"].to_numpy()
         a, b = np.flatnonzero(index), np.flatnonzero(~index)
         a, b = a[np.argsort(group[a], kind="stable")], b[np.argsort(group[b], kind="stable")]
         b_first, b_to = np.searchsorted(group[b], group[a]), np.searchsorted(group[b], group[a], "right")
         size = b_to - b_first
-        low_key = np.zeros(int(group.max()) + 1, U64)
-        low_key[group] = t["key"].to_numpy().view(U64) & U64(0xFFFFFFFF)
         links = np.zeros(len(ids), np.int64)
         label = np.arange(len(ids))
         part = np.append(np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), width)), len(a))
@@ -286,23 +444,18 @@ def _verify(edits: int, shortest: int, width: int = 1 << 18):
                 continue
             ra = np.repeat(a[lo:hi], size[lo:hi])
             rb = b[ragged(b_first[lo:hi], size[lo:hi])]
-            good = ~across[ra] | (block[ra] != block[rb])
-            p, q = row_line[ra[good]], row_line[rb[good]]
+            p, q = row_line[ra], row_line[rb]
             gap = x.size[q] - x.size[p]
             # a false meeting of hashes can have any lengths; equal lengths are taken from one side
-            fit = (p != q) & (gap >= 0) & (gap <= edits) & ((gap > 0) | (p < q))
-            where = group[ra[good]][fit]
-            p, q, gap = p[fit], q[fit], gap[fit]
-            if not len(p):
-                continue
-            _, once = np.unique(np.column_stack([p, q, where]), axis=0, return_index=True)
-            p, q, gap, where = p[once], q[once], gap[once], where[once]
-            segment = first_common(x, p, q, gap, edits, seg_probes)
-            here = (segment <= edits) & ((key_of(x, p, segment, edits) & U64(0xFFFFFFFF)) == low_key[where])
+            fit = (~across[ra] | (block[ra] != block[rb])) & (p != q) & (gap >= 0) & (gap <= reach.of(x.size[p])) & ((gap > 0) | (p < q))
+            p, q, where = p[fit], q[fit], keys[ra[fit]].view(U64)
+            here = names.first_common(p, q) == where
             p, q = p[here], q[here]
             if not len(p):
                 continue
-            ok = within(x, p, q, edits)
+            _, once = np.unique(p * np.int64(len(ids)) + q, return_index=True)
+            p, q = p[once], q[once]
+            ok = within(x, p, q, reach.of(x.size[p]))
             p, q = p[ok], q[ok]
             np.add.at(links, p, 1)
             np.add.at(links, q, 1)
@@ -313,79 +466,114 @@ def _verify(edits: int, shortest: int, width: int = 1 << 18):
     return run
 
 
-def first_common(x: Lines, p: np.ndarray, q: np.ndarray, gap: np.ndarray, edits: int, probes) -> np.ndarray:
-    """The first segment of line p that line q has at a possible place; edits + 1 if none."""
-    out = np.full(len(p), edits + 1, np.int64)
-    for d, i, o in probes:
-        mine = np.flatnonzero((gap == d) & (out > i))
-        if not len(mine):
-            continue
-        at, size = split_at(x.size[p[mine]], i, edits)
-        fits = (at + o >= 0) & (at + o + size <= x.size[q[mine]])
-        mine, at, size = mine[fits], at[fits], size[fits]
-        lo, other = x.lo[p[mine]] + at, x.lo[q[mine]] + at + o
-        same = x.stretch(lo, lo + size) == x.stretch(other, other + size)
-        out[mine[same]] = i
+def within(x: Lines, p: np.ndarray, q: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Pairs of lines within ``edits`` edits each: the common ends are cut off, the rest goes through the band."""
+    most = np.minimum(x.size[p], x.size[q])
+    head = _common(x, p, q, most, False)
+    tail = _common(x, p, q, most - head, True)
+    out = np.zeros(len(p), bool)
+    for low, high in ((-1, 4), (4, 8), (8, 30)):  # bands of about one width go together
+        of_width = np.flatnonzero((edits > low) & (edits <= high))
+        for at in range(0, len(of_width), 1 << 15):
+            some = of_width[at : at + (1 << 15)]
+            u, v, h, t = p[some], q[some], head[some], tail[some]
+            out[some] = banded_within(x.points, x.lo[u] + h, x.hi[u] - t, x.points, x.lo[v] + h, x.hi[v] - t, edits[some])
     return out
 
 
-def key_of(x: Lines, p: np.ndarray, segment: np.ndarray, edits: int) -> np.ndarray:
-    """The key of each line's given segment."""
-    out = np.zeros(len(p), U64)
-    for i in range(edits + 1):
-        mine = np.flatnonzero(segment == i)
-        at, size = split_at(x.size[p[mine]], i, edits)
-        lo = x.lo[p[mine]] + at
-        out[mine] = _key(x.stretch(lo, lo + size), x.size[p[mine]], i)
-    return out
+_FILTER_BITS = 1 << 19
 
 
-def within(x: Lines, p: np.ndarray, q: np.ndarray, edits: int) -> np.ndarray:
-    """Pairs of lines within ``edits`` edits: the common ends are cut off, the rest goes through the band."""
-    most = np.minimum(x.size[p], x.size[q])
-    head = _common(x, p, q, most, False)
-    tail = _common(x, p, q, most - head, True)
-    return banded_within(x.points, x.lo[p] + head, x.hi[p] - tail, x.points, x.lo[q] + head, x.hi[q] - tail, edits)
+def _filter_part(parts: int):
+    """A Bloom filter of one part of the lines that met."""
 
+    def run(t: pa.Table) -> pa.Table:
+        h = fmix(t["line"].to_numpy().view(U64))
+        bits = np.zeros(_FILTER_BITS, np.uint8)
+        for shift in (U64(0), U64(20)):
+            bits[((h >> shift) % U64(_FILTER_BITS)).astype(np.int64)] = 1
+        return pa.table({"part": t["part"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    return run
+
+
+class LineFilter:
+    """What may be among the lines that met: parts of 64 KB, at most 512 of them, so it is sent to every worker at every
+    size. With more lines it lets more others pass, which an exact join then removes."""
+
+    MOST_PARTS = 512
+
+    def __init__(self, parts: int, found: dict[int, bytes]):
+        self.parts = parts
+        self.table = np.zeros((parts, _FILTER_BITS // 8), np.uint8)
+        for k, v in found.items():
+            self.table[k] = np.frombuffer(v, np.uint8)
+
+    @classmethod
+    def build(cls, lines: DataFrame, count: int) -> "LineFilter":
+        parts = max(1, min(cls.MOST_PARTS, count * 16 // _FILTER_BITS + 1))
+        rows = lines.select("line", F.pmod(F.col("line"), F.lit(parts)).cast("int").alias("part")).distinct()
+        # a slice of a part at a time, so that no group grows with the input; slices are laid over each other by bits
+        slices = max(1, count // (parts << 20))
+        sliced = rows.groupBy("part", F.pmod(F.xxhash64("line"), F.lit(slices)).alias("slice")).applyInArrow(_filter_part(parts), "part int, bits binary")
+
+        def over(t: pa.Table) -> pa.Table:
+            bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()])
+            return pa.table({"part": t["part"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+        if slices > 1:
+            sliced = sliced.groupBy("part").applyInArrow(over, "part int, bits binary")
+        return cls(parts, {r["part"]: r["bits"] for r in sliced.collect()})
+
+    def may_have(self, line: np.ndarray) -> np.ndarray:
+        part = line.view(np.int64) % self.parts
+        h = fmix(line)
+        out = np.ones(len(line), bool)
+        for shift in (U64(0), U64(20)):
+            at = ((h >> shift) % U64(_FILTER_BITS)).astype(np.int64)
+            out &= (self.table[part, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def _texts(wanted, reach: Reach):
+    """``line, text`` of the lines that may be among those that met, once a piece."""
 
-def _named_texts(lines: set | np.ndarray | None, shortest: int):
     def run(batches):
-        wanted = None if lines is None else np.sort(np.asarray(lines.value))
-        for batch in pieces(batches, "text", 1 << 20):
-            x = Lines(batch.column(0))
-            rows = np.flatnonzero((x.size >= shortest) & ~x.blank)
-            _, pick = np.unique(x.hash[rows], return_index=True)
-            rows = rows[pick]
-            if wanted is not None and len(wanted):
-                h = x.hash[rows].view(np.int64)
-                rows = rows[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h]
-            body = x.data.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x.hash[rows].view(np.int64)), pa.array([body[a:z].decode() for a, z in zip(x.begin[rows].tolist(), x.end[rows].tolist())], pa.string())],
-                names=["line", "text"],
-            )
+        found = wanted.value
+        for batch in pieces(batches, "text", _PIECE):
+            lines, _, _ = split_lines(batch.column(0))
+            keep = [x for x in dict.fromkeys(lines) if len(x) >= reach.shortest and x.strip(_BLANKS)]
+            if keep:
+                line = hashes(keep)[:, 0].copy()
+                some = np.flatnonzero(found.may_have(line))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(line[some].view(np.int64)), pa.array([keep[i] for i in some.tolist()], pa.string())], names=["line", "text"]
+                )
 
     return run
 
 
-def line_links(spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, bucket_bytes: int = 4 << 20) -> DataFrame:
+def line_links(spark: SparkSession, docs: DataFrame, reach: Reach = Reach(), bucket_bytes: int = 2 << 20, part_bytes: int = 2 << 20) -> DataFrame:
     """``docs(text)`` -> ``line, links, root`` for each distinct line (by its hash) with a link: a table in the shared folder.
 
-    links: number of other distinct lines within ``edits`` edits; root: a line that stands for its component.
+    links: number of other distinct lines near it; root: a line that stands for its component.
     """
     total = text_bytes(docs, "text")
-    buckets = max(1, -(-total // (2 * bucket_bytes)))
-    sent = docs.mapInArrow(_send(edits, shortest, buckets), "bucket long, kind int, piece long, body binary")
-    met = table(spark, sent.groupBy("bucket", "piece").applyInArrow(_name, "key long, line long, index boolean"))
-    named = met.select("line").distinct()
-    count = named.count()
-    if count <= MOST_SENT:
-        hashes = spark.sparkContext.broadcast(np.array([r[0] for r in named.collect()], np.int64))
-        texts = docs.mapInArrow(_named_texts(hashes, shortest), "line long, text string") if count else docs.limit(0).select(F.lit(0).cast("long").alias("line"), "text")
-    else:
-        texts = docs.mapInArrow(_named_texts(None, shortest), "line long, text string").join(named, "line", "left_semi")
-    texts = texts.groupBy("line").agg(F.first("text").alias("text"))
-    crowded = table(spark, met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > _BLOCK_LINES).select("key", F.ceil(F.col("n") / _BLOCK_LINES).cast("long").alias("blocks")))
+    buckets, slices = max(1, -(-total // bucket_bytes)), max(1, total // _SLICE)
+    sent = docs.mapInArrow(_send(reach, buckets, slices), _SENT)
+    if slices > 1:
+        sent = sent.groupBy("bucket", "slice").applyInArrow(_slice_meets(buckets), _SENT)
+    met = table(spark, sent.groupBy("bucket").applyInArrow(_name, "key long, line long, index boolean"))
+    named = table(spark, met.select("line").distinct())
+    wanted = spark.sparkContext.broadcast(LineFilter.build(named, named.count()))
+    texts = docs.mapInArrow(_texts(wanted, reach), "line long, text string").join(named, "line", "left_semi")
+    texts = table(spark, texts.groupBy("line").agg(F.first("text").alias("text")))
+    sized = met.join(texts.select("line", F.octet_length("text").alias("size")), "line")
+    of_key = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / _BLOCK_LINES), F.ceil(F.col("bytes") / _BLOCK_BYTES)).cast("long")
+    keys = table(spark, of_key.select("key", "bytes", blocks.alias("blocks")))
+    dealt_bytes = keys.agg(F.coalesce(F.sum(F.col("bytes") * F.col("blocks")), F.lit(0))).first()[0]
+    crowded = keys.where("blocks > 1").select("key", "blocks")
     dealt = (
         met.join(crowded, "key", "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
@@ -393,58 +581,65 @@ def line_links(spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortes
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("key", "line", "index", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
-    group = F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, count // 5_000))).alias("part")
-    met_texts = dealt.join(texts, "line").select("key", "line", "index", "block", "low", "high", "text", group)
-    found = table(spark, met_texts.groupBy("part").applyInArrow(_verify(edits, shortest), "line long, links long, root long"))
+    part = F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, -(-int(dealt_bytes) // part_bytes)))).alias("part")
+    met_texts = dealt.join(texts, "line").select("key", "line", "index", "block", "low", "high", "text", part)
+    found = table(spark, met_texts.groupBy("part").applyInArrow(_verify(reach, buckets), "line long, links long, root long"))
     roots = components(spark, found.select(F.col("line").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("line").agg(F.sum("links").alias("links"))
-    return table(
-        spark, links.join(roots, links.line == roots.node).select("line", "links", "root")
-    )
+    out = table(spark, links.join(roots, links.line == roots.node).select("line", "links", "root"))
+    for done in (met, named, texts, keys, found):
+        drop(spark, done)
+    return out
 
 
-def line_classes(
-    spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST, by_text: bool = False
-) -> DataFrame:
+def line_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", reach: Reach = Reach(), by_text: bool = False) -> DataFrame:
     """One row a line: ``key, line_no, class_key, class_line_no, n_links, kept``.
 
     Lines are what ``\\n`` parts; blank lines have no row. Lines of one class are equal, or joined over any number of
-    steps by pairs of lines of at least ``shortest`` code points that differ by ``edits`` insertions, deletions or
-    replacements of a code point at most; shorter lines are only ever equal. A class is named by its first line, by key
-    (nulls first) and line number, and that line is kept. ``n_links`` is the number of different lines within ``edits``
-    edits of this one. Null texts have no lines; rows that repeat a key are taken for one document, whose lines with one
-    number are kept or not together; no rows give no rows; other columns of the input play no part.
-
-    by_text: only rows with the same key and the same text are one document, told apart by ``text_hash``, a further
-    column; of lines with one key and number, that of the smallest hash is first.
+    steps by pairs of lines that differ by as many insertions, deletions or replacements of a code point as ``reach``
+    allows for the shorter one; lines below its ``shortest`` are only ever equal. A class is named by its first line, by
+    key (nulls first) and line number, and that line is kept. ``n_links`` is the number of different lines that near this
+    one. Null texts have no lines; rows that repeat a key are taken for one document, whose lines with one number are
+    kept or not together; no rows give no rows; other columns of the input play no part.
+
+    by_text: only rows with the same key and the same text are one document, told apart by two hashes of the text, which
+    are further columns; of lines with one key and number, that of the smallest hash is first.
     """
-    own = ["text_hash"] if by_text else []
-    source = docs.select(F.col(f"`{text}`").alias("text"))
-    near = line_links(spark, source, edits, shortest)
+    own = ["text_hash", "text_hash2"] if by_text else []
+    near = line_links(spark, docs.select(F.col(f"`{text}`").alias("text")), reach)
 
     def run(batches):
-        for batch in pieces(batches, "text", 1 << 20):
-            x = Lines(batch.column(1))
-            rows = np.flatnonzero(~x.blank)
+        for batch in pieces(batches, "text", _PIECE):
+            lines, of, number = split_lines(batch.column(1))
+            rows = np.flatnonzero(solid(lines))
+            h = hashes(lines)[rows]
+            at = pa.array(of[rows])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(x.text[rows])), pa.array(x.number[rows].astype(np.int32)), pa.array(x.hash[rows].view(np.int64)), pa.array(x.second[rows].view(np.int64))]
-                + [batch.column(2).take(pa.array(x.text[rows])) for _ in own],
+                [batch.column(0).take(at), pa.array(number[rows].astype(np.int32)), pa.array(h[:, 0].copy().view(np.int64)), pa.array(h[:, 1].copy().view(np.int64))]
+                + [batch.column(2 + k).take(at) for k in range(len(own))],
                 names=["id", "line_no", "line", "second", *own],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    where = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), *[F.xxhash64(F.col(f"`{text}`")).alias(c) for c in own]).mapInArrow(
-        run, ", ".join([f"id {kind}, line_no int, line long, second long", *[f"{c} long" for c in own]])
-    )
+    source = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), *[h.alias(c) for c, h in zip(own, text_hashes(text))])
+    where = source.mapInArrow(run, ", ".join([f"id {kind}, line_no int, line long, second long", *[f"{c} long" for c in own]]))
+    joined = where.join(near.withColumnRenamed("line", "near_line"), F.col("line") == F.col("near_line"), "left")
     placed = table(
         spark,
-        where.join(near.withColumnRenamed("line", "near_line"), F.col("line") == F.col("near_line"), "left").select(
-            "id", "line_no", *own, F.coalesce("root", "line").alias("line"), F.when(F.col("root").isNull(), F.col("second")).otherwise(0).alias("second"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
+        joined.select(
+            "id", "line_no", *own,
+            F.coalesce("root", "line").alias("line"),
+            F.when(F.col("root").isNull(), F.col("second")).otherwise(0).alias("second"),
+            F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         ),
-    )
+    )
+    drop(spark, near)
     shared = table(
         spark,
-        placed.groupBy("line", "second").agg(F.min(F.struct("id", "line_no", *own)).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("line").alias("c"), F.col("second").alias("d"), "first"),
+        placed.groupBy("line", "second")
+        .agg(F.min(F.struct("id", "line_no", *own)).alias("first"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select(F.col("line").alias("c"), F.col("second").alias("d"), "first"),
     )
     first = F.coalesce(F.col("first"), F.struct("id", "line_no", *own))
     same = [first[c] == F.col(c) for c in ["line_no", *own]]
@@ -459,23 +654,29 @@ def line_classes(
     )
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def text_hashes(text: str) -> list:
+    """Two hashes of a text that tell rows of one key apart."""
+    c = F.col(f"`{text}`")
+    return [F.xxhash64(c), F.xxhash64(F.lit(9), c)]
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", reach: Reach = Reach()) -> DataFrame:
     """``docs`` with only the kept lines of each text, and all its columns; blank lines stay, and so do null texts.
 
     Rows of one key (or without one) lose their own lines only; rows with the same key and text are taken for one.
     """
     gone = (
-        line_classes(spark, docs, key, text, edits, shortest, by_text=True)
+        line_classes(spark, docs, key, text, reach, by_text=True)
         .where("NOT kept")
-        .groupBy(F.col(key).alias("_gone_key"), F.col("text_hash").alias("_gone_hash"))
+        .groupBy(F.col(key).alias("_gone_key"), F.col("text_hash").alias("_gone_hash"), F.col("text_hash2").alias("_gone_hash2"))
         .agg(F.collect_set("line_no").alias("_gone"))
     )
-    here = F.col(f"`{key}`").eqNullSafe(F.col("_gone_key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_gone_hash"))
+    one, two = text_hashes(text)
+    here = F.col(f"`{key}`").eqNullSafe(F.col("_gone_key")) & (one == F.col("_gone_hash")) & (two == F.col("_gone_hash2"))
     left = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    new = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(left).alias(text)
     # hashed, as one side is every text: nothing is sorted, and the plan is the same at every size
-    return docs.join(table(spark, gone).hint("shuffle_hash"), here, "left").select(
-        *[F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(left).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    )
+    return docs.join(table(spark, gone).hint("shuffle_hash"), here, "left").select(*[new if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ def changed(rnd, s, k):
     return "".join(s)
 
 
-@pytest.mark.parametrize("most", [1, 2, 3])
+@pytest.mark.parametrize("most", [1, 2, 3, 9])
 def test_banded_within(most):
     rnd = random.Random(most)
     pairs = []
@@ -130,9 +130,12 @@ def test_banded_within(most):
     at = [np.cumsum([0] + [len(p[k]) for p in pairs]) for k in (0, 1)]
     got = line_dedup.banded_within(flat[0], at[0][:-1], at[0][1:], flat[1], at[1][:-1], at[1][1:], most)
     assert got.tolist() == [edits(a, b) <= most for a, b in pairs]
+    each = np.array([rnd.randint(0, most) for _ in pairs])
+    got = line_dedup.banded_within(flat[0], at[0][:-1], at[0][1:], flat[1], at[1][:-1], at[1][1:], each)
+    assert got.tolist() == [edits(a, b) <= k for (a, b), k in zip(pairs, each.tolist())]
 
 
-def brute_lines(docs):
+def brute_lines(docs, reach=line_dedup.Reach()):
     lines = [(k, i, x) for k, t in docs if t is not None for i, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
     distinct = sorted({x for *_, x in lines})
     root, links = {x: x for x in distinct}, Counter()
@@ -145,8 +148,9 @@ def brute_lines(docs):
 
     for i, a in enumerate(distinct):
         for j, b in enumerate(distinct[:i]):
-            close = min(len(a), len(b)) >= 16 and abs(len(a) - len(b)) <= 2 and abs(letters[i] - letters[j]).sum() <= 4
-            if close and edits(a, b) <= 2:
+            k = min(max(min(len(a), len(b)) // reach.per, reach.least), reach.most)
+            close = min(len(a), len(b)) >= reach.shortest and abs(len(a) - len(b)) <= k and abs(letters[i] - letters[j]).sum() <= 2 * k
+            if close and edits(a, b) <= k:
                 links[a] += 1
                 links[b] += 1
                 root[find(a)] = find(b)
@@ -168,11 +172,36 @@ def test_line_classes(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     expected = brute_lines(docs)
     assert as_lines(line_dedup.line_classes(spark, df)) == expected
-    monkeypatch.setattr(line_dedup, "MOST_SENT", -1)
-    monkeypatch.setattr(line_dedup, "_BLOCK_LINES", 5)
+    for name, value in (("_BLOCK_LINES", 5), ("_BLOCK_BYTES", 200), ("_SLICE", 4000)):
+        monkeypatch.setattr(line_dedup, name, value)
     assert as_lines(line_dedup.line_classes(spark, df)) == expected
 
 
+@pytest.mark.parametrize("reach", [line_dedup.Reach(), line_dedup.Reach(1, 12, 9, 8), line_dedup.Reach(3, 30, 3, 20)])
+def test_line_classes_of_long_lines(spark, reach):
+    """Edits that grow with the line: near copies just within the reach, just beyond it, and over its steps."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdeé漢😀") for _ in range(rnd.randint(1, 7)))
+    docs = []
+    for n in (30, 79, 81, 119, 121, 160, 199, 240, 400, 655):
+        base = " ".join(word() for _ in range(n))[:n]
+        k = min(max(n // reach.per, reach.least), reach.most)
+        docs += [base, *(changed(rnd, base, e) for e in (0, 1, k - 1, k, k, k + 1, k + 2)), base[k:], base[: n - k], base[: n // 2] + "z" * (k + 1) + base[n // 2 :]]
+    docs = [(i, x) for i, x in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert as_lines(line_dedup.line_classes(spark, df, reach=reach)) == brute_lines(docs, reach)
+
+
+def test_line_classes_awkward(spark, awkward):
+    """Null and repeated keys, repeated rows: one row a line, whatever the keys; lines of one class stay together."""
+    rows = line_dedup.line_classes(spark, awkward).collect()
+    lines = [(k, i, x) for k, t in awkward_texts() if t is not None for i, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
+    assert sorted(((r["doc_id"], r["line_no"]) for r in rows), key=str) == sorted(((k, i) for k, i, _ in lines), key=str)
+    assert line_dedup.line_classes(spark, awkward.limit(0)).count() == 0
+    want = brute_lines(sorted(awkward_texts(), key=lambda r: (r[0] is not None, r[0] or 0)))
+    assert all((r["class_key"], r["class_line_no"], r["n_links"]) in {v[:3] for v in want.values()} for r in rows)
+
+
 def test_drop_repeated_lines(spark, awkward):
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(spark, awkward).collect() if r["doc_id"] is not None}
     kept = as_lines(line_dedup.line_classes(spark, awkward))
