@@ -143,7 +143,8 @@ def grammar_flags(cues: DataFrame, bad_start, ends_with_starter) -> DataFrame:
     from cuelake.functions.grammar import by_fragment
 
     x = cues.select("ep", "i", F.left("text", F.lit(4)).alias("_head"), F.right("text", F.lit(8)).alias("_tail"))
-    x = by_fragment(by_fragment(x, "_head", "particle_start", bad_start, "boolean"), "_tail", "starter_end", ends_with_starter, "boolean")
+    x = by_fragment(x, ["_head"], "particle_start", bad_start, "boolean")
+    x = by_fragment(x, ["_tail"], "starter_end", ends_with_starter, "boolean")
     return x.where("particle_start OR starter_end").select("ep", "i", "particle_start", "starter_end")
 
 

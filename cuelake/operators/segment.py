@@ -12,13 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuelake.functions.grammar import Rules, by_fragment
+from cuelake.functions.text import strip, text_em
 from cuelake.operators.intervals import SNAP_TOLERANCE, assign_intervals, nearest_pause
-from cuelake.operators.sequence import display_clamp, merge_same_interval, monotone_repair, ordered_text, repair_and_cap, runs
-
+from cuelake.operators.sequence import (
+    cap_times,
+    context_strings,
+    display_clamp,
+    merge_same_interval,
+    monotone_repair,
+    ordered_text,
+    repair_reversed,
+    runs,
+)
+
+# Microseconds, factors and costs.
 SHORTEST_WORD, SHORTEST_PLACED, CUT_GAP = 50_000, 20_000, 150_000
 STRETCH = (0.75, 1.6)
 LONGEST_LINE, SLOW_LINE, SHORT_A, SHORT_B = 12_000_000, 8_000_000, 350_000, 600_000
 COST_A, COST_B, COST_SLOW, COST_STARTER = 3.0, 1.0, 0.5, 6.0
+SEAM_GAP, SEAM_SLACK = 150_000, 120_000
+LINE_SHARE = 0.80
 
 
 def slice_groups(durations: np.ndarray, slices: np.ndarray) -> list[tuple[int, int]]:
@@ -115,25 +129,43 @@ def retime(words: DataFrame, ranges: DataFrame, spans: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                w = row["words"]
-                if not row["spans"]:
-                    w = sorted(w, key=lambda x: x["s"])
-                    placed, begins = [(x["s"], x["e"]) for x in w], []
-                else:
-                    where = {x["i"]: (x["s"], x["e"]) for x in row["ranges"] or []}
-                    segs = sorted({x["seg_i"] for x in w})
-                    groups = [[(x["s"], x["e"]) for x in w if x["seg_i"] == g] for g in segs]
-                    placed, begins = retime_episode(groups, [where.get(g, (gr[0][0], gr[-1][1])) for g, gr in zip(segs, groups)], np.array([[x["a"], x["b"]] for x in row["spans"]], float))
-                for n, ((a, b), x) in enumerate(zip(placed, w)):
-                    gap = round(a) - round(placed[n - 1][1]) if n else 0
-                    rows.append((row["ep"], n, round(a), round(b), x["text"], gap if n and gap >= CUT_GAP else None, n in begins))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, _RETIMED)], names=["ep", "n", "s", "e", "text", "gap", "trusted"])
+            parts = [_retimed(*(batch.column(c)[i] for c in ("ep", "words", "ranges", "spans"))) for i in range(batch.num_rows)]
+            yield from (pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(p, _RETIMED)], names=_RETIMED_NAMES) for p in parts)
 
     return x.mapInArrow(run, "ep long, n long, s long, e long, text string, gap long, trusted boolean")
 
 
+def _fields(value, *names: str) -> list[np.ndarray]:
+    """Fields of a list of structs as arrays; none of a null list."""
+    values = value.values if value.is_valid else None
+    return [np.zeros(0, np.int64) if values is None else values.field(c).to_numpy(zero_copy_only=False) for c in names]
+
+
+def _retimed(ep, words, ranges, spans):
+    """Columns of the retimed words of one episode."""
+    seg, s, e, text = _fields(words, "seg_i", "s", "e", "text")
+    _, a, b = _fields(spans, "j", "a", "b")
+    trusted = np.zeros(len(s), bool)
+    if not len(a):
+        order = np.argsort(s, kind="stable")
+        start, end, text = s[order].astype(float), e[order].astype(float), text[order]
+    else:
+        of, lo, hi = _fields(ranges, "i", "s", "e")
+        first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))  # words come sorted by segment
+        to = np.append(first[1:], len(seg))
+        known = dict(zip(of.tolist(), zip(lo.tolist(), hi.tolist())))
+        groups = [list(zip(s[i:j].tolist(), e[i:j].tolist())) for i, j in zip(first.tolist(), to.tolist())]
+        places = [known.get(g, (own[0][0], own[-1][1])) for g, own in zip(seg[first].tolist(), groups)]
+        placed, begins = retime_episode(groups, places, np.column_stack([a, b]).astype(float))
+        start, end = np.array(placed, float).reshape(-1, 2).T
+        trusted[begins] = True
+    start, end = np.rint(start).astype(np.int64), np.rint(end).astype(np.int64)
+    gap = np.zeros(len(start), np.int64)
+    gap[1:] = start[1:] - end[:-1]
+    return [ep.as_py()] * len(start), np.arange(len(start)), start, end, text, pa.array(gap, mask=gap < CUT_GAP), trusted
+
+
+_RETIMED_NAMES = ["ep", "n", "s", "e", "text", "gap", "trusted"]
 _RETIMED = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
 
@@ -197,40 +229,85 @@ def expand_long(cues: DataFrame, limit: int) -> DataFrame:
     return x.select("ep", "i", "part", at(before).alias("s"), at(before + F.length("text")).alias("e"), "text")
 
 
-def align_timeline(words: DataFrame, intervals: DataFrame, cap=None, tolerance: int = 600_000, bucket_us: int = 3_600_000_000) -> DataFrame:
-    """Words on a reference timeline: ``ep, s, e, text``.
+def seam_costs(words: DataFrame, rules: Rules) -> DataFrame:
+    """Adds ``cut_cost`` and ``starter`` to words ``ep, n, s, e, text, gap, trusted``.
 
-    Neighbouring words of one interval make a cue with the interval's times, words of none keep their own; empty cues go,
-    reversed ones are repaired, cues with one time (to the millisecond) become one, and times are capped.
+    ``cut_cost`` is that of a line break before the word, from up to twelve words before and six from it on; ``starter``
+    tells whether the last two words end in one that only begins sentences. The rules run once for each distinct context
+    of all episodes; no cost depends on where a line began.
     """
-    owned = assign_intervals(words, intervals, tolerance, bucket_us)
-    cues = runs(owned, "owner").groupBy("ep", "run", "owner").agg(F.min_by("s", F.struct("s", "i")).alias("ws"), F.max_by("e", F.struct("s", "i")).alias("we"), ordered_text("text", "s", "i").alias("text"))
-    timed = cues.join(intervals.select("ep", F.col("j").alias("owner"), "cs", "ce"), ["ep", "owner"], "left").select("ep", F.col("run").alias("i"), F.coalesce("cs", "ws").alias("s"), F.coalesce("ce", "we").alias("e"), F.trim("text").alias("text")).where("text <> ''")
-    return merge_same_interval(repair_and_cap(timed, F.lit(cap).cast("bigint")))
+    around = context_strings(words.select("ep", F.col("n").alias("i"), F.col("n").alias("s"), "text"))
+    around = around.select("ep", F.col("i").alias("n"), F.right("prev", F.lit(12)).alias("_before"), F.col("next").alias("_after"), F.right("last", F.lit(8)).alias("_tail"))
+    x = words.join(around, ["ep", "n"])
+    x = by_fragment(x, ["_before", "_after", "gap", "trusted"], "_cost", rules.cut_cost, "double")
+    x = by_fragment(x, ["_tail"], "starter", rules.ends_with_starter, "boolean")
+    return x.withColumn("cut_cost", F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("_cost"))).drop("_before", "_after", "_tail", "_cost")
 
 
-def repair_boundaries(groups: DataFrame, joined_word, starts_particle, starts_sentence, bound_tail, max_gap: int = 150_000, slack: int = 120_000) -> DataFrame:
-    """Groups ``ep, g, owner, cut, words array<struct<s,e,w>>``: a last word that belongs to the next group moves there.
+def transcript_lines(words: DataFrame, ranges: DataFrame, spans: DataFrame, rules: Rules, width: int = 1920, main: int = 60) -> DataFrame:
+    """Recognised words -> cues ``ep, i, s, e, text``: words on the time of the speech, grammar costs, cheapest line breaks.
 
-    Left to right, so a moved word can matter to the next pair. The four rules are functions on texts; ``cut`` is the end
-    of the group's interval. Nothing moves over a silence of more than ``max_gap`` or if the word is bound to what precedes.
+    words ``ep, seg_i, w_i, s, e, text``, snapped ranges ``ep, i, s, e``, speech ``ep, j, a, b``. A line is at most
+    ``LINE_SHARE`` of ``width`` pixels wide at ``main`` pixels an em.
     """
+    costed = seam_costs(retime(words, ranges, spans), rules).withColumn("width", text_em(F.col("text")) * main)
+    return segment_lines(costed, width * LINE_SHARE, rules.all_starters)
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: r["g"])
-        for a, b in zip(rows, rows[1:]):
-            if not a["words"] or not b["words"] or a["owner"] is None or b["owner"] is None or a["owner"] >= b["owner"]:
-                continue
-            x, y, cut = a["words"][-1], b["words"][0], a["cut"]
-            if y["s"] - x["e"] > max_gap or bound_tail(x["w"]):
-                continue
-            head = "".join(w["w"] for w in b["words"])[:10]
-            if (
-                (x["s"] <= cut <= x["e"] + slack and joined_word(x["w"], y["w"]))
-                or (x["s"] <= cut <= y["e"] + slack and starts_particle(x["w"], head))
-                or (x["s"] < cut < x["e"] and starts_sentence(x["w"]))
-            ):
-                b["words"].insert(0, a["words"].pop())
-        return pa.Table.from_pylist(rows, t.schema)
-
-    return groups.groupBy("ep").applyInArrow(run, groups.schema)
+
+def repair_boundaries(
+    owned: DataFrame, intervals: DataFrame, rules: Rules, max_gap: int = SEAM_GAP, slack: int = SEAM_SLACK
+) -> DataFrame:
+    """Words ``ep, i, s, e, text, owner, run``: a run's last word that belongs to the next run moves there (``run`` grows).
+
+    It moves from an interval to a later one, over a silence of at most ``max_gap``, if it is not bound to what precedes
+    and one of three things holds: the end of its interval lies in it and it begins a sentence by itself; or that end lies
+    in it (give or take ``slack``) and it is one word with the next one; or that end lies before the end of the next word
+    (and ``slack``) and the next run goes on with a particle. As every run has a word of its own to give and the word it
+    looks at is the next run's first as it came, no move depends on another one: all of them are columns.
+    """
+    word = F.struct("i", "s", "e", "text")
+    ends = owned.groupBy("ep", "run", "owner").agg(
+        F.max_by(word, "i").alias("last"), F.min_by(word, "i").alias("first"), F.left(ordered_text("text", "i"), F.lit(10)).alias("head")
+    )
+    w = W.partitionBy("ep").orderBy("run")
+    nxt = lambda c: F.lead(c).over(w)
+    x = ends.select("ep", "run", "owner", "last", nxt("owner").alias("to"), nxt("first").alias("next"), nxt("head").alias("head"))
+    x = x.join(intervals.select("ep", F.col("j").alias("owner"), F.col("ce").alias("cut")), ["ep", "owner"])
+    x = x.where((F.col("owner") < F.col("to")) & (F.col("next.s") - F.col("last.e") <= max_gap) & (F.col("cut") >= F.col("last.s")))
+    x = x.withColumns({"_a": F.col("last.text"), "_b": F.col("next.text")})
+    x = by_fragment(x, ["_a"], "bound", rules.bound_tail, "boolean").where("NOT bound")
+    x = by_fragment(x, ["_a", "_b"], "joined", rules.joined_word, "boolean")
+    x = by_fragment(x, ["_a", "head"], "particle", rules.next_starts_with_particle, "boolean")
+    x = by_fragment(x, ["_a"], "starts", rules.starts_sentence, "boolean")
+    inside = (F.col("cut") > F.col("last.s")) & (F.col("cut") < F.col("last.e"))
+    moved = x.where(
+        (F.col("joined") & (F.col("cut") <= F.col("last.e") + slack))
+        | (F.col("particle") & (F.col("cut") <= F.col("next.e") + slack))
+        | (F.col("starts") & inside)
+    ).select("ep", F.col("last.i").alias("i"), F.lit(1).alias("_on"))
+    return owned.join(moved, ["ep", "i"], "left").withColumn("run", F.col("run") + F.coalesce("_on", F.lit(0))).drop("_on", "owner")
+
+
+def align_timeline(
+    words: DataFrame,
+    intervals: DataFrame,
+    cap=None,
+    tolerance: int = 600_000,
+    bucket_us: int = 3_600_000_000,
+    rules: Rules | None = None,
+    max_gap: int = SEAM_GAP,
+    slack: int = SEAM_SLACK,
+) -> DataFrame:
+    """Words ``ep, i, s, e, text`` on a reference timeline: ``ep, s, e, text``. ``i`` is a word's place in its episode.
+
+    Neighbouring words of one interval make a cue with the interval's times, words of none keep their own; with ``rules``
+    a word on the wrong side of a boundary moves over it. Empty cues go, reversed ones are repaired, cues with one time
+    (to the millisecond) become one, and then times are capped.
+    """
+    owned = runs(assign_intervals(words, intervals, tolerance, bucket_us), "owner", "i")
+    owner = owned.groupBy("ep", "run").agg(F.first("owner").alias("owner"))
+    placed = owned if rules is None else repair_boundaries(owned, intervals, rules, max_gap, slack)
+    cues = placed.groupBy("ep", "run").agg(F.min_by("s", "i").alias("ws"), F.max_by("e", "i").alias("we"), strip(ordered_text("text", "i")).alias("text"))
+    timed = cues.where("text <> ''").join(owner, ["ep", "run"]).join(intervals.select("ep", F.col("j").alias("owner"), "cs", "ce"), ["ep", "owner"], "left")
+    timed = timed.select("ep", F.col("run").alias("i"), F.coalesce("cs", "ws").alias("s"), F.coalesce("ce", "we").alias("e"), "text")
+    return cap_times(merge_same_interval(repair_reversed(timed)), F.lit(cap).cast("bigint"))

@@ -6,12 +6,16 @@ form are windows; the one without is a grouped Arrow function with one pass over
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Microseconds, and characters a second.
 MIN_GAP, MAX_CHUNK = 800_000, 12_000_000
 CUT_GAP, STRONG_GAP = 150_000, 300_000
 LEAD_IN, MIN_SHOW, BETWEEN = 50_000, 600_000, 50_000
@@ -44,9 +48,9 @@ def cut_candidates(words: DataFrame, least: int = CUT_GAP, strong: int = STRONG_
     return words.select("ep", "i", (F.col("s") - F.lag("e").over(_w())).alias("gap")).where(F.col("gap") >= least).withColumn("strong", F.col("gap") >= strong)
 
 
-def runs(rows: DataFrame, owner: str) -> DataFrame:
+def runs(rows: DataFrame, owner: str, *order: str) -> DataFrame:
     """Adds ``run``, the number of each stretch of consecutive rows with one owner; null equals null."""
-    w = _w()
+    w = _w(*order)
     change = F.when(F.lag(F.lit(1)).over(w).isNull() | ~F.lag(owner).over(w).eqNullSafe(F.col(owner)), 1).otherwise(0)
     return rows.withColumn("_change", change).withColumn("run", F.sum("_change").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_change")
 
@@ -65,12 +69,13 @@ def run_cues(rows: DataFrame, owner: str, text: str = "text") -> DataFrame:
 
 
 def merge_same_interval(cues: DataFrame, grain: int = 1000) -> DataFrame:
-    """Cues with equal start and end (in units of ``grain`` microseconds) become one, texts in order: ``ep, s, e, text``."""
-    key = lambda c: (F.floor(F.col(c) / F.lit(grain)) * grain).cast("bigint")
-    return (
-        cues.withColumn("_s", key("s")).withColumn("_e", key("e")).groupBy("ep", "_s", "_e").agg(ordered_text("text", "s", "i").alias("text"))
-        .select("ep", F.col("_s").alias("s"), F.col("_e").alias("e"), "text")
-    )
+    """Cues with equal start and end become one, texts in order of the unrounded starts: ``ep, s, e, text``.
+
+    Times are equal, and come out, rounded to ``grain`` microseconds; halves go to the even multiple.
+    """
+    key = lambda c: (F.rint(F.col(c) / F.lit(grain)).cast("bigint") * grain).alias(f"_{c}")
+    merged = cues.select("ep", "i", "s", "text", key("s"), key("e")).groupBy("ep", "_s", "_e").agg(ordered_text("text", "s", "i").alias("text"))
+    return merged.select("ep", F.col("_s").alias("s"), F.col("_e").alias("e"), "text")
 
 
 def display_clamp(cues: DataFrame, lead_in: int = LEAD_IN, min_show: int = MIN_SHOW, between: int = BETWEEN) -> DataFrame:
@@ -126,6 +131,24 @@ def prefix_sums(words: DataFrame, value: Column, name: str) -> DataFrame:
     return words.withColumn(name, F.sum(value).over(_w().rowsBetween(W.unboundedPreceding, 0)))
 
 
+def following(rows: DataFrame, keys: list[str], order: str, bucket_rows: int = 1 << 20) -> DataFrame:
+    """Adds ``next``: the next greater ``order`` (a whole number, unique in its key) among the rows of the same keys.
+
+    A key may hold any share of the rows: it is cut into ranges of ``order``, ordered range by range, and only the least
+    number of each range is ordered over a whole key.
+    """
+    lo, hi, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    ranges = max(1, -(-n // bucket_rows))
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // ranges))
+    x = rows.withColumn("_range", F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)).cast("bigint"))
+    inside = x.withColumn("next", F.lead(order).over(W.partitionBy(*keys, "_range").orderBy(order)))
+    firsts = x.groupBy(*keys, "_range").agg(F.min(order).alias("_first"))
+    firsts = firsts.withColumn("_later", F.lead("_first").over(W.partitionBy(*keys).orderBy("_range"))).drop("_first")
+    same = reduce(and_, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in [*keys, "_range"]])
+    joined = inside.join(firsts.withColumnsRenamed({c: f"_{c}" for c in [*keys, "_range"]}), same)
+    return joined.select(*rows.columns, F.coalesce("next", "_later").alias("next"))
+
+
 def normalise_words(segments: DataFrame, least: int = 50_000) -> DataFrame:
     """segments ``ep, seg_i, s, e, text, words array<struct<ws,we,w>>`` -> ``ep, seg_i, w_i, s, e, text``.
 
@@ -139,12 +162,20 @@ def normalise_words(segments: DataFrame, least: int = 50_000) -> DataFrame:
     return flat.select("ep", "seg_i", "w_i", lo.alias("s"), F.greatest(hi, lo + least).alias("e"), F.col("x.w").alias("text"))
 
 
+def repair_reversed(cues: DataFrame, least: int = 300_000) -> DataFrame:
+    """Empty or reversed cues last ``least``. Replaces ``e``."""
+    return cues.withColumn("e", F.when(F.col("e") <= F.col("s"), F.col("s") + least).otherwise(F.col("e")))
+
+
+def cap_times(cues: DataFrame, cap: Column) -> DataFrame:
+    """Both ends are cut at ``cap`` (null or 0: none), which may leave empty cues. Replaces ``s, e``."""
+    top = F.nullif(cap, F.lit(0))
+    return cues.withColumns({"s": F.least("s", top), "e": F.least("e", top)})
+
+
 def repair_and_cap(cues: DataFrame, cap: Column, least: int = 300_000) -> DataFrame:
     """Empty or reversed cues last ``least``; both ends are cut at ``cap`` (null or 0: none)."""
-    e = F.when(F.col("e") <= F.col("s"), F.col("s") + least).otherwise(F.col("e"))
-    top = F.nullif(cap, F.lit(0))
-    x = cues.withColumn("e", e)
-    return x.withColumn("s", F.least("s", top)).withColumn("e", F.least("e", top))
+    return cap_times(repair_reversed(cues, least), cap)
 
 
 def qa_stats(cues: DataFrame, fast: int = FAST_CHARS) -> DataFrame:

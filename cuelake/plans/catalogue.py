@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuelake.functions import kana
+from cuelake.functions import grammar, kana
 from cuelake.functions import text as tx
 from cuelake.operators import catalog, intervals, layout, recover, segment, sequence
 from cuelake.plans.tables import EV, HOUR, events, of_type, read
@@ -64,12 +65,21 @@ def run_group(spark, d):
     return sequence.run_cues(events(spark, d), "text")
 
 
-@register(f"""WITH {EV} SELECT ep, ev.s // 60000000 * 60000000 AS s, ev.e // 60000000 * 60000000 AS e,
-string_agg(text, '' ORDER BY ev.s, ev.i) AS text FROM ev GROUP BY ep, ev.s // 60000000, ev.e // 60000000""")
+@register(f"""WITH {EV}, r AS (SELECT ep, i, s, text, CAST(round_even(s / 60000000, 0) AS BIGINT) * 60000000 AS a, CAST(round_even(e / 60000000, 0) AS BIGINT) * 60000000 AS b FROM ev)
+SELECT ep, a AS s, b AS e, string_agg(text, '' ORDER BY r.s, r.i) AS text FROM r GROUP BY ep, a, b""")
 def merge_same_interval(spark, d):
     return sequence.merge_same_interval(events(spark, d), 60_000_000)
 
 
+@register(f"""WITH {EV}, h AS (SELECT ep, i, s // 36000000000 * 36000000000 + i % 8 * 500 AS s, s // 36000000000 * 36000000000 + 1000000 + i % 8 * 500 AS e, text FROM ev),
+r AS (SELECT ep, i, s, text, CAST(round_even(s / 1000, 0) AS BIGINT) * 1000 AS a, CAST(round_even(e / 1000, 0) AS BIGINT) * 1000 AS b FROM h)
+SELECT ep, a AS s, b AS e, string_agg(text, '' ORDER BY r.s, r.i) AS text FROM r GROUP BY ep, a, b""")
+def merge_to_millisecond(spark, d):
+    """Cues half a millisecond apart: those on a half go to the even millisecond."""
+    ten = F.floor(F.col("s") / (10 * HOUR)) * (10 * HOUR) + F.col("i") % 8 * 500
+    return sequence.merge_same_interval(events(spark, d).select("ep", "i", ten.alias("s"), (ten + 1_000_000).alias("e"), "text"))
+
+
 @register(f"""WITH {EV}, a AS (SELECT ep, i, s AS raw, greatest(0, s - 50000) AS s, e FROM ev),
 b AS (SELECT ep, i, raw, s, greatest(s + 600000, e) AS e, lead(s) OVER (PARTITION BY ep ORDER BY raw, i) - 50000 AS n FROM a)
 SELECT ep, i, s, CASE WHEN n IS NULL THEN greatest(e, s + 600000) ELSE greatest(least(e, n), least(s + 600000, n)) END AS e FROM b""")
@@ -155,17 +165,70 @@ def interval_assign(spark, d):
     return intervals.assign_intervals(_words(ev), of_type(ev, "purchase", 6 * HOUR, ("j", "cs", "ce")), HOUR, 6 * HOUR).select("ep", "i", "owner")
 
 
-@register(f"""WITH {OWNED}, c AS (SELECT *, CASE WHEN lag(1) OVER w IS NULL OR lag(owner) OVER w IS DISTINCT FROM owner THEN 1 ELSE 0 END AS c
-  FROM owned WINDOW w AS (PARTITION BY ep ORDER BY s, i)),
-r AS (SELECT *, sum(c) OVER (PARTITION BY ep ORDER BY s, i) AS run FROM c),
-g AS (SELECT ep, run, owner, arg_min(s, (s, i)) AS ws, arg_max(e, (s, i)) AS we, string_agg(text, '' ORDER BY s, i) AS text FROM r GROUP BY ep, run, owner),
-t AS (SELECT g.ep, g.run, coalesce(iv.cs, g.ws) AS s, coalesce(iv.ce, g.we) AS e, text FROM g LEFT JOIN iv ON iv.ep = g.ep AND iv.j = g.owner),
-x AS (SELECT ep, run, least(s, 1209600000000) AS s, least(CASE WHEN e <= s THEN s + 300000 ELSE e END, 1209600000000) AS e, text FROM t),
-y AS (SELECT ep, run, s // 1000 * 1000 AS a, e // 1000 * 1000 AS b, s, text FROM x)
-SELECT ep, a AS s, b AS e, string_agg(text, '' ORDER BY s, run) AS text FROM y GROUP BY ep, a, b""")
+#: Words of the events as a small language: for rules on where a text may break.
+LEXICON = {
+    "click": ("名詞",), "view": ("名詞",), "clickview": ("名詞",), "error": ("助詞", "格助詞"), "signup": ("感動詞",), "purchase": ("動詞",),
+}
+
+
+def event_tokens(text: str) -> list[grammar.Token]:
+    """Longest words of ``LEXICON`` from left to right; other characters by themselves."""
+    out, at = [], 0
+    while at < len(text):
+        n = next((k for k in range(9, 0, -1) if text[at : at + k] in LEXICON), 1)
+        word = text[at : at + n]
+        out.append(grammar.Token(word, word, LEXICON.get(word, ("記号",))))
+        at += n
+    return out
+
+
+ALIGNED = f"""{EV},
+w AS (SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS i, s, e, text FROM ev WHERE text <> 'purchase'),
+iv AS (SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS j, s + i % 3 * 400 AS cs, s + i % 3 * 400 + 21600000000 AS ce FROM ev WHERE text = 'purchase'),
+d AS (
+  SELECT w.ep, w.i, iv.j, CASE WHEN 2 * cs <= w.s + w.e AND w.s + w.e <= 2 * ce THEN 0 ELSE 1 END AS tier,
+    CASE WHEN 2 * cs <= w.s + w.e AND w.s + w.e <= 2 * ce THEN abs(w.s + w.e - cs - ce) WHEN w.s + w.e < 2 * cs THEN 2 * cs - w.s - w.e ELSE w.s + w.e - 2 * ce END AS dist
+  FROM w JOIN iv ON w.ep = iv.ep),
+best AS (SELECT *, row_number() OVER (PARTITION BY ep, i ORDER BY tier, dist, j) AS k FROM d WHERE tier = 0 OR dist <= 7200000000),
+owned AS (SELECT w.*, best.j AS owner FROM w LEFT JOIN best ON best.ep = w.ep AND best.i = w.i AND k = 1),
+c AS (SELECT *, CASE WHEN lag(1) OVER w IS NULL OR lag(owner) OVER w IS DISTINCT FROM owner THEN 1 ELSE 0 END AS c FROM owned WINDOW w AS (PARTITION BY ep ORDER BY i)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY ep ORDER BY i) AS run FROM c),
+g AS (SELECT ep, run, owner, max(i) AS last_i, arg_max(s, i) AS last_s, arg_max(e, i) AS last_e, arg_max(text, i) AS a, arg_min(s, i) AS first_s, arg_min(e, i) AS first_e, arg_min(text, i) AS f
+  FROM r GROUP BY ep, run, owner),
+n AS (SELECT *, lead(owner) OVER w AS nxt, lead(first_s) OVER w AS b_s, lead(first_e) OVER w AS b_e, lead(f) OVER w AS b FROM g WINDOW w AS (PARTITION BY ep ORDER BY run)),
+moved AS (SELECT n.ep, last_i AS i FROM n JOIN iv ON iv.ep = n.ep AND iv.j = n.owner
+  WHERE owner < nxt AND b_s - last_e <= 21600000000 AND a <> 'error' AND (
+    (last_s <= ce AND ce <= last_e + 3600000000 AND a = 'click' AND b = 'view')
+    OR (last_s <= ce AND ce <= b_e + 3600000000 AND (b = 'error' OR (a = 'click' AND b = 'view')))
+    OR (last_s < ce AND ce < last_e AND a = 'signup')))"""
+
+
+@register(f"""WITH {ALIGNED}, p AS (SELECT r.ep, r.i, r.s, r.e, r.text, r.run + CASE WHEN moved.i IS NULL THEN 0 ELSE 1 END AS run FROM r LEFT JOIN moved ON moved.ep = r.ep AND moved.i = r.i),
+t AS (SELECT p.ep, p.run, arg_min(p.s, p.i) AS ws, arg_max(p.e, p.i) AS we, string_agg(text, '' ORDER BY p.i) AS text FROM p GROUP BY p.ep, p.run),
+x AS (SELECT t.ep, t.run, coalesce(iv.cs, ws) AS s, coalesce(iv.ce, we) AS e, t.text FROM t JOIN g ON g.ep = t.ep AND g.run = t.run LEFT JOIN iv ON iv.ep = g.ep AND iv.j = g.owner),
+y AS (SELECT ep, run, s, CASE WHEN e <= s THEN s + 300000 ELSE e END AS e, text FROM x),
+z AS (SELECT ep, run, s, text, CAST(round_even(s / 1000, 0) AS BIGINT) * 1000 AS a, CAST(round_even(e / 1000, 0) AS BIGINT) * 1000 AS b FROM y),
+m AS (SELECT ep, a, b, string_agg(text, '' ORDER BY z.s, z.run) AS text FROM z GROUP BY ep, a, b)
+SELECT ep, least(a, 1209600000000) AS s, least(b, 1209600000000) AS e, text FROM m""")
 def align_timeline(spark, d):
+    """Purchases are intervals of six hours, the other events words; a third of all cues lies past the cap."""
     ev = events(spark, d)
-    return segment.align_timeline(_words(ev), of_type(ev, "purchase", 6 * HOUR, ("j", "cs", "ce")), 14 * 24 * HOUR, HOUR, 6 * HOUR)
+    n = F.row_number().over(W.partitionBy("ep").orderBy("s", "i")).cast("bigint")
+    words = _words(ev).select("ep", n.alias("i"), "s", "e", "text")
+    start = F.col("s") + F.col("i") % 3 * 400
+    timeline = ev.where("text = 'purchase'").select("ep", n.alias("j"), start.alias("cs"), (start + 6 * HOUR).alias("ce"))
+    rules = grammar.Rules(event_tokens)
+    return segment.align_timeline(words, timeline, 14 * 24 * HOUR, HOUR, 6 * HOUR, rules, 6 * HOUR, HOUR)
+
+
+@register(f"""WITH {ALIGNED} SELECT r.ep, r.i, CAST(r.run + CASE WHEN moved.i IS NULL THEN 0 ELSE 1 END AS BIGINT) AS run FROM r LEFT JOIN moved ON moved.ep = r.ep AND moved.i = r.i""")
+def boundary_repair(spark, d):
+    ev = events(spark, d)
+    n = F.row_number().over(W.partitionBy("ep").orderBy("s", "i")).cast("bigint")
+    start = F.col("s") + F.col("i") % 3 * 400
+    timeline = ev.where("text = 'purchase'").select("ep", n.alias("j"), start.alias("cs"), (start + 6 * HOUR).alias("ce"))
+    owned = intervals.assign_intervals(_words(ev).select("ep", n.alias("i"), "s", "e", "text"), timeline, HOUR, 6 * HOUR)
+    return segment.repair_boundaries(sequence.runs(owned, "owner", "i"), timeline, grammar.Rules(event_tokens), 6 * HOUR, HOUR).select("ep", "i", "run")
 
 
 NEAREST = """SELECT p.ep, p.i, q.j, q.pa, q.pb, CASE WHEN pa <= p.t AND p.t <= pb THEN 0 ELSE least(abs(p.t - pa), abs(p.t - pb)) END AS dist
@@ -320,11 +383,12 @@ o AS (SELECT doc_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect
 
 
 def _pairs(spark, d):
-    from pyspark.sql import Window as W
-
-    sets = read(spark, d, "documents").select("doc_id", "source", "lang", tx.bigrams(tx.strip_punct(F.col("text"))).alias("a"))
-    w = W.partitionBy("source", "lang").orderBy("doc_id")
-    return sets.withColumn("b", F.lead("a").over(w)).where("b IS NOT NULL").select("doc_id", tx.shared(F.col("a"), F.col("b")).alias("ratio"))
+    """Share of a document's character pairs that the next one of its source and language has."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    pairs = sequence.following(docs.select("source", "lang", "doc_id"), ["source", "lang"], "doc_id").where("next IS NOT NULL").select("doc_id", "next")
+    other = docs.select(F.col("doc_id").alias("next"), F.col("text").alias("other"))
+    both = docs.select("doc_id", "text").join(pairs, "doc_id").join(other, "next").where("other IS NOT NULL")
+    return both.select("doc_id", tx.overlap_ratio(F.col("text"), F.col("other")).alias("ratio"))
 
 
 @register(f"WITH {PAIRS} SELECT doc_id, ratio FROM o")
@@ -369,19 +433,40 @@ def text_lines(spark, d):
     return src.lines_of(read(spark, d, "documents"), "doc_id", "text").withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-@register()
+def _split_sql(lines: str, limit: int) -> str:
+    """``leaf``: the parts (lo, hi] of the lines ``lines`` (k, line), halved until they are short enough."""
+    particles = "|".join(kana.SPLIT_PARTICLES)
+    return f"""l AS ({lines}),
+pos AS (SELECT k, i, CASE WHEN contains('{tx.SPLIT_PUNCT}', substr(line, i, 1)) THEN 12 WHEN regexp_matches(left(line, i), '({particles})$') THEN 6 ELSE 0 END AS gain
+  FROM (SELECT k, line, unnest(generate_series(1, length(line))) AS i FROM l WHERE length(line) > {limit}) x),
+f(k, lo, hi) AS (SELECT k, 0::BIGINT, length(line)::BIGINT FROM l UNION ALL
+  SELECT c.k, CASE WHEN h = 0 THEN c.lo ELSE c.cut END, CASE WHEN h = 0 THEN c.cut ELSE c.hi END FROM (
+    SELECT f.k, f.lo, f.hi, arg_min(pos.i, (abs(pos.i - f.lo - (f.hi - f.lo) / 2) - gain, pos.i)) AS cut
+    FROM f JOIN pos ON pos.k = f.k AND pos.i >= f.lo + 8 AND pos.i <= f.hi - 9 WHERE f.hi - f.lo > {limit} GROUP BY f.k, f.lo, f.hi) c, (VALUES (0), (1)) AS t(h)),
+leaf AS (SELECT f.k, lo, hi, row_number() OVER (PARTITION BY f.k ORDER BY lo) - 1 AS part, substr(line, lo + 1, hi - lo) AS text FROM f JOIN l ON l.k = f.k WHERE hi - lo <= {limit})"""
+
+
+_BENCH_LINES = """SELECT (item_id, n) AS k, line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM benchmark) x"""
+
+
+@register(f"""WITH RECURSIVE {_split_sql(_BENCH_LINES, 40)} SELECT k[1] AS file, k[2] AS line_no, part, text FROM leaf""")
 def split_long(spark, d):
     """Lines of benchmark items in parts of at most 40 characters."""
     lines = src.lines_of(read(spark, d, "benchmark"), "item_id", "text")
-    return lines.select("file", "line_no", F.posexplode(kana.split_long_column(F.col("line"), 40)).alias("part", "text"))
+    parts = lines.select("file", F.col("line_no").cast("bigint").alias("line_no"), F.posexplode(kana.split_long_column(F.col("line"), 40)).alias("part", "text"))
+    return parts.withColumn("part", F.col("part").cast("bigint"))
 
 
-@register()
+_TURNS = "SELECT (conv_id, turn) AS k, text AS line FROM conversations WHERE text IS NOT NULL"
+
+
+@register(f"""WITH RECURSIVE {_split_sql(_TURNS, 40)}, c AS (SELECT k, turn * 10000000 AS s, greatest(length(text), 1) AS n FROM (SELECT (conv_id, turn) AS k, turn, text FROM conversations WHERE text IS NOT NULL) y)
+SELECT leaf.k[1] AS ep, leaf.k[2] AS i, part, CAST(trunc(s + 10000000 * lo / n) AS BIGINT) AS s, CAST(trunc(s + 10000000 * hi / n) AS BIGINT) AS e, text FROM leaf JOIN c ON c.k = leaf.k""")
 def expand_long(spark, d):
     """Turns as cues of ten seconds, parts with times in proportion to their characters."""
     at = (F.col("turn") * 10_000_000).cast("bigint")
     cues = read(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("ep"), F.col("turn").alias("i"), at.alias("s"), (at + 10_000_000).alias("e"), "text")
-    return segment.expand_long(cues, 40)
+    return segment.expand_long(cues, 40).withColumn("part", F.col("part").cast("bigint"))
 
 
 DICT = {"the": "da", "th": "z", "tion": "shun", "ing": "ingu", "er": "a", "ung": "unku", "ciónes": "sio", "ent": "en"}
@@ -408,7 +493,8 @@ def dict_longest_match(spark, d):
 KANA = {"食べる": ("タベル", "動詞"), "連れ去り": ("ツレサリ", "名詞"), "今日": ("キョウ", "名詞"), "神": ("カミ", "名詞"), "々": ("*", "記号"), "は": ("ハ", "助詞"), "カタカナ": ("*", "名詞")}
 
 
-@register()
+@register("""SELECT * FROM (VALUES (1, 0, 2, 'きょう'), (1, 3, 1, 'た'), (2, 0, 1, 'つ'), (2, 2, 1, 'さ'), (3, 0, 2, 'かみがみ'), (4, 0, 4, 'かたかな'),
+(5, 0, 2, 'たま'), (5, 3, 2, 'きょう')) AS t(id, "offset", length, ruby)""")
 def kana_annotate(spark, d):
     """Inline sentences with a small lexicon, as the tables hold no Japanese."""
     rows = spark.createDataFrame([(1, "今日は食べる"), (2, "連れ去り"), (3, "神々"), (4, "カタカナ"), (5, "小玉は今日"), (6, "")], "id int, text string")
@@ -487,6 +573,85 @@ def keep_list(spark, d):
     return x.select("path", F.array_join(catalog.keep_list(F.col("a"), F.col("b")).cast("array<string>"), ",").alias("keep"))
 
 
+@register("""SELECT l_orderkey AS path, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS track_id FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey""")
+def first_track(spark, d):
+    """Lines of an order as tracks of a container; returned ones are Japanese."""
+    lines = read(spark, d, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey"])
+    at = [F.col("l_orderkey").alias("path"), (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey")).alias("pos")]
+    language = F.when(F.col("l_returnflag") == "R", "JPN").when(F.col("l_returnflag") == "A", "chi").otherwise("eng")
+    return catalog.first_track(lines.select(*at, F.col("l_partkey").alias("track_id")), lines.select(*at, language.alias("language")), catalog.JAPANESE)
+
+
+_STREAMS = """s AS (SELECT l_orderkey AS path, l_linenumber::BIGINT * 1000000000 + l_partkey AS index, CASE l_linenumber WHEN 1 THEN 'video' WHEN 2 THEN 'audio' WHEN 4 THEN 'attachment' ELSE 'subtitle' END AS codec_type,
+l_linestatus AS codec_name, CASE l_returnflag WHEN 'R' THEN 'jpn' WHEN 'A' THEN 'chi' ELSE 'eng' END AS language, CASE WHEN l_quantity > 25 THEN 'Japanese' ELSE 'other' END AS title,
+CAST(l_quantity AS INT) AS width, l_linenumber AS height, l_tax FROM lineitem)"""
+
+
+def _streams(spark, d):
+    n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    kind = F.when(n == 1, "video").when(n == 2, "audio").when(n == 4, "attachment").otherwise("subtitle")
+    return read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("path"), (n.cast("bigint") * 1_000_000_000 + F.col("l_partkey")).alias("index"), kind.alias("codec_type"), F.col("l_linestatus").alias("codec_name"),
+        F.when(flag == "R", "JPN").when(flag == "A", "chi").otherwise("eng").alias("language"),
+        F.when(F.col("l_quantity") > 25, "Japanese").otherwise("other").alias("title"), F.col("l_quantity").cast("int").alias("width"), n.alias("height"), "l_tax",
+    )
+
+
+@register(f"""WITH {_STREAMS}, sig AS (SELECT path, l_tax, index, codec_type, codec_type || ':' || codec_name AS av, language, title FROM s),
+old AS (SELECT path, coalesce(list(av ORDER BY index) FILTER (codec_type IN ('audio', 'video')), []) AS av, count(*) FILTER (codec_type = 'attachment') AS att FROM sig GROUP BY path),
+new AS (SELECT path, coalesce(list(av ORDER BY index) FILTER (codec_type IN ('audio', 'video')), []) AS av, count(*) FILTER (codec_type = 'attachment') AS att,
+  coalesce(list((language, title) ORDER BY index) FILTER (codec_type = 'subtitle'), []) AS subs, count(*) FILTER (codec_type = 'subtitle') AS n, bool_or(codec_type = 'subtitle' AND language = 'jpn') AS jp
+  FROM sig WHERE l_tax <> 0.05 GROUP BY path)
+SELECT old.path, concat_ws(';', CASE WHEN NOT coalesce(old.av = new.av, false) THEN 'streams' END, CASE WHEN NOT coalesce(old.att = new.att, false) THEN 'attachments' END,
+  CASE WHEN NOT coalesce(n > 0 AND subs[1] = ('jpn', 'Japanese'), false) THEN 'first subtitle' END, CASE WHEN NOT coalesce(n <= 2, false) THEN 'too many subtitles' END,
+  CASE WHEN NOT coalesce(jp, false) THEN 'no Japanese subtitle' END) AS problems FROM old LEFT JOIN new ON new.path = old.path""")
+def verify_mux(spark, d):
+    """Orders as files; the second look misses the streams of one tax rate."""
+    streams = _streams(spark, d)
+    return catalog.verify_mux(streams, streams.where("l_tax <> 0.05"))
+
+
+@register(f"""WITH {_STREAMS}, v AS (SELECT path, arg_min(width, index) FILTER (codec_type = 'video') AS w, arg_min(height, index) FILTER (codec_type = 'video') AS h FROM s WHERE l_tax <> 0.05 GROUP BY path)
+SELECT path, coalesce(w, 1920) AS width, coalesce(h, 1080) AS height FROM v""")
+def video_size(spark, d):
+    return src.video_size(_streams(spark, d).where("l_tax <> 0.05"))
+
+
+@register("""WITH t AS (SELECT l_suppkey AS folder, l_orderkey * 10 + l_linenumber AS pos, CASE l_returnflag WHEN 'R' THEN '小玉' WHEN 'A' THEN '神' ELSE '東京' END AS surface,
+  CASE WHEN l_linenumber % 2 = 1 THEN CASE l_returnflag WHEN 'R' THEN 'こだま' ELSE 'とうきょう' END ELSE '?' END AS reading FROM lineitem),
+c AS (SELECT folder, surface, arg_min(reading, pos) AS reading, count(*) AS n, min(pos) AS f FROM t WHERE surface <> '神' GROUP BY folder, surface)
+SELECT folder, surface, reading, n, row_number() OVER (PARTITION BY folder ORDER BY n DESC, f, surface) AS rank FROM c""")
+def name_candidates(spark, d):
+    """Lines of a supplier as tokens of a folder; one surface is too short, some readings are missing."""
+    flag, odd = F.col("l_returnflag"), F.col("l_linenumber") % 2 == 1
+    tokens = read(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("folder"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        F.when(flag == "R", "小玉").when(flag == "A", "神").otherwise("東京").alias("surface"), F.lit("名詞,固有名詞,一般").alias("part_of_speech"),
+        F.when(~odd, "*").when(flag == "R", "コダマ").otherwise("トウキョウ").alias("reading"),
+    )
+    return catalog.candidates(tokens).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register(f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS n FROM ev) SELECT ep AS file, n * 4 - 2 AS line_no, s // 1000 * 1000 AS s, e // 1000 * 1000 AS e FROM n""")
+def srt_intervals(spark, d):
+    lines = src.lines_of(layout.srt_texts(events(spark, d)), "ep", "srt")
+    return src.srt_timeline(lines).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+_KANA = "repeat('か', CAST(2 + i % 9 AS INT))"
+
+
+@register(f"""WITH {EV}, c AS (SELECT *, CAST(round_even(s / 10000, 0) AS BIGINT) AS a, CAST(round_even(e / 10000, 0) AS BIGINT) AS b, 2 + i % 9 AS k, (1920 - length(text) * 30.0::DOUBLE) / 2 AS x0 FROM ev),
+z AS (SELECT *, CASE WHEN k * 27 <= 60 THEN 27 ELSE greatest(18, 60 // k) END AS size FROM c)
+SELECT ep, i, 0 AS "offset", 'Dialogue: 0,' || printf('%d:%02d:%02d.%02d', a // 360000, a // 6000 % 60, a // 100 % 60, a % 100) || ',' || printf('%d:%02d:%02d.%02d', b // 360000, b // 6000 % 60, b // 100 % 60, b % 100) ||
+',RB,,0,0,0,,' || printf('{{\\an7\\pos(%.1f,%.1f)', least(greatest(x0 + (60 - k * size) / 2, 6), 1914 - k * size)::DOUBLE, 937.0::DOUBLE) || CASE WHEN size = 27 THEN '' ELSE printf('\\fs%.1f', size::DOUBLE) END || '}}' || {_KANA} AS line FROM z""")
+def ruby_lines(spark, d):
+    """Readings of two to ten characters over the first two of each cue."""
+    ev = events(spark, d)
+    spans = ev.select("ep", "i", F.lit(0).alias("offset"), F.lit(2).alias("length"), F.expr(_KANA).alias("ruby_text"))
+    return layout.ruby_events(ev, spans)
+
+
 @register("""SELECT l_orderkey, string_agg(l_returnflag, '' ORDER BY l_returnflag) AS names, bool_or(l_returnflag = 'R') AS some, bool_and(l_quantity < 40) AS every FROM lineitem GROUP BY l_orderkey""")
 def sorted_multiset(spark, d):
     g = read(spark, d, "lineitem").groupBy("l_orderkey")
@@ -515,8 +680,6 @@ m AS (SELECT ep, n AS seam, CASE WHEN i % 2 = 0 THEN 'merge' ELSE 'split' END AS
 SELECT ep, seam, kind, CASE WHEN kind = 'merge' THEN NOT EXISTS (SELECT 1 FROM c WHERE c.ep = m.ep AND c.cut = m.seam)
 ELSE EXISTS (SELECT 1 FROM c WHERE c.ep = m.ep AND abs(c.cut - m.seam) <= 1) END AS passed FROM m""")
 def mark_score(spark, d):
-    from pyspark.sql import Window as W
-
     n = events(spark, d).withColumn("n", F.row_number().over(W.partitionBy("ep").orderBy("s", "i")).cast("bigint"))
     marks = n.where("text = 'view'").select("ep", F.col("n").alias("seam"), F.when(F.col("i") % 2 == 0, "merge").otherwise("split").alias("kind"))
     return catalog.mark_score(marks, n.where("text = 'error'").select("ep", F.col("n").alias("cut")))
@@ -665,6 +828,29 @@ def line_break_dp(spark, d):
     return segment.segment_lines(x, 10.0)
 
 
+@register()
+def transcript_lines(spark, d):
+    """Words put on the time of the speech, then broken into lines by grammar: the whole path of a transcript."""
+    return segment.transcript_lines(*_timed(spark, d), grammar.Rules(event_tokens), width=900)
+
+
+@register()
+def transcript_ass(spark, d):
+    """The lines of a transcript with readings over their words, as subtitle files."""
+    cues = transcript_lines(spark, d)
+    read_ = {"click": ("クリック", "名詞"), "view": ("ミル", "名詞"), "error": ("*", "")}
+    ruby = kana.ruby_column(F.col("text"), {"click": "くりっく", "view": "みる"}, kana.LexiconTokenizer(read_))
+    spans = cues.select("ep", "i", F.explode(ruby).alias("x")).select("ep", "i", "x.offset", "x.length", F.col("x.ruby").alias("ruby_text"))
+    return layout.ass_texts(cues, spans)
+
+
+@register()
+def grammar_flags(spark, d):
+    """Lines of a transcript that begin with a particle or end in a word that only begins sentences."""
+    rules = grammar.Rules(event_tokens)
+    return catalog.grammar_flags(transcript_lines(spark, d), rules.bad_line_start, rules.ends_with_starter)
+
+
 @register(f"""WITH {EV}, c AS (SELECT ep, s, i, CASE WHEN s - max(s) OVER (PARTITION BY ep ORDER BY s, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 3600000000 THEN 0 ELSE 1 END AS c FROM ev),
 r AS (SELECT *, sum(c) OVER (PARTITION BY ep ORDER BY s, i) AS r FROM c)
 SELECT ep, min(s) AS s, max(s) + 3600000000 AS e, count(*) AS n FROM r GROUP BY ep, r""")

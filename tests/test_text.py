@@ -93,5 +93,8 @@ def test_rules():
 
 def test_by_fragment(spark):
     df = spark.createDataFrame([(1, "が"), (2, "が"), (3, None)], "id int, t string")
-    got = {x["id"]: x["bad"] for x in by_fragment(df, "t", "bad", Rules(tokenize).bad_line_start, "boolean").collect()}
+    got = {x["id"]: x["bad"] for x in by_fragment(df, ["t"], "bad", Rules(tokenize).bad_line_start, "boolean").collect()}
     assert got == {1: True, 2: True, 3: None}
+    two = spark.createDataFrame([(1, "a", 1), (2, "a", None), (3, None, 1)], "id int, t string, n int")
+    got = {x["id"]: x["r"] for x in by_fragment(two, ["t", "n"], "r", lambda t, n: f"{t}{n and int(n)}", "string").collect()}
+    assert got == {1: "a1", 2: "aNone", 3: None}
