@@ -41,7 +41,7 @@ _SALT = (U64(0xB492B66FBE98F273), U64(0x9AE16A3B2F90404F), U64(0xC3A5C85C97CB312
 _LENGTHS, _NAMING = 32, 128
 _GRAMS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24, 32])
 #: Lines and bytes of one name beyond which it is dealt to pairs of blocks.
-_BLOCK_LINES, _BLOCK_BYTES = 4096, 4 << 20
+_BLOCK_LINES, _BLOCK_BYTES = 1024, 1 << 20
 #: Bytes of text a piece, and of the pieces a slice.
 _PIECE, _SLICE = 1 << 20, 4 << 30
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -54,8 +54,8 @@ class Reach(NamedTuple):
     """
 
     least: int = 2
-    per: int = 40
-    most: int = 16
+    per: int = 64
+    most: int = 8
     shortest: int = 16
 
     def of(self, size: np.ndarray) -> np.ndarray:
@@ -325,53 +325,71 @@ def _name(t: pa.Table) -> pa.Table:
     return pa.table({"key": named[met].view(np.int64), "line": line[met].astype(U64).view(np.int64), "index": pa.array(index[met])})
 
 
+_COLUMNS = 32
+
+
 def banded_within(a: np.ndarray, a_lo, a_hi, b: np.ndarray, b_lo, b_hi, edits) -> np.ndarray:
     """Is the edit distance of a[a_lo:a_hi] and b[b_lo:b_hi] at most ``edits`` (one number, or one a pair, up to 30)?
 
     All pairs go along one column a step. A pair's column is a band of 2 * (most edits) + 1 rows, kept as two words of
     bits: where the value grows by one to the next row, and where it falls by one. The value at the band's lower edge is
-    counted along; once that edge has reached the last row, the value in the last row is.
+    counted along; once that edge has reached the last row, the value in the last row is. Characters are fetched for
+    ``_COLUMNS`` columns at a time; then pairs that are done, or can no longer be within, leave.
     """
     m, n = a_hi - a_lo, b_hi - b_lo
     ok = np.zeros(len(m), bool)
-    if not len(m):
-        return ok
     edits = np.broadcast_to(np.asarray(edits, np.int64), m.shape)
     live = np.flatnonzero(np.abs(m - n) <= edits)
-    m, n, pa_, pb, own = m[live], n[live], a_lo[live], b_lo[live], edits[live]
-    most = int(own.max(initial=0))
+    if not len(live):
+        return ok
+    most = int(edits[live].max())
     w = 2 * most + 1
-    full, low, bits, band = (1 << w) - 1, 1 << (w - 1), 1 << np.arange(w, dtype=np.int64), np.arange(w)
-    up = np.full(len(live), (full >> (most + 1)) << (most + 1), np.int64)
-    down = np.zeros(len(live), np.int64)
+    kind = np.int32 if w <= 30 else np.int64
+    ok[live] = np.maximum(m, n)[live] <= edits[live]  # the rest has columns to go along
+    live = live[(n[live] > 0) & ~ok[live]]
+    m, n, pa_, pb, own = m[live].astype(kind), n[live].astype(kind), a_lo[live], b_lo[live], edits[live].astype(kind)
+    one = kind(1)
+    full, low = kind((1 << w) - 1), kind(1 << (w - 1))
+    up = np.full(len(live), ((1 << w) - 1) >> (most + 1) << (most + 1), kind)
+    down = np.zeros(len(live), kind)
     # at column 0 the edge is row `most`, which may be below the last row: step back up to it
-    value = most - np.maximum(0, most - m)
+    value = (most - np.maximum(0, most - m)).astype(kind)
     j = 0
     while len(live):
-        done = n == j
-        if done.any():
-            ok[live[done]] = value[done] <= own[done]
-            live, m, n, pa_, pb, up, down, value, own = (v[~done] for v in (live, m, n, pa_, pb, up, down, value, own))
-            if not len(live):
-                break
-        j += 1
-        row = j - most + band
-        inside = (row >= 1) & (row <= m[:, None])
-        same = a[np.where(inside, pa_[:, None] + (row - 1), 0)] == b[pb + j - 1][:, None]
-        eq = (inside & same) @ bits
-        # the band has moved down one row: align the last column's vertical words with this one's rows
-        v_up, v_down = (up >> 1) | low, down >> 1  # a row that enters the band is one more than the one above at most
-        zero = ((((eq & v_up) + v_up) ^ v_up) | eq | v_down) & full
-        h_up = (v_down | ~(zero | v_up)) & full
-        h_down = zero & v_up
-        diagonal = j + most <= m
-        bit = np.clip(m - j + most, 0, w - 1)
-        value = np.where(diagonal, value + 1 - ((zero >> (w - 1)) & 1), value + ((h_up >> bit) & 1) - ((h_down >> bit) & 1))
-        x = (h_up << 1) | 1
-        up, down = ((h_down << 1) | ~(zero | x)) & full, x & zero & full
-        lost = value - np.where(diagonal, 2 * most, n - j) > own  # what the rest can win back at most
-        if lost.any():
-            live, m, n, pa_, pb, up, down, value, own = (v[~lost] for v in (live, m, n, pa_, pb, up, down, value, own))
+        rows = j - most + np.arange(_COLUMNS + 2 * most)[:, None]  # from 0
+        inside = (rows >= 0) & (rows < m)
+        left = np.where(inside, a[np.where(inside, pa_ + rows, 0)], np.uint32(0xFFFFFFFF))
+        right = b[np.minimum(pb + (j + np.arange(_COLUMNS)[:, None]), len(b) - 1)]
+        same = np.zeros(right.shape, kind)
+        for k in range(w):
+            same |= (left[k : k + _COLUMNS] == right).astype(kind) << kind(k)
+        over = np.zeros(len(live), bool)
+        for c in range(_COLUMNS):
+            j += 1
+            eq = same[c]
+            # the band has moved down one row: align the last column's vertical words with this one's rows
+            v_up, v_down = (up >> 1) | low, down >> 1  # a row that enters the band is one more than the one above at most
+            zero = ((((eq & v_up) + v_up) ^ v_up) | eq | v_down) & full
+            h_up = (v_down | ~(zero | v_up)) & full
+            h_down = zero & v_up
+            bit = np.clip(m - kind(j - most), 0, w - 1)
+            on_edge = one - ((zero >> (w - 1)) & one)
+            value = value + np.where(m >= j + most, on_edge, ((h_up >> bit) & one) - ((h_down >> bit) & one))
+            x = (h_up << 1) | one
+            up, down = ((h_down << 1) | ~(zero | x)) & full, x & zero & full
+            done = n == j
+            if done.any():
+                ok[live[done & ~over]] = value[done & ~over] <= own[done & ~over]
+                over |= done
+        # the least value of the column, from the counted one upwards: no path costs less
+        at, least = value.copy(), value.copy()
+        known = np.minimum(m - kind(j - most), w - 1)
+        for k in range(w - 1, 0, -1):
+            at -= np.where(known >= k, ((up >> kind(k)) & one) - ((down >> kind(k)) & one), 0)
+            np.minimum(least, at, out=least)
+        over |= least > own
+        keep = np.flatnonzero(~over)
+        live, m, n, pa_, pb, up, down, value, own = (v[keep] for v in (live, m, n, pa_, pb, up, down, value, own))
     return ok
 
 
@@ -474,8 +492,8 @@ def within(x: Lines, p: np.ndarray, q: np.ndarray, edits: np.ndarray) -> np.ndar
     out = np.zeros(len(p), bool)
     for low, high in ((-1, 4), (4, 8), (8, 30)):  # bands of about one width go together
         of_width = np.flatnonzero((edits > low) & (edits <= high))
-        for at in range(0, len(of_width), 1 << 15):
-            some = of_width[at : at + (1 << 15)]
+        for at in range(0, len(of_width), 1 << 14):
+            some = of_width[at : at + (1 << 14)]
             u, v, h, t = p[some], q[some], head[some], tail[some]
             out[some] = banded_within(x.points, x.lo[u] + h, x.hi[u] - t, x.points, x.lo[v] + h, x.hi[v] - t, edits[some])
     return out

@@ -183,7 +183,7 @@ def test_line_classes_of_long_lines(spark, reach):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcdeé漢😀") for _ in range(rnd.randint(1, 7)))
     docs = []
-    for n in (30, 79, 81, 119, 121, 160, 199, 240, 400, 655):
+    for n in (30, 79, 129, 191, 193, 200, 256, 330, 512, 655):
         base = " ".join(word() for _ in range(n))[:n]
         k = min(max(n // reach.per, reach.least), reach.most)
         docs += [base, *(changed(rnd, base, e) for e in (0, 1, k - 1, k, k, k + 1, k + 2)), base[k:], base[: n - k], base[: n // 2] + "z" * (k + 1) + base[n // 2 :]]
