@@ -207,61 +207,50 @@ def _class_entries(x: Lines, rows, k: int, band, m_low, m_high, g: int):
     yield fmix(value[new] ^ salt[each[new]]), rows[row[each[new]]], False
 
 
-def _ends(group: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest line of each group; (all ones, 0) where it has none."""
-    least, most = np.full(n, ~U64(0)), np.zeros(n, U64)
-    if len(group):
-        order = np.lexsort((line, group))
-        g, v = group[order], line[order]
-        first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        least[g[first]] = v[first]
-        most[g[first]] = v[np.append(first[1:], len(g)) - 1]
-    return least, most
-
-
-def _meeting(group: np.ndarray, line: np.ndarray, index: np.ndarray, n: int):
-    """Which entries meet an entry of the other kind and of another line; and the ends of each group by kind."""
-    a = _ends(group[index], line[index], n)
-    b = _ends(group[~index], line[~index], n)
-    has_a, has_b = a[0] <= a[1], b[0] <= b[1]
-    with_probe = has_b[group] & ((b[0][group] != line) | (b[1][group] != line))
-    with_index = has_a[group] & ((a[0][group] != line) | (a[1][group] != line))
-    return np.where(index, with_probe, with_index), a, b
-
-
-def _known_or_sent(name: np.ndarray, line: np.ndarray, index: np.ndarray):
-    """Entries that are known to meet and need not be sent on, and those to send: all that met none, and the ends."""
-    distinct, group = np.unique(name, return_inverse=True)
-    met, a, b = _meeting(group, line, index, len(distinct))
-    end = np.where(index, (a[0][group] == line) | (a[1][group] == line), (b[0][group] == line) | (b[1][group] == line))
-    return met & ~end, ~met | end
-
-
-def _place(name: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of a name, and the name as buckets know it: 32 bits beside the bucket's number."""
-    bucket = ((name >> U64(32)) % U64(buckets)).astype(np.int64)
-    return bucket, (bucket.astype(U64) << U64(32)) | (name & U64(0xFFFFFFFF))
+def _place(name: np.ndarray, buckets: int) -> np.ndarray:
+    """A name as buckets know it: the bucket's number, and 32 bits beside it."""
+    return (((name >> U64(32)) % U64(buckets)) << U64(32)) | (name & U64(0xFFFFFFFF))
+
+
+def _meeting(named: np.ndarray, line: np.ndarray, index: np.ndarray):
+    """Of entries sorted by name: which meet an entry of the other kind and of another line; and which are the least or
+    greatest line of their name and kind."""
+    first = np.flatnonzero(np.append(True, named[1:] != named[:-1]))
+    size = np.diff(np.append(first, len(named)))
+    top = ~U64(0)
+    met, end = np.zeros(len(named), bool), np.zeros(len(named), bool)
+    ends = []
+    for kind in (index, ~index):
+        least = np.repeat(np.minimum.reduceat(np.where(kind, line, top), first), size)
+        most = np.repeat(np.maximum.reduceat(np.where(kind, line, U64(0)), first), size)
+        ends.append((least, most))
+        end |= kind & ((line == least) | (line == most))
+    for kind, (least, most) in ((index, ends[1]), (~index, ends[0])):
+        met |= kind & (least <= most) & ((least != line) | (most != line))
+    return met, end
 
 
 _SENT = "bucket long, kind int, slice long, body binary"
 
 
-def _messages(bucket, named, line, index, known, sent, buckets: int, number: int, slices: int) -> pa.RecordBatch:
-    """Entries as messages: 0 and 1 are index and probe entries for a bucket, 2 and 3 known ones (on any task, below 0)."""
+def _messages(named, line, index, known, sent, buckets: int, number: int, slices: int) -> pa.RecordBatch:
+    """Entries, sorted by name, as messages: 0 and 1 are index and probe entries for a bucket, 2 and 3 known ones (on any
+    task, below 0)."""
+    bucket = (named >> U64(32)).astype(np.int64)
     out_bucket, out_kind, body = [], [], []
     for kind, some in ((0, sent & index), (1, sent & ~index), (2, known & index), (3, known & ~index)):
         at = np.flatnonzero(some)
         if not len(at):
             continue
+        names, lines, of = named[at].astype("<u8"), line[at].astype("<u8"), bucket[at]
         if kind >= 2:
             out_bucket.append(-1 - number % buckets), out_kind.append(kind)
-            body.append(named[at].astype("<u8").tobytes() + line[at].astype("<u8").tobytes())
+            body.append(names.tobytes() + lines.tobytes())
             continue
-        at = at[np.argsort(bucket[at], kind="stable")]
-        cut = np.flatnonzero(np.append(True, bucket[at][1:] != bucket[at][:-1]))
-        low, lines = named[at].astype("<u8").view("<u4")[::2], line[at].astype("<u8")
+        cut = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        low = np.ascontiguousarray(names.view("<u4")[::2])
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
-            out_bucket.append(int(bucket[at[lo]])), out_kind.append(kind)
+            out_bucket.append(int(of[lo])), out_kind.append(kind)
             body.append(low[lo:hi].tobytes() + lines[lo:hi].tobytes())
     n = len(out_bucket)
     return pa.RecordBatch.from_arrays(
@@ -278,17 +267,18 @@ def _send(reach: Reach, buckets: int, slices: int):
             keep = [x for x in dict.fromkeys(lines) if len(x) >= reach.shortest and x.strip(_BLANKS)]
             if not keep:
                 continue
-            x, line = Lines(keep), hashes(keep)[:, 0]
-            name, row, index = entries(x, np.arange(len(keep)), reach)
-            line = line[row]
-            known, sent = _known_or_sent(name, line, index)
-            yield _messages(*_place(name, buckets), line, index, known, sent, buckets, task + count * 7919, slices)
+            name, row, index = entries(Lines(keep), np.arange(len(keep)), reach)
+            named = _place(name, buckets)
+            order = np.argsort(named)
+            named, line, index = named[order], hashes(keep)[row[order], 0], index[order]
+            met, end = _meeting(named, line, index)
+            yield _messages(named, line, index, met & ~end, ~met | end, buckets, task + count * 7919, slices)
 
     return run
 
 
 def _unpacked(t: pa.Table):
-    """named, line, index and known of all entries of messages of one bucket."""
+    """named, line, index and known of all entries of messages of one bucket, sorted by name."""
     bucket = t["bucket"][0].as_py()
     named, lines, index, known = [], [], [], []
     for kind, body in zip(t["kind"].to_pylist(), t["body"].to_pylist()):
@@ -298,9 +288,14 @@ def _unpacked(t: pa.Table):
         lines.append(np.frombuffer(body, "<u8", n, offset=n * (width - 8)))
         index.append(np.full(n, kind % 2 == 0))
         known.append(np.full(n, kind >= 2))
-    out = [np.concatenate(v) for v in (named, lines, index, known)]
-    first = np.unique(np.rec.fromarrays(out[:3], names="k,l,i"), return_index=True)[1] if len(out[0]) else np.zeros(0, np.int64)
-    return [v[first] for v in out]
+    named, line, index, known = (np.concatenate(v) for v in (named, lines, index, known))
+    order = np.argsort(named)
+    return named[order].astype(U64), line[order].astype(U64), index[order], known[order]
+
+
+def _once(named: np.ndarray, line: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """One place of each distinct entry, in order."""
+    return np.sort(np.unique(fmix(named ^ fmix(line + U64(1))) ^ index.astype(U64), return_index=True)[1])
 
 
 def _slice_meets(buckets: int):
@@ -311,18 +306,22 @@ def _slice_meets(buckets: int):
         if bucket < 0:
             return t
         named, line, index, _ = _unpacked(t)
-        known, sent = _known_or_sent(named, line, index)
-        return pa.Table.from_batches([_messages(np.full(len(named), bucket), named, line, index, known, sent, buckets, bucket * 31 + t["slice"][0].as_py(), 1)])
+        once = _once(named, line, index)
+        named, line, index = named[once], line[once], index[once]
+        met, end = _meeting(named, line, index)
+        return pa.Table.from_batches([_messages(named, line, index, met & ~end, ~met | end, buckets, bucket * 31 + t["slice"][0].as_py(), 1)])
 
     return run
 
 
+@trimmed
 def _name(t: pa.Table) -> pa.Table:
     """Entries of a bucket that meet another line: ``key`` (the name with the bucket), ``line``, ``index``."""
     named, line, index, known = _unpacked(t)
-    distinct, group = np.unique(named, return_inverse=True)
-    met = known | _meeting(group, line, index, len(distinct))[0]
-    return pa.table({"key": named[met].view(np.int64), "line": line[met].astype(U64).view(np.int64), "index": pa.array(index[met])})
+    met = known if t["bucket"][0].as_py() < 0 else _meeting(named, line, index)[0]
+    named, line, index = named[met], line[met], index[met]
+    once = _once(named, line, index)
+    return pa.table({"key": named[once].view(np.int64), "line": line[once].view(np.int64), "index": pa.array(index[once])})
 
 
 _COLUMNS = 32
@@ -414,7 +413,7 @@ class _Names:
 
     def __init__(self, x: Lines, reach: Reach, buckets: int):
         name, row, index = entries(x, np.arange(len(x.size)), reach)
-        _, named = _place(name, buckets)
+        named = _place(name, buckets)
         self.probed = np.sort(self._pair(row[~index], named[~index]))
         order = np.argsort(row[index], kind="stable")
         self.named, rows = named[index][order], row[index][order]
@@ -447,7 +446,7 @@ def _verify(reach: Reach, buckets: int, width: int = 1 << 18):
         x = Lines(t["text"].take(pa.array(first)).to_pylist())
         names = _Names(x, reach, buckets)
         keys = t["key"].to_numpy()
-        group = np.unique(np.column_stack([keys, t["low"].to_numpy(), t["high"].to_numpy()]), axis=0, return_inverse=True)[1].ravel()
+        group = np.unique(fmix(keys.view(U64) ^ fmix((t["low"].to_numpy() * (1 << 31) + t["high"].to_numpy()).view(U64))), return_inverse=True)[1]
         index, block = t["index"].to_numpy(zero_copy_only=False), t["block"].to_numpy()
         across = t["low"].to_numpy() != t["high"].to_numpy()
         a, b = np.flatnonzero(index), np.flatnonzero(~index)
