@@ -1,16 +1,22 @@
 """Embedding near-dedup by dual traversal of cover trees.
 
-Vectors with equal components fall together first, so copies are one point with a weight. Each label's points are dealt
-to cells round pivots (the top level of the tree); two cells meet only where their covering radii allow a link, and a
-cell that is too full is dealt on to blocks. In a task, each side becomes a cover tree: nested levels of nodes, every
-level's radius half of the one above. Pairs of nodes are then walked together: a pair goes when its centres are further
-apart than both radii and the threshold, is taken whole when everything in it must link (counted by weights, never
-listed), and is opened otherwise. What reaches single points is decided by the cosine itself, in double precision.
+Vectors with equal components fall together first, so copies are one point with a weight. The upper levels of the tree
+are made over all tasks: a cell with too many points (at first a label's) gets pivots far apart, its points go to their
+nearest one, and so on down, every cell by itself and in chunks of bounded size. A point visits another cell only where
+its distance to the cell's pivot allows a link with a member; if it must link with all of them, the cell is told its
+weight and no visit is made; a cell whose members all must link is counted by its weight. So a vector is copied where it
+may link, not to all blocks of its label. In a task, the members of a cell and what meets them become cover trees: nested
+levels of nodes, every level's radius half of the one above. Pairs of nodes are walked together: a pair goes when its
+centres are further apart than both radii and the threshold, is taken whole when everything in it must link (counted by
+weights, never listed), and is opened otherwise. What reaches single points is decided by the cosine itself, in double
+precision. A task counts the links of the members of its cell only, so each link is counted once from each end.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +26,7 @@ from pyspark.sql import functions as F
 from cuelake.llm.bytesvec import trimmed
 from cuelake.llm.components import components
 from cuelake.llm.simhash import unite
-from cuelake.llm.store import table
+from cuelake.llm.store import drop, table
 
 _SLACK = 1e-7  # of a distance, for rounding: a pair within it is opened, not judged by bounds
 _CLOSE = 1e-11  # of a cosine, for rounding: a pair within it is decided by the formula itself
@@ -54,7 +60,7 @@ class CoverTree:
                 for a, b in zip(cuts, cuts[1:]):
                     node(a, b)
                 kids[at] = (first, len(centre))
-            elif hi - lo > 1 and radius[at] > 1e-9:
+            elif hi - lo > 1:
                 first = len(centre)
                 for a in range(lo, hi):
                     node(a, a + 1)
@@ -166,41 +172,106 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _meet(least: float):
+    """Links of the members of one cell (or a block of them) with what meets them there.
+
+    role 0: a member, 1: what it is compared with, 2: both.
+    """
+
     @trimmed
     def run(t: pa.Table) -> pa.Table:
-        side = t["side"].to_numpy()
+        role = t["role"].to_numpy()
         rep, weight, vec = t["rep"].to_numpy(), t["weight"].to_numpy(), _vectors(t["vec"])
-        order = np.lexsort((rep, side))
-        rep, weight, vec, side = rep[order], weight[order], vec[order], side[order]
-        n = int((side == 0).sum())
+        order = np.lexsort((rep, role))
+        rep, weight, vec, role = rep[order], weight[order], vec[order], role[order]
         unit = _unit(vec)
-        a = CoverTree(unit[:n])
-        b = a if n == len(rep) else CoverTree(unit[n:])
-        vec_b, weight_b = (vec, weight) if b is a else (vec[n:], weight[n:])
-        in_a, in_b, label = dual_links(a, b, vec[:n], vec_b, weight[:n], weight_b, least)
-        links = in_a if b is a else np.append(in_a, in_b)
-        some = links > 0
+        member, other = np.flatnonzero(role != 1), np.flatnonzero(role == 1)
+        links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        tree = CoverTree(unit[member])
+        pairs = [(other, None)]
+        if len(member) and role[member[0]] == 2:
+            pairs.append((member, tree))
+        for against, own in pairs:
+            if not len(member) or not len(against):
+                continue
+            b = CoverTree(unit[against]) if own is None else tree
+            some, _, joined = dual_links(tree, b, vec[member], vec[against], weight[member], weight[against], least)
+            links[member] += some
+            both = member if own is not None else np.append(member, against)
+            unite(label, both, both[joined])
+        # a member that meets itself as a role 1 has counted its own weight
+        self_at = np.searchsorted(rep[other], rep[member]) if len(other) else np.zeros(0, np.int64)
+        if len(other):
+            twin = rep[other][np.minimum(self_at, len(other) - 1)] == rep[member]
+            links[member] -= np.where(twin, weight[member], 0)
+        some = (links > 0) | (label != np.arange(len(rep)))
         return pa.table({"rep": rep[some], "links": links[some], "root": rep[label][some]})
 
     return run
 
 
-def _top_level(reps: DataFrame, block: int, most_pivots: int) -> dict:
-    """Pivots of each label with more than one block: a bounded sample of its points, kept as one array a label."""
-    sizes = {(r["label"], r["dim"]): r["n"] for r in reps.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
-    total = sum(sizes.values())
-    if not total:
-        return {}
-    want = {k: max(2, min(-(-n // block), most_pivots * n // total)) for k, n in sizes.items()}
-    share = min(1.0, max(4 * want[k] / sizes[k] for k in want))
-    drawn = reps.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    drawn = drawn.select("label", F.size("vec").alias("dim"), "rep", "vec").limit(8 * most_pivots).collect()
-    found: dict = {}
-    for r in sorted(drawn, key=lambda r: r["rep"]):
-        own = found.setdefault((r["label"], r["dim"]), [])
-        if (r["label"], r["dim"]) in want and len(own) < want[(r["label"], r["dim"])]:
-            own.append(r["vec"])
-    return {k: _unit(np.array(v, np.float64)) for k, v in found.items() if k in want and v}
+_CELL = ["label", "dim", "cell"]
+
+
+def _pivots(fan: int):
+    """Up to ``fan`` points of a sample of a cell, each as far from those before it as can be."""
+
+    @trimmed
+    def run(t: pa.Table) -> pa.Table:
+        rep, vec = t["rep"].to_numpy(), _vectors(t["vec"])
+        order = np.argsort(rep)
+        unit = _unit(vec[order])
+        far, chosen = _chord(unit @ unit[0]), [0]
+        while len(chosen) < min(fan, len(unit)) and far.max() > 1e-7:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, _chord(unit @ unit[chosen[-1]]))
+        k = len(chosen)
+        keys = [t[c].slice(0, 1).combine_chunks().take(pa.array([0] * k)) for c in _CELL]
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * unit.shape[1], pa.int32()), pa.array(unit[chosen].ravel()))
+        return pa.table([*keys, pa.array(np.arange(k), pa.int32()), pa.array(rep[order][chosen]), flat], names=[*_CELL, "no", "p_rep", "p_vec"])
+
+    return run
+
+
+@trimmed
+def _home(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Points of a chunk of a cell and the pivot each member is nearest to; visitors have none."""
+    place, far = np.full(left.num_rows, -1, np.int32), np.zeros(left.num_rows)
+    home = left["home"].to_numpy(zero_copy_only=False)
+    if home.any():
+        p = _vectors(right["p_vec"])[np.argsort(right["no"].to_numpy())]
+        cos = _unit(_vectors(left["vec"].filter(left["home"]))) @ p.T
+        place[home] = cos.argmax(axis=1)
+        far[home] = _chord(cos.max(axis=1))
+    return left.append_column("no", pa.array(place)).append_column("far", pa.array(far))
+
+
+def _visits(reach: float):
+    """What a chunk of a cell sends to other children of it: visitors (kind 0), and weights that link with all (kind 1)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = np.argsort(right["no"].to_numpy())
+        p, radius, child_rep = _vectors(right["p_vec"])[at], right["r"].to_numpy()[at], right["p_rep"].to_numpy()[at]
+        name = right["child"].combine_chunks().take(pa.array(at))
+        far = _chord(_unit(_vectors(left["vec"])) @ p.T) if left.num_rows else np.zeros((0, len(p)))
+        near = far <= np.minimum(far.min(axis=1, initial=2.0) + 2 * reach, 2.0)[:, None] + _SLACK
+        near &= far <= radius[None, :] + reach + _SLACK
+        own = left["no"].to_numpy()
+        some = np.flatnonzero(own >= 0)
+        near[some, np.searchsorted(np.sort(right["no"].to_numpy()), own[some])] = False
+        x, j = np.nonzero(near)
+        whole = (far[x, j] + radius[j] <= reach - _SLACK).astype(np.int32)
+        order = np.argsort(whole, kind="stable")
+        x, j, whole = x[order], j[order], whole[order]
+        sent = int((whole == 0).sum())
+        take = pa.array(x)
+        vec = left["vec"].combine_chunks()
+        vec = pa.concat_arrays([vec.take(pa.array(x[:sent])), pa.nulls(len(x) - sent, vec.type)])
+        return pa.table(
+            [left["label"].take(take), left["dim"].take(take), name.take(pa.array(j)), pa.array(whole), left["rep"].take(take), left["weight"].take(take), vec, pa.array(child_rep[j])],
+            names=[*_CELL, "kind", "rep", "weight", "vec", "p_rep"],
+        )
+
+    return trimmed(run)
 
 
 def embedding_dedup(
@@ -211,7 +282,8 @@ def embedding_dedup(
     label: str = "label",
     least: float = 0.98,
     block: int = 4096,
-    most_pivots: int = 1024,
+    fan: int = 64,
+    most_levels: int = 40,
 ) -> DataFrame:
     """``key, n_links, component_id, kept``: links are pairs of one label with a cosine of ``least`` or more.
 
@@ -219,6 +291,9 @@ def embedding_dedup(
     ``kept`` is true for that one. Rows with a null key or label, a null, empty or zero vector, or one with null or
     non-finite components link with nothing and are kept; vectors of different lengths don't link; repeated rows are
     copies of each other; no rows give no rows; other columns of the input play no part. Labels are integers.
+
+    No task holds more than ``block`` members of a cell and some twice as many points that meet them. Equal vectors are
+    told by two hashes.
     """
     v = F.col("vec")
     rows = vectors.select(
@@ -235,97 +310,109 @@ def embedding_dedup(
             F.lit(False),
         ),
     )
-    sound = rows.where("sound")
-    reps = table(spark, sound.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
-    pivots = _top_level(reps, block, most_pivots)
-    cells = {k: i for i, k in enumerate(sorted((*k, c) for k, p in pivots.items() for c in range(len(p))))}
-
-    def place(batches):
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            lab, vec = t["label"].to_pylist(), t["vec"].combine_chunks()
-            size = np.diff(np.asarray(vec.offsets))
-            cell, far = np.full(len(lab), -1, np.int32), np.zeros(len(lab))
-            where: dict = {}
-            for i, k in enumerate(zip(lab, size.tolist())):
-                where.setdefault(k, []).append(i)
-            for k, at in where.items():
-                if k in pivots:
-                    cos = _unit(_vectors(vec.take(pa.array(at)))) @ pivots[k].T
-                    best = cos.argmax(axis=1)
-                    cell[at] = [cells[(*k, int(c))] for c in best]
-                    far[at] = _chord(cos[np.arange(len(at)), best])
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("label", "rep", "weight", "vec")), pa.array(cell), pa.array(far)],
-                names=["label", "rep", "weight", "vec", "cell", "far"],
-            )
-
-    kind = reps.schema["label"].dataType.simpleString()
-    base = f"label {kind}, rep long, weight long, vec array<double>"
-    if pivots:
-        placed = table(spark, reps.select("label", F.col("rep").cast("long"), "weight", "vec").mapInArrow(place, base + ", cell int, far double"))
-        stats = {r["cell"]: (r["n"], r["r"]) for r in placed.where("cell >= 0").groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()}
-    else:
-        placed = reps.select("label", F.col("rep").cast("long"), "weight", "vec", F.lit(-1).alias("cell"))
-        stats = {}
-    meets, blocks = _plan(pivots, cells, stats, block, math.sqrt(2 - 2 * least))
-
-    def deal(batches):
-        for b in batches:
-            cell, rep = np.asarray(b.column(4)), np.asarray(b.column(1))
-            take, low, high, side = [], [], [], []
-            for i, (c, r) in enumerate(zip(cell.tolist(), rep.tolist())):
-                if c < 0:
-                    take.append(i), low.append(-1), high.append(-1), side.append(0)
-                    continue
-                own = blocks[c][0] + (r * 0x9E3779B97F4A7C15 >> 20) % blocks[c][1]
-                for d in meets[c]:
-                    for other in range(blocks[d][0], blocks[d][0] + blocks[d][1]):
-                        take.append(i), low.append(min(own, other)), high.append(max(own, other)), side.append(int(own > other))
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(pa.array(take, pa.int64())) for c in range(4)), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(side, pa.int32())],
-                names=["label", "rep", "weight", "vec", "low", "high", "side"],
-            )
-
-    dealt = placed.select("label", "rep", "weight", "vec", "cell").mapInArrow(deal, base + ", low long, high long, side int")
-    found = table(
-        spark,
-        dealt.withColumn("dim", F.size("vec")).groupBy("label", "dim", "low", "high").applyInArrow(_meet(least), "rep long, links long, root long"),
-    )
+    named = ["label", "dim", "h1", "h2"]
+    hashed = rows.where("sound").select("id", "label", F.size("vec").alias("dim"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(9), "vec").alias("h2"), "vec")
+    copies = hashed.groupBy(*named).agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
+    reps = table(spark, copies)
+    found = _links(spark, reps.select("label", "dim", "rep", "weight", "vec"), least, block, fan, most_levels)
     roots = components(spark, found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "l_rep")
     groups = table(
         spark,
-        reps.select(F.col("label").alias("g_label"), F.col("vec").alias("g_vec"), "rep", "weight")
-        .join(links.withColumnRenamed("rep", "l_rep"), F.col("rep") == F.col("l_rep"), "left")
+        reps.select(*[F.col(c).alias(f"g_{c}") for c in named], "rep", "weight")
+        .join(links, F.col("rep") == F.col("l_rep"), "left")
         .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("g_label", "g_vec", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id")),
+        .select(*[f"g_{c}" for c in named], (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id")),
     )
-    joined = sound.join(groups, (F.col("label") == F.col("g_label")) & (F.col("vec") == F.col("g_vec"))).select("id", "n_links", "component_id")
+    drop(spark, found)
+    drop(spark, reps)
+    same = reduce(and_, [F.col(c) == F.col(f"g_{c}") for c in named])
+    joined = hashed.drop("vec").join(groups, same).select("id", "n_links", "component_id")
     alone = rows.where("NOT sound").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return joined.union(alone).select(
         F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
 
 
-def _plan(pivots: dict, cells: dict, stats: dict, block: int, reach: float) -> tuple[dict, dict]:
-    """Which cells each cell meets, and the blocks (first, how many) of each."""
-    blocks, at = {}, 0
-    for c in sorted(stats):
-        many = -(-stats[c][0] // block)
-        blocks[c] = (at, many)
-        at += many
-    meets: dict = {c: [] for c in stats}
-    for k, p in pivots.items():
-        own = [cells[(*k, i)] for i in range(len(p))]
-        radius = np.array([stats.get(c, (0, -9.0))[1] for c in own])
-        near = _chord(p @ p.T) <= radius[:, None] + radius[None, :] + reach + _SLACK
-        for i, c in enumerate(own):
-            if c in stats:
-                meets[c] = [own[j] for j in np.flatnonzero(near[i]) if own[j] in stats]
-                if c not in meets[c]:
-                    meets[c].append(c)
-    return meets, blocks
+def _links(spark: SparkSession, points: DataFrame, least: float, block: int, fan: int, most_levels: int) -> DataFrame:
+    """Distinct points ``label, dim, rep, weight, vec`` -> a table ``rep, links, root``: weights linked, and a forest."""
+    reach = math.sqrt(2 - 2 * least)
+    kind = points.schema["label"].dataType.simpleString()
+    keys, point = f"label {kind}, dim int, cell string", "rep long, weight long, vec array<double>"
+    state = points.select("label", "dim", F.lit("").alias("cell"), F.lit(True).alias("home"), "rep", "weight", "vec")
+    cells = table(spark, state.groupBy(*_CELL).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("v"), F.lit(None).cast("long").alias("edge"), F.lit(False).alias("closed")))
+    leaves, credits, done = [], [], [cells]
+    for level in range(most_levels):
+        big = (F.col("n") > block) & ~F.col("closed")
+        if cells.where(big).isEmpty():
+            break
+        placed = state.join(cells, _CELL)
+        leaves.append(placed.where(~big))
+        full = placed.where(big).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil((F.col("n") + F.col("v")) / block)))
+        drawn = F.pmod(F.xxhash64("rep", F.lit(level)), F.col("n")) < 4 * fan  # about so many of a cell, however large
+        sample = full.where(F.col("home") & (drawn | (F.col("rep") == F.col("edge"))))
+        pivots = table(spark, sample.select(*_CELL, "rep", "vec").groupBy(*_CELL).applyInArrow(_pivots(fan), f"{keys}, no int, p_rep long, p_vec array<double>"))
+        dealt = cells.where(big).select(*_CELL, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("n") + F.col("v")) / block) - 1)).alias("chunk")).join(pivots, _CELL)
+        by_chunk = [*_CELL, "chunk"]
+        homes = table(
+            spark,
+            full.select(*by_chunk, "home", "rep", "weight", "vec").groupBy(*by_chunk).cogroup(dealt.groupBy(*by_chunk))
+            .applyInArrow(_home, f"{keys}, chunk long, home boolean, {point}, no int, far double"),
+        )
+        stats = homes.where("home").groupBy(*_CELL, "no").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max("far").alias("r"), F.max_by("rep", F.struct("far", "rep")).alias("edge"))
+        stats = table(spark, stats.withColumn("child", F.concat("cell", F.lit("."), F.col("no").cast("string"))))
+        known = dealt.join(stats.select(*_CELL, "no", "r", "child"), [*_CELL, "no"])
+        sent = table(
+            spark,
+            homes.select(*by_chunk, "rep", "weight", "vec", "no").groupBy(*by_chunk).cogroup(known.groupBy(*by_chunk))
+            .applyInArrow(_visits(reach), f"{keys}, kind int, {point}, p_rep long"),
+        )
+        # weights that link with every member of a cell, and cells whose members all link with each other
+        told = sent.where("kind = 1")
+        bonus = told.groupBy(*_CELL).agg(F.sum("weight").alias("links"), F.min("rep").alias("root"))
+        members = homes.where("home").select("label", "dim", F.concat("cell", F.lit("."), F.col("no").cast("string")).alias("cell"), F.lit(True).alias("home"), "rep", "weight", "vec")
+        closed = 2 * F.col("r") <= reach - _SLACK
+        shut = stats.where(closed & (F.col("n") > 1)).select("label", "dim", F.col("child").alias("cell"), "total").join(
+            pivots.select("label", "dim", F.concat("cell", F.lit("."), F.col("no").cast("string")).alias("cell"), "p_rep"), _CELL
+        )
+        credits += [
+            members.drop("vec").join(bonus, _CELL).select("rep", "links", "root"),
+            told.select("rep", F.lit(0).cast("long").alias("links"), F.col("p_rep").alias("root")),
+            members.drop("vec").join(shut, _CELL).select("rep", (F.col("total") - F.col("weight")).alias("links"), F.col("p_rep").alias("root")),
+        ]
+        visitors = sent.where("kind = 0").select(*_CELL, F.lit(False).alias("home"), "rep", "weight", "vec")
+        state = members.unionByName(visitors)
+        visits = visitors.groupBy(*_CELL).agg(F.count("*").alias("v"))
+        cells = stats.select("label", "dim", F.col("child").alias("cell"), "n", "edge", closed.alias("closed"))
+        cells = table(spark, cells.join(visits, _CELL, "left").select(*_CELL, "n", F.coalesce("v", F.lit(0)).alias("v"), "edge", "closed"))
+        done += [pivots, homes, stats, sent, cells]
+    leaves.append(state.join(cells, _CELL))
+    met = [_leaf(x, keys, point, least, block) for x in leaves]
+    out = table(spark, reduce(DataFrame.unionByName, [*met, *credits]))
+    for old in done:
+        drop(spark, old)
+    return out
+
+
+def _leaf(rows: DataFrame, keys: str, point: str, least: float, block: int) -> DataFrame:
+    """Members of cells against each other (unless their cell is closed) and against its visitors, in blocks."""
+    others = F.when(F.col("closed"), F.col("v")).otherwise(F.col("n") + F.col("v"))
+    x = rows.withColumn("_a", F.ceil(F.col("n") / block)).withColumn("_c", F.ceil(others / (2 * block))).where("_c > 0")
+    one = (F.col("_a") == 1) & (F.col("_c") == 1)
+    spread = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    task = lambda a, c, role: F.struct(a.cast("long").alias("a"), c.cast("long").alias("c"), F.lit(role).alias("role"))
+    as_member = F.transform(upto(F.col("_c")), lambda c: task(spread(F.col("_a"), 1), c, 0))
+    as_other = F.transform(upto(F.col("_a")), lambda a: task(a, spread(F.col("_c"), 2), 1))
+    zero = F.lit(0)
+    tasks = (
+        F.when(~F.col("home"), as_other)
+        .when(F.col("closed"), as_member)
+        .when(one, F.array(task(zero, zero, 2)))
+        .otherwise(F.concat(as_member, as_other))
+    )
+    dealt = x.select(*_CELL, "rep", "weight", "vec", F.explode(tasks).alias("t")).select(*_CELL, "rep", "weight", "vec", "t.*")
+    return dealt.groupBy(*_CELL, "a", "c").applyInArrow(_meet(least), "rep long, links long, root long")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -504,8 +504,8 @@ def brute_links(rows, least=0.98):
     return sorted(((r[0], links[n], least_key[int(label[n])] if n in ok else r[0]) for n, r in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("block", "pivots"), [(4096, 1024), (40, 64)])
-def test_embeddings(spark, block, pivots):
+@pytest.mark.parametrize(("block", "fan"), [(4096, 64), (40, 8), (12, 3)])
+def test_embeddings(spark, block, fan):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 8))
     rows = []
@@ -514,12 +514,49 @@ def test_embeddings(spark, block, pivots):
         rows.append((k, [float(np.float32(x * (3 if k % 7 == 0 else 1))) for x in v], int(rng.integers(3))))
     rows += [(900, None, 1), (901, [], 1), (902, [0.0] * 8, 1), (903, [float("nan")] * 8, 1), (904, [None] + [1.0] * 7, 1), (905, rows[0][1], None), (None, rows[0][1], 1), (906, [1.0, 2.0], 1), (907, [1.0, 2.0], 1), (3, *rows[3][1:])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"vec": F.lit("x"), "rep": F.lit(1)}).repartition(3)
-    got = embedding_dedup.embedding_dedup(spark, df, block=block, most_pivots=pivots).collect()
+    got = embedding_dedup.embedding_dedup(spark, df, block=block, fan=fan).collect()
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == brute_links(rows)
     assert all(r["kept"] == (r["vec_id"] is None or r["vec_id"] == r["component_id"]) for r in got)
     assert embedding_dedup.embedding_dedup(spark, df.limit(0)).count() == 0
 
 
+def test_embeddings_dense_and_tied(spark):
+    """Cells that must link as a whole, visitors that link with all of a cell, vectors of one direction, ties at the bound."""
+    rng = np.random.default_rng(7)
+    a, b = np.eye(6)[:2]
+    rows = [(k, (a * 3 + rng.normal(size=6) * 0.02).tolist(), 1) for k in range(120)]
+    rows += [(k, (a * 3 + b * rng.choice([0.1, 0.3, 0.6]) + rng.normal(size=6) * 0.01).tolist(), 1) for k in range(200, 300)]
+    rows += [(400 + k, (a * (k + 1)).tolist(), 2) for k in range(60)]
+    rows += [(500 + k, (a * 49 + b * 7 * (k % 2)).tolist(), 3) for k in range(4)]
+    turn = lambda t: [float(np.cos(t)), float(np.sin(t))]
+    rows += [(600 + k, turn(k * np.arccos(0.98)), 4) for k in range(40)]
+    rows += [(700, [0.98, 0.19899748742132398], 5), (701, [1.0, 0.0], 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    for block, fan in ((4096, 64), (30, 4)):
+        got = embedding_dedup.embedding_dedup(spark, df, block=block, fan=fan).collect()
+        assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == brute_links(rows)
+
+
+def test_embedding_groups_are_bounded(spark, monkeypatch):
+    """Many labels, each larger than a block: every one is split, and no task gets more than its share."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    rows = [(k, (centres[k % 60] + rng.normal(size=16) * 0.05).tolist(), k % 20) for k in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    sizes = []
+    leaf = embedding_dedup._leaf
+
+    def spy(x, keys, point, least, block):
+        a, c = F.ceil(F.col("n") / block), F.ceil(F.when(F.col("closed"), F.col("v")).otherwise(F.col("n") + F.col("v")) / (2 * block))
+        sizes.extend(r[0] for r in x.select(F.col("n") / a + F.col("v") / F.greatest(c, F.lit(1))).distinct().collect())
+        return leaf(x, keys, point, least, block)
+
+    monkeypatch.setattr(embedding_dedup, "_leaf", spy)
+    out = embedding_dedup.embedding_dedup(spark, df, block=50, fan=8)
+    assert len(sizes) > 1 and max(sizes) <= 3 * 50
+    assert out.count() == 4000
+
+
 def test_cover_tree():
     rng = np.random.default_rng(6)
     v = rng.normal(size=(500, 6))
