@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm.bytesvec import trimmed
-from cuelake.llm.components import components
-from cuelake.llm.simhash import unite
+from cuelake.llm.components import components, unite
 from cuelake.llm.store import drop, table
 
 _SLACK = 1e-7  # of a distance, for rounding: a pair within it is opened, not judged by bounds

@@ -95,7 +95,9 @@ def _fold(key: str, folds: int) -> Column:
 def fit(
     docs: DataFrame, text: str = "text", lang: str = "lang", most_texts: int = 3000, least_share: float = 1e-4
 ) -> Model:
-    """Learns from about ``most_texts`` texts of each language at most, drawn by a hash of the text.
+    """Learns from about ``most_texts`` distinct texts of each language at most, drawn by a hash of the text.
+
+    A text counts once however often it occurs, so a text that a third of all rows share is one text.
 
     A trigram is kept for a language if it makes up ``least_share`` or more of that language's trigrams, so a language
     has at most ``1 / least_share`` of them: the model's size depends on the number of languages only.
@@ -103,11 +105,13 @@ def fit(
     known = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(
         F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")
     )
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = known.withColumn("h", F.xxhash64("text", F.lit(3)))
+    sizes = {r["lang"]: max(1, r["n"]) for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not sizes:
         return Model({}, {})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, most_texts / n) * (1 << 30)))])
-    drawn = known.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) <= F.element_at(share, F.col("lang")))
+    drawn = known.where(F.pmod("h", F.lit(1 << 30)) <= F.element_at(share, F.col("lang")))
+    drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
 
     def count(batches):
         for b in pieces(batches, "text", 1 << 20):

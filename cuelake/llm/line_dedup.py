@@ -31,9 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm.bytesvec import U64, fmix, inverse, pieces, powers, ragged, strings, trimmed
-from cuelake.llm.components import components
-from cuelake.llm.simhash import unite
-from cuelake.llm.store import drop, table, text_bytes
+from cuelake.llm.components import components, unite
+from cuelake.llm.store import drop, table, text_bytes, text_hashes
 
 _M = U64(0x9DDFEA08EB382D69)
 _SALT = (U64(0xB492B66FBE98F273), U64(0x9AE16A3B2F90404F), U64(0xC3A5C85C97CB3127))
@@ -638,7 +637,7 @@ def line_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), *[h.alias(c) for c, h in zip(own, text_hashes(text))])
+    source = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), *text_hashes(text)[: len(own)])
     where = source.mapInArrow(run, ", ".join([f"id {kind}, line_no int, line long, second long", *[f"{c} long" for c in own]]))
     joined = where.join(near.withColumnRenamed("line", "near_line"), F.col("line") == F.col("near_line"), "left")
     placed = table(
@@ -671,12 +670,6 @@ def line_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     )
 
 
-def text_hashes(text: str) -> list:
-    """Two hashes of a text that tell rows of one key apart."""
-    c = F.col(f"`{text}`")
-    return [F.xxhash64(c), F.xxhash64(F.lit(9), c)]
-
-
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", reach: Reach = Reach()) -> DataFrame:
     """``docs`` with only the kept lines of each text, and all its columns; blank lines stay, and so do null texts.
 

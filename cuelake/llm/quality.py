@@ -142,15 +142,19 @@ def _labelled_statistics(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, most_rows: int = 20_000) -> Discriminant:
-    """Learns from about ``most_rows`` labelled rows at most, drawn by a hash of the key."""
+    """Learns from about ``most_rows`` labelled keys at most, drawn by a hash of the key.
+
+    A key counts once with each of its labels, and with one text (of several that with the least hash), however often it
+    is repeated on either side, so neither the sample nor what is sent to the workers grows with a key.
+    """
     known = labels.where(F.col("label").isNotNull() & F.col("label_key").isNotNull())
-    n = known.count()
+    n = known.agg(F.approx_count_distinct("label_key", 0.02)).first()[0]
     share = int(min(1.0, most_rows / max(1, n)) * (1 << 30))
-    drawn = known.where(F.pmod(F.xxhash64("label_key", F.lit(5)), F.lit(1 << 30)) <= share)
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(
-        F.broadcast(drawn), F.col("id") == F.col("label_key")
-    )
-    got = _labelled_statistics(rows).collect()
+    drawn = known.where(F.pmod(F.xxhash64("label_key", F.lit(5)), F.lit(1 << 30)) <= share).distinct()
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    found = rows.join(F.broadcast(drawn), F.col("id") == F.col("label_key"))
+    one = found.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = _labelled_statistics(one).collect()
     x = np.array([r["x"] for r in got], float).reshape(-1, len(STATISTICS))
     return Discriminant(x, np.array([r["label"] for r in got], int))
 
@@ -170,7 +174,7 @@ def quality(
 
     Learns from labels whose ``crc32(key) mod folds`` is not ``held``. Null texts are empty; empty texts are scored by
     the statistics of no words; rows with a null key are scored and not held out; null labels are not learned from;
-    repeated rows are scored alike, repeated labels count as often as they occur; without any label the score is 0.5.
+    repeated rows are scored alike, repeated rows and labels are learned from once; without any label the score is 0.5.
     No rows give no rows; other columns play no part.
     """
     fold = lambda c: F.crc32(c.cast("string")) % folds

@@ -1,8 +1,10 @@
-"""Registered queries of this subpackage and, where SQL can say the same, their DuckDB form."""
+"""Registered queries of this subpackage and, where SQL can say the same, their DuckDB form.
+
+The query ``pipeline`` is ``corpus_pipeline.run``, which the entry adds beside these: nothing here needs the root script.
+"""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from cuelake.llm.bpe import op4_bpe
 from cuelake.llm.embedding_dedup import op8_embedding_dedup
 from cuelake.llm.fingerprint import op5_fingerprints
@@ -26,7 +28,6 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op9_url_filter": URL_FILTER_SQL,

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm.bytesvec import U64, pieces, ragged, raw, trimmed, words
-from cuelake.llm.components import components
-from cuelake.llm.store import table
+from cuelake.llm.components import components, unite
+from cuelake.llm.store import table, text_hashes
 
 SEED = 42
 
@@ -51,22 +51,6 @@ def fingerprints(text, shingle: int = 3) -> np.ndarray:
     return out
 
 
-def unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Joins u[i] with v[i]; label always holds each node's smallest member."""
-    while True:
-        a, b = label[u], label[v]
-        apart = a != b
-        if not apart.any():
-            return
-        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label[:] = up
-
-
 def trie_links(a: np.ndarray, b: np.ndarray | None, max_bits: int, leaf: int = 12, width: int = 1 << 19):
     """Index pairs (into a, into b) of sorted distinct fingerprints that differ in at most ``max_bits`` bits, in parts.
 
@@ -131,7 +115,7 @@ def _walk(max_bits: int):
     return run
 
 
-def near_links(fps: DataFrame, count: int, max_bits: int = 2, subtree: int = 16384) -> DataFrame:
+def near_links(fps: DataFrame, count: int, max_bits: int = 2, subtree: int = 1 << 18) -> DataFrame:
     """Distinct ``fp bigint`` -> a forest ``u, v`` that connects what links within ``max_bits`` bits connect.
 
     ``count`` sets the depth of the subtrees, so that one has about ``subtree`` leaves. A fingerprint goes to the
@@ -152,8 +136,8 @@ def near_links(fps: DataFrame, count: int, max_bits: int = 2, subtree: int = 163
 
 
 def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, hashed: bool = False) -> DataFrame:
-    """``key, fp bigint`` for each row, made in the scan; hashed: and ``text_hash``, its ``xxhash64(text)``."""
-    more = ["text_hash"] if hashed else []
+    """``key, fp bigint`` for each row, made in the scan; hashed: and ``text_hash, text_hash2``."""
+    more = ["text_hash", "text_hash2"] if hashed else []
 
     def run(batches):
         for b in pieces(batches, "text", 1 << 20):
@@ -162,9 +146,8 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), *[F.xxhash64(F.col(f"`{text}`")).alias(c) for c in more]).mapInArrow(
-        run, ", ".join([f"id {kind}, fp long", *[f"{c} long" for c in more]])
-    )
+    source = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), *text_hashes(text)[: len(more)])
+    return source.mapInArrow(run, ", ".join([f"id {kind}, fp long", *[f"{c} long" for c in more]]))
 
 
 def simhash_dedup(
@@ -197,18 +180,18 @@ def _placed(spark: SparkSession, prints: DataFrame, max_bits: int) -> DataFrame:
 def simhash_firsts(
     spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2
 ) -> DataFrame:
-    """``id, text_hash, n``: for each component of ``simhash_dedup`` one pair of key and ``xxhash64(text)``, and its rows.
+    """``id, text_hash, text_hash2, n``: for each component of ``simhash_dedup`` one pair of key and text, and its rows.
 
-    It is the pair with the smallest key (nulls last), then the smallest hash. Whatever rows share, null keys and
+    It is the pair with the smallest key (nulls last), then the smallest hashes. Whatever rows share, null keys and
     repeated keys among it, only rows of one component compete.
     """
     prints = table(spark, simhash(docs, key, text, shingle, hashed=True))
     named = table(spark, _placed(spark, prints, max_bits).select("of", "root"))
-    pairs = prints.groupBy("id", "text_hash", "fp").agg(F.count("*").alias("n"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "n")
+    pairs = prints.groupBy("id", "text_hash", "text_hash2", "fp").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "text_hash2", "n")
     each = pairs.groupBy("fp").agg(F.min(order).alias("first"))
     firsts = each.join(named, each.fp == named.of).groupBy("root").agg(F.min("first").alias("first"))
-    return firsts.select("first.id", "first.text_hash", "first.n")
+    return firsts.select("first.id", "first.text_hash", "first.text_hash2", "first.n")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

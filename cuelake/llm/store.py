@@ -5,16 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests, local mode)."""
+    """The folder of ``spark.checkpoint.dir``; where none is set, a temporary one in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cuelake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cuelake-"))
         found = sc.getCheckpointDir()
     return found
 
@@ -39,5 +42,11 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
 
 
+def text_hashes(text: str) -> list[Column]:
+    """Two hashes of a text, ``text_hash`` and ``text_hash2``, that tell rows of one key (or without one) apart."""
+    c = F.col(f"`{text}`")
+    return [F.xxhash64(c).alias("text_hash"), F.xxhash64(F.lit(9), c).alias("text_hash2")]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -74,7 +74,9 @@ def test_spans_hash():
     assert h[0] == h[1] and h[0] != h[2] and h[4] == h[5] and len(set(h.tolist())) == 4
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rnd = random.Random(3)
     links = [(rnd.randint(-50, 400), rnd.randint(-50, 400)) for _ in range(250)] + [(1000, k) for k in range(2000, 2100)] + [(k, k + 1) for k in range(5000, 5060)] + [(7, 7)]
     root = {}
@@ -280,7 +282,7 @@ def brute_simhash(docs):
     for i in range(len(docs)):
         for j in range(i):
             if (fp[i] ^ fp[j]).bit_count() <= 2:
-                simhash.unite(label, np.array([i]), np.array([j]))
+                components.unite(label, np.array([i]), np.array([j]))
     least = defaultdict(lambda: None)
     for (k, _), c in zip(docs, label.tolist()):
         if k is not None:
@@ -496,7 +498,7 @@ def brute_links(rows, least=0.98):
             if i < j and rows[i][2] == rows[j][2] and len(ok[i]) == len(ok[j]) and float(ok[i] @ ok[j]) / (np.linalg.norm(ok[i]) * np.linalg.norm(ok[j])) >= least:
                 links[i] += 1
                 links[j] += 1
-                simhash.unite(label, np.array([i]), np.array([j]))
+                components.unite(label, np.array([i]), np.array([j]))
     least_key = {}
     for n in ok:
         c = int(label[n])
@@ -655,6 +657,29 @@ def test_stages_on_awkward_rows(spark, awkward):
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), DIR).count() == 0
 
 
+def test_language_stage(spark, documents):
+    """Letters in no order of a learned language go, whatever the row's own columns are called; clean documents stay."""
+    rnd = random.Random(3)
+    junk = [" ".join("".join(rnd.choice("qxzkwvjy") for _ in range(7)) for _ in range(60)), "ąęśćżźń " * 30]
+    extra = spark.createDataFrame([(10**9 + k, x, None, "s", len(x)) for k, x in enumerate(junk)], documents.schema)
+    docs = documents.unionByName(extra).withColumns({"score": F.lit("mine"), "lang_pred": F.lit(7)})
+    got = corpus_pipeline.known_language(spark, docs, DIR)
+    assert got.columns == docs.columns and {(r["score"], r["lang_pred"]) for r in got.collect()} == {("mine", 7)}
+    kept = {r["doc_id"] for r in got.collect()}
+    assert kept == {r["doc_id"] for r in documents.collect() if r["text"] and re.search(r"[^\W\d_]", r["text"])}
+
+
+def test_line_stage_by_row(spark):
+    """Null and repeated keys, rows of one key with different texts, repeated rows: only repeated lines go."""
+    docs = [(1, "xx line\nunique y"), (1, "zz line\nxx line"), (None, "p1\nq1"), (None, "r1\np1"), (None, "p1\nq1"), (2, ""), (3, None), (None, None)]
+    df = spark.createDataFrame([(k, t, "s", len(t or "")) for k, t in docs], "doc_id long, text string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.line_dedup(spark, df, DIR).collect()
+    assert len(got) == len(docs) and all(r["n_chars"] == len(r["text"]) for r in got if r["text"] is not None)
+    left = Counter(x for r in got if r["text"] for x in r["text"].split("\n"))
+    assert set(left) == {"xx line", "unique y", "zz line", "p1", "q1", "r1"} and left["unique y"] == left["zz line"] == left["r1"] == 1
+    assert left["xx line"] == 1 and left["p1"] <= 2 and left["q1"] <= 2
+
+
 def test_near_dedup_by_row(spark):
     rnd = random.Random(8)
     a, b, c, d, e, f = (" ".join(sha(str(rnd.random()))[:7] for _ in range(40)) for _ in range(6))
