@@ -69,10 +69,21 @@ def overlap_ratio(text: Column, other: Column) -> Column:
     return _let(sets, lambda x: shared(x["a"], x["b"]))
 
 
-def text_em(text: Column) -> Column:
-    """Width by the fallback rule: half an em for printable ASCII, one em for the rest."""
+def text_em(text: Column, widths: dict[str, float] | None = None) -> Column:
+    """Width by the fallback rule, half an em for printable ASCII and one em for the rest, but for characters in ``widths``.
+
+    Characters of one width are counted together, so a whole font is a few expressions.
+    """
     narrow = F.length(F.regexp_replace(text, r"[^\x20-\x7E]", ""))
-    return F.length(text) - narrow * 0.5
+    out = F.length(text) - narrow * 0.5
+    other: dict[float, str] = {}
+    for c, em in sorted((widths or {}).items()):
+        more = em - (0.5 if " " <= c <= "~" else 1.0)
+        if more:
+            other[more] = other.get(more, "") + c
+    for more, chars_ in sorted(other.items()):
+        out = out + (F.length(text) - F.length(F.translate(text, chars_, ""))) * F.lit(more)
+    return out
 
 
 def escape_ass(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.operators.sequence import ordered_text
+
 # Language tags.
 JAPANESE = ["jpn", "ja"]
 CHINESE = ["chi", "zh", "chs", "cht", "zh-cn", "zh-tw", "zh-hans", "zh-hant"]
@@ -125,11 +127,65 @@ def candidates(tokens: DataFrame, most: int = 40, least_chars: int = 2) -> DataF
     return top_keys(ok, ["folder"], "surface", ["pos"], most).join(first, ["folder", "surface"]).select("folder", "surface", "reading", "n", "rank")
 
 
+# Lines that part a dictionary file, and the notes in it.
+CANDIDATE_MARK = "# ==== 候选（脚本自动生成，每次运行重写这一段）===="
+OWN_MARK = "# ==== 我的词典（你自己写，脚本不会动这一段）===="
+DICTIONARY_HEAD = [
+    "# furigana_dict.txt —— 日语注音用的人名/专有名词读音表",
+    "# 用法：一行一条，左边写字幕里原样的字，右边写平假名读音，中间用 Tab 隔开。",
+    "#   例：小玉<Tab>たま",
+    "# 片假名不用写（片假名会自动转写成平假名，100% 准）；# 开头的行都是注释，不生效。",
+    "# 改完直接跑流水线就行，词典每次运行都会重新读。",
+]
+CANDIDATE_NOTES = [
+    "# 下面是从本片字幕里挑出的含汉字固有名詞（括号里是字典给的读音，可能是错的）。",
+    "# 核对后把行首的 # 去掉、把读音改对，它就成了生效条目；排在前面的是出现次数多的。",
+]
+NO_CANDIDATES = "# （本次没挑到含汉字的固有名詞）"
+
+
 def dictionary_update(found: DataFrame, defined: DataFrame) -> DataFrame:
     """Candidate section of each folder's dictionary, without what the dictionary defines: ``folder, n, section``."""
     open_ = found.join(defined, ["folder", "surface"], "left_anti")
     line = F.concat(F.lit("#"), "surface", F.lit("\t"), "reading", F.lit("\t出现 "), F.col("n").cast("string"), F.lit(" 次"))
-    return open_.groupBy("folder").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("section"))
+    return open_.groupBy("folder").agg(F.count("*").alias("n"), ordered_text(line, "rank", sep="\n").alias("section"))
+
+
+def dictionary_files(files: DataFrame, found: DataFrame) -> DataFrame:
+    """Dictionary files ``folder, body`` (null: none yet) with fresh candidates: ``folder, n, body, changed``.
+
+    What precedes the mark of the candidates stays as the user wrote it; candidates that it defines are left out; only
+    rows that ``changed`` need be written. found: ``folder, surface, reading, n, rank``.
+    """
+    from cuelake.sources.texts import dictionary, lines_of
+
+    fresh = "\n".join([*DICTIONARY_HEAD, "", OWN_MARK, ""])
+    own = F.concat(F.regexp_replace(F.substring_index("body", CANDIDATE_MARK, 1), r"(?U)\s+$", ""), F.lit("\n"))
+    kept = files.withColumn("keep", F.when(F.col("body").isNull(), F.lit(fresh)).otherwise(own))
+    defined = dictionary(lines_of(kept, "folder", "keep")).select(F.col("file").alias("folder"), "surface")
+    x = kept.join(dictionary_update(found, defined), "folder", "left")
+    section = F.concat_ws("\n", F.lit(CANDIDATE_MARK), *map(F.lit, CANDIDATE_NOTES), F.coalesce("section", F.lit(NO_CANDIDATES)))
+    new = F.concat("keep", F.lit("\n"), section, F.lit("\n"))
+    return x.select("folder", F.coalesce("n", F.lit(0)).alias("n"), new.alias("new"), "body").select(
+        "folder", "n", F.col("new").alias("body"), (~F.col("body").eqNullSafe(F.col("new"))).alias("changed")
+    )
+
+
+def tag_plan(tracks: DataFrame) -> DataFrame:
+    """Edits of a new container ``path, pos, kind, track_id, language``: ``path, track, property, value``.
+
+    The first subtitle is the new one: Japanese, named and default; the first Chinese one is default no longer. Tracks
+    count from 1 in an edit.
+    """
+    subs = tracks.where(F.col("kind") == "subtitles")
+    chinese = F.min_by("track_id", F.when(F.lower("language").isin(CHINESE), F.col("pos"))).alias("chinese")
+    picked = subs.groupBy("path").agg(F.min_by("track_id", "pos").alias("new"), chinese)
+    edit = lambda track, name, value: F.struct((track + 1).alias("track"), F.lit(name).alias("property"), F.lit(value).alias("value"))
+    edits = [("language", "jpn"), ("name", "Japanese"), ("flag-default", "yes")]
+    new = F.array(*[edit(F.col("new"), name, value) for name, value in edits])
+    old = F.when(F.col("chinese").isNotNull(), F.array(edit(F.col("chinese"), "flag-default", "no")))
+    both = F.when(F.col("chinese").isNotNull(), F.concat(new, old)).otherwise(new)
+    return picked.select("path", F.explode(both).alias("e")).select("path", "e.*")
 
 
 def review_flags(cues: DataFrame, longest: int = 8_000_000, most_chars: int = 24) -> DataFrame:

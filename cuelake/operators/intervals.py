@@ -3,7 +3,9 @@
 Times are microseconds (bigint). Every join has the episode and a time bucket as equality keys, so Spark plans a sort
 merge or hash join with a residual instead of a product: both sides list the buckets they touch, and a pair is kept only
 in the first bucket that both touch, which makes it appear once without a distinct. ``bucket_us`` should be about the
-usual interval length. Ties are decided by ordinals inside a struct, so results don't depend on partitioning.
+usual interval length. An interval over more than ``MOST_BUCKETS`` buckets is listed by buckets ``COARSE`` times as long
+instead, and meets short ones there; so no interval, however long, becomes many rows, and short ones never meet each other
+in a long bucket. Ties are decided by ordinals inside a struct, so results don't depend on partitioning.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
+MOST_BUCKETS, COARSE = 64, 4096
+# Microseconds, and a share.
 GAP_TOLERANCE = 600_000
 SNAP_TOLERANCE = 600_000
 KEEP_SLICE = 20_000
@@ -32,24 +36,33 @@ def overlap_join(
     bucket_us: int = HOUR,
 ) -> DataFrame:
     """Pairs of one episode whose closed spans meet. Column names of the sides must differ, but for ``ep``."""
-    a = (
-        left.withColumn("_lo", left_span[0])
-        .withColumn("_hi", left_span[1])
-        .withColumn("_b", F.explode(F.sequence(_bucket(F.col("_lo"), bucket_us), F.greatest(_bucket(F.col("_hi"), bucket_us), _bucket(F.col("_lo"), bucket_us)))))
-    )
-    b = (
-        right.withColumn("_rlo", right_span[0])
-        .withColumn("_rhi", right_span[1])
-        .withColumn("_b", F.explode(F.sequence(_bucket(F.col("_rlo"), bucket_us), F.greatest(_bucket(F.col("_rhi"), bucket_us), _bucket(F.col("_rlo"), bucket_us)))))
-    )
-    first = F.greatest(_bucket(F.col("_lo"), bucket_us), _bucket(F.col("_rlo"), bucket_us))
+    a, b = left.withColumns({"_lo": left_span[0], "_hi": left_span[1]}), right.withColumns({"_rlo": right_span[0], "_rhi": right_span[1]})
+    # 0: short with short; 1: a long left with any right; 2: a short left with a long right
+    a = _listed(a, F.col("_lo"), F.col("_hi"), bucket_us, (0, 2), (1,))
+    b = _listed(b, F.col("_rlo"), F.col("_rhi"), bucket_us, (0, 1), (1, 2))
+    width = F.when(F.col("_b.role") == 0, F.lit(bucket_us)).otherwise(F.lit(bucket_us * COARSE))
+    first = F.floor(F.greatest("_lo", "_rlo") / width).cast("bigint")
     return (
         a.join(b, [ep, "_b"])
-        .where((F.col("_lo") <= F.col("_rhi")) & (F.col("_rlo") <= F.col("_hi")) & (F.col("_b") == first))
+        .where((F.col("_lo") <= F.col("_rhi")) & (F.col("_rlo") <= F.col("_hi")) & (F.col("_b.at") == first))
         .drop("_lo", "_hi", "_rlo", "_rhi", "_b")
     )
 
 
+def _listed(rows: DataFrame, lo: Column, hi: Column, bucket_us: int, short: tuple[int, int], long: tuple[int, ...]) -> DataFrame:
+    """A row for each bucket that ``lo .. hi`` touches, as ``_b (role, at)``: fine ones for the first role of a short
+    interval, coarse ones for all others."""
+
+    def places(width: int, role: int) -> Column:
+        upto = F.sequence(_bucket(lo, width), F.greatest(_bucket(hi, width), _bucket(lo, width)))
+        return F.transform(upto, lambda at: F.struct(F.lit(role).alias("role"), at.alias("at")))
+
+    coarse = bucket_us * COARSE
+    many = _bucket(hi, bucket_us) - _bucket(lo, bucket_us) >= MOST_BUCKETS
+    of_long = F.concat(*[places(coarse, r) for r in long]) if len(long) > 1 else places(coarse, long[0])
+    return rows.withColumn("_b", F.explode(F.when(many, of_long).otherwise(F.concat(places(bucket_us, short[0]), places(coarse, short[1])))))
+
+
 def assign_intervals(words: DataFrame, intervals: DataFrame, tolerance: int = GAP_TOLERANCE, bucket_us: int = HOUR) -> DataFrame:
     """words ``ep, i, s, e`` and intervals ``ep, j, cs, ce``: adds ``owner`` (j or null) to each word.
 

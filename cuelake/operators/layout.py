@@ -1,7 +1,9 @@
-"""Screen layout and subtitle sinks, with the fallback character widths."""
+"""Screen layout and subtitle sinks. Character widths are a font's, or those of the fallback rule."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,78 +12,134 @@ from cuelake.operators.sequence import ordered_text
 
 # Sizes as shares of the height of the screen, of the main size, or of the width.
 MAIN, RUBY, RUBY_LEAST, BOTTOM, MARGIN = 60 / 1080, 27 / 60, 0.30, 50 / 1080, 0.0208
+MAIN_LEAST, MAIN_SHRUNK, RUBY_SMALLEST, EDGE, RISE = 20, 24, 12, 6.0, 1.25
+
+
+class Font(NamedTuple):
+    """A font's name in the file, widths in em that differ from the fallback rule, and pixels drawn for one asked for."""
+
+    name: str = "MS Gothic"  # its characters have the widths of the fallback rule
+    widths: dict[str, float] | None = None
+    scale: float = 1.0
+
+
+class Screen(NamedTuple):
+    """Size of the picture, the font, and sizes that override the usual ones."""
+
+    width: int = 1920
+    height: int = 1080
+    font: Font = Font()
+    main_px: int | None = None
+    bottom_px: int | None = None
 
+    def em(self, text: Column | str) -> Column:
+        return text_em(F.col(text) if isinstance(text, str) else text, self.font.widths)
 
-def sizes(width: int, height: int) -> dict[str, int]:
+    @property
+    def base(self) -> dict[str, int]:
+        return sizes(self.width, self.height, self.main_px, self.bottom_px)
+
+
+def sizes(width: int, height: int, main_px: int | None = None, bottom_px: int | None = None) -> dict[str, int]:
     """Main and ruby size, side margin, characters a line, bottom margin; halves go to the even number."""
-    main = max(20, round(height * MAIN))
+    main = max(MAIN_LEAST, main_px or round(height * MAIN))
     margin = round(width * MARGIN)
-    return {"main": main, "ruby": max(12, round(main * RUBY)), "margin": margin, "chars": max(8, (width - 2 * margin) // main), "bottom": round(height * BOTTOM)}
+    return {
+        "main": main, "ruby": max(RUBY_SMALLEST, round(main * RUBY)), "margin": margin,
+        "chars": max(8, (width - 2 * margin) // main), "bottom": bottom_px if bottom_px is not None else round(height * BOTTOM),
+    }
 
 
-def plan_layout(cues: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
+def plan_layout(cues: DataFrame, screen: Screen = Screen()) -> DataFrame:
     """``ep, widest, main, ruby``: one size an episode, smaller where its widest cue would not fit."""
-    base = sizes(width, height)
-    room = width - 2 * base["margin"]
-    w = cues.groupBy("ep").agg(F.coalesce(F.max(text_em(F.col("text"))), F.lit(0.0)).alias("widest"))
+    base = screen.base
+    room = screen.width - 2 * base["margin"]
+    w = cues.groupBy("ep").agg(F.coalesce(F.max(screen.em("text")), F.lit(0.0)).alias("widest"))
     tight = F.col("widest") * base["main"] > room
-    main = F.when(tight, F.greatest(F.lit(24), F.floor(room / F.nullif("widest", F.lit(0.0))))).otherwise(F.lit(base["main"])).cast("int")
-    return w.select("ep", "widest", main.alias("main"), F.when(tight, F.greatest(F.lit(12), F.floor(main * RUBY))).otherwise(F.lit(base["ruby"])).cast("int").alias("ruby"))
+    shrunk = F.greatest(F.lit(MAIN_SHRUNK), F.floor(room / F.nullif("widest", F.lit(0.0))))
+    main = F.when(tight, shrunk).otherwise(F.lit(base["main"])).cast("int")
+    ruby = F.when(tight, F.greatest(F.lit(RUBY_SMALLEST), F.floor(main * RUBY))).otherwise(F.lit(base["ruby"])).cast("int")
+    return w.select("ep", "widest", main.alias("main"), ruby.alias("ruby"))
+
+
+def ruby_size(width: Column, span_px: Column, main: Column, size: Column) -> Column:
+    """Smaller where a reading, ``width`` em wide, is wider than what it stands over, but not below ``RUBY_LEAST`` of the main size."""
+    fits = (span_px <= 0) | (width * size <= span_px)
+    return F.when(fits, size).otherwise(F.greatest(F.floor(main * RUBY_LEAST), F.floor(span_px / width)))
+
+
+def _line(style: str, tag: Column, text: Column) -> Column:
+    times = [F.lit("Dialogue: 0,"), ass_time(F.col("s")), F.lit(","), ass_time(F.col("e"))]
+    return F.concat(*times, F.lit(f",{style},,0,0,0,,"), tag, escape_ass(text))
+
+
+def _main_line(screen: Screen) -> Column:
+    """The dialogue line of a planned cue, centred by the width of its text."""
+    x = (F.lit(screen.width) - screen.em("text") * F.col("main")) / 2
+    y = (F.lit(screen.height - screen.base["bottom"]) - F.col("main")).cast("double")
+    return _line("JP", F.format_string("{\\an7\\pos(%.1f,%.1f)}", x, y), F.col("text"))
+
+
+def _ruby_lines(planned: DataFrame, spans: DataFrame, screen: Screen) -> DataFrame:
+    """Planned cues with their spans: adds ``offset`` and ``line``."""
+    x = planned.join(spans, ["ep", "i"])
+    em = screen.em("text")
+    left = (F.lit(screen.width) - em * F.col("main")) / 2 + screen.em(F.expr("substring(text, 1, offset)")) * F.col("main")
+    x = x.withColumn("left", left).withColumn("span_w", screen.em(F.expr("substring(text, offset + 1, length)")) * F.col("main"))
+    x = x.withColumn("rs", ruby_size(screen.em("ruby_text"), F.col("span_w"), F.col("main"), F.col("ruby")))
+    x = x.withColumn("rw", screen.em("ruby_text") * F.col("rs"))
+    centred = F.col("left") + (F.col("span_w") - F.col("rw")) / 2
+    rx = F.least(F.greatest(centred, F.lit(EDGE)), F.lit(screen.width) - F.col("rw") - EDGE)
+    top = (F.lit(screen.height - screen.base["bottom"]) - F.col("main") - F.floor(F.col("ruby") * RISE)).cast("double")
+    own_size = F.format_string("\\fs%.1f", F.col("rs").cast("double") / F.lit(screen.font.scale))
+    shrunk = F.when(F.col("rs") == F.col("ruby"), F.lit("")).otherwise(own_size)
+    tag = F.concat(F.format_string("{\\an7\\pos(%.1f,%.1f)", rx, top), shrunk, F.lit("}"))
+    return x.withColumn("line", _line("RB", tag, F.col("ruby_text")))
 
 
-def ruby_size(ruby: Column, span_px: Column, main: Column, size: Column) -> Column:
-    """Smaller where a reading is wider than what it stands over, but not below ``RUBY_LEAST`` of the main size."""
-    w = text_em(ruby)
-    return F.when((span_px <= 0) | (w * size <= span_px), size).otherwise(F.greatest(F.floor(main * RUBY_LEAST), F.floor(span_px / w)))
+def _planned(cues: DataFrame, screen: Screen) -> DataFrame:
+    return cues.join(plan_layout(cues, screen), "ep")
 
 
-def main_events(cues: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
+def main_events(cues: DataFrame, screen: Screen = Screen()) -> DataFrame:
     """``ep, i, line``: one dialogue line a cue, centred by the width of its text."""
-    plan = plan_layout(cues, width, height)
-    bottom = sizes(width, height)["bottom"]
-    x = cues.join(plan, "ep").withColumn("x0", (F.lit(width) - text_em(F.col("text")) * F.col("main")) / 2)
-    place = F.format_string("{\\an7\\pos(%.1f,%.1f)}", "x0", (F.lit(height - bottom) - F.col("main")).cast("double"))
-    return x.select("ep", "i", F.concat(F.lit("Dialogue: 0,"), ass_time(F.col("s")), F.lit(","), ass_time(F.col("e")), F.lit(",JP,,0,0,0,,"), place, escape_ass(F.col("text"))).alias("line"))
-
-
-def ruby_events(cues: DataFrame, spans: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
-    """``ep, i, offset, line`` for each ruby span ``ep, i, offset, length, ruby``: centred over its characters, kept on the screen."""
-    bottom = sizes(width, height)["bottom"]
-    x = cues.join(plan_layout(cues, width, height), "ep").join(spans, ["ep", "i"])
-    em = text_em(F.col("text"))
-    left = (F.lit(width) - em * F.col("main")) / 2 + text_em(F.expr("substring(text, 1, offset)")) * F.col("main")
-    x = x.withColumn("left", left).withColumn("span_w", text_em(F.expr("substring(text, offset + 1, length)")) * F.col("main"))
-    x = x.withColumn("rs", ruby_size(F.col("ruby_text"), F.col("span_w"), F.col("main"), F.col("ruby")))
-    x = x.withColumn("rw", text_em(F.col("ruby_text")) * F.col("rs"))
-    rx = F.least(F.greatest(F.col("left") + (F.col("span_w") - F.col("rw")) / 2, F.lit(6.0)), F.lit(width) - F.col("rw") - 6.0)
-    top = (F.lit(height - bottom) - F.col("main") - F.floor(F.col("ruby") * 1.25)).cast("double")
-    shrunk = F.when(F.col("rs") == F.col("ruby"), F.lit("")).otherwise(F.format_string("\\fs%.1f", F.col("rs").cast("double")))
-    tag = F.concat(F.format_string("{\\an7\\pos(%.1f,%.1f)", rx, top), shrunk, F.lit("}"))
-    return x.select("ep", "i", "offset", F.concat(F.lit("Dialogue: 0,"), ass_time(F.col("s")), F.lit(","), ass_time(F.col("e")), F.lit(",RB,,0,0,0,,"), tag, escape_ass(F.col("ruby_text"))).alias("line"))
+    return _planned(cues, screen).select("ep", "i", _main_line(screen).alias("line"))
+
+
+def ruby_events(cues: DataFrame, spans: DataFrame, screen: Screen = Screen()) -> DataFrame:
+    """``ep, i, offset, line`` for each ruby span ``ep, i, offset, length, ruby_text``: centred over its characters, kept on the screen."""
+    return _ruby_lines(_planned(cues, screen), spans, screen).select("ep", "i", "offset", "line")
 
 
-FONT = "MS Gothic"  # its characters have the widths of the fallback rule
+def ass_head(screen: Screen, main: Column, ruby: Column) -> Column:
+    """Everything above the events; ``main`` and ``ruby`` are the episode's sizes in pixels."""
+    columns = (
+        "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, "
+        "ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
+    )
 
+    def style(name: str, size: Column, outline: int) -> Column:
+        colours = "&H00FFFFFF,&H000000FF,&H00000000,&H7F000000"
+        form = f"Style: {name},{screen.font.name},%.1f,{colours},-1,0,0,0,100,100,0,0,1,{outline},0,7,0,0,0,1"
+        return F.format_string(form, size.cast("double") / F.lit(screen.font.scale))
 
-def ass_head(width: int, height: int, main: Column, ruby: Column) -> Column:
-    """Everything above the events; ``main`` and ``ruby`` are the episode's sizes."""
-    columns = "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
-    style = lambda name, size, outline: F.format_string(f"Style: {name},{FONT},%.1f,&H00FFFFFF,&H000000FF,&H00000000,&H7F000000,-1,0,0,0,100,100,0,0,1,{outline},0,7,0,0,0,1", size.cast("double"))
-    return F.concat_ws(
-        "\n", F.lit("[Script Info]"), F.lit("ScriptType: v4.00+"), F.lit(f"PlayResX: {width}"), F.lit(f"PlayResY: {height}"), F.lit("WrapStyle: 2"), F.lit("ScaledBorderAndShadow: yes"), F.lit("YCbCr Matrix: TV.601"), F.lit(""),
-        F.lit("[V4+ Styles]"), F.lit(f"Format: {columns}"), style("JP", main, 3), style("RB", ruby, 2), F.lit(""), F.lit("[Events]"), F.lit("Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"),
-    )
+    fixed = [
+        "[Script Info]", "ScriptType: v4.00+", f"PlayResX: {screen.width}", f"PlayResY: {screen.height}", "WrapStyle: 2",
+        "ScaledBorderAndShadow: yes", "YCbCr Matrix: TV.601", "", "[V4+ Styles]", f"Format: {columns}",
+    ]
+    events = ["", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"]
+    return F.concat_ws("\n", *map(F.lit, fixed), style("JP", main, 3), style("RB", ruby, 2), *map(F.lit, events))
 
 
-def ass_texts(cues: DataFrame, spans: DataFrame | None = None, width: int = 1920, height: int = 1080) -> DataFrame:
+def ass_texts(cues: DataFrame, spans: DataFrame | None = None, screen: Screen = Screen()) -> DataFrame:
     """``ep, ass``: one subtitle file's text an episode; each cue's line is followed by those of its ruby spans."""
-    lines = main_events(cues, width, height).select("ep", "i", F.lit(-1).alias("offset"), "line")
+    planned = _planned(cues, screen)
+    keep = ["ep", "main", "ruby", "s", "i", "offset", "line"]
+    lines = planned.withColumns({"offset": F.lit(-1), "line": _main_line(screen)}).select(*keep)
     if spans is not None:
-        lines = lines.unionByName(ruby_events(cues, spans, width, height))
-    ordered = lines.join(cues.select("ep", "i", "s"), ["ep", "i"])
-    body = ordered.groupBy("ep").agg(ordered_text("line", "s", "i", "offset", sep="\n").alias("body"))
-    plan = plan_layout(cues, width, height)
-    return body.join(plan, "ep").select("ep", F.concat(ass_head(width, height, F.col("main"), F.col("ruby")), F.lit("\n"), "body", F.lit("\n")).alias("ass"))
+        lines = lines.unionByName(_ruby_lines(planned, spans, screen).select(*keep))
+    body = lines.groupBy("ep", "main", "ruby").agg(ordered_text("line", "s", "i", "offset", sep="\n").alias("body"))
+    return body.select("ep", F.concat(ass_head(screen, F.col("main"), F.col("ruby")), F.lit("\n"), "body", F.lit("\n")).alias("ass"))
 
 
 def srt_blocks(cues: DataFrame) -> DataFrame:

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuelake.functions.text import strip
+from cuelake.functions.text import one_line, strip
 
 TIME = r"(\d+):(\d{2}):(\d{2})[,.](\d{1,3})\s*-->\s*(\d+):(\d{2}):(\d{2})[,.](\d{1,3})"
 
 
+MEDIA = r"(?i)\.(mkv|mka)$"
+
+
 def media_files(spark: SparkSession, root: str, pattern: str = "*.[mM][kK][vV]") -> DataFrame:
-    """``path, folder, name, stem, suffix, bytes`` of files below ``root``; contents are never read; brackets in ``root`` are plain."""
+    """``path, folder, name, stem, suffix, bytes`` of files below ``root``, or of ``root`` itself if it is one ``.mkv`` or ``.mka``.
+
+    Contents are never read; brackets in ``root`` are plain; files and folders that begin with ``.`` or ``_`` are hidden.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    one = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
     for c in "[]{}*?":
         root = root.replace(c, f"\\{c}")
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    scan = spark.read.format("binaryFile")
+    f = scan.load(root) if one else scan.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     name = F.element_at(F.split("path", "/"), -1)
-    return f.select(
+    return f.where(F.col("path").rlike(MEDIA) | F.lit(not one)).select(
         "path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
         F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("suffix"), F.col("length").alias("bytes"),
     )
@@ -94,6 +104,12 @@ def probe_streams(probes: DataFrame) -> DataFrame:
     return x.select("path", "x.index", "x.codec_type", "x.codec_name", F.lower(F.col("x.tags")["language"]).alias("language"), F.col("x.tags")["title"].alias("title"), F.col("x.tags")["filename"].alias("filename"), "x.width", "x.height")
 
 
+def probe_errors(probes: DataFrame) -> DataFrame:
+    """``path, error`` of the probes that tell no streams: what they say instead, on one line."""
+    told = F.from_json("json", STREAM_SCHEMA)["streams"]
+    return probes.where(told.isNull()).select("path", one_line(F.coalesce("json", F.lit(""))).alias("error"))
+
+
 def video_size(streams: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
     """Size of each path's first video stream, else the default."""
     first = F.min_by(F.struct("width", "height"), F.when(F.col("codec_type") == "video", F.col("index")))
@@ -107,3 +123,19 @@ def font_metrics(data: bytes, index: int = 0) -> tuple[int, int, int]:
     tables = {data[at : at + 4]: big(at + 8, 4) for at in range(base + 12, base + 12 + 16 * big(base + 4, 2), 16)}
     os2 = tables[b"OS/2"]
     return big(tables[b"head"] + 18, 2), big(os2 + 74, 2), big(os2 + 76, 2)
+
+
+def font_files(spark: SparkSession, path: str, index: int = 0) -> DataFrame:
+    """``path, upem, ascent, descent, scale`` of font files; scale is pixels drawn for one asked for."""
+
+    @F.pandas_udf("struct<upem:int,ascent:int,descent:int>")
+    def read(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([font_metrics(c, index) for c in content], columns=["upem", "ascent", "descent"])
+
+    f = spark.read.format("binaryFile").load(path).select("path", read("content").alias("m"))
+    return f.select("path", "m.*", (F.col("m.upem") / (F.col("m.ascent") + F.col("m.descent"))).alias("scale"))
+
+
+def append_log(lines: DataFrame, path: str) -> None:
+    """Adds the texts of one string column to the log folder ``path``."""
+    lines.select(F.col(lines.columns[0]).cast("string").alias("value")).write.mode("append").text(path)

@@ -262,3 +262,15 @@ def test_recover(spark):
     got = recover.recover(new, base).orderBy("s").collect()
     assert [r["text"] for r in got] == ["hello there", "brand new", "good bye"]
     assert all(b["s"] >= a["e"] + 50_000 for a, b in zip(got, got[1:]))
+
+
+def test_extensions(spark):
+    base = spark.createDataFrame([(1, 0, 0, 2_000_000, "hello there"), (1, 1, 9_000_000, 10_000_000, "good bye")], "ep long, j long, bs long, be long, text string")
+    heard = [(1, 0, 100_000, 2_100_000, "oh hello there you"), (1, 1, 0, 1_900_000, "hello!"), (1, 2, 9_000_000, 9_900_000, "other words, and many of them"), (1, 3, 5_000_000, 6_000_000, "brand new")]
+    new = spark.createDataFrame(heard, "ep long, i long, s long, e long, text string")
+    texts = lambda **more: [(r["s"], r["text"]) for r in recover.recover(new, base, **more).orderBy("s").collect()]
+    assert texts() == [(0, "hello there"), (5_000_000, "brand new"), (9_000_000, "good bye")]
+    assert texts(apply_extensions=True)[0] == (0, "oh hello there you")
+    windows = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "ep long, i long")
+    got = {r["ep"]: tuple(r)[1:] for r in recover.report(windows, new, base).collect()}
+    assert got == {1: (2, 1, 1), 2: (1, 0, 0)}

@@ -1,10 +1,11 @@
+import random
 import struct
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cuelake.operators import catalog, layout
+from cuelake.operators import catalog, intervals, layout
 from cuelake.sources import texts
 from cuelake.streaming import timeline
 
@@ -25,9 +26,12 @@ def test_media_files(spark, tmp_path):
         (root / n).write_bytes(b"123")
     got = {r["name"]: (r["suffix"], r["bytes"]) for r in texts.media_files(spark, str(root)).collect()}
     assert got == {"a.mkv": (".mkv", 3), "B.MKV": (".mkv", 3)}
+    (root / "d.mka").write_bytes(b"12345")
+    assert [(r["name"], r["bytes"]) for r in texts.media_files(spark, str(root / "d.mka")).collect()] == [("d.mka", 5)]
+    assert texts.media_files(spark, str(root / "c.txt")).count() == 0
 
 
-def test_font_metrics():
+def test_font_metrics(spark, tmp_path):
     head, os2 = bytearray(54), bytearray(96)
     struct.pack_into(">H", head, 18, 1000)
     struct.pack_into(">HH", os2, 74, 1200, 300)
@@ -35,6 +39,57 @@ def test_font_metrics():
     table = lambda tag, off, n: tag + struct.pack(">III", 0, off, n)
     data = struct.pack(">IHHHH", 0x00010000, 2, 0, 0, 0) + table(b"OS/2", at, 96) + table(b"head", at + 96, 54) + bytes(os2) + bytes(head)
     assert texts.font_metrics(data) == (1000, 1200, 300)
+    (tmp_path / "a.ttf").write_bytes(data)
+    r = texts.font_files(spark, str(tmp_path / "a.ttf")).first()
+    assert (r["upem"], r["ascent"], r["descent"], round(r["scale"], 4)) == (1000, 1200, 300, 0.6667)
+
+
+def test_fonts_on_the_screen(spark):
+    """Widths of a font's own characters, and sizes as the renderer wants them."""
+    cues = spark.createDataFrame([(1, 1, 0, 1_000_000, "ab漢「")], "ep long, i long, s long, e long, text string")
+    font = layout.Font("Some Font", {"「": 0.5, "a": 0.75}, 0.5)
+    screen = layout.Screen(font=font, main_px=40)
+    assert layout.plan_layout(cues, screen).first().asDict() == {"ep": 1, "widest": 2.75, "main": 40, "ruby": 18}
+    assert "pos(905.0,990.0)" in layout.main_events(cues, screen).first()["line"]
+    ass = layout.ass_texts(cues, None, screen).first()["ass"]
+    assert "Style: JP,Some Font,80.0," in ass and "Style: RB,Some Font,36.0," in ass
+
+
+def test_dictionary_files(spark):
+    own = "# note\n小玉\tたま\n\n" + catalog.CANDIDATE_MARK + "\n#old\told\n"
+    files = spark.createDataFrame([("a", own), ("b", None), ("c", "x y")], "folder string, body string")
+    found = spark.createDataFrame([("a", "小玉", "こだま", 5, 1), ("a", "東京", "?", 3, 2), ("b", "神田", "かんだ", 2, 1)], "folder string, surface string, reading string, n long, rank int")
+    got = {r["folder"]: r for r in catalog.dictionary_files(files, found).collect()}
+    assert all(r["changed"] for r in got.values()) and [got[k]["n"] for k in "abc"] == [1, 1, 0]
+    assert got["a"]["body"].startswith("# note\n小玉\tたま\n\n" + catalog.CANDIDATE_MARK) and got["a"]["body"].endswith("#東京\t?\t出现 3 次\n")
+    assert got["b"]["body"].startswith(catalog.DICTIONARY_HEAD[0]) and got["c"]["body"].endswith(catalog.NO_CANDIDATES + "\n")
+    again = spark.createDataFrame([(k, r["body"]) for k, r in got.items()], "folder string, body string")
+    assert not any(r["changed"] for r in catalog.dictionary_files(again, found).collect())
+
+
+def test_tag_plan(spark):
+    t = [("a", 0, "video", 0, None), ("a", 1, "subtitles", 1, "und"), ("a", 2, "subtitles", 4, "CHI"), ("b", 0, "subtitles", 2, "eng")]
+    got = sorted(tuple(r) for r in catalog.tag_plan(spark.createDataFrame(t, "path string, pos int, kind string, track_id int, language string")).collect())
+    new = lambda p, n: [(p, n, "flag-default", "yes"), (p, n, "language", "jpn"), (p, n, "name", "Japanese")]
+    assert got == sorted([*new("a", 2), ("a", 5, "flag-default", "no"), *new("b", 3)])
+
+
+def test_probe_errors_and_log(spark, tmp_path):
+    probes = spark.createDataFrame([("a", '{"streams":[]}'), ("b", "not  a\nfile"), ("c", None)], "path string, json string")
+    assert {r["path"]: r["error"] for r in texts.probe_errors(probes).collect()} == {"b": "not a file", "c": ""}
+    for _ in range(2):
+        texts.append_log(probes.select("path"), str(tmp_path / "log"))
+    assert spark.read.text(str(tmp_path / "log")).count() == 6
+
+
+def test_long_intervals(spark):
+    """Intervals of any length meet as a plain comparison says, each pair once."""
+    rnd = random.Random(4)
+    span = lambda: (lambda a: (a, a + rnd.choice([0, 3, 50, 900, 70_000, 900_000])))(rnd.randint(0, 10**6))
+    left, right = [(1, k, *span()) for k in range(60)], [(1, k, *span()) for k in range(60)]
+    a, b = spark.createDataFrame(left, "ep long, i long, s long, e long"), spark.createDataFrame(right, "ep long, j long, a long, b long")
+    got = sorted((r["i"], r["j"]) for r in intervals.overlap_join(a, b, (F.col("s"), F.col("e")), (F.col("a"), F.col("b")), bucket_us=10).collect())
+    assert got == sorted((i, j) for _, i, s, e in left for _, j, x, y in right if s <= y and x <= e)
 
 
 def test_layout():
