@@ -199,9 +199,9 @@ def grammar_flags(cues: DataFrame, bad_start, ends_with_starter) -> DataFrame:
     from cuelake.functions.grammar import by_fragment
 
     x = cues.select("ep", "i", F.left("text", F.lit(4)).alias("_head"), F.right("text", F.lit(8)).alias("_tail"))
-    x = by_fragment(x, ["_head"], "particle_start", bad_start, "boolean")
-    x = by_fragment(x, ["_tail"], "starter_end", ends_with_starter, "boolean")
-    return x.where("particle_start OR starter_end").select("ep", "i", "particle_start", "starter_end")
+    judge = lambda head, tail: (bad_start(head), ends_with_starter(tail))
+    x = by_fragment(x, ["_head", "_tail"], "_judged", judge, "particle_start boolean, starter_end boolean")
+    return x.select("ep", "i", "_judged.*").where("particle_start OR starter_end")
 
 
 def silence_inside(cues: DataFrame, pauses: DataFrame, least: int = 1_500_000, bucket_us: int = 3_600_000_000) -> DataFrame:

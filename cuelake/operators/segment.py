@@ -17,8 +17,8 @@ from cuelake.functions.text import strip, text_em
 from cuelake.operators.intervals import SNAP_TOLERANCE, assign_intervals, nearest_pause
 from cuelake.operators.sequence import (
     cap_times,
-    context_strings,
     display_clamp,
+    joined_words,
     merge_same_interval,
     monotone_repair,
     ordered_text,
@@ -236,12 +236,18 @@ def seam_costs(words: DataFrame, rules: Rules) -> DataFrame:
     tells whether the last two words end in one that only begins sentences. The rules run once for each distinct context
     of all episodes; no cost depends on where a line began.
     """
-    around = context_strings(words.select("ep", F.col("n").alias("i"), F.col("n").alias("s"), "text"))
-    around = around.select("ep", F.col("i").alias("n"), F.right("prev", F.lit(12)).alias("_before"), F.col("next").alias("_after"), F.right("last", F.lit(8)).alias("_tail"))
-    x = words.join(around, ["ep", "n"])
-    x = by_fragment(x, ["_before", "_after", "gap", "trusted"], "_cost", rules.cut_cost, "double")
-    x = by_fragment(x, ["_tail"], "starter", rules.ends_with_starter, "boolean")
-    return x.withColumn("cut_cost", F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("_cost"))).drop("_before", "_after", "_tail", "_cost")
+    contexts = {
+        "_before": F.right(joined_words(-12, -1, "n"), F.lit(12)),
+        "_after": joined_words(0, 5, "n"),
+        "_tail": F.right(joined_words(-1, 0, "n"), F.lit(8)),
+    }
+
+    def judge(before: str, after: str, tail: str, gap: int | None, trusted: bool) -> tuple[float, bool]:
+        return rules.cut_cost(before, after, gap, trusted), rules.ends_with_starter(tail)
+
+    x = by_fragment(words.withColumns(contexts), [*contexts, "gap", "trusted"], "_judged", judge, "cost double, starter boolean")
+    cost = F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("_judged.cost"))
+    return x.withColumns({"cut_cost": cost, "starter": F.col("_judged.starter")}).drop(*contexts, "_judged")
 
 
 def transcript_lines(words: DataFrame, ranges: DataFrame, spans: DataFrame, rules: Rules, width: int = 1920, main: int = 60) -> DataFrame:
@@ -275,15 +281,17 @@ def repair_boundaries(
     x = x.join(intervals.select("ep", F.col("j").alias("owner"), F.col("ce").alias("cut")), ["ep", "owner"])
     x = x.where((F.col("owner") < F.col("to")) & (F.col("next.s") - F.col("last.e") <= max_gap) & (F.col("cut") >= F.col("last.s")))
     x = x.withColumns({"_a": F.col("last.text"), "_b": F.col("next.text")})
-    x = by_fragment(x, ["_a"], "bound", rules.bound_tail, "boolean").where("NOT bound")
-    x = by_fragment(x, ["_a", "_b"], "joined", rules.joined_word, "boolean")
-    x = by_fragment(x, ["_a", "head"], "particle", rules.next_starts_with_particle, "boolean")
-    x = by_fragment(x, ["_a"], "starts", rules.starts_sentence, "boolean")
+
+    def judge(a: str, b: str, head: str) -> tuple[bool, bool, bool]:
+        free = not rules.bound_tail(a)
+        return free and rules.joined_word(a, b), free and rules.next_starts_with_particle(a, head), free and rules.starts_sentence(a)
+
+    x = by_fragment(x, ["_a", "_b", "head"], "_judged", judge, "joined boolean, particle boolean, starts boolean")
     inside = (F.col("cut") > F.col("last.s")) & (F.col("cut") < F.col("last.e"))
     moved = x.where(
-        (F.col("joined") & (F.col("cut") <= F.col("last.e") + slack))
-        | (F.col("particle") & (F.col("cut") <= F.col("next.e") + slack))
-        | (F.col("starts") & inside)
+        (F.col("_judged.joined") & (F.col("cut") <= F.col("last.e") + slack))
+        | (F.col("_judged.particle") & (F.col("cut") <= F.col("next.e") + slack))
+        | (F.col("_judged.starts") & inside)
     ).select("ep", F.col("last.i").alias("i"), F.lit(1).alias("_on"))
     return owned.join(moved, ["ep", "i"], "left").withColumn("run", F.col("run") + F.coalesce("_on", F.lit(0))).drop("_on", "owner")
 

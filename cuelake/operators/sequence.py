@@ -119,11 +119,16 @@ def sequential_clamp(cues: DataFrame, between: int = BETWEEN, least: int = CLAMP
     return cues.select("ep", "i", "s", "e").groupBy("ep").applyInArrow(run, "ep long, i long, s long, e long")
 
 
+def joined_words(first: int, last: int, *order: str, text: str = "text") -> Column:
+    """Texts of the rows from ``first`` to ``last`` places after a row, as one text."""
+    return F.array_join(F.collect_list(text).over(_w(*order).rowsBetween(first, last)), "")
+
+
 def context_strings(words: DataFrame, before: int = 12, after: int = 6, tail: int = 2) -> DataFrame:
     """``ep, i, prev, next, last``: texts of the words before, from this one on, and up to this one."""
-    w = _w()
-    joined = lambda lo, hi: F.array_join(F.collect_list("text").over(w.rowsBetween(lo, hi)), "")
-    return words.select("ep", "i", joined(-before, -1).alias("prev"), joined(0, after - 1).alias("next"), joined(-tail + 1, 0).alias("last"))
+    return words.select(
+        "ep", "i", joined_words(-before, -1).alias("prev"), joined_words(0, after - 1).alias("next"), joined_words(-tail + 1, 0).alias("last")
+    )
 
 
 def prefix_sums(words: DataFrame, value: Column, name: str) -> DataFrame:
