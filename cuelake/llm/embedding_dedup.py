@@ -20,7 +20,7 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm.bytesvec import trimmed
@@ -211,24 +211,20 @@ def _meet(least: float):
 _CELL = ["label", "dim", "cell"]
 
 
-def _pivots(fan: int):
-    """Up to ``fan`` points of a sample of a cell, each as far from those before it as can be."""
-
-    @trimmed
-    def run(t: pa.Table) -> pa.Table:
-        rep, vec = t["rep"].to_numpy(), _vectors(t["vec"])
-        order = np.argsort(rep)
-        unit = _unit(vec[order])
-        far, chosen = _chord(unit @ unit[0]), [0]
-        while len(chosen) < min(fan, len(unit)) and far.max() > 1e-7:
-            chosen.append(int(far.argmax()))
-            far = np.minimum(far, _chord(unit @ unit[chosen[-1]]))
-        k = len(chosen)
-        keys = [t[c].slice(0, 1).combine_chunks().take(pa.array([0] * k)) for c in _CELL]
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * unit.shape[1], pa.int32()), pa.array(unit[chosen].ravel()))
-        return pa.table([*keys, pa.array(np.arange(k), pa.int32()), pa.array(rep[order][chosen]), flat], names=[*_CELL, "no", "p_rep", "p_vec"])
-
-    return run
+@trimmed
+def _pivots(t: pa.Table) -> pa.Table:
+    """Up to ``want`` points of a sample of a cell, each as far from those before it as can be."""
+    rep, vec = t["rep"].to_numpy(), _vectors(t["vec"])
+    order = np.argsort(rep)
+    unit = _unit(vec[order])
+    far, chosen = _chord(unit @ unit[0]), [0]
+    while len(chosen) < min(t["want"][0].as_py(), len(unit)) and far.max() > 1e-7:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _chord(unit @ unit[chosen[-1]]))
+    k = len(chosen)
+    keys = [t[c].slice(0, 1).combine_chunks().take(pa.array([0] * k)) for c in _CELL]
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * unit.shape[1], pa.int32()), pa.array(unit[chosen].ravel()))
+    return pa.table([*keys, pa.array(np.arange(k), pa.int32()), pa.array(rep[order][chosen]), flat], names=[*_CELL, "no", "p_rep", "p_vec"])
 
 
 @trimmed
@@ -245,15 +241,21 @@ def _home(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _visits(reach: float):
-    """What a chunk of a cell sends to other children of it: visitors (kind 0), and weights that link with all (kind 1)."""
+    """What a chunk of a cell sends to other children of it: visitors (kind 0), and weights that link with all (kind 1).
+
+    A point visits a child that it is within reach of by the child's radius, and by each plane half way between the
+    child's pivot and another one: the child's members lie on its side of the plane, so the point is within reach of it.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         at = np.argsort(right["no"].to_numpy())
         p, radius, child_rep = _vectors(right["p_vec"])[at], right["r"].to_numpy()[at], right["p_rep"].to_numpy()[at]
         name = right["child"].combine_chunks().take(pa.array(at))
-        far = _chord(_unit(_vectors(left["vec"])) @ p.T) if left.num_rows else np.zeros((0, len(p)))
-        near = far <= np.minimum(far.min(axis=1, initial=2.0) + 2 * reach, 2.0)[:, None] + _SLACK
-        near &= far <= radius[None, :] + reach + _SLACK
+        cos = _unit(_vectors(left["vec"])) @ p.T if left.num_rows else np.zeros((0, len(p)))
+        far = _chord(cos)
+        near = far <= radius[None, :] + reach + _SLACK
+        for k, apart in enumerate(_chord(p @ p.T)):
+            near &= cos[:, k : k + 1] - cos <= reach * apart + _SLACK
         own = left["no"].to_numpy()
         some = np.flatnonzero(own >= 0)
         near[some, np.searchsorted(np.sort(right["no"].to_numpy()), own[some])] = False
@@ -280,7 +282,7 @@ def embedding_dedup(
     vector: str = "embedding",
     label: str = "label",
     least: float = 0.98,
-    block: int = 4096,
+    block_bytes: int = 4 << 20,
     fan: int = 64,
     most_levels: int = 40,
 ) -> DataFrame:
@@ -291,8 +293,8 @@ def embedding_dedup(
     non-finite components link with nothing and are kept; vectors of different lengths don't link; repeated rows are
     copies of each other; no rows give no rows; other columns of the input play no part. Labels are integers.
 
-    No task holds more than ``block`` members of a cell and some twice as many points that meet them. Equal vectors are
-    told by two hashes.
+    No task holds more than about ``block_bytes`` of members of a cell (8,192 vectors of 64 numbers) and twice as much of
+    what meets them. Equal vectors are told by two hashes.
     """
     v = F.col("vec")
     rows = vectors.select(
@@ -313,7 +315,7 @@ def embedding_dedup(
     hashed = rows.where("sound").select("id", "label", F.size("vec").alias("dim"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(9), "vec").alias("h2"), "vec")
     copies = hashed.groupBy(*named).agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
     reps = table(spark, copies)
-    found = _links(spark, reps.select("label", "dim", "rep", "weight", "vec"), least, block, fan, most_levels)
+    found = _links(spark, reps.select("label", "dim", "rep", "weight", "vec"), least, block_bytes, fan, most_levels)
     roots = components(spark, found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "l_rep")
     groups = table(
@@ -333,9 +335,10 @@ def embedding_dedup(
     )
 
 
-def _links(spark: SparkSession, points: DataFrame, least: float, block: int, fan: int, most_levels: int) -> DataFrame:
+def _links(spark: SparkSession, points: DataFrame, least: float, block_bytes: int, fan: int, most_levels: int) -> DataFrame:
     """Distinct points ``label, dim, rep, weight, vec`` -> a table ``rep, links, root``: weights linked, and a forest."""
     reach = math.sqrt(2 - 2 * least)
+    block = F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / (8 * F.col("dim")))).cast("long")
     kind = points.schema["label"].dataType.simpleString()
     keys, point = f"label {kind}, dim int, cell string", "rep long, weight long, vec array<double>"
     state = points.select("label", "dim", F.lit("").alias("cell"), F.lit(True).alias("home"), "rep", "weight", "vec")
@@ -350,7 +353,9 @@ def _links(spark: SparkSession, points: DataFrame, least: float, block: int, fan
         full = placed.where(big).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil((F.col("n") + F.col("v")) / block)))
         drawn = F.pmod(F.xxhash64("rep", F.lit(level)), F.col("n")) < 4 * fan  # about so many of a cell, however large
         sample = full.where(F.col("home") & (drawn | (F.col("rep") == F.col("edge"))))
-        pivots = table(spark, sample.select(*_CELL, "rep", "vec").groupBy(*_CELL).applyInArrow(_pivots(fan), f"{keys}, no int, p_rep long, p_vec array<double>"))
+        want = F.least(F.lit(fan), F.greatest(F.lit(2), F.ceil(2 * F.col("n") / block))).cast("int").alias("want")
+        sample = sample.select(*_CELL, "rep", "vec", want)
+        pivots = table(spark, sample.groupBy(*_CELL).applyInArrow(_pivots, f"{keys}, no int, p_rep long, p_vec array<double>"))
         dealt = cells.where(big).select(*_CELL, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("n") + F.col("v")) / block) - 1)).alias("chunk")).join(pivots, _CELL)
         by_chunk = [*_CELL, "chunk"]
         homes = table(
@@ -386,14 +391,14 @@ def _links(spark: SparkSession, points: DataFrame, least: float, block: int, fan
         cells = table(spark, cells.join(visits, _CELL, "left").select(*_CELL, "n", F.coalesce("v", F.lit(0)).alias("v"), "edge", "closed"))
         done += [pivots, homes, stats, sent, cells]
     leaves.append(state.join(cells, _CELL))
-    met = [_leaf(x, keys, point, least, block) for x in leaves]
+    met = [_leaf(x, least, block) for x in leaves]
     out = table(spark, reduce(DataFrame.unionByName, [*met, *credits]))
     for old in done:
         drop(spark, old)
     return out
 
 
-def _leaf(rows: DataFrame, keys: str, point: str, least: float, block: int) -> DataFrame:
+def _leaf(rows: DataFrame, least: float, block: Column) -> DataFrame:
     """Members of cells against each other (unless their cell is closed) and against its visitors, in blocks."""
     others = F.when(F.col("closed"), F.col("v")).otherwise(F.col("n") + F.col("v"))
     x = rows.withColumn("_a", F.ceil(F.col("n") / block)).withColumn("_c", F.ceil(others / (2 * block))).where("_c > 0")

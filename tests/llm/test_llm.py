@@ -1,8 +1,10 @@
 """Operators of the llm subpackage against brute-force versions, and on awkward input."""
 
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -409,6 +411,67 @@ def test_likeness():
     assert (back[0] == x[0]).all() and (back[1] == x[1]).all() and len(fingerprint.read_back("")[1]) == 0
 
 
+def plain_digest(text):
+    """Filters as whole numbers and the features in each, window by window, from the definition."""
+    data, f = text.encode(), fingerprint
+    n = len(data) - f.WINDOW + 1
+    if len(data) < f.FULL:
+        chosen = [(i, data[i : i + f.SHORT]) for i in range(max(1, len(data) - f.SHORT + 1))] if data else []
+    else:
+        table = [0] + [round(f._SCALE * c * np.log2(c)) for c in range(1, f.WINDOW + 1)]
+        rank = []
+        for i in range(n):
+            e = (f.WINDOW * 6 * f._SCALE - sum(table[c] for c in Counter(data[i : i + f.WINDOW]).values())) / (f.WINDOW * f._SCALE)
+            rank.append(511 if e < f.TRIVIAL else 510 - min(int(abs(e - f.USUAL) * 256), 510))
+        popular = Counter(min(range(i, min(i + f.STRETCH, n)), key=lambda k: (rank[k], k)) for i in range(n))
+        least = min(f.LEAST_POPULAR, max(popular.values()))
+        chosen = [(i, data[i : i + f.WINDOW]) for i in sorted(popular) if popular[i] >= least]
+    found = list(dict.fromkeys(w for _, w in chosen))
+    out = []
+    for at in range(0, len(found), f.PER_FILTER):
+        bits = 0
+        for w in found[at : at + f.PER_FILTER]:
+            body = np.frombuffer(w, np.uint8)
+            h = int(spans_hash(body, np.array([0]), np.array([len(w)]))[0])
+            for k in range(f.BITS_EACH):
+                bits |= 1 << (h >> (11 * k) & (f.FILTER_BITS - 1))
+        out.append((bits, len(found[at : at + f.PER_FILTER])))
+    return out
+
+
+def plain_likeness(a, b):
+    if (len(a), sum(n for _, n in a)) > (len(b), sum(n for _, n in b)):
+        a, b = b, a
+    if not a:
+        return 0.0 if b else 1.0
+    total = 0.0
+    for x, n in a:
+        best = 0.0
+        for y, _ in b:
+            chance = x.bit_count() * y.bit_count() / fingerprint.FILTER_BITS
+            most = min(x.bit_count(), y.bit_count())
+            best = max(best, min(1.0, max(0.0, ((x & y).bit_count() - chance) / max(most - chance, 1e-9))))
+        total += best * n
+    return total / sum(n for _, n in a)
+
+
+def test_digests_are_as_defined(texts):
+    some = [t for t in texts.values() if t and len(t) < 6000][:60] + [t or "" for _, t in awkward_texts() if len(t or "") < 5000]
+    some += ["x" * 200, "ab" * 100, "The quick " * 40, "é漢😀 " * 60]
+    got, want = fingerprint.digests(some), [plain_digest(t) for t in some]
+    for t, (rows, held), plain in zip(some, got, want):
+        assert [(int.from_bytes(r.tobytes(), "little"), n) for r, n in zip(rows, held.tolist())] == plain, t[:80]
+    for i in range(0, len(some) - 1):
+        assert fingerprint.likeness(got[i], got[i + 1]) == pytest.approx(plain_likeness(want[i], want[i + 1]), abs=1e-12)
+
+
+def test_fingerprints_tell_edited_from_other(spark, documents):
+    """Of whole documents of 400 characters or more, the edited text is found and the next document is not."""
+    r = fingerprint.fingerprints(documents).where("n_chars >= 400").collect()
+    assert sum(x["near_edited"] >= 0.3 for x in r) >= 0.98 * len(r)
+    assert sum(x["near_next"] < 0.3 for x in r) >= 0.95 * len(r)
+
+
 def test_every_text_has_a_feature():
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8)))
@@ -461,6 +524,40 @@ def test_language_id(spark, documents, awkward):
     assert {x["lang_pred"] for x in language_id.language_id(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_language(docs, least=1e-4):
+    """Language and score of each text, with exact sets of trigrams in the place of filters."""
+    grams = lambda t: [w[i : i + 3] for w in "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split() for w in [f" {w} "] for i in range(len(w) - 2)]
+    count = defaultdict(Counter)
+    for lang, t in {(lang, t) for k, t, lang in docs if lang and t is not None and zlib.crc32(str(k).encode()) % 4 != 2}:
+        count[lang].update(grams(t))
+    known = {lang: {g for g, n in c.items() if n >= least * c.total()} for lang, c in count.items()}
+    usual = {lang: sum(c[g] for g in known[lang]) / c.total() for lang, c in count.items()}
+    out = {}
+    for k, t, _ in docs:
+        own = grams(t)
+        score = {lang: sum(g in known[lang] for g in own) / len(own) / usual[lang] for lang in known} if own else {}
+        out[k] = (max(sorted(score), key=score.get), min(1.0, max(score.values()))) if own else ("und", 0.0)
+    return out
+
+
+def test_language_id_is_as_defined(spark, documents):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in documents.collect()]
+    want = plain_language(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.language_id(documents).collect()}
+    assert sum(got[k][0] == want[k][0] for k in want) >= len(want) - 1
+    assert max(abs(got[k][1] - want[k][1]) for k in want) < 0.05
+
+
+def test_language_sample_counts_texts_once(spark):
+    """A text that nearly all rows of a language share is one text of the sample."""
+    one = "the same words in every row of this language and nothing else besides them"
+    rows = [(k, one, "en", None, 0) for k in range(3000)] + [(5000 + k, f"quite other english sentence number {sha(str(k))}", "en", None, 0) for k in range(50)]
+    rows += [(9000 + k, f"ein ganz anderer deutscher satz {sha(str(k))}", "de", None, 0) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = language_id.fit(docs, most_texts=100)
+    assert model.predict(["other english sentence", "anderer deutscher satz"])[0] == ["en", "de"]
+
+
 def test_language_filters():
     grams = {f"l{k:03d}": np.arange(k * 40, k * 40 + 60, dtype=np.uint64) for k in range(70)}
     m = language_id.Model(grams, dict.fromkeys(grams, 1.0))
@@ -484,6 +581,56 @@ def test_quality(spark, awkward):
     assert quality.quality(awkward.limit(0), some).count() == 0
 
 
+def plain_statistics(text):
+    """The statistics of one text, counted one by one."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    lines = [x for x in data.split(b"\n") if x]
+    chars, n = len(text or ""), len(words)
+    share = lambda part, whole, more: (lambda p: math.log((p + 0.01) / (1.01 - p)))(part / (whole + more))
+    marks = b".,;:'\"-?()"
+    blank = b" \t\n\x0b\x0c\r"
+    odd = lambda c: c < 128 and not chr(c).isalnum() and c not in marks and c not in blank
+    capitals = sum(65 <= c <= 90 for c in data) + sum("À" <= c <= "Þ" for c in text or "")
+    letters = sum(chr(c).isalpha() for c in data if c < 128) + sum(c > "\x7f" for c in text or "")
+    size = [len(w) for w in words]
+    mean = sum(size) / max(n, 1)
+    spread = math.sqrt(max(0.0, sum(s * s for s in size) / max(n, 1) - mean * mean))
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), math.log((len(set(words)) + 1) / (n + 1)) / max(1.0, math.log1p(n)),
+        share(sum(a == b for a, b in zip(words, words[1:])), n, 20), share(sum(map(odd, data)), chars, 100), share(sum(c in marks for c in data), chars, 100),
+        share(sum(48 <= c <= 57 for c in data), chars, 100), share(capitals, letters, 100), share(sum(odd(w[-1]) for w in words), n, 20),
+        math.log1p(chars / max(len(lines), 1)), share(len(lines) - len(set(lines)), len(lines), 6), share(sum(c >= 128 for c in data), chars * 2, 100),
+    ]
+
+
+def plain_scores(rows, label, new):
+    """Posterior of label 1 by two normal densities with shrunk covariances, solved without factors."""
+    middle, scale = rows.mean(axis=0), np.maximum(rows.std(axis=0), 1e-3)
+    z, y = (rows - middle) / scale, (new - middle) / scale
+    log = []
+    for k in (0, 1):
+        own = z[label == k]
+        cov = np.cov(own, rowvar=False, bias=True)
+        cov = 0.7 * (0.9 * cov + 0.1 * np.diag(np.diag(cov))) + 0.3 * np.eye(len(cov))
+        d = y - own.mean(axis=0)
+        log.append(-0.5 * np.einsum("ij,ij->i", d, np.linalg.solve(cov, d.T).T) - 0.5 * np.linalg.slogdet(cov)[1] + math.log((label == k).sum() + 1))
+    return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+
+
+def test_quality_is_as_defined(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {(r["doc_id"], r["quality"]) for r in labels.collect() if r["doc_id"] in text and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    keys = sorted(text)
+    x = {k: plain_statistics(text[k]) for k in keys}
+    odd = [t for _, t in awkward_texts()]
+    assert np.allclose(quality.statistics(pa.array(odd)), [plain_statistics(t) for t in odd], atol=1e-9)
+    want = plain_scores(np.array([x[k] for k, _ in sorted(known)]), np.array([q for _, q in sorted(known)]), np.array([x[k] for k in keys]))
+    got = {r["doc_id"]: r["score"] for r in quality.quality(docs, labels.union(labels)).collect()}
+    assert np.allclose([got[k] for k in keys], want, atol=1e-6)
+
+
 # ---------------------------------------------------------------- 8 embeddings
 
 
@@ -516,7 +663,7 @@ def test_embeddings(spark, block, fan):
         rows.append((k, [float(np.float32(x * (3 if k % 7 == 0 else 1))) for x in v], int(rng.integers(3))))
     rows += [(900, None, 1), (901, [], 1), (902, [0.0] * 8, 1), (903, [float("nan")] * 8, 1), (904, [None] + [1.0] * 7, 1), (905, rows[0][1], None), (None, rows[0][1], 1), (906, [1.0, 2.0], 1), (907, [1.0, 2.0], 1), (3, *rows[3][1:])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"vec": F.lit("x"), "rep": F.lit(1)}).repartition(3)
-    got = embedding_dedup.embedding_dedup(spark, df, block=block, fan=fan).collect()
+    got = embedding_dedup.embedding_dedup(spark, df, block_bytes=block * 64, fan=fan).collect()
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == brute_links(rows)
     assert all(r["kept"] == (r["vec_id"] is None or r["vec_id"] == r["component_id"]) for r in got)
     assert embedding_dedup.embedding_dedup(spark, df.limit(0)).count() == 0
@@ -535,7 +682,7 @@ def test_embeddings_dense_and_tied(spark):
     rows += [(700, [0.98, 0.19899748742132398], 5), (701, [1.0, 0.0], 5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
     for block, fan in ((4096, 64), (30, 4)):
-        got = embedding_dedup.embedding_dedup(spark, df, block=block, fan=fan).collect()
+        got = embedding_dedup.embedding_dedup(spark, df, block_bytes=block * 48, fan=fan).collect()
         assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == brute_links(rows)
 
 
@@ -548,13 +695,13 @@ def test_embedding_groups_are_bounded(spark, monkeypatch):
     sizes = []
     leaf = embedding_dedup._leaf
 
-    def spy(x, keys, point, least, block):
+    def spy(x, least, block):
         a, c = F.ceil(F.col("n") / block), F.ceil(F.when(F.col("closed"), F.col("v")).otherwise(F.col("n") + F.col("v")) / (2 * block))
         sizes.extend(r[0] for r in x.select(F.col("n") / a + F.col("v") / F.greatest(c, F.lit(1))).distinct().collect())
-        return leaf(x, keys, point, least, block)
+        return leaf(x, least, block)
 
     monkeypatch.setattr(embedding_dedup, "_leaf", spy)
-    out = embedding_dedup.embedding_dedup(spark, df, block=50, fan=8)
+    out = embedding_dedup.embedding_dedup(spark, df, block_bytes=50 * 128, fan=8)
     assert len(sizes) > 1 and max(sizes) <= 3 * 50
     assert out.count() == 4000
 
