@@ -159,7 +159,8 @@ def _in_order(docs: DataFrame, key: str, text: str, run_bytes: int) -> DataFrame
     """Rows dealt to runs of neighbouring keys, in order, each run followed by (copies of) the row after it.
 
     Runs are cut at 255 quantiles of the key and evenly between them; the row after a run's last is the first of the
-    next run that has any, after the last run the first of all.
+    next run that has any, after the last run the first of all. There are at most 2**17 runs, so above 768 GiB of text
+    they grow; a task streams its rows in order, so what it holds does not.
     """
     rows = docs.select(
         F.col(f"`{key}`").alias("id"),
