@@ -28,13 +28,36 @@ def table(spark: SparkSession, df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cuelake_path = path
+    _made.append(path)
     return out
 
 
+#: Folders that ``table`` wrote in this process and that still stand.
+_made: list[str] = []
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Deletes what ``table`` wrote, once nothing lazy reads it any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.cuelake_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, df.cuelake_path)
+
+
+def table_mark() -> set[str]:
+    """What stands now, for ``sweep``."""
+    return set(_made)
+
+
+def sweep(spark: SparkSession, mark: set[str], keep: list[DataFrame]) -> None:
+    """Deletes all that ``table`` wrote after ``mark`` but for ``keep``: for a caller whose other results are written."""
+    spared = mark | {df.cuelake_path for df in keep}
+    for path in [x for x in _made if x not in spared]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
