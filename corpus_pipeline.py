@@ -13,7 +13,7 @@ from cuelake.llm import language_id as lid
 from cuelake.llm.line_dedup import drop_repeated_lines
 from cuelake.llm.packing import pack
 from cuelake.llm.simhash import simhash_firsts
-from cuelake.llm.store import table, text_hashes
+from cuelake.llm.store import drop, sweep, table, table_mark, text_hashes
 from cuelake.llm.substring_dedup import substring_dedup
 
 #: No SQL says the same; the stages are held against brute-force versions in tests/llm.
@@ -109,10 +109,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage wrote on its way is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        made, before = table_mark(), docs
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = table(spark, docs)
+            sweep(spark, made, [docs])
+            if name != STAGES[0][0]:
+                drop(spark, before)
     return docs
