@@ -117,6 +117,12 @@ def top_keys(rows: DataFrame, group: list[str], key: str, order: list[str], most
     return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def most_common(rows: DataFrame, key: str, order: list[str], most: int = 40) -> DataFrame:
+    """``key, n`` of the ``most`` commonest keys of all rows, of equals the first seen; a report, kept by every task's own best."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
+    return n.orderBy(F.desc("n"), "first").limit(most).select(key, "n")
+
+
 def candidates(tokens: DataFrame, most: int = 40, least_chars: int = 2) -> DataFrame:
     """Proper nouns with kanji, by folder: ``folder, surface, reading, n, rank``. tokens ``folder, pos, surface, part_of_speech, reading``."""
     from cuelake.functions.text import KANJI, to_hira

@@ -131,7 +131,8 @@ def repair_and_cap(spark, d):
     return sequence.repair_and_cap(events(spark, d), F.lit(14 * 24 * HOUR)).select("ep", "i", "s", "e")
 
 
-@register(f"""WITH {EV}, w AS (SELECT ep, list({{'ws': CASE WHEN i % 2 = 0 THEN s ELSE e END, 'we': CASE WHEN i % 2 = 0 THEN e ELSE s END, 'w': text}} ORDER BY s, i) AS words FROM ev GROUP BY ep),
+@register(f"""WITH {EV}, w AS (SELECT ep, list({{'ws': CASE WHEN i % 2 = 0 THEN s ELSE e END, 'we': CASE WHEN i % 2 = 0 THEN e
+  ELSE s END, 'w': text}} ORDER BY s, i) AS words FROM ev GROUP BY ep),
 u AS (SELECT ep, unnest(words) AS x, generate_subscripts(words, 1) - 1 AS w_i FROM w)
 SELECT ep, ep AS seg_i, w_i, least(x.ws, x.we) AS s, greatest(greatest(x.ws, x.we), least(x.ws, x.we) + 50000) AS e, x.w AS text FROM u""")
 def word_normalise(spark, d):
@@ -149,7 +150,8 @@ WORDS = "w AS (SELECT * FROM ev WHERE text <> 'purchase'), iv AS (SELECT ep, i A
 OWNED = f"""{EV}, {WORDS}, d AS (
   SELECT w.ep, w.i, iv.j, w.s + w.e AS m,
     CASE WHEN 2 * cs <= w.s + w.e AND w.s + w.e <= 2 * ce THEN 0 ELSE 1 END AS tier,
-    CASE WHEN 2 * cs <= w.s + w.e AND w.s + w.e <= 2 * ce THEN abs(w.s + w.e - cs - ce) WHEN w.s + w.e < 2 * cs THEN 2 * cs - w.s - w.e ELSE w.s + w.e - 2 * ce END AS dist
+    CASE WHEN 2 * cs <= w.s + w.e AND w.s + w.e <= 2 * ce THEN abs(w.s + w.e - cs - ce) WHEN w.s + w.e < 2 * cs THEN 2 * cs - w.s - w.e
+      ELSE w.s + w.e - 2 * ce END AS dist
   FROM w JOIN iv ON w.ep = iv.ep),
 best AS (SELECT *, row_number() OVER (PARTITION BY ep, i ORDER BY tier, dist, j) AS k FROM d WHERE tier = 0 OR dist <= 7200000000),
 owned AS (SELECT w.*, best.j AS owner FROM w LEFT JOIN best ON best.ep = w.ep AND best.i = w.i AND k = 1)"""
@@ -184,18 +186,22 @@ def event_tokens(text: str) -> list[grammar.Token]:
 
 ALIGNED = f"""{EV},
 w AS (SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS i, s, e, text FROM ev WHERE text <> 'purchase'),
-iv AS (SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS j, s + i % 3 * 400 AS cs, s + i % 3 * 400 + 21600000000 AS ce FROM ev WHERE text = 'purchase'),
+iv AS (SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS j, s + i % 3 * 400 AS cs, s + i % 3 * 400 + 21600000000 AS ce FROM ev
+  WHERE text = 'purchase'),
 d AS (
   SELECT w.ep, w.i, iv.j, CASE WHEN 2 * cs <= w.s + w.e AND w.s + w.e <= 2 * ce THEN 0 ELSE 1 END AS tier,
-    CASE WHEN 2 * cs <= w.s + w.e AND w.s + w.e <= 2 * ce THEN abs(w.s + w.e - cs - ce) WHEN w.s + w.e < 2 * cs THEN 2 * cs - w.s - w.e ELSE w.s + w.e - 2 * ce END AS dist
+    CASE WHEN 2 * cs <= w.s + w.e AND w.s + w.e <= 2 * ce THEN abs(w.s + w.e - cs - ce) WHEN w.s + w.e < 2 * cs THEN 2 * cs - w.s - w.e
+      ELSE w.s + w.e - 2 * ce END AS dist
   FROM w JOIN iv ON w.ep = iv.ep),
 best AS (SELECT *, row_number() OVER (PARTITION BY ep, i ORDER BY tier, dist, j) AS k FROM d WHERE tier = 0 OR dist <= 7200000000),
 owned AS (SELECT w.*, best.j AS owner FROM w LEFT JOIN best ON best.ep = w.ep AND best.i = w.i AND k = 1),
-c AS (SELECT *, CASE WHEN lag(1) OVER w IS NULL OR lag(owner) OVER w IS DISTINCT FROM owner THEN 1 ELSE 0 END AS c FROM owned WINDOW w AS (PARTITION BY ep ORDER BY i)),
+c AS (SELECT *, CASE WHEN lag(1) OVER w IS NULL OR lag(owner) OVER w IS DISTINCT FROM owner THEN 1 ELSE 0 END AS c
+  FROM owned WINDOW w AS (PARTITION BY ep ORDER BY i)),
 r AS (SELECT *, sum(c) OVER (PARTITION BY ep ORDER BY i) AS run FROM c),
 g AS (SELECT ep, run, owner, max(i) AS last_i, arg_max(s, i) AS last_s, arg_max(e, i) AS last_e, arg_max(text, i) AS a, arg_min(s, i) AS first_s, arg_min(e, i) AS first_e, arg_min(text, i) AS f
   FROM r GROUP BY ep, run, owner),
-n AS (SELECT *, lead(owner) OVER w AS nxt, lead(first_s) OVER w AS b_s, lead(first_e) OVER w AS b_e, lead(f) OVER w AS b FROM g WINDOW w AS (PARTITION BY ep ORDER BY run)),
+n AS (SELECT *, lead(owner) OVER w AS nxt, lead(first_s) OVER w AS b_s, lead(first_e) OVER w AS b_e, lead(f) OVER w AS b
+  FROM g WINDOW w AS (PARTITION BY ep ORDER BY run)),
 moved AS (SELECT n.ep, last_i AS i FROM n JOIN iv ON iv.ep = n.ep AND iv.j = n.owner
   WHERE owner < nxt AND b_s - last_e <= 21600000000 AND a <> 'error' AND (
     (last_s <= ce AND ce <= last_e + 3600000000 AND a = 'click' AND b = 'view')
@@ -203,9 +209,11 @@ moved AS (SELECT n.ep, last_i AS i FROM n JOIN iv ON iv.ep = n.ep AND iv.j = n.o
     OR (last_s < ce AND ce < last_e AND a = 'signup')))"""
 
 
-@register(f"""WITH {ALIGNED}, p AS (SELECT r.ep, r.i, r.s, r.e, r.text, r.run + CASE WHEN moved.i IS NULL THEN 0 ELSE 1 END AS run FROM r LEFT JOIN moved ON moved.ep = r.ep AND moved.i = r.i),
+@register(f"""WITH {ALIGNED}, p AS (SELECT r.ep, r.i, r.s, r.e, r.text, r.run + CASE WHEN moved.i IS NULL THEN 0 ELSE 1 END AS run FROM r LEFT
+  JOIN moved ON moved.ep = r.ep AND moved.i = r.i),
 t AS (SELECT p.ep, p.run, arg_min(p.s, p.i) AS ws, arg_max(p.e, p.i) AS we, string_agg(text, '' ORDER BY p.i) AS text FROM p GROUP BY p.ep, p.run),
-x AS (SELECT t.ep, t.run, coalesce(iv.cs, ws) AS s, coalesce(iv.ce, we) AS e, t.text FROM t JOIN g ON g.ep = t.ep AND g.run = t.run LEFT JOIN iv ON iv.ep = g.ep AND iv.j = g.owner),
+x AS (SELECT t.ep, t.run, coalesce(iv.cs, ws) AS s, coalesce(iv.ce, we) AS e, t.text FROM t JOIN g ON g.ep = t.ep AND g.run = t.run LEFT
+  JOIN iv ON iv.ep = g.ep AND iv.j = g.owner),
 y AS (SELECT ep, run, s, CASE WHEN e <= s THEN s + 300000 ELSE e END AS e, text FROM x),
 z AS (SELECT ep, run, s, text, CAST(round_even(s / 1000, 0) AS BIGINT) * 1000 AS a, CAST(round_even(e / 1000, 0) AS BIGINT) * 1000 AS b FROM y),
 m AS (SELECT ep, a, b, string_agg(text, '' ORDER BY z.s, z.run) AS text FROM z GROUP BY ep, a, b)
@@ -221,7 +229,8 @@ def align_timeline(spark, d):
     return segment.align_timeline(words, timeline, 14 * 24 * HOUR, HOUR, 6 * HOUR, rules, 6 * HOUR, HOUR)
 
 
-@register(f"""WITH {ALIGNED} SELECT r.ep, r.i, CAST(r.run + CASE WHEN moved.i IS NULL THEN 0 ELSE 1 END AS BIGINT) AS run FROM r LEFT JOIN moved ON moved.ep = r.ep AND moved.i = r.i""")
+@register(f"""WITH {ALIGNED} SELECT r.ep, r.i, CAST(r.run + CASE WHEN moved.i IS NULL THEN 0 ELSE 1 END AS BIGINT) AS run FROM r LEFT
+  JOIN moved ON moved.ep = r.ep AND moved.i = r.i""")
 def boundary_repair(spark, d):
     ev = events(spark, d)
     n = F.row_number().over(W.partitionBy("ep").orderBy("s", "i")).cast("bigint")
@@ -293,7 +302,8 @@ def _base(ev):
     return new, base
 
 
-@register(f"""WITH {EV}, {BASE}, o AS (SELECT nw.ep, nw.i, b.j, (least(e, be) - greatest(s, bs)) / greatest(10000, e - s) AS share FROM nw JOIN b ON nw.ep = b.ep AND least(e, be) - greatest(s, bs) > 0),
+@register(f"""WITH {EV}, {BASE}, o AS (SELECT nw.ep, nw.i, b.j, (least(e, be) - greatest(s, bs)) / greatest(10000, e - s) AS share FROM nw
+  JOIN b ON nw.ep = b.ep AND least(e, be) - greatest(s, bs) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY ep, i ORDER BY share DESC, j) AS k FROM o)
 SELECT ep, i, j AS match, share FROM r WHERE k = 1 AND share >= 0.6""")
 def max_overlap(spark, d):
@@ -311,18 +321,23 @@ _CHARS = "list_filter(string_split(translate({0}, '。、！？…?!「」（）
 
 
 @register(f"""WITH RECURSIVE {EV}, {BASE},
-o AS (SELECT nw.ep, nw.i, max((least(e, be) - greatest(s, bs)) / greatest(10000, e - s)) AS share FROM nw JOIN b ON nw.ep = b.ep AND least(e, be) - greatest(s, bs) > 0 GROUP BY nw.ep, nw.i),
-free AS (SELECT nw.* FROM nw LEFT JOIN o ON o.ep = nw.ep AND o.i = nw.i WHERE coalesce(share, 0) < 0.6 AND length(translate(text, '。、！？…?!「」（）『』・　 ', '')) >= 2),
-nt AS (SELECT free.ep, free.i, any_value(free.s) AS s, any_value(free.e) AS e, any_value(free.text) AS text, coalesce(string_agg(b.text, '' ORDER BY j), '') AS near_text
+o AS (SELECT nw.ep, nw.i, max((least(e, be) - greatest(s, bs)) / greatest(10000, e - s)) AS share FROM nw JOIN b ON nw.ep = b.ep
+  AND least(e, be) - greatest(s, bs) > 0 GROUP BY nw.ep, nw.i),
+free AS (SELECT nw.* FROM nw LEFT JOIN o ON o.ep = nw.ep AND o.i = nw.i WHERE coalesce(share, 0) < 0.6
+  AND length(translate(text, '。、！？…?!「」（）『』・　 ', '')) >= 2),
+nt AS (SELECT free.ep, free.i, any_value(free.s) AS s, any_value(free.e) AS e, any_value(free.text) AS text, coalesce(string_agg(b.text, ''
+  ORDER BY j), '') AS near_text
   FROM free LEFT JOIN b ON free.ep = b.ep AND be > free.s - 7200000000 AND bs < free.e + 7200000000 GROUP BY free.ep, free.i),
-c AS (SELECT *, {_CHARS.format("text")} AS x, {_CHARS.format("near_text")} AS y FROM nt), g AS (SELECT *, {_GRAMS.format("x")} AS p, {_GRAMS.format("y")} AS q FROM c),
+c AS (SELECT *, {_CHARS.format("text")} AS x, {_CHARS.format("near_text")} AS y
+  FROM nt), g AS (SELECT *, {_GRAMS.format("x")} AS p, {_GRAMS.format("y")} AS q FROM c),
 added AS (SELECT ep, i, s, e, text FROM g WHERE CASE WHEN len(p) > 0 AND len(q) > 0 THEN len(list_intersect(p, q)) / len(p) ELSE 0.0 END < 0.5),
 u AS (SELECT ep, 0 AS src, j AS k, bs AS s, be AS e, text FROM b UNION ALL SELECT ep, 1, i, s, e, text FROM added),
 n AS (SELECT ep, s, e, text, row_number() OVER w AS n, lead(s) OVER w AS nx FROM u WINDOW w AS (PARTITION BY ep ORDER BY s, src, k)),
 f(ep, n, s, e) AS (
   SELECT ep, n, s, CASE WHEN nx IS NOT NULL AND e > nx - 50000 THEN greatest(s + 300000, nx - 50000) ELSE e END FROM n WHERE n = 1
   UNION ALL
-  SELECT n.ep, n.n, greatest(n.s, f.e + 50000), CASE WHEN n.nx IS NOT NULL AND n.e > n.nx - 50000 THEN greatest(greatest(n.s, f.e + 50000) + 300000, n.nx - 50000) ELSE n.e END
+  SELECT n.ep, n.n, greatest(n.s, f.e + 50000), CASE WHEN n.nx IS NOT NULL
+    AND n.e > n.nx - 50000 THEN greatest(greatest(n.s, f.e + 50000) + 300000, n.nx - 50000) ELSE n.e END
   FROM f JOIN n ON n.ep = f.ep AND n.n = f.n + 1)
 SELECT f.ep, f.n AS i, f.s, f.e, n.text FROM f JOIN n ON n.ep = f.ep AND n.n = f.n""")
 def recover_missed(spark, d):
@@ -330,7 +345,8 @@ def recover_missed(spark, d):
     return recover.recover(new, base, 2 * HOUR, 3 * HOUR)
 
 
-@register(f"""WITH {EV}, {SPANS}, l AS (SELECT *, b - a AS len FROM sp) SELECT DISTINCT w.ep, w.i FROM w JOIN l ON w.ep = l.ep WHERE w.s <= a AND b <= w.e AND len >= 1500000""")
+@register(f"""WITH {EV}, {SPANS}, l AS (SELECT *, b - a AS len FROM sp) SELECT DISTINCT w.ep, w.i FROM w JOIN l ON w.ep = l.ep WHERE w.s <= a
+  AND b <= w.e AND len >= 1500000""")
 def silence_inside(spark, d):
     ev = events(spark, d)
     return catalog.silence_inside(_windows(ev), of_type(ev, "click", HOUR, ("j", "pa", "pb")), bucket_us=6 * HOUR).select("ep", "i")
@@ -356,7 +372,8 @@ def _block(ms: str) -> str:
 
 
 @register(f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS n FROM ev)
-SELECT ep, string_agg(n || chr(10) || {_block("(s // 1000)")} || ' --> ' || {_block("(e // 1000)")} || chr(10) || text || chr(10), chr(10) ORDER BY n) AS srt FROM n GROUP BY ep""")
+SELECT ep, string_agg(n || chr(10) || {_block("(s // 1000)")} || ' --> ' || {_block("(e // 1000)")} || chr(10) || text || chr(10), chr(10)
+  ORDER BY n) AS srt FROM n GROUP BY ep""")
 def srt_texts(spark, d):
     return layout.srt_texts(events(spark, d))
 
@@ -412,7 +429,8 @@ def escape_and_strip(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(tx.escape_ass(F.col("text"))).alias("escaped"), F.length(tx.strip_punct(F.col("text"))).cast("bigint").alias("content"))
 
 
-@register("""SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')[1] AS line FROM documents""")
+@register("""SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9)
+  || chr(13))), lambda x: x <> '')[1] AS line FROM documents""")
 def first_lines(spark, d):
     return read(spark, d, "documents").select("doc_id", tx.first_line(F.col("text")).alias("line"))
 
@@ -437,13 +455,16 @@ def _split_sql(lines: str, limit: int) -> str:
     """``leaf``: the parts (lo, hi] of the lines ``lines`` (k, line), halved until they are short enough."""
     particles = "|".join(kana.SPLIT_PARTICLES)
     return f"""l AS ({lines}),
-pos AS (SELECT k, i, CASE WHEN contains('{tx.SPLIT_PUNCT}', substr(line, i, 1)) THEN 12 WHEN regexp_matches(left(line, i), '({particles})$') THEN 6 ELSE 0 END AS gain
+pos AS (SELECT k, i, CASE WHEN contains('{tx.SPLIT_PUNCT}', substr(line, i, 1)) THEN 12
+  WHEN regexp_matches(left(line, i), '({particles})$') THEN 6 ELSE 0 END AS gain
   FROM (SELECT k, line, unnest(generate_series(1, length(line))) AS i FROM l WHERE length(line) > {limit}) x),
 f(k, lo, hi) AS (SELECT k, 0::BIGINT, length(line)::BIGINT FROM l UNION ALL
   SELECT c.k, CASE WHEN h = 0 THEN c.lo ELSE c.cut END, CASE WHEN h = 0 THEN c.cut ELSE c.hi END FROM (
     SELECT f.k, f.lo, f.hi, arg_min(pos.i, (abs(pos.i - f.lo - (f.hi - f.lo) / 2) - gain, pos.i)) AS cut
-    FROM f JOIN pos ON pos.k = f.k AND pos.i >= f.lo + 8 AND pos.i <= f.hi - 9 WHERE f.hi - f.lo > {limit} GROUP BY f.k, f.lo, f.hi) c, (VALUES (0), (1)) AS t(h)),
-leaf AS (SELECT f.k, lo, hi, row_number() OVER (PARTITION BY f.k ORDER BY lo) - 1 AS part, substr(line, lo + 1, hi - lo) AS text FROM f JOIN l ON l.k = f.k WHERE hi - lo <= {limit})"""
+    FROM f JOIN pos ON pos.k = f.k AND pos.i >= f.lo + 8 AND pos.i <= f.hi - 9 WHERE f.hi - f.lo > {limit}
+      GROUP BY f.k, f.lo, f.hi) c, (VALUES (0), (1)) AS t(h)),
+leaf AS (SELECT f.k, lo, hi, row_number() OVER (PARTITION BY f.k ORDER BY lo) - 1 AS part, substr(line, lo + 1, hi - lo) AS text FROM f
+  JOIN l ON l.k = f.k WHERE hi - lo <= {limit})"""
 
 
 _BENCH_LINES = """SELECT (item_id, n) AS k, line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM benchmark) x"""
@@ -460,7 +481,8 @@ def split_long(spark, d):
 _TURNS = "SELECT (conv_id, turn) AS k, text AS line FROM conversations WHERE text IS NOT NULL"
 
 
-@register(f"""WITH RECURSIVE {_split_sql(_TURNS, 40)}, c AS (SELECT k, turn * 10000000 AS s, greatest(length(text), 1) AS n FROM (SELECT (conv_id, turn) AS k, turn, text FROM conversations WHERE text IS NOT NULL) y)
+@register(f"""WITH RECURSIVE {_split_sql(_TURNS, 40)}, c AS (SELECT k, turn * 10000000 AS s, greatest(length(text), 1) AS n
+  FROM (SELECT (conv_id, turn) AS k, turn, text FROM conversations WHERE text IS NOT NULL) y)
 SELECT leaf.k[1] AS ep, leaf.k[2] AS i, part, CAST(trunc(s + 10000000 * lo / n) AS BIGINT) AS s, CAST(trunc(s + 10000000 * hi / n) AS BIGINT) AS e, text FROM leaf JOIN c ON c.k = leaf.k""")
 def expand_long(spark, d):
     """Turns as cues of ten seconds, parts with times in proportion to their characters."""
@@ -477,7 +499,8 @@ m AS (SELECT item_id, i, max_by(key, length(key)) AS key FROM (SELECT item_id, t
   JOIN k ON substr(text, i, length(key)) = key GROUP BY item_id, i),
 f(item_id, i, key, pos) AS (SELECT item_id, 0::BIGINT, ''::VARCHAR, 1::BIGINT FROM benchmark UNION ALL
   SELECT x.item_id, x.i, x.key, x.i + length(x.key) FROM (
-    SELECT f.item_id, m.i, m.key, row_number() OVER (PARTITION BY f.item_id ORDER BY m.i) AS r FROM f JOIN m ON m.item_id = f.item_id AND m.i >= f.pos) x WHERE r = 1)
+    SELECT f.item_id, m.i, m.key, row_number() OVER (PARTITION BY f.item_id ORDER BY m.i) AS r FROM f JOIN m ON m.item_id = f.item_id
+      AND m.i >= f.pos) x WHERE r = 1)
 SELECT item_id, i - 1 AS "offset", length(key) AS length, key FROM f WHERE i > 0""")
 def dict_longest_match(spark, d):
     entries = dict(DICT)
@@ -521,10 +544,10 @@ def topk_candidates(spark, d):
     return top.join(first, ["ep", "text"]).select("ep", "text", "n", "reading", F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("""SELECT l_partkey, n FROM (SELECT l_partkey, count(*) AS n, min((l_orderkey, l_linenumber)) AS f FROM lineitem GROUP BY l_partkey) ORDER BY n DESC, f LIMIT 40""")
+@register("""SELECT l_partkey, n FROM (SELECT l_partkey, count(*) AS n, min((l_orderkey, l_linenumber)) AS f FROM lineitem
+  GROUP BY l_partkey) ORDER BY n DESC, f LIMIT 40""")
 def top_parts(spark, d):
-    x = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.min(F.struct("l_orderkey", "l_linenumber")).alias("f"))
-    return x.orderBy(F.desc("n"), "f").limit(40).select("l_partkey", "n")
+    return catalog.most_common(read(spark, d, "lineitem"), "l_partkey", ["l_orderkey", "l_linenumber"])
 
 
 @register(f"""WITH {EV} SELECT ep, text, arg_max(value, (s, i)) AS value FROM ev GROUP BY ep, text""")
@@ -533,7 +556,8 @@ def settings_resolve(spark, d):
     return catalog.layered(x, ["ep", "text"]).select("ep", "text", "value")
 
 
-@register(f"""WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY text <> 'purchase', i) AS k FROM ev) SELECT ep, i, text, text <> 'purchase' AS fallback FROM r WHERE k = 1""")
+@register(f"""WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY text <> 'purchase', i) AS k
+  FROM ev) SELECT ep, i, text, text <> 'purchase' AS fallback FROM r WHERE k = 1""")
 def preferred_track(spark, d):
     ev = events(spark, d).select("ep", "i", "text")
     return catalog.preferred(ev, "ep", "i", F.col("text") == "purchase")
@@ -545,9 +569,11 @@ def pending_media(spark, d):
     return catalog.pending(read(spark, d, "customer"), streams, "c_custkey").select("c_custkey", "c_name")
 
 
-@register("""SELECT o_orderkey, concat_ws(';', CASE WHEN coalesce(n, 0) = 0 THEN 'no lines' END, CASE WHEN NOT coalesce(n <= 4, false) THEN 'too many lines' END,
+@register("""SELECT o_orderkey, concat_ws(';', CASE WHEN coalesce(n, 0) = 0 THEN 'no lines' END, CASE
+  WHEN NOT coalesce(n <= 4, false) THEN 'too many lines' END,
 CASE WHEN NOT coalesce(flags = 'N', false) THEN 'flags' END) AS problems
-FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, string_agg(DISTINCT l_returnflag, '' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, string_agg(DISTINCT l_returnflag, '' ORDER BY l_returnflag) AS flags FROM lineitem
+  GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
 def verify_diff(spark, d):
     lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "").alias("flags"))
     x = read(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -573,7 +599,8 @@ def keep_list(spark, d):
     return x.select("path", F.array_join(catalog.keep_list(F.col("a"), F.col("b")).cast("array<string>"), ",").alias("keep"))
 
 
-@register("""SELECT l_orderkey AS path, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS track_id FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey""")
+@register("""SELECT l_orderkey AS path, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS track_id FROM lineitem
+  WHERE l_returnflag = 'R' GROUP BY l_orderkey""")
 def first_track(spark, d):
     """Lines of an order as tracks of a container; returned ones are Japanese."""
     lines = read(spark, d, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey"])
@@ -582,8 +609,10 @@ def first_track(spark, d):
     return catalog.first_track(lines.select(*at, F.col("l_partkey").alias("track_id")), lines.select(*at, language.alias("language")), catalog.JAPANESE)
 
 
-_STREAMS = """s AS (SELECT l_orderkey AS path, l_linenumber::BIGINT * 1000000000 + l_partkey AS index, CASE l_linenumber WHEN 1 THEN 'video' WHEN 2 THEN 'audio' WHEN 4 THEN 'attachment' ELSE 'subtitle' END AS codec_type,
-l_linestatus AS codec_name, CASE l_returnflag WHEN 'R' THEN 'jpn' WHEN 'A' THEN 'chi' ELSE 'eng' END AS language, CASE WHEN l_quantity > 25 THEN 'Japanese' ELSE 'other' END AS title,
+_STREAMS = """s AS (SELECT l_orderkey AS path, l_linenumber::BIGINT * 1000000000 + l_partkey AS index, CASE l_linenumber WHEN 1 THEN 'video'
+  WHEN 2 THEN 'audio' WHEN 4 THEN 'attachment' ELSE 'subtitle' END AS codec_type,
+l_linestatus AS codec_name, CASE l_returnflag WHEN 'R' THEN 'jpn' WHEN 'A' THEN 'chi' ELSE 'eng' END AS language, CASE
+  WHEN l_quantity > 25 THEN 'Japanese' ELSE 'other' END AS title,
 CAST(l_quantity AS INT) AS width, l_linenumber AS height, l_tax FROM lineitem)"""
 
 
@@ -602,8 +631,10 @@ old AS (SELECT path, coalesce(list(av ORDER BY index) FILTER (codec_type IN ('au
 new AS (SELECT path, coalesce(list(av ORDER BY index) FILTER (codec_type IN ('audio', 'video')), []) AS av, count(*) FILTER (codec_type = 'attachment') AS att,
   coalesce(list((language, title) ORDER BY index) FILTER (codec_type = 'subtitle'), []) AS subs, count(*) FILTER (codec_type = 'subtitle') AS n, bool_or(codec_type = 'subtitle' AND language = 'jpn') AS jp
   FROM sig WHERE l_tax <> 0.05 GROUP BY path)
-SELECT old.path, concat_ws(';', CASE WHEN NOT coalesce(old.av = new.av, false) THEN 'streams' END, CASE WHEN NOT coalesce(old.att = new.att, false) THEN 'attachments' END,
-  CASE WHEN NOT coalesce(n > 0 AND subs[1] = ('jpn', 'Japanese'), false) THEN 'first subtitle' END, CASE WHEN NOT coalesce(n <= 2, false) THEN 'too many subtitles' END,
+SELECT old.path, concat_ws(';', CASE WHEN NOT coalesce(old.av = new.av, false) THEN 'streams' END, CASE
+  WHEN NOT coalesce(old.att = new.att, false) THEN 'attachments' END,
+  CASE WHEN NOT coalesce(n > 0 AND subs[1] = ('jpn', 'Japanese'), false) THEN 'first subtitle' END, CASE
+    WHEN NOT coalesce(n <= 2, false) THEN 'too many subtitles' END,
   CASE WHEN NOT coalesce(jp, false) THEN 'no Japanese subtitle' END) AS problems FROM old LEFT JOIN new ON new.path = old.path""")
 def verify_mux(spark, d):
     """Orders as files; the second look misses the streams of one tax rate."""
@@ -617,7 +648,8 @@ def video_size(spark, d):
     return src.video_size(_streams(spark, d).where("l_tax <> 0.05"))
 
 
-@register("""WITH t AS (SELECT l_suppkey AS folder, l_orderkey * 10 + l_linenumber AS pos, CASE l_returnflag WHEN 'R' THEN '小玉' WHEN 'A' THEN '神' ELSE '東京' END AS surface,
+@register("""WITH t AS (SELECT l_suppkey AS folder, l_orderkey * 10 + l_linenumber AS pos, CASE l_returnflag WHEN 'R' THEN '小玉'
+  WHEN 'A' THEN '神' ELSE '東京' END AS surface,
   CASE WHEN l_linenumber % 2 = 1 THEN CASE l_returnflag WHEN 'R' THEN 'こだま' ELSE 'とうきょう' END ELSE '?' END AS reading FROM lineitem),
 c AS (SELECT folder, surface, arg_min(reading, pos) AS reading, count(*) AS n, min(pos) AS f FROM t WHERE surface <> '神' GROUP BY folder, surface)
 SELECT folder, surface, reading, n, row_number() OVER (PARTITION BY folder ORDER BY n DESC, f, surface) AS rank FROM c""")
@@ -632,7 +664,8 @@ def name_candidates(spark, d):
     return catalog.candidates(tokens).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@register(f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS n FROM ev) SELECT ep AS file, n * 4 - 2 AS line_no, s // 1000 * 1000 AS s, e // 1000 * 1000 AS e FROM n""")
+@register(f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS n
+  FROM ev) SELECT ep AS file, n * 4 - 2 AS line_no, s // 1000 * 1000 AS s, e // 1000 * 1000 AS e FROM n""")
 def srt_intervals(spark, d):
     lines = src.lines_of(layout.srt_texts(events(spark, d)), "ep", "srt")
     return src.srt_timeline(lines).withColumn("line_no", F.col("line_no").cast("bigint"))
@@ -643,8 +676,10 @@ _KANA = "repeat('か', CAST(2 + i % 9 AS INT))"
 
 @register(f"""WITH {EV}, c AS (SELECT *, CAST(round_even(s / 10000, 0) AS BIGINT) AS a, CAST(round_even(e / 10000, 0) AS BIGINT) AS b, 2 + i % 9 AS k, (1920 - length(text) * 30.0::DOUBLE) / 2 AS x0 FROM ev),
 z AS (SELECT *, CASE WHEN k * 27 <= 60 THEN 27 ELSE greatest(18, 60 // k) END AS size FROM c)
-SELECT ep, i, 0 AS "offset", 'Dialogue: 0,' || printf('%d:%02d:%02d.%02d', a // 360000, a // 6000 % 60, a // 100 % 60, a % 100) || ',' || printf('%d:%02d:%02d.%02d', b // 360000, b // 6000 % 60, b // 100 % 60, b % 100) ||
-',RB,,0,0,0,,' || printf('{{\\an7\\pos(%.1f,%.1f)', least(greatest(x0 + (60 - k * size) / 2, 6), 1914 - k * size)::DOUBLE, 937.0::DOUBLE) || CASE WHEN size = 27 THEN '' ELSE printf('\\fs%.1f', size::DOUBLE) END || '}}' || {_KANA} AS line FROM z""")
+SELECT ep, i, 0 AS "offset", 'Dialogue: 0,' || printf('%d:%02d:%02d.%02d', a // 360000, a // 6000 % 60, a // 100 % 60, a % 100) || ','
+  || printf('%d:%02d:%02d.%02d', b // 360000, b // 6000 % 60, b // 100 % 60, b % 100) ||
+',RB,,0,0,0,,' || printf('{{\\an7\\pos(%.1f,%.1f)', least(greatest(x0 + (60 - k * size) / 2, 6), 1914 - k * size)::DOUBLE, 937.0::DOUBLE)
+  || CASE WHEN size = 27 THEN '' ELSE printf('\\fs%.1f', size::DOUBLE) END || '}}' || {_KANA} AS line FROM z""")
 def ruby_lines(spark, d):
     """Readings of two to ten characters over the first two of each cue."""
     ev = events(spark, d)
@@ -661,7 +696,8 @@ def sorted_multiset(spark, d):
 @register(f"""WITH {EV}, c AS (SELECT ep, text, count(*) AS n, min((s, i)) AS f, arg_min(value, (s, i)) AS v FROM ev GROUP BY ep, text),
 r AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY n DESC, f) AS rank FROM c),
 o AS (SELECT * FROM r WHERE NOT (text = 'purchase' AND ep % 2 = 0))
-SELECT ep AS folder, count(*) AS n, string_agg('#' || text || chr(9) || CAST(CAST(trunc(v * 100) AS BIGINT) AS VARCHAR) || chr(9) || '出现 ' || n || ' 次', chr(10) ORDER BY rank) AS section FROM o GROUP BY ep""")
+SELECT ep AS folder, count(*) AS n, string_agg('#' || text || chr(9) || CAST(CAST(trunc(v * 100) AS BIGINT) AS VARCHAR) || chr(9) || '出现 ' || n
+  || ' 次', chr(10) ORDER BY rank) AS section FROM o GROUP BY ep""")
 def dict_update(spark, d):
     ev = events(spark, d)
     first = ev.groupBy("ep", "text").agg(F.min_by((F.col("value") * 100).cast("bigint").cast("string"), F.struct("s", "i")).alias("reading"))
@@ -676,7 +712,8 @@ def review_flags(spark, d):
 
 
 @register(f"""WITH {EV}, n AS (SELECT ep, i, text, row_number() OVER (PARTITION BY ep ORDER BY s, i) AS n FROM ev),
-m AS (SELECT ep, n AS seam, CASE WHEN i % 2 = 0 THEN 'merge' ELSE 'split' END AS kind FROM n WHERE text = 'view'), c AS (SELECT ep, n AS cut FROM n WHERE text = 'error')
+m AS (SELECT ep, n AS seam, CASE WHEN i % 2 = 0 THEN 'merge' ELSE 'split' END AS kind FROM n WHERE text = 'view'), c AS (SELECT ep, n AS cut
+  FROM n WHERE text = 'error')
 SELECT ep, seam, kind, CASE WHEN kind = 'merge' THEN NOT EXISTS (SELECT 1 FROM c WHERE c.ep = m.ep AND c.cut = m.seam)
 ELSE EXISTS (SELECT 1 FROM c WHERE c.ep = m.ep AND abs(c.cut - m.seam) <= 1) END AS passed FROM m""")
 def mark_score(spark, d):
@@ -767,7 +804,8 @@ def plan_layout(spark, d):
 
 @register(f"""WITH {EV}, c AS (SELECT *, CAST(round_even(s / 10000, 0) AS BIGINT) AS a, CAST(round_even(e / 10000, 0) AS BIGINT) AS b FROM ev)
 SELECT ep, i, 'Dialogue: 0,' || printf('%d:%02d:%02d.%02d', a // 360000, a // 6000 % 60, a // 100 % 60, a % 100) || ',' ||
-printf('%d:%02d:%02d.%02d', b // 360000, b // 6000 % 60, b // 100 % 60, b % 100) || ',JP,,0,0,0,,' || printf('{{\\an7\\pos(%.1f,%.1f)}}', (1920 - length(text) * 30.0::DOUBLE) / 2, 970.0::DOUBLE) || text AS line FROM c""")
+printf('%d:%02d:%02d.%02d', b // 360000, b // 6000 % 60, b // 100 % 60, b % 100) || ',JP,,0,0,0,,'
+  || printf('{{\\an7\\pos(%.1f,%.1f)}}', (1920 - length(text) * 30.0::DOUBLE) / 2, 970.0::DOUBLE) || text AS line FROM c""")
 def ass_events(spark, d):
     return layout.main_events(events(spark, d))
 
@@ -784,7 +822,8 @@ _HEAD = "\n".join(
 
 @register(f"""WITH {EV}, c AS (SELECT *, CAST(round_even(s / 10000, 0) AS BIGINT) AS a, CAST(round_even(e / 10000, 0) AS BIGINT) AS b FROM ev),
 l AS (SELECT ep, s, i, 'Dialogue: 0,' || printf('%d:%02d:%02d.%02d', a // 360000, a // 6000 % 60, a // 100 % 60, a % 100) || ',' ||
-printf('%d:%02d:%02d.%02d', b // 360000, b // 6000 % 60, b // 100 % 60, b % 100) || ',JP,,0,0,0,,' || printf('{{\\an7\\pos(%.1f,%.1f)}}', (1920 - length(text) * 30.0::DOUBLE) / 2, 970.0::DOUBLE) || text AS line FROM c)
+printf('%d:%02d:%02d.%02d', b // 360000, b // 6000 % 60, b // 100 % 60, b % 100) || ',JP,,0,0,0,,'
+  || printf('{{\\an7\\pos(%.1f,%.1f)}}', (1920 - length(text) * 30.0::DOUBLE) / 2, 970.0::DOUBLE) || text AS line FROM c)
 SELECT ep, '{_HEAD}' || chr(10) || string_agg(line, chr(10) ORDER BY s, i) || chr(10) AS ass FROM l GROUP BY ep""")
 def ass_texts(spark, d):
     return layout.ass_texts(events(spark, d))
@@ -792,7 +831,8 @@ def ass_texts(spark, d):
 
 @register(f"""WITH {EV}, s AS (SELECT ep, i, text FROM ev WHERE text IN ('view', 'click', 'error')),
 p AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY text <> 'click', i) AS k FROM s)
-SELECT p.ep AS path, p.text AS language, p.text <> 'click' AS fallback, 1::BIGINT AS n, ev.e AS max_end FROM p JOIN ev ON ev.ep = p.ep AND ev.i = p.i WHERE k = 1""")
+SELECT p.ep AS path, p.text AS language, p.text <> 'click' AS fallback, 1::BIGINT AS n, ev.e AS max_end FROM p JOIN ev ON ev.ep = p.ep
+  AND ev.i = p.i WHERE k = 1""")
 def reference_timeline(spark, d):
     """Events as streams of one interval each; clicks are the wanted language."""
     ev = events(spark, d).where("text IN ('view', 'click', 'error')")
@@ -851,7 +891,8 @@ def grammar_flags(spark, d):
     return catalog.grammar_flags(transcript_lines(spark, d), rules.bad_line_start, rules.ends_with_starter)
 
 
-@register(f"""WITH {EV}, c AS (SELECT ep, s, i, CASE WHEN s - max(s) OVER (PARTITION BY ep ORDER BY s, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 3600000000 THEN 0 ELSE 1 END AS c FROM ev),
+@register(f"""WITH {EV}, c AS (SELECT ep, s, i, CASE WHEN s - max(s) OVER (PARTITION BY ep ORDER BY s, i ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING) < 3600000000 THEN 0 ELSE 1 END AS c FROM ev),
 r AS (SELECT *, sum(c) OVER (PARTITION BY ep ORDER BY s, i) AS r FROM c)
 SELECT ep, min(s) AS s, max(s) + 3600000000 AS e, count(*) AS n FROM r GROUP BY ep, r""")
 def session_groups(spark, d):
