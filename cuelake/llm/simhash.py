@@ -23,6 +23,8 @@ from cuelake.llm.components import components, unite
 from cuelake.llm.store import table, text_hashes
 
 SEED = 42
+#: A small trie is cut into 16 subtrees too, which make 96 pairs: work for as many tasks.
+LEAST_DEPTH = 4
 
 
 def fingerprints(text, shingle: int = 3) -> np.ndarray:
@@ -121,7 +123,7 @@ def near_links(fps: DataFrame, count: int, max_bits: int = 2, subtree: int = 1 <
     ``count`` sets the depth of the subtrees, so that one has about ``subtree`` leaves. A fingerprint goes to the
     subtree pairs whose names are near its own: C(depth, 0) + .. + C(depth, max_bits) of them.
     """
-    depth = max(1, min(24, max(1, -(-count // subtree)).bit_length()))
+    depth = max(LEAST_DEPTH, min(24, (-(-count // subtree)).bit_length()))
     masks = [sum(1 << i for i in c) for k in range(max_bits + 1) for c in combinations(range(depth), k)]
     name = F.shiftrightunsigned("fp", 64 - depth)
     other = F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks]))
