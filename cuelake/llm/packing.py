@@ -4,9 +4,12 @@ Documents become ids once (each distinct word is given to the tokenizer library
 to context tiers. What is longer than the longest tier is cut into full windows; each tier's remainders open windows of
 their own tier, longest tier first; the gap of a window is filled with whole documents of shorter tiers, longest fitting
 first, and the last few places with the head of one more, so windows end full. What no window of its tier can fill waits
-for the next documents of the task; at the end of the task it goes to ever shorter windows of a power of two. Windows
-of a tier are dealt to step groups of equal numbers of tokens. Everything happens in one scan: no exchange, and a task
-holds one piece of text and at most a few windows' worth of ids.
+for the next documents of the task; at the end of the task it goes to ever shorter windows of a power of two. That is one
+scan: no exchange of texts, and a task holds one piece of text and at most a few windows' worth of ids.
+
+Then the windows of each length, of all tasks, are dealt to step groups of equal numbers of tokens (``deal_steps``): the
+windows are numbered in their task, the tasks' counts are summed up, and only one group of a length is partial. The rows
+that are exchanged for it hold no ids and no texts.
 """
 
 from __future__ import annotations
@@ -18,14 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.llm.bpe import Memo
 from cuelake.llm.bytesvec import pieces, ragged, raw, spans_hash, words
+from cuelake.llm.store import table
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 STEP_TOKENS = 1 << 16
+_TASK = 40  # a window's number in its task has so many bits
 
 
 class WordIds:
@@ -74,9 +80,8 @@ class WordIds:
 class Packer:
     """Windows from documents that come one after the other; rows as they become final."""
 
-    def __init__(self, task: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS):
-        self.base, self.tiers, self.step_tokens = task << 40, tiers, step_tokens
-        self.next, self.of_tier = 0, dict.fromkeys(tiers, 0)
+    def __init__(self, task: int, tiers: tuple[int, ...] = TIERS):
+        self.base, self.tiers, self.next = task << _TASK, tiers, 0
         self.sizes: list[int] = []  # of what waits, ascending, and in the same order what it is
         self.waiting: list[tuple] = []
         self.rows: list[tuple] = []
@@ -93,14 +98,9 @@ class Packer:
     def _window(self, items: list[tuple], tier: int) -> None:
         number = self.base + self.next
         self.next += 1
-        group = -1
-        if tier in self.of_tier:
-            k = self.of_tier[tier]
-            self.of_tier[tier] += 1
-            group = self.base + (self.tiers.index(tier) << 36) + k // max(1, self.step_tokens // tier)
         at = 0
         for key, ids, start, size, whole in items:
-            self.rows.append((key, start, size, zlib.crc32(ids), whole, number, at, tier, group))
+            self.rows.append((key, start, size, zlib.crc32(ids), whole, number, at, tier))
             at += size
 
     def add(self, key, ids: np.ndarray) -> None:
@@ -149,10 +149,10 @@ class Packer:
 
 
 _OUT = (
-    "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+    "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int"
 )
 _NAMES = ["id", *(x.split()[0] for x in _OUT.split(", "))]
-_TYPES = [*[pa.int64()] * 6, pa.int32(), pa.int64()]
+_TYPES = [*[pa.int64()] * 6, pa.int32()]
 
 
 def pack(
@@ -161,20 +161,18 @@ def pack(
     key: str = "doc_id",
     text: str = "text",
     tiers: tuple[int, ...] = TIERS,
-    step_tokens: int = STEP_TOKENS,
 ) -> DataFrame:
-    """One row a piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group``.
+    """One row a piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier``.
 
     A document is its ids and ``END_ID``; a null or empty text is the end id alone. ``sequence_id`` is unique over all
-    tasks, ``offset`` gapless from 0 within it. ``tier`` is the window's length; tails below the shortest tier have step
-    group -1. Repeated rows and null keys are packed like any other; no rows give no rows; other columns of the input
+    tasks, ``offset`` gapless from 0 within it. ``tier`` is the window's length. Repeated rows and null keys are packed like any other; no rows give no rows; other columns of the input
     play no part. Tiers are powers of two, longest first.
     """
     kind = docs.schema[key].dataType
 
     def run(batches):
         coder = WordIds.of(vocab)
-        packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
+        packer = Packer(TaskContext.get().partitionId(), tiers)
 
         def flush():
             if packer.rows:
@@ -203,7 +201,29 @@ def pack(
     )
 
 
+def deal_steps(packed: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """Adds ``step_group`` to the pieces of a written table of ``pack``.
+
+    Every group holds windows of one length, ``step_tokens`` tokens of them (one window where that is longer), but the
+    last group of each length, which holds what is left. No rows give no rows.
+    """
+    windows = packed.where("offset = 0").select("sequence_id", "tier", F.shiftright("sequence_id", _TASK).alias("task"))
+    inside = F.row_number().over(W.partitionBy("task", "tier").orderBy("sequence_id")) - 1
+    upto = W.partitionBy("tier").orderBy("task").rowsBetween(W.unboundedPreceding, -1)  # a row a task
+    counts = windows.groupBy("task", "tier").agg(F.count("*").alias("n"))
+    before = counts.select("task", "tier", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    ranked = windows.withColumn("inside", inside).join(before, ["task", "tier"])
+    group = F.floor((F.col("before") + F.col("inside")) / F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier"))))
+    groups = ranked.select("sequence_id", (F.col("tier").cast("long") * (1 << _TASK) + group).cast("long").alias("step_group"))
+    return packed.join(groups, "sequence_id").select(*packed.columns, "step_group")
+
+
+def packed_steps(spark: SparkSession, docs: DataFrame, vocab: str) -> DataFrame:
+    """Pieces of the packed documents with their step groups."""
+    return deal_steps(table(spark, pack(docs, vocab)))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed_steps(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

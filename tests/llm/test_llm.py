@@ -384,6 +384,22 @@ def test_packing(spark, documents, texts, awkward):
     assert packing.pack(awkward.limit(0), WORDS).count() == 0
 
 
+def test_step_groups(spark, documents, awkward):
+    """Groups of one length and equal tokens over all tasks; one partial group a length."""
+    for docs, step in ((documents.repartition(7), 1 << 14), (awkward, 4096), (awkward.limit(0), 4096)):
+        packed = packing.table(spark, packing.pack(docs, WORDS))
+        rows = packing.deal_steps(packed, step).collect()
+        assert sorted((tuple(r)[:-1] for r in rows), key=str) == sorted(map(tuple, packed.collect()), key=str)
+        groups, partial = defaultdict(dict), Counter()
+        for r in rows:
+            assert groups[r["step_group"]].setdefault(r["sequence_id"], r["tier"]) == r["tier"]
+        for windows in groups.values():
+            (tier,) = set(windows.values())
+            assert tier * len(windows) <= max(step, tier)
+            partial[tier] += tier * len(windows) < step - tier + 1
+        assert all(n <= 1 for n in partial.values())
+
+
 # ---------------------------------------------------------------- 5 fingerprints
 
 
