@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import language_id as lid
 from cuelake.llm.line_dedup import drop_repeated_lines
-from cuelake.llm.packing import pack
+from cuelake.llm.packing import packed_steps
 from cuelake.llm.simhash import simhash_firsts
 from cuelake.llm.store import drop, sweep, table, table_mark, text_hashes
 from cuelake.llm.substring_dedup import substring_dedup
@@ -90,7 +90,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed_steps(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _counted(new: DataFrame, docs: DataFrame) -> DataFrame:
