@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm.bytesvec import U64, ragged, raw, spans_hash, trimmed, windows_hash, words
-from cuelake.llm.store import text_bytes
+from cuelake.llm.store import table, text_bytes
 
 _SENT = "chunk long, bucket long, kind int, body binary"
 _BACK = "chunk long, bucket long, kind int, body binary"
@@ -214,7 +214,8 @@ def substring_dedup(
     Null and empty texts have no words (and stay as they are); a document shorter than ``window`` loses nothing;
     repeated rows are documents of their own, so a text of at least ``window`` words that occurs twice goes whole;
     a null key is carried; no rows give no rows. Columns that clash with the result's names are replaced. Chunks and
-    buckets are sized from the bytes of all texts; neither drops anything.
+    buckets are sized from the bytes of all texts; neither drops anything. Texts are first written to the shared folder,
+    each with its chunk; a chunk is a draw of rows, so no key, length or copied text fills one.
     """
     block = (window + 1) // 2
     total = text_bytes(docs, text)
@@ -222,11 +223,9 @@ def substring_dedup(
     buckets = max(1, -(-total * 2 // (3 * bucket_bytes)))  # a word is six bytes, its probe four
     made = ["n_words", "n_removed", "kept_sha256", "chunk"]
     carried = [c for c in docs.columns if c not in (made + [text])] if keep_text else [key]
-    dealt = docs.select(
-        *[F.col(f"`{c}`") for c in carried],
-        F.col(f"`{text}`").alias("text"),
-        F.pmod(F.xxhash64(F.col(f"`{key}`"), F.length(text)), F.lit(chunks)).alias("chunk"),
-    )
+    # dealt by row, so rows of one key (or without one) and one length are spread; written, as all passes must see one dealing
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk")
+    dealt = table(spark, docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("text"), place))
     by_chunk = dealt.groupBy("chunk")
     blocks = by_chunk.applyInArrow(_first_pass(block, buckets), _SENT).groupBy("bucket").applyInArrow(_answer_blocks, _BACK)
     runs = (
