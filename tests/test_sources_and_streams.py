@@ -82,6 +82,31 @@ def test_probe_errors_and_log(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "log")).count() == 6
 
 
+def test_contracts(spark):
+    """A recogniser fills a relation, its words come out normalised; a failure is a row with its reason."""
+    from cuelake.operators.sequence import normalise_words
+    from cuelake.sources import contracts
+
+    files = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "path string, ep long")
+
+    def heard(batches):
+        for b in batches:
+            words = [[{"ws": 500_000, "we": 100_000, "w": "x"}, {"ws": 500_000, "we": 500_000, "w": "y"}] if ep != 2 else None for ep in b["ep"]]
+            yield pd.DataFrame({"ep": b["ep"], "seg_i": 0, "s": 0, "e": 10, "text": ["" if ep == 3 else "z" for ep in b["ep"]], "words": words})
+
+    segments = contracts.external(files, heard, contracts.SEGMENT)
+    assert segments.schema == spark.createDataFrame([], contracts.SEGMENT).schema
+    got = sorted(tuple(r) for r in normalise_words(segments).collect())
+    one = lambda ep: [(ep, 0, 0, 100_000, 500_000, "x"), (ep, 0, 1, 500_000, 550_000, "y")]
+    assert got == [*one(1), (2, 0, 0, 0, 50_000, "z"), *one(3)]
+
+    def run(path):
+        if path == "b":
+            raise ValueError("no\n such   tool")
+
+    assert sorted((tuple(r) for r in contracts.status_of(files, run).collect()), key=str) == [("a", "done", None), ("b", "failed", "no such tool"), ("c", "done", None)]
+
+
 def test_long_intervals(spark):
     """Intervals of any length meet as a plain comparison says, each pair once."""
     rnd = random.Random(4)
