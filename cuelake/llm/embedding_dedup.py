@@ -268,7 +268,16 @@ def _visits(reach: float):
         vec = left["vec"].combine_chunks()
         vec = pa.concat_arrays([vec.take(pa.array(x[:sent])), pa.nulls(len(x) - sent, vec.type)])
         return pa.table(
-            [left["label"].take(take), left["dim"].take(take), name.take(pa.array(j)), pa.array(whole), left["rep"].take(take), left["weight"].take(take), vec, pa.array(child_rep[j])],
+            [
+                left["label"].take(take),
+                left["dim"].take(take),
+                name.take(pa.array(j)),
+                pa.array(whole),
+                left["rep"].take(take),
+                left["weight"].take(take),
+                vec,
+                pa.array(child_rep[j]),
+            ],
             names=[*_CELL, "kind", "rep", "weight", "vec", "p_rep"],
         )
 
@@ -312,7 +321,9 @@ def embedding_dedup(
         ),
     )
     named = ["label", "dim", "h1", "h2"]
-    hashed = rows.where("sound").select("id", "label", F.size("vec").alias("dim"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(9), "vec").alias("h2"), "vec")
+    hashed = rows.where("sound").select(
+        "id", "label", F.size("vec").alias("dim"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(9), "vec").alias("h2"), "vec"
+    )
     copies = hashed.groupBy(*named).agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
     reps = table(spark, copies)
     found = _links(spark, reps.select("label", "dim", "rep", "weight", "vec"), least, block_bytes, fan, most_levels)
@@ -323,7 +334,11 @@ def embedding_dedup(
         reps.select(*[F.col(c).alias(f"g_{c}") for c in named], "rep", "weight")
         .join(links, F.col("rep") == F.col("l_rep"), "left")
         .join(roots, F.col("rep") == F.col("node"), "left")
-        .select(*[f"g_{c}" for c in named], (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id")),
+        .select(
+            *[f"g_{c}" for c in named],
+            (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+            F.coalesce("root", "rep").alias("component_id"),
+        ),
     )
     drop(spark, found)
     drop(spark, reps)
@@ -342,7 +357,12 @@ def _links(spark: SparkSession, points: DataFrame, least: float, block_bytes: in
     kind = points.schema["label"].dataType.simpleString()
     keys, point = f"label {kind}, dim int, cell string", "rep long, weight long, vec array<double>"
     state = points.select("label", "dim", F.lit("").alias("cell"), F.lit(True).alias("home"), "rep", "weight", "vec")
-    cells = table(spark, state.groupBy(*_CELL).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("v"), F.lit(None).cast("long").alias("edge"), F.lit(False).alias("closed")))
+    cells = table(
+        spark,
+        state.groupBy(*_CELL).agg(
+            F.count("*").alias("n"), F.lit(0).cast("long").alias("v"), F.lit(None).cast("long").alias("edge"), F.lit(False).alias("closed")
+        ),
+    )
     leaves, credits, done = [], [], [cells]
     for level in range(most_levels):
         big = (F.col("n") > block) & ~F.col("closed")
@@ -356,14 +376,21 @@ def _links(spark: SparkSession, points: DataFrame, least: float, block_bytes: in
         want = F.least(F.lit(fan), F.greatest(F.lit(2), F.ceil(2 * F.col("n") / block))).cast("int").alias("want")
         sample = sample.select(*_CELL, "rep", "vec", want)
         pivots = table(spark, sample.groupBy(*_CELL).applyInArrow(_pivots, f"{keys}, no int, p_rep long, p_vec array<double>"))
-        dealt = cells.where(big).select(*_CELL, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("n") + F.col("v")) / block) - 1)).alias("chunk")).join(pivots, _CELL)
+        dealt = cells.where(big).select(
+            *_CELL, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("n") + F.col("v")) / block) - 1)).alias("chunk")
+        ).join(pivots, _CELL)
         by_chunk = [*_CELL, "chunk"]
         homes = table(
             spark,
             full.select(*by_chunk, "home", "rep", "weight", "vec").groupBy(*by_chunk).cogroup(dealt.groupBy(*by_chunk))
             .applyInArrow(_home, f"{keys}, chunk long, home boolean, {point}, no int, far double"),
         )
-        stats = homes.where("home").groupBy(*_CELL, "no").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max("far").alias("r"), F.max_by("rep", F.struct("far", "rep")).alias("edge"))
+        stats = homes.where("home").groupBy(*_CELL, "no").agg(
+            F.count("*").alias("n"),
+            F.sum("weight").alias("total"),
+            F.max("far").alias("r"),
+            F.max_by("rep", F.struct("far", "rep")).alias("edge"),
+        )
         stats = table(spark, stats.withColumn("child", F.concat("cell", F.lit("."), F.col("no").cast("string"))))
         known = dealt.join(stats.select(*_CELL, "no", "r", "child"), [*_CELL, "no"])
         sent = table(
@@ -374,7 +401,15 @@ def _links(spark: SparkSession, points: DataFrame, least: float, block_bytes: in
         # weights that link with every member of a cell, and cells whose members all link with each other
         told = sent.where("kind = 1")
         bonus = told.groupBy(*_CELL).agg(F.sum("weight").alias("links"), F.min("rep").alias("root"))
-        members = homes.where("home").select("label", "dim", F.concat("cell", F.lit("."), F.col("no").cast("string")).alias("cell"), F.lit(True).alias("home"), "rep", "weight", "vec")
+        members = homes.where("home").select(
+            "label",
+            "dim",
+            F.concat("cell", F.lit("."), F.col("no").cast("string")).alias("cell"),
+            F.lit(True).alias("home"),
+            "rep",
+            "weight",
+            "vec",
+        )
         closed = 2 * F.col("r") <= reach - _SLACK
         shut = stats.where(closed & (F.col("n") > 1)).select("label", "dim", F.col("child").alias("cell"), "total").join(
             pivots.select("label", "dim", F.concat("cell", F.lit("."), F.col("no").cast("string")).alias("cell"), "p_rep"), _CELL
@@ -382,7 +417,9 @@ def _links(spark: SparkSession, points: DataFrame, least: float, block_bytes: in
         credits += [
             members.drop("vec").join(bonus, _CELL).select("rep", "links", "root"),
             told.select("rep", F.lit(0).cast("long").alias("links"), F.col("p_rep").alias("root")),
-            members.drop("vec").join(shut, _CELL).select("rep", (F.col("total") - F.col("weight")).alias("links"), F.col("p_rep").alias("root")),
+            members.drop("vec").join(shut, _CELL).select(
+                "rep", (F.col("total") - F.col("weight")).alias("links"), F.col("p_rep").alias("root")
+            ),
         ]
         visitors = sent.where("kind = 0").select(*_CELL, F.lit(False).alias("home"), "rep", "weight", "vec")
         state = members.unionByName(visitors)

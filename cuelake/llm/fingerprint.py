@@ -172,7 +172,9 @@ def _in_order(docs: DataFrame, key: str, text: str, run_bytes: int) -> DataFrame
     coarse = min(runs, 256)
     finer = -(-runs // coarse)
     found = rows.agg(
-        F.min("k").alias("lo"), F.max("k").alias("hi"), F.percentile_approx("k", [i / coarse for i in range(1, coarse)] or [0.5], 10000).alias("cuts")
+        F.min("k").alias("lo"), F.max("k").alias("hi"), F.percentile_approx(
+            "k", [i / coarse for i in range(1, coarse)] or [0.5], 10000
+        ).alias("cuts")
     ).first()
     if found["lo"] is None:
         return rows.select("id", "text", F.lit(0).cast("long").alias("run"), F.lit(False).alias("after"))
@@ -185,7 +187,9 @@ def _in_order(docs: DataFrame, key: str, text: str, run_bytes: int) -> DataFrame
     firsts = dealt.groupBy("run").agg(F.min("k").alias("first"))
     order = W.orderBy("run")  # a row a run, at most 2**17
     firsts = firsts.select(
-        "first", F.coalesce(F.lag("run").over(order), F.max("run").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("to")
+        "first", F.coalesce(
+            F.lag("run").over(order), F.max("run").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        ).alias("to")
     )
     out = dealt.join(F.broadcast(firsts), F.col("k") == F.col("first"), "left")
     twice = F.array(F.struct(F.col("run"), F.lit(False).alias("after")), F.struct(F.col("to").alias("run"), F.lit(True).alias("after")))

@@ -163,7 +163,12 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     """
     fold = _fold(key, folds)
     model = fit(docs.where(fold != held), text, lang)
-    out = predict(docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.col(f"`{text}`").alias("text")), model)
+    out = predict(
+        docs.select(
+            F.col(f"`{key}`").alias("id"), F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.col(f"`{text}`").alias("text")
+        ),
+        model,
+    )
     return out.select(F.col("id").alias(key), "held_out", "lang_pred", "score")
 
 

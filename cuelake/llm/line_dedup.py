@@ -154,7 +154,9 @@ def entries(x: Lines, rows: np.ndarray, reach: Reach):
         for back in (0, 1):
             n = x.size[mine]
             band = n // _LENGTHS - back
-            m_low, m_high = np.maximum(np.maximum(low, n - k), band * _LENGTHS), np.minimum(np.minimum(high, n), band * _LENGTHS + _LENGTHS - 1)
+            m_low, m_high = np.maximum(np.maximum(low, n - k), band * _LENGTHS), np.minimum(
+                np.minimum(high, n), band * _LENGTHS + _LENGTHS - 1
+            )
             some = m_low <= m_high
             gram = _GRAMS[np.searchsorted(_GRAMS, np.maximum(1, _gram(np.maximum(low, band * _LENGTHS) // (k + 1))), "right") - 1]
             for g in np.unique(gram[some]).tolist():
@@ -253,7 +255,12 @@ def _messages(named, line, index, known, sent, buckets: int, number: int, slices
             body.append(low[lo:hi].tobytes() + lines[lo:hi].tobytes())
     n = len(out_bucket)
     return pa.RecordBatch.from_arrays(
-        [pa.array(out_bucket, pa.int64()), pa.array(out_kind, pa.int32()), pa.array([number % slices] * n, pa.int64()), pa.array(body, pa.binary())],
+        [
+            pa.array(out_bucket, pa.int64()),
+            pa.array(out_kind, pa.int32()),
+            pa.array([number % slices] * n, pa.int64()),
+            pa.array(body, pa.binary()),
+        ],
         names=["bucket", "kind", "slice", "body"],
     )
 
@@ -283,7 +290,9 @@ def _unpacked(t: pa.Table):
     for kind, body in zip(t["kind"].to_pylist(), t["body"].to_pylist()):
         width = 16 if kind >= 2 else 12
         n = len(body) // width
-        named.append(np.frombuffer(body, "<u8", n) if kind >= 2 else (U64(max(bucket, 0)) << U64(32)) | np.frombuffer(body, "<u4", n).astype(U64))
+        named.append(
+            np.frombuffer(body, "<u8", n) if kind >= 2 else (U64(max(bucket, 0)) << U64(32)) | np.frombuffer(body, "<u4", n).astype(U64)
+        )
         lines.append(np.frombuffer(body, "<u8", n, offset=n * (width - 8)))
         index.append(np.full(n, kind % 2 == 0))
         known.append(np.full(n, kind >= 2))
@@ -308,7 +317,9 @@ def _slice_meets(buckets: int):
         once = _once(named, line, index)
         named, line, index = named[once], line[once], index[once]
         met, end = _meeting(named, line, index)
-        return pa.Table.from_batches([_messages(named, line, index, met & ~end, ~met | end, buckets, bucket * 31 + t["slice"][0].as_py(), 1)])
+        return pa.Table.from_batches(
+            [_messages(named, line, index, met & ~end, ~met | end, buckets, bucket * 31 + t["slice"][0].as_py(), 1)]
+        )
 
     return run
 
@@ -445,7 +456,9 @@ def _verify(reach: Reach, buckets: int, width: int = 1 << 18):
         x = Lines(t["text"].take(pa.array(first)).to_pylist())
         names = _Names(x, reach, buckets)
         keys = t["key"].to_numpy()
-        group = np.unique(fmix(keys.view(U64) ^ fmix((t["low"].to_numpy() * (1 << 31) + t["high"].to_numpy()).view(U64))), return_inverse=True)[1]
+        group = np.unique(
+            fmix(keys.view(U64) ^ fmix((t["low"].to_numpy() * (1 << 31) + t["high"].to_numpy()).view(U64))), return_inverse=True
+        )[1]
         index, block = t["index"].to_numpy(zero_copy_only=False), t["block"].to_numpy()
         across = t["low"].to_numpy() != t["high"].to_numpy()
         a, b = np.flatnonzero(index), np.flatnonzero(~index)
@@ -531,7 +544,9 @@ class LineFilter:
         rows = lines.select("line", F.pmod(F.col("line"), F.lit(parts)).cast("int").alias("part")).distinct()
         # a slice of a part at a time, so that no group grows with the input; slices are laid over each other by bits
         slices = max(1, count // (parts << 20))
-        sliced = rows.groupBy("part", F.pmod(F.xxhash64("line"), F.lit(slices)).alias("slice")).applyInArrow(_filter_part(parts), "part int, bits binary")
+        sliced = rows.groupBy(
+            "part", F.pmod(F.xxhash64("line"), F.lit(slices)).alias("slice")
+        ).applyInArrow(_filter_part(parts), "part int, bits binary")
 
         def over(t: pa.Table) -> pa.Table:
             bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()])
@@ -569,7 +584,9 @@ def _texts(wanted, reach: Reach):
     return run
 
 
-def line_links(spark: SparkSession, docs: DataFrame, reach: Reach = Reach(), bucket_bytes: int = 2 << 20, part_bytes: int = 2 << 20) -> DataFrame:
+def line_links(
+    spark: SparkSession, docs: DataFrame, reach: Reach = Reach(), bucket_bytes: int = 2 << 20, part_bytes: int = 2 << 20
+) -> DataFrame:
     """``docs(text)`` -> ``line, links, root`` for each distinct line (by its hash) with a link: a table in the shared folder.
 
     links: number of other distinct lines near it; root: a line that stands for its component.
@@ -608,7 +625,9 @@ def line_links(spark: SparkSession, docs: DataFrame, reach: Reach = Reach(), buc
     return out
 
 
-def line_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", reach: Reach = Reach(), by_text: bool = False) -> DataFrame:
+def line_classes(
+    spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", reach: Reach = Reach(), by_text: bool = False
+) -> DataFrame:
     """One row a line: ``key, line_no, class_key, class_line_no, n_links, kept``.
 
     Lines are what ``\\n`` parts; blank lines have no row. Lines of one class are equal, or joined over any number of
@@ -631,7 +650,12 @@ def line_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
             h = hashes(lines)[rows]
             at = pa.array(of[rows])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), pa.array(number[rows].astype(np.int32)), pa.array(h[:, 0].copy().view(np.int64)), pa.array(h[:, 1].copy().view(np.int64))]
+                [
+                    batch.column(0).take(at),
+                    pa.array(number[rows].astype(np.int32)),
+                    pa.array(h[:, 0].copy().view(np.int64)),
+                    pa.array(h[:, 1].copy().view(np.int64)),
+                ]
                 + [batch.column(2 + k).take(at) for k in range(len(own))],
                 names=["id", "line_no", "line", "second", *own],
             )
@@ -686,7 +710,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id
     left = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     new = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(left).alias(text)
     # hashed, as one side is every text: nothing is sorted, and the plan is the same at every size
-    return docs.join(table(spark, gone).hint("shuffle_hash"), here, "left").select(*[new if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(table(spark, gone).hint("shuffle_hash"), here, "left").select(
+        *[new if c == text else F.col(f"`{c}`") for c in docs.columns]
+    )
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

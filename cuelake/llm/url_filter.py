@@ -104,7 +104,9 @@ def url_filter(
     count, size = entries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("entry")), F.lit(0))).first()
     rows = pages.select(F.col(f"`{key}`").alias("key"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     if not count:
-        return rows.select(F.col("key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+        return rows.select(
+            F.col("key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict")
+        )
     blocks = _blocks(count)
     shapes = entries.agg(F.array_sort(F.collect_set(F.struct("labels", "chars")))).scalar()
     # rows are told apart by their values and the task that read them, so equal ones are spread like the input
@@ -119,7 +121,9 @@ def url_filter(
         rows = rows.withColumn("_filter", bloom(entries, blocks, blocks).select("filter").scalar())
         passed = F.filter(probes, lambda p: _passes(F.col("_filter"), _hash(p), blocks, blocks))
         rows = rows.select(*own, passed.alias("passed"))
-        rest = rows.where(F.size("passed") == 0).select(*own[:3], F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+        rest = rows.where(F.size("passed") == 0).select(
+            *own[:3], F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict")
+        )
         tried = rows.where(F.size("passed") > 0).select(*own, F.size("passed").alias("n"), F.explode("passed").alias("probe"))
         entries = F.broadcast(entries)
     else:
@@ -127,7 +131,9 @@ def url_filter(
         spread = F.xxhash64("host", "path", "probe", "from")
         tried = rows.select(*own, F.greatest(F.size(probes), F.lit(1)).alias("n"), F.explode_outer(probes).alias("probe"))
         # what has no probe, and below what the filter stops, gets a key of its own that meets nothing
-        part = F.when(F.col("probe").isNull(), -1 - F.pmod(spread, F.lit(1 << 20))).otherwise(F.floor(_block(_hash(F.col("probe")), blocks) / width))
+        part = F.when(
+            F.col("probe").isNull(), -1 - F.pmod(spread, F.lit(1 << 20))
+        ).otherwise(F.floor(_block(_hash(F.col("probe")), blocks) / width))
         tried = tried.withColumn("part", part.cast("long"))
         tried = tried.join(bloom(entries, blocks, width).hint("shuffle_hash"), "part", "left")  # a row a range: small beside the probes
         ok = F.coalesce(_passes(F.col("filter"), _hash(F.col("probe")), blocks, width), F.lit(False))
