@@ -20,13 +20,25 @@ HIRAGANA = "".join(chr(c - 0x60) for c in range(0x30A1, 0x30F7))
 def srt_time(us: Column) -> Column:
     """``HH:MM:SS,mmm``; fractions of a millisecond are cut off."""
     ms = F.floor(us / 1000).cast("bigint")
-    return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000).cast("bigint"), F.floor(ms / 60_000).cast("bigint") % 60, F.floor(ms / 1000).cast("bigint") % 60, ms % 1000)
+    return F.format_string(
+        "%02d:%02d:%02d,%03d",
+        F.floor(ms / 3_600_000).cast("bigint"),
+        F.floor(ms / 60_000).cast("bigint") % 60,
+        F.floor(ms / 1000).cast("bigint") % 60,
+        ms % 1000,
+    )
 
 
 def ass_time(us: Column) -> Column:
     """``H:MM:SS.cc``; halves of a hundredth go to the even one."""
     cs = F.rint(us / 10_000).cast("bigint")
-    return F.format_string("%d:%02d:%02d.%02d", F.floor(cs / 360_000).cast("bigint"), F.floor(cs / 6000).cast("bigint") % 60, F.floor(cs / 100).cast("bigint") % 60, cs % 100)
+    return F.format_string(
+        "%d:%02d:%02d.%02d",
+        F.floor(cs / 360_000).cast("bigint"),
+        F.floor(cs / 6000).cast("bigint") % 60,
+        F.floor(cs / 100).cast("bigint") % 60,
+        cs % 100,
+    )
 
 
 def strip(text: Column) -> Column:

@@ -30,7 +30,12 @@ def reference_timeline(streams: DataFrame, intervals: DataFrame) -> DataFrame:
 
     intervals ``path, index, s, e`` are the time lines of every subtitle stream; a path without any ends at 0.
     """
-    pick = preferred(streams.where(F.col("codec_type") == "subtitle").select("path", "index", "language"), "path", "index", F.lower("language").isin(CHINESE))
+    pick = preferred(
+        streams.where(F.col("codec_type") == "subtitle").select("path", "index", "language"),
+        "path",
+        "index",
+        F.lower("language").isin(CHINESE),
+    )
     ends = intervals.groupBy("path", "index").agg(F.count("*").alias("n"), F.max("e").alias("max_end"))
     x = pick.join(ends, ["path", "index"], "left")
     return x.select("path", "language", "fallback", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("max_end", F.lit(0)).alias("max_end"))
@@ -41,7 +46,9 @@ def first_track(tracks: DataFrame, streams: DataFrame, languages: list[str]) ->
 
     tracks ``path, pos, track_id`` and streams ``path, pos, language`` are matched by position.
     """
-    return tracks.join(streams, ["path", "pos"]).where(F.lower("language").isin(languages)).groupBy("path").agg(F.min_by("track_id", "pos").alias("track_id"))
+    return tracks.join(streams, ["path", "pos"]).where(F.lower("language").isin(languages)).groupBy("path").agg(
+        F.min_by("track_id", "pos").alias("track_id")
+    )
 
 
 def layered(settings: DataFrame, keys: list[str], layer: str = "layer", value: str = "value") -> DataFrame:
@@ -52,10 +59,18 @@ def layered(settings: DataFrame, keys: list[str], layer: str = "layer", value: s
 def resolve_tool(tools: DataFrame) -> DataFrame:
     """``tool, env, env_ok, conf, conf_ok, path, bundled`` -> ``tool, found, origin``; a set env value hides the rest, valid or not."""
     origin = (
-        F.when(F.col("env").isNotNull(), F.when(F.col("env_ok"), F.lit("env"))).when(F.col("conf_ok"), F.lit("config")).when(F.col("path").isNotNull(), F.lit("path")).when(F.col("bundled").isNotNull(), F.lit("bundled"))
+        F.when(
+            F.col("env").isNotNull(), F.when(F.col("env_ok"), F.lit("env"))
+        ).when(F.col("conf_ok"), F.lit("config")).when(F.col("path").isNotNull(), F.lit("path")).when(F.col("bundled").isNotNull(), F.lit("bundled"))
     )
     x = tools.withColumn("origin", origin)
-    return x.select("tool", F.when(F.col("origin") == "env", F.col("env")).when(F.col("origin") == "config", F.col("conf")).when(F.col("origin") == "path", F.col("path")).when(F.col("origin") == "bundled", F.col("bundled")).alias("found"), "origin")
+    return x.select(
+        "tool",
+        F.when(F.col("origin") == "env", F.col("env")).when(F.col("origin") == "config", F.col("conf")).when(F.col("origin") == "path", F.col("path")).when(
+            F.col("origin") == "bundled", F.col("bundled")
+        ).alias("found"),
+        "origin",
+    )
 
 
 def track_plan(tracks: DataFrame, new_id: Column) -> DataFrame:
@@ -83,7 +98,9 @@ def verify_mux(before: DataFrame, after: DataFrame, extra: int = 0) -> DataFrame
         pick = lambda cond, what: F.array_sort(F.collect_list(F.when(cond, F.struct("index", what))))
         subs = pick(F.col("codec_type") == "subtitle", F.struct(F.lower("language").alias("l"), "title").alias("x"))
         return s.groupBy("path").agg(
-            pick(F.col("codec_type").isin("audio", "video"), F.concat_ws(":", "codec_type", "codec_name").alias("x")).alias(f"{tag}_av"), F.count_if(F.col("codec_type") == "attachment").alias(f"{tag}_att"), subs.alias(f"{tag}_subs")
+            pick(
+                F.col("codec_type").isin("audio", "video"), F.concat_ws(":", "codec_type", "codec_name").alias("x")
+            ).alias(f"{tag}_av"), F.count_if(F.col("codec_type") == "attachment").alias(f"{tag}_att"), subs.alias(f"{tag}_subs")
         )
 
     x = signature(before, "old").join(signature(after, "new"), "path", "left")
@@ -93,7 +110,9 @@ def verify_mux(before: DataFrame, after: DataFrame, extra: int = 0) -> DataFrame
     return x.select(
         "path",
         problems(
-            (names("old_av").eqNullSafe(names("new_av")), "streams"), (F.col("new_att") == F.col("old_att") + extra, "attachments"), (first["l"].isin(JAPANESE) & (first["title"] == "Japanese"), "first subtitle"),
+            (names("old_av").eqNullSafe(names("new_av")), "streams"), (F.col("new_att") == F.col("old_att") + extra, "attachments"), (
+                first["l"].isin(JAPANESE) & (first["title"] == "Japanese"), "first subtitle"
+            ),
             (F.size("new_subs") <= 2, "too many subtitles"), (japanese, "no Japanese subtitle"),
         ).alias("problems"),
     )
@@ -130,7 +149,9 @@ def candidates(tokens: DataFrame, most: int = 40, least_chars: int = 2) -> DataF
     ok = tokens.where(F.col("part_of_speech").startswith("名詞,固有名詞") & (F.length("surface") >= least_chars) & F.col("surface").rlike(KANJI))
     read = F.when(F.coalesce("reading", F.lit("")).isin("", "*"), F.lit("?")).otherwise(to_hira(F.col("reading")))
     first = ok.groupBy("folder", "surface").agg(F.min_by(read, "pos").alias("reading"))
-    return top_keys(ok, ["folder"], "surface", ["pos"], most).join(first, ["folder", "surface"]).select("folder", "surface", "reading", "n", "rank")
+    return top_keys(ok, ["folder"], "surface", ["pos"], most).join(first, ["folder", "surface"]).select(
+        "folder", "surface", "reading", "n", "rank"
+    )
 
 
 # Lines that part a dictionary file, and the notes in it.
@@ -215,13 +236,19 @@ def silence_inside(cues: DataFrame, pauses: DataFrame, least: int = 1_500_000, b
     from cuelake.operators.intervals import overlap_join
 
     long = pauses.where(F.col("pb") - F.col("pa") >= least)
-    hit = overlap_join(cues.select("ep", "i", "s", "e"), long, (F.col("s"), F.col("e")), (F.col("pa"), F.col("pb")), bucket_us=bucket_us).where("s <= pa AND pb <= e")
+    hit = overlap_join(
+        cues.select("ep", "i", "s", "e"), long, (F.col("s"), F.col("e")), (F.col("pa"), F.col("pb")), bucket_us=bucket_us
+    ).where("s <= pa AND pb <= e")
     return cues.join(hit.select("ep", "i").distinct(), ["ep", "i"], "left_semi")
 
 
 def mark_score(marks: DataFrame, seams: DataFrame, slack: int = 1) -> DataFrame:
     """marks ``ep, seam, kind`` (merge: no cut there; split: a cut within ``slack``), seams ``ep, cut``: adds ``passed``."""
-    near = seams.select("ep", F.explode(F.sequence(F.col("cut") - slack, F.col("cut") + slack)).alias("seam"), (F.lit(0)).alias("_x"), "cut")
+    near = seams.select(
+        "ep", F.explode(F.sequence(F.col("cut") - slack, F.col("cut") + slack)).alias("seam"), (F.lit(0)).alias("_x"), "cut"
+    )
     hit = near.groupBy("ep", "seam").agg(F.bool_or(F.col("cut") == F.col("seam")).alias("exact"))
     x = marks.join(hit, ["ep", "seam"], "left")
-    return x.withColumn("passed", F.when(F.col("kind") == "merge", ~F.coalesce("exact", F.lit(False))).otherwise(F.col("exact").isNotNull())).drop("exact")
+    return x.withColumn(
+        "passed", F.when(F.col("kind") == "merge", ~F.coalesce("exact", F.lit(False))).otherwise(F.col("exact").isNotNull())
+    ).drop("exact")

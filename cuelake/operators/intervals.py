@@ -60,7 +60,9 @@ def _listed(rows: DataFrame, lo: Column, hi: Column, bucket_us: int, short: tupl
     coarse = bucket_us * COARSE
     many = _bucket(hi, bucket_us) - _bucket(lo, bucket_us) >= MOST_BUCKETS
     of_long = F.concat(*[places(coarse, r) for r in long]) if len(long) > 1 else places(coarse, long[0])
-    return rows.withColumn("_b", F.explode(F.when(many, of_long).otherwise(F.concat(places(bucket_us, short[0]), places(coarse, short[1])))))
+    return rows.withColumn(
+        "_b", F.explode(F.when(many, of_long).otherwise(F.concat(places(bucket_us, short[0]), places(coarse, short[1]))))
+    )
 
 
 def assign_intervals(words: DataFrame, intervals: DataFrame, tolerance: int = GAP_TOLERANCE, bucket_us: int = HOUR) -> DataFrame:
@@ -91,7 +93,9 @@ def nearest_pause(points: DataFrame, pauses: DataFrame, tolerance: int = SNAP_TO
     """
     t = F.col("t")
     d = F.when((F.col("pa") <= t) & (t <= F.col("pb")), F.lit(0)).otherwise(F.least(F.abs(t - F.col("pa")), F.abs(t - F.col("pb"))))
-    pairs = overlap_join(points.select("ep", "i", "t"), pauses, (t - tolerance, t + tolerance), (F.col("pa"), F.col("pb")), bucket_us=bucket_us)
+    pairs = overlap_join(
+        points.select("ep", "i", "t"), pauses, (t - tolerance, t + tolerance), (F.col("pa"), F.col("pb")), bucket_us=bucket_us
+    )
     best = (
         pairs.where(d <= tolerance)
         .groupBy("ep", "i")
@@ -103,18 +107,26 @@ def nearest_pause(points: DataFrame, pauses: DataFrame, tolerance: int = SNAP_TO
 
 def intersect_spans(windows: DataFrame, spans: DataFrame, least: int = KEEP_SLICE, bucket_us: int = HOUR) -> DataFrame:
     """windows ``ep, i, s, e`` and spans ``ep, j, a, b``: ``ep, i, j, lo, hi`` of each common stretch over ``least``."""
-    pairs = overlap_join(windows.select("ep", "i", "s", "e"), spans, (F.col("s"), F.col("e")), (F.col("a"), F.col("b")), bucket_us=bucket_us)
-    return pairs.select("ep", "i", "j", F.greatest("s", "a").alias("lo"), F.least("e", "b").alias("hi")).where(F.col("hi") - F.col("lo") > least)
+    pairs = overlap_join(
+        windows.select("ep", "i", "s", "e"), spans, (F.col("s"), F.col("e")), (F.col("a"), F.col("b")), bucket_us=bucket_us
+    )
+    return pairs.select(
+        "ep", "i", "j", F.greatest("s", "a").alias("lo"), F.least("e", "b").alias("hi")
+    ).where(F.col("hi") - F.col("lo") > least)
 
 
-def near_speech(windows: DataFrame, spans: DataFrame, near: int = NEAR_SPEECH, least: int = NEAR_OVERLAP, bucket_us: int = HOUR) -> DataFrame:
+def near_speech(
+    windows: DataFrame, spans: DataFrame, near: int = NEAR_SPEECH, least: int = NEAR_OVERLAP, bucket_us: int = HOUR
+) -> DataFrame:
     """Windows ``ep, i, s, e`` that, widened by ``near`` on both sides, share ``least`` with some span of their episode.
 
     An episode without spans keeps all its windows.
     """
     wide = (F.col("s") - near, F.col("e") + near)
     shared = F.least(wide[1], F.col("b")) - F.greatest(wide[0], F.col("a"))
-    hit = overlap_join(windows.select("ep", "i", "s", "e"), spans, wide, (F.col("a"), F.col("b")), bucket_us=bucket_us).where(shared >= least).select("ep", "i").distinct()
+    hit = overlap_join(
+        windows.select("ep", "i", "s", "e"), spans, wide, (F.col("a"), F.col("b")), bucket_us=bucket_us
+    ).where(shared >= least).select("ep", "i").distinct()
     heard = windows.join(hit, ["ep", "i"], "left_semi")
     return heard.unionByName(windows.join(spans.select("ep").distinct(), "ep", "left_anti"))
 
@@ -126,7 +138,13 @@ def max_overlap(new: DataFrame, base: DataFrame, ratio: float = MATCH_RATIO, buc
     """
     over = F.least("e", "be") - F.greatest("s", "bs")
     share = over / F.greatest(F.lit(10_000), F.col("e") - F.col("s"))
-    pairs = overlap_join(new.select("ep", "i", "s", "e"), base.select("ep", "j", "bs", "be"), (F.col("s"), F.col("e")), (F.col("bs"), F.col("be")), bucket_us=bucket_us)
+    pairs = overlap_join(
+        new.select("ep", "i", "s", "e"),
+        base.select("ep", "j", "bs", "be"),
+        (F.col("s"), F.col("e")),
+        (F.col("bs"), F.col("be")),
+        bucket_us=bucket_us,
+    )
     return (
         pairs.where(over > 0)
         .groupBy("ep", "i")
@@ -139,7 +157,9 @@ def max_overlap(new: DataFrame, base: DataFrame, ratio: float = MATCH_RATIO, buc
 def neighbour_text(rows: DataFrame, base: DataFrame, around: int = NEIGHBOURHOOD, bucket_us: int = HOUR) -> DataFrame:
     """rows ``ep, i, s, e`` and base ``ep, j, bs, be, text``: adds ``near_text``, the texts within ``around``, in order of j."""
     pairs = overlap_join(
-        rows.select("ep", "i", "s", "e"), base.select("ep", "j", "bs", "be", "text"), (F.col("s") - around, F.col("e") + around), (F.col("bs"), F.col("be")), bucket_us=bucket_us
+        rows.select("ep", "i", "s", "e"), base.select("ep", "j", "bs", "be", "text"), (
+            F.col("s") - around, F.col("e") + around
+        ), (F.col("bs"), F.col("be")), bucket_us=bucket_us
     ).where((F.col("be") > F.col("s") - around) & (F.col("bs") < F.col("e") + around))
     texts = pairs.groupBy("ep", "i").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "text"))), lambda x: x["text"]), "").alias("near_text")

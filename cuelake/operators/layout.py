@@ -148,7 +148,14 @@ def srt_blocks(cues: DataFrame) -> DataFrame:
 
     n = F.row_number().over(W.partitionBy("ep").orderBy("s", "i"))
     x = cues.withColumn("n", n).where(F.length("text") > 0)
-    return x.select("ep", "i", "n", F.concat_ws("\n", F.col("n").cast("string"), F.concat(srt_time(F.col("s")), F.lit(" --> "), srt_time(F.col("e"))), "text", F.lit("")).alias("block"))
+    return x.select(
+        "ep",
+        "i",
+        "n",
+        F.concat_ws(
+            "\n", F.col("n").cast("string"), F.concat(srt_time(F.col("s")), F.lit(" --> "), srt_time(F.col("e"))), "text", F.lit("")
+        ).alias("block"),
+    )
 
 
 def srt_texts(cues: DataFrame) -> DataFrame:

@@ -16,7 +16,12 @@ SILENT_RMS = 0.004
 
 def recovery_windows(cues: DataFrame, spans: DataFrame, bucket_us: int = HOUR, **gap) -> DataFrame:
     """Gap chunks near speech: ``ep, i, s, e``."""
-    w = gap_windows(cues, **gap).select("ep", F.row_number().over(W.partitionBy("ep").orderBy("w0")).cast("bigint").alias("i"), F.col("w0").alias("s"), F.col("w1").alias("e"))
+    w = gap_windows(cues, **gap).select(
+        "ep",
+        F.row_number().over(W.partitionBy("ep").orderBy("w0")).cast("bigint").alias("i"),
+        F.col("w0").alias("s"),
+        F.col("w1").alias("e"),
+    )
     return near_speech(w, spans, bucket_us=bucket_us)
 
 
@@ -40,7 +45,9 @@ def extensions(recovered: DataFrame, base: DataFrame, bucket_us: int = HOUR) ->
     """
     long = recovered.where(F.length(strip_punct(F.col("text"))) >= MIN_CHARS)
     hit = long.join(max_overlap(long, base, bucket_us=bucket_us).select("ep", "i", "match"), ["ep", "i"])
-    both = hit.select("ep", F.col("match").alias("j"), "i", "s", "e", F.col("text").alias("longer")).join(base.select("ep", "j", "text"), ["ep", "j"])
+    both = hit.select(
+        "ep", F.col("match").alias("j"), "i", "s", "e", F.col("text").alias("longer")
+    ).join(base.select("ep", "j", "text"), ["ep", "j"])
     said, bare = strip_punct(F.col("longer")), strip_punct(F.col("text"))
     more = ~F.contains(bare, said) & (F.length(said) > F.length(bare)) & (overlap_ratio(F.col("text"), F.col("longer")) >= SAME_TEXT)
     return both.where(more).drop("text")
@@ -70,11 +77,17 @@ def recover(
 def report(windows: DataFrame, recovered: DataFrame, base: DataFrame, around: int = 2_000_000, bucket_us: int = HOUR) -> DataFrame:
     """``ep, windows, added, extended``: windows looked at, cues that came of them, cues of which a longer text was heard."""
     counted = lambda df, name: df.groupBy("ep").agg(F.count("*").alias(name))
-    parts = [counted(windows, "windows"), counted(new_cues(recovered, base, around, bucket_us), "added"), counted(extensions(recovered, base, bucket_us), "extended")]
+    parts = [
+        counted(windows, "windows"),
+        counted(new_cues(recovered, base, around, bucket_us), "added"),
+        counted(extensions(recovered, base, bucket_us), "extended"),
+    ]
     x = parts[0].join(parts[1], "ep", "full").join(parts[2], "ep", "full")
     return x.select("ep", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("windows", "added", "extended")])
 
 
 def silent_windows(samples: DataFrame, rms: float = SILENT_RMS) -> DataFrame:
     """samples ``ep, i, x``: the windows whose root mean square is below ``rms``: ``ep, i, n``."""
-    return samples.groupBy("ep", "i").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("power")).where(F.col("power") < F.lit(rms) * F.lit(rms) * F.col("n")).select("ep", "i", "n")
+    return samples.groupBy("ep", "i").agg(
+        F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("power")
+    ).where(F.col("power") < F.lit(rms) * F.lit(rms) * F.col("n")).select("ep", "i", "n")

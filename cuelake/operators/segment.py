@@ -60,7 +60,9 @@ def slice_groups(durations: np.ndarray, slices: np.ndarray) -> list[tuple[int, i
     return out[::-1]
 
 
-def segment_ranges(segments: DataFrame, spans: DataFrame, pauses: DataFrame, tolerance: int = SNAP_TOLERANCE, bucket_us: int = 3_600_000_000) -> DataFrame:
+def segment_ranges(
+    segments: DataFrame, spans: DataFrame, pauses: DataFrame, tolerance: int = SNAP_TOLERANCE, bucket_us: int = 3_600_000_000
+) -> DataFrame:
     """Segments ``ep, i, s, e`` with ends moved to the pauses near them. Replaces ``s, e``.
 
     A boundary is the middle of one end and the next start; a pause within ``tolerance`` takes it over (its start ends
@@ -68,7 +70,9 @@ def segment_ranges(segments: DataFrame, spans: DataFrame, pauses: DataFrame, tol
     """
     w = W.partitionBy("ep").orderBy("i")
     x = segments.withColumn("t", F.floor((F.col("e") + F.lead("s").over(w)) / 2).cast("bigint"))
-    hit = nearest_pause(x.where("t IS NOT NULL").select("ep", "i", "t"), pauses, tolerance, bucket_us).select("ep", "i", F.coalesce("pa", "t").alias("end"), F.coalesce("pb", "t").alias("start"))
+    hit = nearest_pause(x.where("t IS NOT NULL").select("ep", "i", "t"), pauses, tolerance, bucket_us).select(
+        "ep", "i", F.coalesce("pa", "t").alias("end"), F.coalesce("pb", "t").alias("start")
+    )
     outer = spans.groupBy("ep").agg(F.min("a").alias("first_a"), F.max_by("b", "j").alias("last_b"))
     x = x.join(hit, ["ep", "i"], "left").join(outer, "ep", "left")
     first = F.when(F.abs(F.col("s") - F.col("first_a")) <= tolerance, F.col("first_a")).otherwise(F.col("s"))
@@ -169,7 +173,9 @@ _RETIMED_NAMES = ["ep", "n", "s", "e", "text", "gap", "trusted"]
 _RETIMED = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
 
-def break_lines(start: np.ndarray, end: np.ndarray, width: np.ndarray, cut_cost: np.ndarray, starter: np.ndarray, limit: float, exempt=None) -> np.ndarray:
+def break_lines(
+    start: np.ndarray, end: np.ndarray, width: np.ndarray, cut_cost: np.ndarray, starter: np.ndarray, limit: float, exempt=None
+) -> np.ndarray:
     """First word of every line of the cheapest way to break words into lines.
 
     A line's cost is that of the cut before it, plus what its length asks for, plus ``COST_STARTER`` if it ends in a word
@@ -189,7 +195,9 @@ def break_lines(start: np.ndarray, end: np.ndarray, width: np.ndarray, cut_cost:
         i = i[late[-1] + 1 :] if len(late) else i
         i = i[(upto[j] - upto[i] <= limit) | (i == j - 1)]
         d = end[j - 1] - start[i]
-        cost = best[i] + cut_cost[i] + np.where(d < SHORT_A, COST_A, np.where(d < SHORT_B, COST_B, np.where(d > SLOW_LINE, COST_SLOW * (d - SLOW_LINE) / 1e6, 0.0)))
+        cost = best[i] + cut_cost[i] + np.where(
+            d < SHORT_A, COST_A, np.where(d < SHORT_B, COST_B, np.where(d > SLOW_LINE, COST_SLOW * (d - SLOW_LINE) / 1e6, 0.0))
+        )
         if j < n and starter[j - 1]:
             cost = cost + COST_STARTER * (1 if exempt is None else np.array([not exempt(int(k), j) for k in i]))
         k = len(cost) - 1 - int(cost[::-1].argmin())
@@ -212,9 +220,19 @@ def segment_lines(words: DataFrame, limit: float, all_starters=None) -> DataFram
         exempt = None if all_starters is None else lambda i, j: len(x := "".join(text[i:j])) <= 12 and all_starters(x)
         first = break_lines(s, e, col("width").astype(float), col("cut_cost").astype(float), col("starter"), limit, exempt)
         to = np.append(first[1:], len(s))
-        return pa.table({"ep": pa.array([t["ep"][0].as_py()] * len(first), pa.int64()), "i": np.arange(len(first)), "s": s[first], "e": e[to - 1], "text": pa.array(["".join(text[a:b]).strip() for a, b in zip(first, to)], pa.string())})
-
-    lines = words.select("ep", "n", "s", "e", "text", "width", "cut_cost", "starter").groupBy("ep").applyInArrow(run, "ep long, i long, s long, e long, text string")
+        return pa.table(
+            {
+                "ep": pa.array([t["ep"][0].as_py()] * len(first), pa.int64()),
+                "i": np.arange(len(first)),
+                "s": s[first],
+                "e": e[to - 1],
+                "text": pa.array(["".join(text[a:b]).strip() for a, b in zip(first, to)], pa.string()),
+            }
+        )
+
+    lines = words.select(
+        "ep", "n", "s", "e", "text", "width", "cut_cost", "starter"
+    ).groupBy("ep").applyInArrow(run, "ep long, i long, s long, e long, text string")
     return display_clamp(lines).where("text <> ''")
 
 
@@ -222,7 +240,9 @@ def expand_long(cues: DataFrame, limit: int) -> DataFrame:
     """Cues of more than ``limit`` characters in parts, one after the other, with time in proportion: ``ep, i, part, s, e, text``."""
     from cuelake.functions.kana import split_long_column
 
-    x = cues.select("ep", "i", "s", "e", F.greatest(F.length("text"), F.lit(1)).alias("n"), split_long_column(F.col("text"), limit).alias("p"))
+    x = cues.select(
+        "ep", "i", "s", "e", F.greatest(F.length("text"), F.lit(1)).alias("n"), split_long_column(F.col("text"), limit).alias("p")
+    )
     x = x.select("*", F.posexplode("p").alias("part", "text"))
     before = F.aggregate(F.slice("p", 1, F.col("part")), F.lit(0), lambda a, y: a + F.length(y))
     at = lambda n: (F.col("s") + (F.col("e") - F.col("s")) * n / F.col("n")).cast("bigint")
@@ -315,7 +335,11 @@ def align_timeline(
     owned = runs(assign_intervals(words, intervals, tolerance, bucket_us), "owner", "i")
     owner = owned.groupBy("ep", "run").agg(F.first("owner").alias("owner"))
     placed = owned if rules is None else repair_boundaries(owned, intervals, rules, max_gap, slack)
-    cues = placed.groupBy("ep", "run").agg(F.min_by("s", "i").alias("ws"), F.max_by("e", "i").alias("we"), strip(ordered_text("text", "i")).alias("text"))
-    timed = cues.where("text <> ''").join(owner, ["ep", "run"]).join(intervals.select("ep", F.col("j").alias("owner"), "cs", "ce"), ["ep", "owner"], "left")
+    cues = placed.groupBy("ep", "run").agg(
+        F.min_by("s", "i").alias("ws"), F.max_by("e", "i").alias("we"), strip(ordered_text("text", "i")).alias("text")
+    )
+    timed = cues.where("text <> ''").join(owner, ["ep", "run"]).join(
+        intervals.select("ep", F.col("j").alias("owner"), "cs", "ce"), ["ep", "owner"], "left"
+    )
     timed = timed.select("ep", F.col("run").alias("i"), F.coalesce("cs", "ws").alias("s"), F.coalesce("ce", "we").alias("e"), "text")
     return cap_times(merge_same_interval(repair_reversed(timed)), F.lit(cap).cast("bigint"))

@@ -29,7 +29,9 @@ def _w(*order: str):
 
 def gaps(spans: DataFrame) -> DataFrame:
     """Silences between consecutive spans: ``ep, i, pa, pb, gap``; only positive ones."""
-    return spans.select("ep", "i", F.col("e").alias("pa"), F.lead("s").over(_w()).alias("pb")).withColumn("gap", F.col("pb") - F.col("pa")).where("gap > 0")
+    return spans.select(
+        "ep", "i", F.col("e").alias("pa"), F.lead("s").over(_w()).alias("pb")
+    ).withColumn("gap", F.col("pb") - F.col("pa")).where("gap > 0")
 
 
 def gap_windows(cues: DataFrame, min_gap: int = MIN_GAP, chunk: int = MAX_CHUNK) -> DataFrame:
@@ -40,24 +42,36 @@ def gap_windows(cues: DataFrame, min_gap: int = MIN_GAP, chunk: int = MAX_CHUNK)
     g = cues.select("ep", "i", F.col("e").alias("a"), F.lead("s").over(_w()).alias("b")).where(F.col("b") - F.col("a") >= min_gap)
     last = F.floor((F.col("b") - F.col("a") - 2) / F.lit(chunk)).cast("bigint")
     k = g.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    return k.select("ep", "i", "k", (F.col("a") + F.col("k") * chunk).alias("w0"), F.least(F.col("b"), F.col("a") + (F.col("k") + 1) * chunk).alias("w1")).where(F.col("w1") - F.col("w0") >= min_gap)
+    return k.select(
+        "ep",
+        "i",
+        "k",
+        (F.col("a") + F.col("k") * chunk).alias("w0"),
+        F.least(F.col("b"), F.col("a") + (F.col("k") + 1) * chunk).alias("w1"),
+    ).where(F.col("w1") - F.col("w0") >= min_gap)
 
 
 def cut_candidates(words: DataFrame, least: int = CUT_GAP, strong: int = STRONG_GAP) -> DataFrame:
     """Words that follow a silence of ``least`` or more: ``ep, i, gap, strong``."""
-    return words.select("ep", "i", (F.col("s") - F.lag("e").over(_w())).alias("gap")).where(F.col("gap") >= least).withColumn("strong", F.col("gap") >= strong)
+    return words.select(
+        "ep", "i", (F.col("s") - F.lag("e").over(_w())).alias("gap")
+    ).where(F.col("gap") >= least).withColumn("strong", F.col("gap") >= strong)
 
 
 def runs(rows: DataFrame, owner: str, *order: str) -> DataFrame:
     """Adds ``run``, the number of each stretch of consecutive rows with one owner; null equals null."""
     w = _w(*order)
     change = F.when(F.lag(F.lit(1)).over(w).isNull() | ~F.lag(owner).over(w).eqNullSafe(F.col(owner)), 1).otherwise(0)
-    return rows.withColumn("_change", change).withColumn("run", F.sum("_change").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_change")
+    return rows.withColumn("_change", change).withColumn(
+        "run", F.sum("_change").over(w.rowsBetween(W.unboundedPreceding, 0))
+    ).drop("_change")
 
 
 def ordered_text(text: Column | str, *order: Column | str, sep: str = "") -> Column:
     """Aggregate: texts joined in order."""
-    struct = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order], (F.col(text) if isinstance(text, str) else text).alias("_text"))
+    struct = F.struct(
+        *[F.col(c) if isinstance(c, str) else c for c in order], (F.col(text) if isinstance(text, str) else text).alias("_text")
+    )
     return F.array_join(F.transform(F.array_sort(F.collect_list(struct)), lambda x: x["_text"]), sep)
 
 
@@ -74,13 +88,17 @@ def merge_same_interval(cues: DataFrame, grain: int = 1000) -> DataFrame:
     Times are equal, and come out, rounded to ``grain`` microseconds; halves go to the even multiple.
     """
     key = lambda c: (F.rint(F.col(c) / F.lit(grain)).cast("bigint") * grain).alias(f"_{c}")
-    merged = cues.select("ep", "i", "s", "text", key("s"), key("e")).groupBy("ep", "_s", "_e").agg(ordered_text("text", "s", "i").alias("text"))
+    merged = cues.select("ep", "i", "s", "text", key("s"), key("e")).groupBy("ep", "_s", "_e").agg(
+        ordered_text("text", "s", "i").alias("text")
+    )
     return merged.select("ep", F.col("_s").alias("s"), F.col("_e").alias("e"), "text")
 
 
 def display_clamp(cues: DataFrame, lead_in: int = LEAD_IN, min_show: int = MIN_SHOW, between: int = BETWEEN) -> DataFrame:
     """Times of display: a little early, a least time long, gone before the next. Replaces ``s, e``."""
-    x = cues.withColumn("_i", F.col("i")).withColumn("_raw", F.col("s")).withColumn("s", F.greatest(F.lit(0).cast("bigint"), F.col("s") - lead_in))
+    x = cues.withColumn("_i", F.col("i")).withColumn("_raw", F.col("s")).withColumn(
+        "s", F.greatest(F.lit(0).cast("bigint"), F.col("s") - lead_in)
+    )
     x = x.withColumn("e", F.greatest(F.col("s") + min_show, F.col("e")))
     nxt = F.lead("s").over(W.partitionBy("ep").orderBy("_raw", "_i")) - between
     x = x.withColumn("_n", nxt)
@@ -161,7 +179,9 @@ def normalise_words(segments: DataFrame, least: int = 50_000) -> DataFrame:
     """
     some = F.size(F.coalesce("words", F.array())) > 0
     own = F.array(F.struct(F.col("s").alias("ws"), F.col("e").alias("we"), F.col("text").alias("w")))
-    flat = segments.where(some | (F.length("text") > 0)).select("ep", "seg_i", some.alias("_some"), F.posexplode(F.when(some, F.col("words")).otherwise(own)).alias("w_i", "x"))
+    flat = segments.where(some | (F.length("text") > 0)).select(
+        "ep", "seg_i", some.alias("_some"), F.posexplode(F.when(some, F.col("words")).otherwise(own)).alias("w_i", "x")
+    )
     lo = F.when(F.col("_some"), F.least("x.ws", "x.we")).otherwise(F.col("x.ws"))
     hi = F.when(F.col("_some"), F.greatest("x.ws", "x.we")).otherwise(F.col("x.we"))
     return flat.select("ep", "seg_i", "w_i", lo.alias("s"), F.greatest(hi, lo + least).alias("e"), F.col("x.w").alias("text"))

@@ -138,8 +138,18 @@ SELECT ep, ep AS seg_i, w_i, least(x.ws, x.we) AS s, greatest(greatest(x.ws, x.w
 def word_normalise(spark, d):
     """Every second word comes with its ends reversed."""
     even = F.col("i") % 2 == 0
-    word = F.struct("s", "i", F.struct(F.when(even, F.col("s")).otherwise(F.col("e")).alias("ws"), F.when(even, F.col("e")).otherwise(F.col("s")).alias("we"), F.col("text").alias("w")).alias("x"))
-    seg = events(spark, d).groupBy("ep").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.lit("").alias("text"), F.array_sort(F.collect_list(word)).alias("l"))
+    word = F.struct(
+        "s",
+        "i",
+        F.struct(
+            F.when(even, F.col("s")).otherwise(F.col("e")).alias("ws"),
+            F.when(even, F.col("e")).otherwise(F.col("s")).alias("we"),
+            F.col("text").alias("w"),
+        ).alias("x"),
+    )
+    seg = events(spark, d).groupBy("ep").agg(
+        F.min("s").alias("s"), F.max("e").alias("e"), F.lit("").alias("text"), F.array_sort(F.collect_list(word)).alias("l")
+    )
     seg = seg.select("ep", F.col("ep").alias("seg_i"), "s", "e", "text", F.transform("l", lambda y: y["x"]).alias("words"))
     return sequence.normalise_words(seg).withColumn("w_i", F.col("w_i").cast("bigint"))
 
@@ -164,7 +174,9 @@ def _words(ev):
 @register(f"WITH {OWNED} SELECT ep, i, owner FROM owned")
 def interval_assign(spark, d):
     ev = events(spark, d)
-    return intervals.assign_intervals(_words(ev), of_type(ev, "purchase", 6 * HOUR, ("j", "cs", "ce")), HOUR, 6 * HOUR).select("ep", "i", "owner")
+    return intervals.assign_intervals(
+        _words(ev), of_type(ev, "purchase", 6 * HOUR, ("j", "cs", "ce")), HOUR, 6 * HOUR
+    ).select("ep", "i", "owner")
 
 
 #: Words of the events as a small language: for rules on where a text may break.
@@ -237,7 +249,9 @@ def boundary_repair(spark, d):
     start = F.col("s") + F.col("i") % 3 * 400
     timeline = ev.where("text = 'purchase'").select("ep", n.alias("j"), start.alias("cs"), (start + 6 * HOUR).alias("ce"))
     owned = intervals.assign_intervals(_words(ev).select("ep", n.alias("i"), "s", "e", "text"), timeline, HOUR, 6 * HOUR)
-    return segment.repair_boundaries(sequence.runs(owned, "owner", "i"), timeline, grammar.Rules(event_tokens), 6 * HOUR, HOUR).select("ep", "i", "run")
+    return segment.repair_boundaries(
+        sequence.runs(owned, "owner", "i"), timeline, grammar.Rules(event_tokens), 6 * HOUR, HOUR
+    ).select("ep", "i", "run")
 
 
 NEAREST = """SELECT p.ep, p.i, q.j, q.pa, q.pb, CASE WHEN pa <= p.t AND p.t <= pb THEN 0 ELSE least(abs(p.t - pa), abs(p.t - pb)) END AS dist
@@ -269,7 +283,9 @@ SELECT ep, i, greatest(s, coalesce(lag(m) OVER (PARTITION BY ep ORDER BY i), s))
 def segment_ranges(spark, d):
     ev = events(spark, d)
     segs = ev.where("text = 'view'").select("ep", "i", "s", (F.col("s") + 2 * HOUR).alias("e"))
-    return segment.segment_ranges(segs, of_type(ev, "signup", HOUR), of_type(ev, "error", HOUR // 6, ("j", "pa", "pb")), HOUR).select("ep", "i", "s", "e")
+    return segment.segment_ranges(
+        segs, of_type(ev, "signup", HOUR), of_type(ev, "error", HOUR // 6, ("j", "pa", "pb")), HOUR
+    ).select("ep", "i", "s", "e")
 
 
 SPANS = "w AS (SELECT ep, i, s, s + 21600000000 AS e FROM ev WHERE text = 'purchase'), sp AS (SELECT ep, i AS j, s AS a, s + 3600000000 AS b FROM ev WHERE text = 'click')"
@@ -298,7 +314,9 @@ BASE = "nw AS (SELECT ep, i, s, s + 7200000000 AS e, text FROM ev WHERE text = '
 
 def _base(ev):
     new = ev.where("text = 'error'").select("ep", "i", "s", (F.col("s") + 2 * HOUR).alias("e"), "text")
-    base = ev.where("text IN ('view', 'click')").select("ep", F.col("i").alias("j"), F.col("s").alias("bs"), (F.col("s") + 3 * HOUR).alias("be"), "text")
+    base = ev.where("text IN ('view', 'click')").select(
+        "ep", F.col("i").alias("j"), F.col("s").alias("bs"), (F.col("s") + 3 * HOUR).alias("be"), "text"
+    )
     return new, base
 
 
@@ -402,7 +420,9 @@ o AS (SELECT doc_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect
 def _pairs(spark, d):
     """Share of a document's character pairs that the next one of its source and language has."""
     docs = read(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    pairs = sequence.following(docs.select("source", "lang", "doc_id"), ["source", "lang"], "doc_id").where("next IS NOT NULL").select("doc_id", "next")
+    pairs = sequence.following(
+        docs.select("source", "lang", "doc_id"), ["source", "lang"], "doc_id"
+    ).where("next IS NOT NULL").select("doc_id", "next")
     other = docs.select(F.col("doc_id").alias("next"), F.col("text").alias("other"))
     both = docs.select("doc_id", "text").join(pairs, "doc_id").join(other, "next").where("other IS NOT NULL")
     return both.select("doc_id", tx.overlap_ratio(F.col("text"), F.col("other")).alias("ratio"))
@@ -426,7 +446,11 @@ def text_em(spark, d):
 @register("""SELECT doc_id, md5(replace(replace(replace(text, '\\', '\\\\'), '{', '\\{'), '}', '\\}')) AS escaped,
 length(translate(text, '。、！？…?!「」（）『』・　 ', '')) AS content FROM documents""")
 def escape_and_strip(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.md5(tx.escape_ass(F.col("text"))).alias("escaped"), F.length(tx.strip_punct(F.col("text"))).cast("bigint").alias("content"))
+    return read(spark, d, "documents").select(
+        "doc_id",
+        F.md5(tx.escape_ass(F.col("text"))).alias("escaped"),
+        F.length(tx.strip_punct(F.col("text"))).cast("bigint").alias("content"),
+    )
 
 
 @register("""SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9)
@@ -474,7 +498,11 @@ _BENCH_LINES = """SELECT (item_id, n) AS k, line FROM (SELECT item_id, unnest(st
 def split_long(spark, d):
     """Lines of benchmark items in parts of at most 40 characters."""
     lines = src.lines_of(read(spark, d, "benchmark"), "item_id", "text")
-    parts = lines.select("file", F.col("line_no").cast("bigint").alias("line_no"), F.posexplode(kana.split_long_column(F.col("line"), 40)).alias("part", "text"))
+    parts = lines.select(
+        "file",
+        F.col("line_no").cast("bigint").alias("line_no"),
+        F.posexplode(kana.split_long_column(F.col("line"), 40)).alias("part", "text"),
+    )
     return parts.withColumn("part", F.col("part").cast("bigint"))
 
 
@@ -487,7 +515,9 @@ SELECT leaf.k[1] AS ep, leaf.k[2] AS i, part, CAST(trunc(s + 10000000 * lo / n)
 def expand_long(spark, d):
     """Turns as cues of ten seconds, parts with times in proportion to their characters."""
     at = (F.col("turn") * 10_000_000).cast("bigint")
-    cues = read(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("ep"), F.col("turn").alias("i"), at.alias("s"), (at + 10_000_000).alias("e"), "text")
+    cues = read(spark, d, "conversations").where("text IS NOT NULL").select(
+        F.col("conv_id").alias("ep"), F.col("turn").alias("i"), at.alias("s"), (at + 10_000_000).alias("e"), "text"
+    )
     return segment.expand_long(cues, 40).withColumn("part", F.col("part").cast("bigint"))
 
 
@@ -513,7 +543,15 @@ def dict_longest_match(spark, d):
     return x.select("item_id", "x.offset", F.length("x.key").cast("bigint").alias("length"), "x.key")
 
 
-KANA = {"食べる": ("タベル", "動詞"), "連れ去り": ("ツレサリ", "名詞"), "今日": ("キョウ", "名詞"), "神": ("カミ", "名詞"), "々": ("*", "記号"), "は": ("ハ", "助詞"), "カタカナ": ("*", "名詞")}
+KANA = {
+    "食べる": ("タベル", "動詞"),
+    "連れ去り": ("ツレサリ", "名詞"),
+    "今日": ("キョウ", "名詞"),
+    "神": ("カミ", "名詞"),
+    "々": ("*", "記号"),
+    "は": ("ハ", "助詞"),
+    "カタカナ": ("*", "名詞"),
+}
 
 
 @register("""SELECT * FROM (VALUES (1, 0, 2, 'きょう'), (1, 3, 1, 'た'), (2, 0, 1, 'つ'), (2, 2, 1, 'さ'), (3, 0, 2, 'かみがみ'), (4, 0, 4, 'かたかな'),
@@ -529,7 +567,13 @@ def kana_annotate(spark, d):
 def kana_scalars(spark, d):
     t = spark.sql("SELECT * FROM VALUES (1, 'カタカナ', 'か'), (2, 'ひらがな', 'ぴらがな'), (3, '漢字かな', '漢字かな') AS t(id, text, first)")
     count = lambda p: F.regexp_count("text", F.lit(p)).cast("int")
-    return t.select("id", tx.to_hira(F.col("text")).alias("hira"), tx.rendaku(F.col("first")).alias("voiced"), count(tx.KANJI).alias("kanji"), count(tx.KATA).alias("kata"))
+    return t.select(
+        "id",
+        tx.to_hira(F.col("text")).alias("hira"),
+        tx.rendaku(F.col("first")).alias("voiced"),
+        count(tx.KANJI).alias("kanji"),
+        count(tx.KATA).alias("kata"),
+    )
 
 
 # ---------------------------------------------------------------- picks, plans, checks, summaries
@@ -565,7 +609,11 @@ def preferred_track(spark, d):
 
 @register("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus IN ('F', 'O'))")
 def pending_media(spark, d):
-    streams = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit("subtitle").alias("codec_type"), F.when(F.col("o_orderstatus").isin("F", "O"), "JPN").otherwise("eng").alias("language"))
+    streams = read(spark, d, "orders").select(
+        F.col("o_custkey").alias("c_custkey"),
+        F.lit("subtitle").alias("codec_type"),
+        F.when(F.col("o_orderstatus").isin("F", "O"), "JPN").otherwise("eng").alias("language"),
+    )
     return catalog.pending(read(spark, d, "customer"), streams, "c_custkey").select("c_custkey", "c_name")
 
 
@@ -575,9 +623,16 @@ CASE WHEN NOT coalesce(flags = 'N', false) THEN 'flags' END) AS problems
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, string_agg(DISTINCT l_returnflag, '' ORDER BY l_returnflag) AS flags FROM lineitem
   GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
 def verify_diff(spark, d):
-    lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "").alias("flags"))
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "").alias("flags")
+    )
     x = read(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return x.select("o_orderkey", catalog.problems((F.col("n") > 0, "no lines"), (F.col("n") <= 4, "too many lines"), (F.col("flags") == "N", "flags")).alias("problems"))
+    return x.select(
+        "o_orderkey",
+        catalog.problems(
+            (F.col("n") > 0, "no lines"), (F.col("n") <= 4, "too many lines"), (F.col("flags") == "N", "flags")
+        ).alias("problems"),
+    )
 
 
 @register("""SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(*) AS mean FROM orders GROUP BY o_orderstatus""")
@@ -588,7 +643,11 @@ def run_summary(spark, d):
 @register("""SELECT l_orderkey AS path, concat_ws(',', string_agg(l_linenumber, ',' ORDER BY l_linenumber) FILTER (l_returnflag <> 'R'), '99',
 string_agg(l_linenumber, ',' ORDER BY l_linenumber) FILTER (l_returnflag = 'R')) AS track_order FROM lineitem GROUP BY l_orderkey""")
 def track_plan(spark, d):
-    t = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.when(F.col("l_returnflag") == "R", "subtitles").otherwise("video").alias("kind"), F.col("l_linenumber").alias("track_id"))
+    t = read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("path"),
+        F.when(F.col("l_returnflag") == "R", "subtitles").otherwise("video").alias("kind"),
+        F.col("l_linenumber").alias("track_id"),
+    )
     return catalog.track_plan(t, F.lit(99))
 
 
@@ -606,7 +665,9 @@ def first_track(spark, d):
     lines = read(spark, d, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey"])
     at = [F.col("l_orderkey").alias("path"), (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey")).alias("pos")]
     language = F.when(F.col("l_returnflag") == "R", "JPN").when(F.col("l_returnflag") == "A", "chi").otherwise("eng")
-    return catalog.first_track(lines.select(*at, F.col("l_partkey").alias("track_id")), lines.select(*at, language.alias("language")), catalog.JAPANESE)
+    return catalog.first_track(
+        lines.select(*at, F.col("l_partkey").alias("track_id")), lines.select(*at, language.alias("language")), catalog.JAPANESE
+    )
 
 
 _STREAMS = """s AS (SELECT l_orderkey AS path, l_linenumber::BIGINT * 1000000000 + l_partkey AS index, CASE l_linenumber WHEN 1 THEN 'video'
@@ -620,7 +681,9 @@ def _streams(spark, d):
     n, flag = F.col("l_linenumber"), F.col("l_returnflag")
     kind = F.when(n == 1, "video").when(n == 2, "audio").when(n == 4, "attachment").otherwise("subtitle")
     return read(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("path"), (n.cast("bigint") * 1_000_000_000 + F.col("l_partkey")).alias("index"), kind.alias("codec_type"), F.col("l_linestatus").alias("codec_name"),
+        F.col("l_orderkey").alias("path"), (
+            n.cast("bigint") * 1_000_000_000 + F.col("l_partkey")
+        ).alias("index"), kind.alias("codec_type"), F.col("l_linestatus").alias("codec_name"),
         F.when(flag == "R", "JPN").when(flag == "A", "chi").otherwise("eng").alias("language"),
         F.when(F.col("l_quantity") > 25, "Japanese").otherwise("other").alias("title"), F.col("l_quantity").cast("int").alias("width"), n.alias("height"), "l_tax",
     )
@@ -690,7 +753,11 @@ def ruby_lines(spark, d):
 @register("""SELECT l_orderkey, string_agg(l_returnflag, '' ORDER BY l_returnflag) AS names, bool_or(l_returnflag = 'R') AS some, bool_and(l_quantity < 40) AS every FROM lineitem GROUP BY l_orderkey""")
 def sorted_multiset(spark, d):
     g = read(spark, d, "lineitem").groupBy("l_orderkey")
-    return g.agg(F.array_join(F.array_sort(F.collect_list("l_returnflag")), "").alias("names"), F.bool_or(F.col("l_returnflag") == "R").alias("some"), F.bool_and(F.col("l_quantity") < 40).alias("every"))
+    return g.agg(
+        F.array_join(F.array_sort(F.collect_list("l_returnflag")), "").alias("names"),
+        F.bool_or(F.col("l_returnflag") == "R").alias("some"),
+        F.bool_and(F.col("l_quantity") < 40).alias("every"),
+    )
 
 
 @register(f"""WITH {EV}, c AS (SELECT ep, text, count(*) AS n, min((s, i)) AS f, arg_min(value, (s, i)) AS v FROM ev GROUP BY ep, text),
@@ -700,7 +767,9 @@ SELECT ep AS folder, count(*) AS n, string_agg('#' || text || chr(9) || CAST(CAS
   || ' 次', chr(10) ORDER BY rank) AS section FROM o GROUP BY ep""")
 def dict_update(spark, d):
     ev = events(spark, d)
-    first = ev.groupBy("ep", "text").agg(F.min_by((F.col("value") * 100).cast("bigint").cast("string"), F.struct("s", "i")).alias("reading"))
+    first = ev.groupBy("ep", "text").agg(
+        F.min_by((F.col("value") * 100).cast("bigint").cast("string"), F.struct("s", "i")).alias("reading")
+    )
     found = catalog.top_keys(ev, ["ep"], "text", ["s", "i"]).join(first, ["ep", "text"]).withColumnsRenamed({"ep": "folder", "text": "surface"})
     defined = ev.where("ep % 2 = 0").select(F.col("ep").alias("folder"), F.lit("purchase").alias("surface")).distinct()
     return catalog.dictionary_update(found, defined)
@@ -718,14 +787,18 @@ SELECT ep, seam, kind, CASE WHEN kind = 'merge' THEN NOT EXISTS (SELECT 1 FROM c
 ELSE EXISTS (SELECT 1 FROM c WHERE c.ep = m.ep AND abs(c.cut - m.seam) <= 1) END AS passed FROM m""")
 def mark_score(spark, d):
     n = events(spark, d).withColumn("n", F.row_number().over(W.partitionBy("ep").orderBy("s", "i")).cast("bigint"))
-    marks = n.where("text = 'view'").select("ep", F.col("n").alias("seam"), F.when(F.col("i") % 2 == 0, "merge").otherwise("split").alias("kind"))
+    marks = n.where("text = 'view'").select(
+        "ep", F.col("n").alias("seam"), F.when(F.col("i") % 2 == 0, "merge").otherwise("split").alias("kind")
+    )
     return catalog.mark_score(marks, n.where("text = 'error'").select("ep", F.col("n").alias("cut")))
 
 
 @register("""WITH x AS (SELECT l_orderkey AS ep, 0::BIGINT AS i, CAST(round(l_discount * 100) AS BIGINT) AS x FROM lineitem)
 SELECT ep, i, count(*) AS n FROM x GROUP BY ep, i HAVING sum(x * x) < 4.0 * 4.0 * count(*)""")
 def silence_filter(spark, d):
-    x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("ep"), F.lit(0).cast("bigint").alias("i"), F.round(F.col("l_discount") * 100).cast("bigint").alias("x"))
+    x = read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("ep"), F.lit(0).cast("bigint").alias("i"), F.round(F.col("l_discount") * 100).cast("bigint").alias("x")
+    )
     return recover.silent_windows(x, 4.0)
 
 
@@ -739,7 +812,9 @@ def probe_streams(spark, d):
     j = """SELECT * FROM VALUES ('a', '{"streams":[{"index":1,"codec_type":"audio","tags":{"language":"JPN"}},{"index":2,"codec_type":"subtitle","tags":{"language":"chi"}}]}'),
     ('b', '{"streams":[{"index":0,"codec_type":"video","width":10,"height":20}]}'), ('c', 'broken') AS t(path, json)"""
     x = src.probe_streams(spark.sql(j))
-    return x.select("path", "index", "codec_type", "language", F.coalesce(F.col("language").isin(catalog.JAPANESE), F.lit(False)).alias("japanese"))
+    return x.select(
+        "path", "index", "codec_type", "language", F.coalesce(F.col("language").isin(catalog.JAPANESE), F.lit(False)).alias("japanese")
+    )
 
 
 _FILES = {
@@ -777,7 +852,11 @@ def version_max(spark, d):
 
 @register("""SELECT o_orderkey, TRY_CAST(left(o_orderpriority, 1) AS INT) AS level, TRY_CAST(nullif(o_orderpriority, '') AS INT) AS bad FROM orders""")
 def tolerant_int(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", tx.tolerant_int(F.left("o_orderpriority", F.lit(1))).alias("level"), tx.tolerant_int(F.col("o_orderpriority")).alias("bad"))
+    return read(spark, d, "orders").select(
+        "o_orderkey",
+        tx.tolerant_int(F.left("o_orderpriority", F.lit(1))).alias("level"),
+        tx.tolerant_int(F.col("o_orderpriority")).alias("bad"),
+    )
 
 
 @register("""SELECT * FROM (VALUES ('a', 'E', 'env'), ('b', NULL, NULL), ('c', 'C', 'config'), ('d', 'P', 'path'), ('e', 'B', 'bundled')) AS t(tool, found, origin)""")
@@ -837,7 +916,9 @@ def reference_timeline(spark, d):
     """Events as streams of one interval each; clicks are the wanted language."""
     ev = events(spark, d).where("text IN ('view', 'click', 'error')")
     named = F.when(F.col("text") == "click", "chi").otherwise(F.col("text"))
-    streams = ev.select(F.col("ep").alias("path"), F.col("i").alias("index"), F.lit("subtitle").alias("codec_type"), named.alias("language"))
+    streams = ev.select(
+        F.col("ep").alias("path"), F.col("i").alias("index"), F.lit("subtitle").alias("codec_type"), named.alias("language")
+    )
     out = catalog.reference_timeline(streams, ev.select(F.col("ep").alias("path"), F.col("i").alias("index"), "s", "e"))
     return out.withColumn("language", F.when(F.col("language") == "chi", "click").otherwise(F.col("language")))
 
@@ -848,7 +929,14 @@ def reference_timeline(spark, d):
 def _timed(spark, d):
     """Words of an episode as a segment each hour; clicks are stretches of speech."""
     ev = events(spark, d)
-    words = ev.select("ep", F.floor(F.col("s") / (24 * HOUR)).alias("seg_i"), F.col("i").alias("w_i"), "s", F.greatest("e", F.col("s") + 50_000).alias("e"), "text")
+    words = ev.select(
+        "ep",
+        F.floor(F.col("s") / (24 * HOUR)).alias("seg_i"),
+        F.col("i").alias("w_i"),
+        "s",
+        F.greatest("e", F.col("s") + 50_000).alias("e"),
+        "text",
+    )
     ranges = words.groupBy("ep", "seg_i").agg(F.min("s").alias("s"), F.max("e").alias("e")).withColumnRenamed("seg_i", "i")
     ranges = segment.segment_ranges(ranges, of_type(ev, "click", HOUR), of_type(ev, "error", HOUR // 6, ("j", "pa", "pb")), HOUR)
     return words, ranges, of_type(ev, "click", HOUR)
@@ -864,7 +952,9 @@ def line_break_dp(spark, d):
     """Cut costs from the silence before a word; a line is at most 20 characters wide."""
     w = segment.retime(*_timed(spark, d))
     cost = F.when(F.col("gap") >= 300_000, -1.5).when(F.col("gap") >= 150_000, -1.0).otherwise(1.0)
-    x = w.withColumn("width", tx.text_em(F.col("text"))).withColumn("cut_cost", F.when(F.col("n") == 0, 0.0).otherwise(cost)).withColumn("starter", F.col("text") == "signup")
+    x = w.withColumn("width", tx.text_em(F.col("text"))).withColumn(
+        "cut_cost", F.when(F.col("n") == 0, 0.0).otherwise(cost)
+    ).withColumn("starter", F.col("text") == "signup")
     return segment.segment_lines(x, 10.0)
 
 

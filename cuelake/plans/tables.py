@@ -22,7 +22,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ep, i, s, e, text, value`` in microseconds since 2024-01-01."""
     s = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01', ts)")
     return read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("ep"), F.col("event_id").alias("i"), s.alias("s"), (s + (F.col("value") * 1_000_000).cast("bigint")).alias("e"), F.col("event_type").alias("text"), "value"
+        F.col("user_id").alias("ep"), F.col("event_id").alias("i"), s.alias("s"), (
+            s + (F.col("value") * 1_000_000).cast("bigint")
+        ).alias("e"), F.col("event_type").alias("text"), "value"
     )
 
 

@@ -35,7 +35,9 @@ def media_files(spark: SparkSession, root: str, pattern: str = "*.[mM][kK][vV]")
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of whole text files, without a byte order mark."""
-    body = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("body"))
+    body = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("body")
+    )
     return lines_of(body, "file", "body")
 
 
@@ -51,7 +53,9 @@ def _us(line: Column, first: int) -> Column:
 
 def srt_timeline(lines: DataFrame) -> DataFrame:
     """Every line with a time range: ``file, line_no, s, e``; the fraction is a number of milliseconds as it stands."""
-    return lines.where(F.col("line").rlike(TIME)).select("file", "line_no", _us(F.col("line"), 1).alias("s"), _us(F.col("line"), 5).alias("e"))
+    return lines.where(F.col("line").rlike(TIME)).select(
+        "file", "line_no", _us(F.col("line"), 1).alias("s"), _us(F.col("line"), 5).alias("e")
+    )
 
 
 def srt_cues(lines: DataFrame) -> DataFrame:
@@ -62,7 +66,9 @@ def srt_cues(lines: DataFrame) -> DataFrame:
     text = strip(F.col("line"))
     part = F.when(~is_time & (text != "") & ~text.rlike(r"^[0-9]+$"), F.struct("line_no", text.alias("t")))
     times = F.when(is_time, F.col("line"))
-    out = x.groupBy("file", "cue").agg(F.max(times).alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), " ").alias("text"))
+    out = x.groupBy("file", "cue").agg(
+        F.max(times).alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), " ").alias("text")
+    )
     return out.select("file", "cue", _us(F.col("head"), 1).alias("s"), _us(F.col("head"), 5).alias("e"), "text")
 
 
@@ -74,7 +80,9 @@ def ini_settings(lines: DataFrame) -> DataFrame:
     x = lines.select("file", "line_no", line.alias("line"), F.last(F.when(head != "", head), ignorenulls=True).over(w).alias("section"))
     pair = r"^([^=:\[#;][^=:]*)[=:](.*)$"
     x = x.where(F.col("section").isNotNull() & F.col("line").rlike(pair)).select(
-        "file", "line_no", "section", F.lower(strip(F.regexp_extract("line", pair, 1))).alias("key"), strip(F.regexp_extract("line", pair, 2)).alias("value")
+        "file", "line_no", "section", F.lower(
+            strip(F.regexp_extract("line", pair, 1))
+        ).alias("key"), strip(F.regexp_extract("line", pair, 2)).alias("value")
     )
     return x.groupBy("file", "section", "key").agg(F.max_by("value", "line_no").alias("value"))
 
@@ -83,8 +91,12 @@ def dictionary(lines: DataFrame) -> DataFrame:
     """``file, surface, reading``: blank and ``#`` lines skipped, the first two parts kept, the last of a repeated surface stands."""
     line = strip(F.col("line"))
     parts = F.split(line, r"(?U)[\t,，\s]+", 3)
-    x = lines.where((line != "") & ~line.startswith("#")).select("file", "line_no", F.get(parts, 0).alias("surface"), F.get(parts, 1).alias("reading"))
-    return x.where((F.col("surface") != "") & (F.col("reading") != "")).groupBy("file", "surface").agg(F.max_by("reading", "line_no").alias("reading"))
+    x = lines.where((line != "") & ~line.startswith("#")).select(
+        "file", "line_no", F.get(parts, 0).alias("surface"), F.get(parts, 1).alias("reading")
+    )
+    return x.where(
+        (F.col("surface") != "") & (F.col("reading") != "")
+    ).groupBy("file", "surface").agg(F.max_by("reading", "line_no").alias("reading"))
 
 
 def mux_tracks(lines: DataFrame) -> DataFrame:
@@ -101,7 +113,17 @@ STREAM_SCHEMA = "streams array<struct<index:int,codec_type:string,codec_name:str
 def probe_streams(probes: DataFrame) -> DataFrame:
     """``path, json`` of a probe tool -> ``path, index, codec_type, codec_name, language, title, filename, width, height``."""
     x = probes.select("path", F.explode(F.from_json("json", STREAM_SCHEMA)["streams"]).alias("x"))
-    return x.select("path", "x.index", "x.codec_type", "x.codec_name", F.lower(F.col("x.tags")["language"]).alias("language"), F.col("x.tags")["title"].alias("title"), F.col("x.tags")["filename"].alias("filename"), "x.width", "x.height")
+    return x.select(
+        "path",
+        "x.index",
+        "x.codec_type",
+        "x.codec_name",
+        F.lower(F.col("x.tags")["language"]).alias("language"),
+        F.col("x.tags")["title"].alias("title"),
+        F.col("x.tags")["filename"].alias("filename"),
+        "x.width",
+        "x.height",
+    )
 
 
 def probe_errors(probes: DataFrame) -> DataFrame:
@@ -113,7 +135,9 @@ def probe_errors(probes: DataFrame) -> DataFrame:
 def video_size(streams: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
     """Size of each path's first video stream, else the default."""
     first = F.min_by(F.struct("width", "height"), F.when(F.col("codec_type") == "video", F.col("index")))
-    return streams.groupBy("path").agg(first.alias("v")).select("path", F.coalesce("v.width", F.lit(width)).alias("width"), F.coalesce("v.height", F.lit(height)).alias("height"))
+    return streams.groupBy("path").agg(first.alias("v")).select(
+        "path", F.coalesce("v.width", F.lit(width)).alias("width"), F.coalesce("v.height", F.lit(height)).alias("height")
+    )
 
 
 def font_metrics(data: bytes, index: int = 0) -> tuple[int, int, int]:
