@@ -420,12 +420,12 @@ o AS (SELECT doc_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect
 def _pairs(spark, d):
     """Share of a document's character pairs that the next one of its source and language has."""
     docs = read(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    pairs = sequence.following(
-        docs.select("source", "lang", "doc_id"), ["source", "lang"], "doc_id"
-    ).where("next IS NOT NULL").select("doc_id", "next")
-    other = docs.select(F.col("doc_id").alias("next"), F.col("text").alias("other"))
-    both = docs.select("doc_id", "text").join(pairs, "doc_id").join(other, "next").where("other IS NOT NULL")
-    return both.select("doc_id", tx.overlap_ratio(F.col("text"), F.col("other")).alias("ratio"))
+    pairs = sequence.following(docs.select("source", "lang", "doc_id"), ["source", "lang"], "doc_id").where("next IS NOT NULL")
+    grams = tx.bigrams(tx.strip_punct(F.col("text")))
+    own = docs.select("doc_id", grams.alias("a"))
+    other = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("next"), grams.alias("b"))
+    both = pairs.select("doc_id", "next").join(own, "doc_id").join(other, "next")
+    return both.select("doc_id", tx.shared(F.col("a"), F.col("b")).alias("ratio"))
 
 
 @register(f"WITH {PAIRS} SELECT doc_id, ratio FROM o")
