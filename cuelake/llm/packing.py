@@ -8,8 +8,8 @@ for the next documents of the task; at the end of the task it goes to ever short
 scan: no exchange of texts, and a task holds one piece of text and at most a few windows' worth of ids.
 
 Then the windows of each length, of all tasks, are dealt to step groups of equal numbers of tokens (``deal_steps``): the
-windows are numbered in their task, the tasks' counts are summed up, and only one group of a length is partial. The rows
-that are exchanged for it hold no ids and no texts.
+windows are numbered in their task, the tasks' counts are summed up, and only one group of a length is partial. Pieces
+stay where they are.
 """
 
 from __future__ import annotations
@@ -82,6 +82,7 @@ class Packer:
 
     def __init__(self, task: int, tiers: tuple[int, ...] = TIERS):
         self.base, self.tiers, self.next = task << _TASK, tiers, 0
+        self.of_tier: dict[int, int] = {}  # windows of each length so far
         self.sizes: list[int] = []  # of what waits, ascending, and in the same order what it is
         self.waiting: list[tuple] = []
         self.rows: list[tuple] = []
@@ -98,9 +99,11 @@ class Packer:
     def _window(self, items: list[tuple], tier: int) -> None:
         number = self.base + self.next
         self.next += 1
+        place = self.of_tier.get(tier, 0)
+        self.of_tier[tier] = place + 1
         at = 0
         for key, ids, start, size, whole in items:
-            self.rows.append((key, start, size, zlib.crc32(ids), whole, number, at, tier))
+            self.rows.append((key, start, size, zlib.crc32(ids), whole, number, at, tier, place))
             at += size
 
     def add(self, key, ids: np.ndarray) -> None:
@@ -149,10 +152,10 @@ class Packer:
 
 
 _OUT = (
-    "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int"
+    "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, tier_no long"
 )
 _NAMES = ["id", *(x.split()[0] for x in _OUT.split(", "))]
-_TYPES = [*[pa.int64()] * 6, pa.int32()]
+_TYPES = [*[pa.int64()] * 6, pa.int32(), pa.int64()]
 
 
 def pack(
@@ -162,10 +165,11 @@ def pack(
     text: str = "text",
     tiers: tuple[int, ...] = TIERS,
 ) -> DataFrame:
-    """One row a piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier``.
+    """One row a piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, tier_no``.
 
     A document is its ids and ``END_ID``; a null or empty text is the end id alone. ``sequence_id`` is unique over all
-    tasks, ``offset`` gapless from 0 within it. ``tier`` is the window's length. Repeated rows and null keys are packed like any other; no rows give no rows; other columns of the input
+    tasks, ``offset`` gapless from 0 within it. ``tier`` is the window's length, ``tier_no`` its
+    number among the windows of that length of its task. Repeated rows and null keys are packed like any other; no rows give no rows; other columns of the input
     play no part. Tiers are powers of two, longest first.
     """
     kind = docs.schema[key].dataType
@@ -202,20 +206,20 @@ def pack(
 
 
 def deal_steps(packed: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """Adds ``step_group`` to the pieces of a written table of ``pack``.
+    """``step_group`` in the place of ``tier_no``, for the pieces of a written table of ``pack``.
 
     Every group holds windows of one length, ``step_tokens`` tokens of them (one window where that is longer), but the
-    last group of each length, which holds what is left. No rows give no rows.
+    last group of each length, which holds what is left. Only the tasks' counts are summed up, a row a task and length;
+    pieces stay where they are. No rows give no rows.
     """
-    windows = packed.where("offset = 0").select("sequence_id", "tier", F.shiftright("sequence_id", _TASK).alias("task"))
-    inside = F.row_number().over(W.partitionBy("task", "tier").orderBy("sequence_id")) - 1
-    upto = W.partitionBy("tier").orderBy("task").rowsBetween(W.unboundedPreceding, -1)  # a row a task
-    counts = windows.groupBy("task", "tier").agg(F.count("*").alias("n"))
-    before = counts.select("task", "tier", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    ranked = windows.withColumn("inside", inside).join(before, ["task", "tier"])
-    group = F.floor((F.col("before") + F.col("inside")) / F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier"))))
-    groups = ranked.select("sequence_id", (F.col("tier").cast("long") * (1 << _TASK) + group).cast("long").alias("step_group"))
-    return packed.join(groups, "sequence_id").select(*packed.columns, "step_group")
+    task = F.shiftright("sequence_id", _TASK).alias("task")
+    counts = packed.where("offset = 0").groupBy(task, "tier").agg(F.count("*").alias("n"))
+    upto = W.partitionBy("tier").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("task", F.col("tier").alias("length_"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    per = F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier")))
+    group = F.col("tier").cast("long") * (1 << _TASK) + F.floor((F.col("before") + F.col("tier_no")) / per)
+    same = (F.shiftright("sequence_id", _TASK) == F.col("task")) & (F.col("tier") == F.col("length_"))
+    return packed.join(before, same).withColumn("step_group", group.cast("long")).drop("task", "length_", "before", "tier_no")
 
 
 def packed_steps(spark: SparkSession, docs: DataFrame, vocab: str) -> DataFrame:

@@ -389,7 +389,7 @@ def test_step_groups(spark, documents, awkward):
     for docs, step in ((documents.repartition(7), 1 << 14), (awkward, 4096), (awkward.limit(0), 4096)):
         packed = packing.table(spark, packing.pack(docs, WORDS))
         rows = packing.deal_steps(packed, step).collect()
-        assert sorted((tuple(r)[:-1] for r in rows), key=str) == sorted(map(tuple, packed.collect()), key=str)
+        assert sorted((tuple(r)[:-1] for r in rows), key=str) == sorted(map(tuple, packed.drop("tier_no").collect()), key=str)
         groups, partial = defaultdict(dict), Counter()
         for r in rows:
             assert groups[r["step_group"]].setdefault(r["sequence_id"], r["tier"]) == r["tier"]
