@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables, and the stability of those without."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cuelake.plans import catalogue
@@ -36,6 +37,29 @@ def test_query(spark, duck, name):
         assert got == sorted(tuple(plain(row[i]) for i in at) for row in r.fetchall())
 
 
+LINE = {"l_partkey": 7, "l_linenumber": 5, "l_returnflag": "N", "l_linestatus": "F", "l_quantity": 30.0, "l_tax": 0.0}
+
+
+def against_sql(spark, folder, name, lines):
+    """Rows of a query on lines of orders, which have to be those of its SQL; the lines are in the order of the file."""
+    file = str(folder / "lineitem.parquet")
+    pd.DataFrame([LINE | x for x in lines]).astype({"l_linenumber": "int32"}).to_parquet(file)
+    df = catalogue.QUERIES[name](spark, str(folder))
+    got = sorted(tuple(r) for r in df.collect())
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{file}'")
+    assert got == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLES[name]})").fetchall())
+    return got
+
+
+def test_first_track_at_one_place(spark, tmp_path):
+    """Lines of one place that differ in their flag: a returned one counts, whichever comes first."""
+    flags = {1: "NR", 2: "RN", 3: "AR", 4: "RA", 5: "NA"}
+    lines = [{"l_orderkey": o, "l_returnflag": f} for o, of in flags.items() for f in of]
+    later = [{"l_orderkey": o, "l_linenumber": 6, "l_partkey": 9, "l_returnflag": "R"} for o in flags]
+    assert against_sql(spark, tmp_path, "first_track", lines + later) == [(1, 7), (2, 7), (3, 7), (4, 7), (5, 9)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
