@@ -43,7 +43,7 @@ LINE = {"l_partkey": 7, "l_linenumber": 5, "l_returnflag": "N", "l_linestatus":
 def against_sql(spark, folder, name, lines):
     """Rows of a query on lines of orders, which have to be those of its SQL; the lines are in the order of the file."""
     file = str(folder / "lineitem.parquet")
-    pd.DataFrame([LINE | x for x in lines]).astype({"l_linenumber": "int32"}).to_parquet(file)
+    pd.DataFrame([LINE | x for x in lines]).astype({"l_linenumber": "int32", "l_partkey": "Int64"}).to_parquet(file)
     df = catalogue.QUERIES[name](spark, str(folder))
     got = sorted(tuple(r) for r in df.collect())
     con = duckdb.connect(config={"threads": 1})
@@ -60,6 +60,17 @@ def test_first_track_at_one_place(spark, tmp_path):
     assert against_sql(spark, tmp_path, "first_track", lines + later) == [(1, 7), (2, 7), (3, 7), (4, 7), (5, 9)]
 
 
+def test_verify_mux_at_one_index(spark, tmp_path):
+    """Of subtitles at one index the first in the table counts, by language and by title; those without an index are last."""
+    subs = {
+        1: [("R", 30.0), ("A", 30.0)], 2: [("A", 30.0), ("R", 30.0)], 3: [("R", 30.0), ("R", 9.0)], 4: [("R", 9.0), ("R", 30.0)], 5: [("R", 30.0), ("N", 9.0)],
+    }
+    lines = [{"l_orderkey": o, "l_returnflag": f, "l_quantity": q} for o, of in subs.items() for f, q in of]
+    lines += [{"l_orderkey": 6, "l_partkey": p, "l_returnflag": f} for p, f in ((None, "A"), (7, "R"))]
+    got = against_sql(spark, tmp_path, "verify_mux", lines)
+    assert got == [(1, ""), (2, "first subtitle"), (3, ""), (4, "first subtitle"), (5, ""), (6, "")]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
