@@ -132,9 +132,13 @@ def probe_errors(probes: DataFrame) -> DataFrame:
     return probes.where(told.isNull()).select("path", one_line(F.coalesce("json", F.lit(""))).alias("error"))
 
 
-def video_size(streams: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
-    """Size of each path's first video stream, else the default."""
-    first = F.min_by(F.struct("width", "height"), F.when(F.col("codec_type") == "video", F.col("index")))
+def video_size(streams: DataFrame, width: int = 1920, height: int = 1080, order: tuple[str, ...] = ("index",)) -> DataFrame:
+    """Size of each path's first video stream, else the default.
+
+    ``order`` names the columns that order a path's streams; more than one where an index may repeat. Without the first, a stream is left out.
+    """
+    video = (F.col("codec_type") == "video") & F.col(order[0]).isNotNull()
+    first = F.min_by(F.struct("width", "height"), F.when(video, F.struct(*order)))
     return streams.groupBy("path").agg(first.alias("v")).select(
         "path", F.coalesce("v.width", F.lit(width)).alias("width"), F.coalesce("v.height", F.lit(height)).alias("height")
     )

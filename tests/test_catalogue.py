@@ -71,6 +71,29 @@ def test_verify_mux_at_one_index(spark, tmp_path):
     assert got == [(1, ""), (2, "first subtitle"), (3, ""), (4, "first subtitle"), (5, ""), (6, "")]
 
 
+VIDEO = {"l_linenumber": 1}
+
+
+def test_video_size_at_one_index(spark, tmp_path):
+    """Of videos at one index the first in the table counts; one that is filtered out or has no index doesn't."""
+    sizes = {1: (3.0, 4.0), 2: (4.0, 3.0), 3: (9.0, 5.0, 7.0), 4: (5.0, 9.0, 7.0)}
+    lines = [VIDEO | {"l_orderkey": o, "l_quantity": q} for o, of in sizes.items() for q in of]
+    lines += [VIDEO | {"l_orderkey": 5, "l_quantity": q, "l_tax": t} for q, t in ((8.0, 0.05), (6.0, 0.0), (2.0, 0.0))]
+    lines += [VIDEO | {"l_orderkey": o, "l_partkey": p, "l_quantity": 9.0 - (p or 0)} for o, p in ((6, None), (6, 7), (7, None))]
+    got = against_sql(spark, tmp_path, "video_size", lines)
+    assert got == [(1, 3, 1), (2, 4, 1), (3, 9, 1), (4, 5, 1), (5, 6, 1), (6, 2, 1), (7, 1920, 1080)]
+
+
+def test_video_size_over_files(spark, tmp_path):
+    """A table of many files is read in the order of their names, whatever the order of the tasks."""
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k in range(5):
+        rows = [LINE | VIDEO | {"l_orderkey": o, "l_quantity": float(10 + 7 * o * (k + 1) % 31)} for o in range(20) for _ in range(5 - k)]
+        pd.DataFrame(rows).astype({"l_linenumber": "int32"}).to_parquet(str(tmp_path / "lineitem.parquet" / f"part-{k}.parquet"))
+    got = {r["path"]: r["width"] for r in catalogue.QUERIES["video_size"](spark, str(tmp_path)).collect()}
+    assert got == {o: 10 + 7 * o % 31 for o in range(20)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
