@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import ass_time, escape_ass, srt_time, text_em
@@ -50,15 +51,21 @@ def sizes(width: int, height: int, main_px: int | None = None, bottom_px: int |
     }
 
 
-def plan_layout(cues: DataFrame, screen: Screen = Screen()) -> DataFrame:
-    """``ep, widest, main, ruby``: one size an episode, smaller where its widest cue would not fit."""
+def _sizes(widest: Column, screen: Screen) -> tuple[Column, Column]:
+    """Main and ruby size of an episode by the width of its widest cue in em."""
     base = screen.base
     room = screen.width - 2 * base["margin"]
-    w = cues.groupBy("ep").agg(F.coalesce(F.max(screen.em("text")), F.lit(0.0)).alias("widest"))
-    tight = F.col("widest") * base["main"] > room
-    shrunk = F.greatest(F.lit(MAIN_SHRUNK), F.floor(room / F.nullif("widest", F.lit(0.0))))
+    tight = widest * base["main"] > room
+    shrunk = F.greatest(F.lit(MAIN_SHRUNK), F.floor(room / F.nullif(widest, F.lit(0.0))))
     main = F.when(tight, shrunk).otherwise(F.lit(base["main"])).cast("int")
     ruby = F.when(tight, F.greatest(F.lit(RUBY_SMALLEST), F.floor(main * RUBY))).otherwise(F.lit(base["ruby"])).cast("int")
+    return main, ruby
+
+
+def plan_layout(cues: DataFrame, screen: Screen = Screen()) -> DataFrame:
+    """``ep, widest, main, ruby``: one size an episode, smaller where its widest cue would not fit."""
+    w = cues.groupBy("ep").agg(F.coalesce(F.max(screen.em("text")), F.lit(0.0)).alias("widest"))
+    main, ruby = _sizes(F.col("widest"), screen)
     return w.select("ep", "widest", main.alias("main"), ruby.alias("ruby"))
 
 
@@ -80,25 +87,27 @@ def _main_line(screen: Screen) -> Column:
     return _line("JP", F.format_string("{\\an7\\pos(%.1f,%.1f)}", x, y), F.col("text"))
 
 
-def _ruby_lines(planned: DataFrame, spans: DataFrame, screen: Screen) -> DataFrame:
-    """Planned cues with their spans: adds ``offset`` and ``line``."""
-    x = planned.join(spans, ["ep", "i"])
+def _ruby_line(screen: Screen) -> Column:
+    """The dialogue line of a planned cue's span ``offset, length, ruby_text``."""
     em = screen.em("text")
     left = (F.lit(screen.width) - em * F.col("main")) / 2 + screen.em(F.expr("substring(text, 1, offset)")) * F.col("main")
-    x = x.withColumn("left", left).withColumn("span_w", screen.em(F.expr("substring(text, offset + 1, length)")) * F.col("main"))
-    x = x.withColumn("rs", ruby_size(screen.em("ruby_text"), F.col("span_w"), F.col("main"), F.col("ruby")))
-    x = x.withColumn("rw", screen.em("ruby_text") * F.col("rs"))
-    centred = F.col("left") + (F.col("span_w") - F.col("rw")) / 2
-    rx = F.least(F.greatest(centred, F.lit(EDGE)), F.lit(screen.width) - F.col("rw") - EDGE)
+    span_w = screen.em(F.expr("substring(text, offset + 1, length)")) * F.col("main")
+    rs = ruby_size(screen.em("ruby_text"), span_w, F.col("main"), F.col("ruby"))
+    rw = screen.em("ruby_text") * rs
+    centred = left + (span_w - rw) / 2
+    rx = F.least(F.greatest(centred, F.lit(EDGE)), F.lit(screen.width) - rw - EDGE)
     top = (F.lit(screen.height - screen.base["bottom"]) - F.col("main") - F.floor(F.col("ruby") * RISE)).cast("double")
-    own_size = F.format_string("\\fs%.1f", F.col("rs").cast("double") / F.lit(screen.font.scale))
-    shrunk = F.when(F.col("rs") == F.col("ruby"), F.lit("")).otherwise(own_size)
+    own_size = F.format_string("\\fs%.1f", rs.cast("double") / F.lit(screen.font.scale))
+    shrunk = F.when(rs == F.col("ruby"), F.lit("")).otherwise(own_size)
     tag = F.concat(F.format_string("{\\an7\\pos(%.1f,%.1f)", rx, top), shrunk, F.lit("}"))
-    return x.withColumn("line", _line("RB", tag, F.col("ruby_text")))
+    return _line("RB", tag, F.col("ruby_text"))
 
 
 def _planned(cues: DataFrame, screen: Screen) -> DataFrame:
-    return cues.join(plan_layout(cues, screen), "ep")
+    """Cues with the sizes of their episode; they are read once."""
+    x = cues.withColumn("widest", F.coalesce(F.max(screen.em("text")).over(W.partitionBy("ep")), F.lit(0.0)))
+    main, ruby = _sizes(F.col("widest"), screen)
+    return x.withColumns({"main": main, "ruby": ruby}).drop("widest")
 
 
 def main_events(cues: DataFrame, screen: Screen = Screen()) -> DataFrame:
@@ -108,7 +117,7 @@ def main_events(cues: DataFrame, screen: Screen = Screen()) -> DataFrame:
 
 def ruby_events(cues: DataFrame, spans: DataFrame, screen: Screen = Screen()) -> DataFrame:
     """``ep, i, offset, line`` for each ruby span ``ep, i, offset, length, ruby_text``: centred over its characters, kept on the screen."""
-    return _ruby_lines(_planned(cues, screen), spans, screen).select("ep", "i", "offset", "line")
+    return _planned(cues, screen).join(spans, ["ep", "i"]).select("ep", "i", "offset", _ruby_line(screen).alias("line"))
 
 
 def ass_head(screen: Screen, main: Column, ruby: Column) -> Column:
@@ -131,21 +140,31 @@ def ass_head(screen: Screen, main: Column, ruby: Column) -> Column:
     return F.concat_ws("\n", *map(F.lit, fixed), style("JP", main, 3), style("RB", ruby, 2), *map(F.lit, events))
 
 
-def ass_texts(cues: DataFrame, spans: DataFrame | None = None, screen: Screen = Screen()) -> DataFrame:
-    """``ep, ass``: one subtitle file's text an episode; each cue's line is followed by those of its ruby spans."""
-    planned = _planned(cues, screen)
-    keep = ["ep", "main", "ruby", "s", "i", "offset", "line"]
-    lines = planned.withColumns({"offset": F.lit(-1), "line": _main_line(screen)}).select(*keep)
+def ass_texts(cues: DataFrame, spans: DataFrame | Column | None = None, screen: Screen = Screen()) -> DataFrame:
+    """``ep, ass``: one subtitle file's text an episode; each cue's line is followed by those of its ruby spans.
+
+    ``spans`` are rows ``ep, i, offset, length, ruby_text``, or a column of the cues, arrays of such structs. The cues are
+    read once: a cue's own line is that of a null span.
+    """
+    if isinstance(spans, DataFrame):
+        one = F.struct("offset", "length", "ruby_text")
+        cues = cues.join(spans.groupBy("ep", "i").agg(F.collect_list(one).alias("_spans")), ["ep", "i"], "left")
+        spans = F.col("_spans")
+    kind = "array<struct<offset:int,length:int,ruby_text:string>>"
+    rows = F.array(F.lit(None).cast(kind[6:-1]))
     if spans is not None:
-        lines = lines.unionByName(_ruby_lines(planned, spans, screen).select(*keep))
+        cues = cues.withColumn("_spans", spans)
+        rows = F.concat(rows, F.coalesce(F.col("_spans").cast(kind), F.array().cast(kind)))
+    x = _planned(cues, screen).select("ep", "main", "ruby", "s", "e", "i", "text", F.explode(rows).alias("_x"))
+    own = F.col("_x").isNull()
+    x = x.select("*", own.alias("_own"), F.coalesce("_x.offset", F.lit(-1)).alias("offset"), "_x.length", "_x.ruby_text")
+    lines = x.withColumn("line", F.when(F.col("_own"), _main_line(screen)).otherwise(_ruby_line(screen)))
     body = lines.groupBy("ep", "main", "ruby").agg(ordered_text("line", "s", "i", "offset", sep="\n").alias("body"))
     return body.select("ep", F.concat(ass_head(screen, F.col("main"), F.col("ruby")), F.lit("\n"), "body", F.lit("\n")).alias("ass"))
 
 
 def srt_blocks(cues: DataFrame) -> DataFrame:
     """``ep, i, block``: numbers count all cues in order, also those without text, which are left out."""
-    from pyspark.sql import Window as W
-
     n = F.row_number().over(W.partitionBy("ep").orderBy("s", "i"))
     x = cues.withColumn("n", n).where(F.length("text") > 0)
     return x.select(

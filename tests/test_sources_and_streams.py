@@ -179,3 +179,19 @@ def test_first_track(spark):
     s = spark.createDataFrame([("a", 0, "eng"), ("a", 1, "ZH")], "path string, pos int, language string")
     assert [r["track_id"] for r in catalog.first_track(t, s, catalog.CHINESE).collect()] == [7]
     assert texts.video_size(s.select("path", F.col("pos").alias("index"), F.lit("audio").alias("codec_type"), F.lit(1).alias("width"), F.lit(1).alias("height"))).first()["width"] == 1920
+
+
+def test_ass_texts_reads_cues_once(spark):
+    """Spans as rows or as a column of the cues give one text, and cues with no episode have one too; the cues are read once."""
+    cues = spark.createDataFrame(
+        [(1, 0, 0, 10**6, "今日"), (1, 1, 10**6, 2 * 10**6, "a" * 80), (2, 0, 0, 10**6, "x{"), (None, 0, 0, 10**6, "日")],
+        "ep long, i long, s long, e long, text string",
+    )
+    spans = spark.createDataFrame([(1, 0, 1, 1, "にち"), (1, 0, 0, 1, "きょう")], "ep long, i long, offset int, length int, ruby_text string")
+    own = F.expr("CASE WHEN text = '今日' THEN array(struct(1, 1, 'にち'), struct(0, 1, 'きょう')) END")
+    by_rows, by_column = layout.ass_texts(cues, spans), layout.ass_texts(cues, own)
+    got = {r["ep"]: r["ass"] for r in by_column.collect()}
+    assert got == {r["ep"]: r["ass"] for r in by_rows.collect()} and set(got) == {1, 2, None}
+    lines = [x.split(",", 9) for x in got[1].splitlines() if x.startswith("Dialogue")]
+    assert [(x[3], x[9].split("}")[1]) for x in lines] == [("JP", "今日"), ("RB", "きょう"), ("RB", "にち"), ("JP", "a" * 80)]
+    assert by_column._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
