@@ -98,3 +98,14 @@ def test_by_fragment(spark):
     two = spark.createDataFrame([(1, "a", 1), (2, "a", None), (3, None, 1)], "id int, t string, n int")
     got = {x["id"]: x["r"] for x in by_fragment(two, ["t", "n"], "r", lambda t, n: f"{t}{n and int(n)}", "string").collect()}
     assert got == {1: "a1", 2: "aNone", 3: None}
+
+
+def test_by_fragment_reads_rows_once(spark):
+    """A rule of two answers, some of them null: no join and no second run for a filter on an answer."""
+    df = spark.range(40).select("id", F.expr("CASE WHEN id % 4 > 0 THEN concat('a', id % 4) END AS t"), (F.col("id") % 2).alias("n"))
+    x = by_fragment(df, ["t", "n"], "r", lambda t, n: (t + str(int(n)), n == 1), "both string, odd boolean")
+    got = x.where("r.odd").select("id", "r.both")
+    assert {r["id"]: r["both"] for r in got.collect()} == {i: f"a{i % 4}1" for i in range(1, 40, 2)}
+    assert x.where("r IS NULL").count() == 10
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range") == 1 and "Join" not in plan and plan.count("ArrowEvalPython") == 1
