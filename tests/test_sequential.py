@@ -253,6 +253,34 @@ def test_transcript_lines(spark):
     assert sorted(got) == sorted(want) and len({c[0] for c in got}) == 25
 
 
+def test_transcript_is_one_pass(spark):
+    """An episode goes through retiming, costs and line breaks at one go: one Arrow function, and the words are read once."""
+    words = spark.createDataFrame([(1, 0, 0, 0, 10**6, "俺"), (None, 0, 0, 0, 10**6, "実は")], "ep long, seg_i long, w_i long, s long, e long, text string")
+    ranges = spark.createDataFrame([(1, 0, 0, 10**6)], "ep long, i long, s long, e long").where("s >= 0")
+    spans = spark.createDataFrame([(1, 0, 0, 10**6)], "ep long, j long, a long, b long")
+    got = segment.transcript_lines(words, ranges, spans, Rules(tokenize))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("LogicalRDD") == 3 and "FlatMapGroups" not in plan and "EvalPython" not in plan
+    assert {(r["ep"], r["text"]) for r in got.collect()} == {(1, "俺"), (None, "実は")}
+
+
+def test_few_and_many_ways(monkeypatch):
+    """What is tried one by one and what is an array give the same cuts."""
+    rnd = random.Random(5)
+    for _ in range(60):
+        n = rnd.randint(1, 40)
+        at = np.cumsum([rnd.choice([0, 200_000, 900_000, 13_000_000]) for _ in range(n)])
+        args = at, at + 300_000, np.array([rnd.choice([0, 0.5, 4]) for _ in at]), np.array([rnd.choice([-1.5, 0, 1]) for _ in at]), np.array([rnd.random() < 0.3 for _ in at])
+        exempt = lambda i, j: (i + j) % 3 == 0
+        lengths, slices = np.array([rnd.randint(1, 9) * 1e5 for _ in at[:20]]), np.array([rnd.randint(1, 9) * 1e5 for _ in range(rnd.randint(1, 5))])
+        both = []
+        for few in (0, 64):
+            monkeypatch.setattr(segment, "FEW_PLACES", few)
+            monkeypatch.setattr(segment, "FEW_WORDS", few)
+            both.append((segment.break_lines(*args, 6.0, exempt).tolist(), segment.slice_groups(lengths, slices)))
+        assert both[0] == both[1]
+
+
 def test_recover(spark):
     base = spark.createDataFrame([(1, 0, 0, 2_000_000, "hello there"), (1, 1, 9_000_000, 10_000_000, "good bye")], "ep long, j long, bs long, be long, text string")
     new = spark.createDataFrame(
