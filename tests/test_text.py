@@ -109,3 +109,15 @@ def test_by_fragment_reads_rows_once(spark):
     assert x.where("r IS NULL").count() == 10
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range") == 1 and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_bigram_codes(spark):
+    """As many pairs, and as many shared ones, as of the pairs as texts."""
+    texts = [(0, "abcabc。d"), (1, "😀a😀a!b"), (2, ""), (3, "x"), (4, None), (5, "。、"), (6, "a、bc\n d"), (7, "aaaa")]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    x = df.select("id", tx.bigrams(tx.strip_punct(F.col("text"))).alias("a"), tx.bigram_codes(F.col("text"), tx.PUNCTUATION).alias("b"))
+    y = x.select(F.col("id").alias("j"), F.col("a").alias("c"), F.col("b").alias("d"))
+    rows = x.crossJoin(y).select(tx.shared(F.col("a"), F.col("c")).alias("want"), tx.shared(F.col("b"), F.col("d")).alias("got")).collect()
+    assert len(rows) == 64 and all(r["want"] == r["got"] for r in rows) and {r["got"] for r in rows} > {0.0, 1.0}
+    sizes = {r["id"]: (r["n"], r["m"]) for r in x.select("id", F.size("a").alias("n"), F.size("b").alias("m")).collect()}
+    assert all(n == m for n, m in sizes.values()) and sizes[0][1] == 4
